@@ -37,3 +37,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Input splits for each core that CPU-heavy Python stages want at least.
+SPLITS_PER_CORE = 3
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions to keep all cores busy in a CPU-heavy stage.
+
+    A large scan has more splits than that already and is left alone, so no corpus is
+    shuffled for it; only small inputs of few files or row groups are dealt out.
+    """
+    wanted = SPLITS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
