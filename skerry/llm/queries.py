@@ -7,10 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from skerry.llm.mixing import mix_documents, mix_shares
 from skerry.llm.repetition import clean_lines, repetition_shares, repetitive_documents
 from skerry.llm.splitting import split_chunks
+from skerry.llm.syntax import invalid_files, invalid_rates
 from skerry.llm.tokenizer import encode_documents
 from skerry.runtime import table
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return invalid_files(table(spark, root, "files"), table(spark, root, "chunks"))
+
+
+def p3_rates(spark: SparkSession, root: str) -> DataFrame:
+    return invalid_rates(table(spark, root, "files"), table(spark, root, "chunks"), table(spark, root, "symbols"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return split_chunks(table(spark, root, "chunks")).select("chunk_id", "piece_index", "start_line", "end_line")
 
@@ -40,6 +49,8 @@ def p9_clean(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
