@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skerry.llm.mixing import mix_documents, mix_shares
+from skerry.llm.provenance import file_origins, not_hand_written, shared_subtrees
 from skerry.llm.repetition import clean_lines, repetition_shares, repetitive_documents
 from skerry.llm.splitting import split_chunks
 from skerry.llm.syntax import invalid_files, invalid_rates
@@ -24,6 +26,20 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return split_chunks(table(spark, root, "chunks")).select("chunk_id", "piece_index", "start_line", "end_line")
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return not_hand_written(table(spark, root, "files"), table(spark, root, "chunks"))
+
+
+def p6_origins(spark: SparkSession, root: str) -> DataFrame:
+    """Files by repository and origin."""
+    origins = file_origins(table(spark, root, "files"), table(spark, root, "chunks"))
+    return origins.groupBy(F.substring_index("path", "/", 1).alias("repo"), "origin").agg(F.count("*").alias("files"))
+
+
+def p6_shared(spark: SparkSession, root: str) -> DataFrame:
+    return shared_subtrees(table(spark, root, "files"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_documents(table(spark, root, "documents"))
 
@@ -52,6 +68,9 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_origins": p6_origins,
+    "p6_shared": p6_shared,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
