@@ -1,6 +1,7 @@
 """All queries of the core, and their SQL."""
 
-from skerry.plans import training_data
+from skerry.plans import filters, training_data
 
-QUERIES = {**training_data.QUERIES}
-SQL = {**training_data.SQL}
+_PARTS = (training_data, filters)
+QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
