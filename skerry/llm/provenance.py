@@ -129,37 +129,38 @@ def banner(lines: list[str]) -> str | None:
     return None
 
 
-_STATS = "file_id bigint, start_line int, banner string, own array<bigint>, rest array<bigint>"
+_STATS = "file_id bigint, start_line int, banner string, own array<bigint>, rest array<bigint>, followed boolean"
 
 
 def _chunk_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk a row of its own figures, and a row that tells the chunk ``STRIDE`` lines before that it is followed."""
     for batch in batches:
+        starts = batch.column("start_line").to_pylist()
         own, rest, banners = [], [], []
-        for start, content in zip(batch.column("start_line").to_pylist(), batch.column("content").to_pylist()):
+        for start, content in zip(starts, batch.column("content").to_pylist()):
             lines = (content or "").split("\n")
             own.append(layout(lines[:STRIDE]))
             rest.append(layout(lines[STRIDE:]))
             banners.append(banner(lines) if start <= 1 else None)
-        kind = pa.list_(pa.int64())
+        n, kind, ids = len(starts), pa.list_(pa.int64()), batch.column("file_id").to_pylist()
+        none = [None] * n
         yield pa.RecordBatch.from_arrays(
-            [batch.column("file_id"), batch.column("start_line"), pa.array(banners, pa.string()), pa.array(own, kind), pa.array(rest, kind)],
-            names=["file_id", "start_line", "banner", "own", "rest"],
-        )
+            [
+                pa.array(ids + ids, pa.int64()), pa.array(starts + [s - STRIDE for s in starts], pa.int32()), pa.array(banners + none, pa.string()),
+                pa.array(own + none, kind), pa.array(rest + none, kind), pa.array([False] * n + [True] * n, pa.bool_()),
+            ],
+            names=["file_id", "start_line", "banner", "own", "rest", "followed"],
+        )
 
 
 def file_layouts(chunks: DataFrame) -> DataFrame:
     """(file_id, banner, chars, minified, data, notes) of each file with a chunk.
 
-    A chunk's first ``STRIDE`` lines are its own; what lies beyond them counts for the last chunk of the
-    file, as windows overlap, and for a chunk whose successor starts further on.
+    A chunk's first ``STRIDE`` lines are its own; what lies beyond them counts for a chunk that none
+    follows, as windows overlap.
     """
     stats = chunk_rows(chunks).mapInArrow(_chunk_stats, _STATS)
-    once = stats.groupBy("file_id", "start_line").agg(F.max("banner").alias("banner"), F.max("own").alias("own"), F.max("rest").alias("rest"))
-    # the successor of each chunk by a self-union, since a file may have any number of chunks
-    marks = once.select("file_id", "start_line", "banner", "own", "rest", F.lit(False).alias("mark")).unionByName(
-        once.select("file_id", (F.col("start_line") - STRIDE).alias("start_line"), F.lit(None).cast("string").alias("banner"), F.lit(None).cast("array<bigint>").alias("own"), F.lit(None).cast("array<bigint>").alias("rest"), F.lit(True).alias("mark"))
-    )
-    seen = marks.groupBy("file_id", "start_line").agg(F.max("banner").alias("banner"), F.max("own").alias("own"), F.max("rest").alias("rest"), F.max("mark").alias("followed")).where("own is not null")
+    seen = stats.groupBy("file_id", "start_line").agg(*(F.max(c).alias(c) for c in ("banner", "own", "rest", "followed"))).where("own is not null")
     part = lambda k: (F.col("own")[k] + F.when(F.col("followed"), 0).otherwise(F.col("rest")[k])).cast("bigint")
     return seen.groupBy("file_id").agg(F.max("banner").alias("banner"), *(F.sum(part(k)).alias(n) for k, n in enumerate(("chars", "minified", "data", "notes"))))
 
