@@ -97,8 +97,11 @@ def _unpacked(text: str) -> dict[str, StateMap]:
 
 
 def judge(lang: str, lines: list[str]) -> tuple[str | None, StateMap]:
-    """What is wrong with a file of one block, and the map of the block."""
-    maps = _block_map(lang, lines, True)
+    """What is wrong with a file of one block, and the map of the block.
+
+    The map decides where the scanner is exact; else it is only made if the file may go on in another block.
+    """
+    maps = _block_map(lang, lines, True) if lang in EXACT or len(lines) > BLOCK_LINES // 2 else {}
     if lang in EXACT and not balanced(maps[CODE]):
         return "unbalanced", maps
     return why_invalid(lang, "\n".join(lines)), maps
@@ -186,10 +189,10 @@ def syntax_verdicts(files: DataFrame, chunks: DataFrame) -> DataFrame:
         F.max("lang").alias("lang"), F.max("repo").alias("repo"), F.sum("chunks").alias("chunks"), F.max("why").alias("why"), F.max("block").alias("last"),
         F.sort_array(F.collect_list(F.when(F.col("map").isNotNull(), F.struct("block", "map")))).alias("maps"),
     ).where(F.col("lang").isin(list(LANGUAGES)) & (F.col("chunks") > 0))
-    several = F.udf(lambda maps, lang, why: _whole_file([m.map for m in maps], lang, why), "string")
-    single = by_file.where(F.col("last") == 0).select("file_id", "lang", "repo", "why")
-    long = by_file.where(F.col("last") > 0).select("file_id", "lang", "repo", several("maps", "lang", "why").alias("why"))
-    return single.unionByName(long).select("file_id", "lang", "repo", F.col("why").isNull().alias("valid"), "why")
+    # one pass over the verdicts; the maps are null but for files of several blocks
+    whole = F.udf(lambda maps, lang, why: _whole_file([m.map for m in maps], lang, why), "string")
+    why = F.when(F.col("last") > 0, whole("maps", "lang", "why")).otherwise(F.col("why"))
+    return by_file.select("file_id", "lang", "repo", why.alias("why")).select("file_id", "lang", "repo", F.col("why").isNull().alias("valid"), "why")
 
 
 def invalid_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
