@@ -239,7 +239,9 @@ def _holds(node: _Node, words: Column) -> Column:
 def raw_search(chunks: DataFrame, query: str) -> DataFrame:
     """(chunk_id, file_id) for a raw query; a query that can't be read raises ``QuerySyntaxError``."""
     node = _RawQuery(query).read()
-    return distinct_chunks(chunks).where(_holds(node, tokens(F.col("content")))).select("chunk_id", "file_id")
+    # the words are bound to a lambda's variable, so that they are split once and not for each place they are looked at
+    found = F.get(F.transform(F.array(tokens(F.col("content"))), lambda words: _holds(node, words)), 0)
+    return distinct_chunks(chunks).where(found).select("chunk_id", "file_id")
 
 
 #: Words that begin statements.

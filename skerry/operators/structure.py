@@ -12,7 +12,7 @@ from skerry.schema import HOTSPOT_WEIGHTS
 
 #: Names that say little as hotspots.
 GENERIC_NAMES = tuple("add append build call combine convert create execute get getstring getvalue getvalues handle invoke load parse process read resolve run set start stop tolist tostring tryparse update write".split())
-#: Names with more defining files than this in a language are no evidence for an edge between two of them; ``ambiguous_targets`` lists them.
+#: Names with more defining files than this in a language aren't expanded into pairs of files; ``ambiguous_sides`` has both of their sides, whole.
 MOST_TARGETS = 8
 _CLASS_KINDS = ("class", "struct", "interface", "enum", "record")
 
@@ -32,10 +32,25 @@ def targets(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def ambiguous_targets(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(lang, name_folded, files): the names that are left out of file dependencies, whole."""
+    """(lang, name_folded, files): the names that aren't expanded into pairs of files."""
     return definition_names(symbols, files).where(F.col("files") > MOST_TARGETS).select("lang", "name_folded", "files")
 
 
+def ambiguous_sides(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(lang, name_folded, side, path, sites) of these names: each file that uses one and each that defines it.
+
+    Every use depends on every definition of the same name and language, so the two sides are the exact
+    edges in compact form; only the pairs aren't written out.
+    """
+    names = ambiguous_targets(symbols, files).select("lang", "name_folded")
+    where = files.select("file_id", "path")
+    uses = name_uses(refs, files).join(names, ["lang", "name_folded"], "left_semi").join(where, F.col("src") == F.col("file_id"))
+    defs = symbols.where("name_folded is not null").join(files.select("file_id", "lang", "path"), "file_id").join(names, ["lang", "name_folded"], "left_semi")
+    return uses.groupBy("lang", "name_folded", F.lit("use").alias("side"), "path").agg(F.sum("sites").alias("sites")).unionByName(
+        defs.select("lang", "name_folded", F.lit("definition").alias("side"), "path", F.lit(0).cast("bigint").alias("sites")).distinct()
+    )
+
+
 def file_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(src_path, dst_path, reference_count, symbol_count, symbols): which file uses names that another defines.
 

@@ -45,7 +45,7 @@ def ranked_symbols(symbols: DataFrame, refs: DataFrame, files: DataFrame) -> Dat
     rank = visibility_rank(F.col("visibility"))
     seen = F.when(rank == 0, 8.0).when(rank == 1, 4.0).otherwise(0.0)
     complexity = size * 16.0 + F.least(sites, F.lit(100)) * 0.75 + F.least(hotness, F.lit(150.0)) * 0.35 + seen
-    return rows.select("symbol_id", "path", "name", "kind", "line", sites.cast("bigint").alias("sites"), F.round(hotness, 4).alias("hotness"), F.round(complexity, 4).alias("complexity"))
+    return rows.select("symbol_id", "path", "name", "kind", "line", sites.cast("bigint").alias("sites"), F.round(hotness, 6).alias("hotness"), F.round(complexity, 6).alias("complexity"))
 
 
 def sort_symbols(rows: DataFrame, mode: str, limit: int) -> DataFrame:
