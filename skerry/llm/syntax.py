@@ -96,56 +96,59 @@ def _unpacked(text: str) -> dict[str, StateMap]:
     return {lang: {s: Effect(*e) for s, e in m.items()} for lang, m in json.loads(text).items()}
 
 
-def judge(lang: str, lines: list[str]) -> tuple[str | None, StateMap]:
+def judge(lang: str, lines: list[str], block_lines: int = BLOCK_LINES) -> tuple[str | None, StateMap]:
     """What is wrong with a file of one block, and the map of the block.
 
     The map decides where the scanner is exact; else it is only made if the file may go on in another block.
     """
-    maps = _block_map(lang, lines, True) if lang in EXACT or len(lines) > BLOCK_LINES // 2 else {}
+    maps = _block_map(lang, lines, True) if lang in EXACT or len(lines) > block_lines // 2 else {}
     if lang in EXACT and not balanced(maps[CODE]):
         return "unbalanced", maps
     return why_invalid(lang, "\n".join(lines)), maps
 
 
-def _judge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
-    key = lang = repo = None
-    block = _Lines()
-
-    def close() -> None:
-        if key is None or not (block.chunks or lang is not None):
-            return
-        lines = [block.lines[k] for k in block.numbers()]
-        if key[1] == 0 and lang not in PARSERS:
-            out.append((*key, lang, repo, block.chunks, None, None))
-        elif key[1] == 0:
-            why, maps = judge(lang, lines) if block.chunks else (None, {})
-            # the map is only needed if it turns out that the file has more blocks
-            crowded = len(lines) > BLOCK_LINES // 2
-            out.append((*key, lang, repo, block.chunks, why, _packed({lang: maps}) if crowded and maps else None))
-        else:
-            out.append((*key, None, None, block.chunks, None, _packed({x: _block_map(x, lines, False) for x in PARSERS})))
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out)) or [[]] * 7
-        types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "block", "lang", "repo", "chunks", "why", "map"])
-        out.clear()
-        return batch
-
-    for batch in batches:
-        for file_id, b, start, row_lang, row_repo, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "block", "start_line", "lang", "repo", "content"))):
-            if (file_id, b) != key:
-                close()
-                key, lang, repo, block = (file_id, b), None, None, _Lines()
-            if start is None:
-                lang, repo = row_lang, row_repo
-            elif b > 0 or lang in PARSERS:
-                block.add(start, content, b * BLOCK_LINES, (b + 1) * BLOCK_LINES)
-        if len(out) >= 1000:
-            yield flush()
-    close()
-    yield flush()
+def _judge_blocks(block_lines: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        key = lang = repo = None
+        block = _Lines()
+
+        def close() -> None:
+            if key is None or not (block.chunks or lang is not None):
+                return
+            lines = [block.lines[k] for k in block.numbers()]
+            if key[1] == 0 and lang not in PARSERS:
+                out.append((*key, lang, repo, block.chunks, None, None))
+            elif key[1] == 0:
+                why, maps = judge(lang, lines, block_lines) if block.chunks else (None, {})
+                # the map is only needed if it turns out that the file has more blocks
+                crowded = len(lines) > block_lines // 2
+                out.append((*key, lang, repo, block.chunks, why, _packed({lang: maps}) if crowded and maps else None))
+            else:
+                out.append((*key, None, None, block.chunks, None, _packed({x: _block_map(x, lines, False) for x in PARSERS})))
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [[]] * 7
+            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "block", "lang", "repo", "chunks", "why", "map"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for file_id, b, start, row_lang, row_repo, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "block", "start_line", "lang", "repo", "content"))):
+                if (file_id, b) != key:
+                    close()
+                    key, lang, repo, block = (file_id, b), None, None, _Lines()
+                if start is None:
+                    lang, repo = row_lang, row_repo
+                elif b > 0 or lang in PARSERS:
+                    block.add(start, content, b * block_lines, (b + 1) * block_lines)
+            if len(out) >= 1000:
+                yield flush()
+        close()
+        yield flush()
+
+    return run
 
 
 def _whole_file(packed: list[str | None], lang: str | None, why: str | None) -> str | None:
@@ -162,14 +165,14 @@ def _whole_file(packed: list[str | None], lang: str | None, why: str | None) ->
     return None if balanced(whole[CODE]) else "unbalanced"
 
 
-def syntax_verdicts(files: DataFrame, chunks: DataFrame) -> DataFrame:
+def syntax_verdicts(files: DataFrame, chunks: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Each file of a known language with a chunk: (file_id, lang, repo, valid, why).
 
     Known are python, javascript, java, csharp, go and json, in any letter case. The text of a file
     is the lines of its chunks by number, a line that several chunks hold being taken once; null
     contents are empty. An empty text is valid except as go and json. Files without a chunk, chunks
     without a file and null ids give no row; copies of rows don't count. Only syntax counts. A file of
-    over ``BLOCK_LINES`` lines is judged by its composed lexer-state map alone, and nesting too deep
+    over ``block_lines`` lines is judged by its composed lexer-state map alone, and nesting too deep
     for a parser counts as valid if balanced.
     """
     spark = files.sparkSession
@@ -177,14 +180,14 @@ def syntax_verdicts(files: DataFrame, chunks: DataFrame) -> DataFrame:
     last = F.col("start_line") + F.length("content") - F.length(F.translate("content", "\n", ""))
     blocks = rows.select(
         "file_id",
-        F.explode(F.sequence(F.greatest(F.floor(F.col("start_line") / BLOCK_LINES), F.lit(0)).cast("int"), F.greatest(F.floor(F.coalesce(last, F.col("start_line")) / BLOCK_LINES), F.lit(0)).cast("int"))).alias("block"),
+        F.explode(F.sequence(F.greatest(F.floor(F.col("start_line") / block_lines), F.lit(0)).cast("int"), F.greatest(F.floor(F.coalesce(last, F.col("start_line")) / block_lines), F.lit(0)).cast("int"))).alias("block"),
         "start_line", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("repo"), "content",
     )
     heads = file_languages(files).select(
         "file_id", F.lit(0).alias("block"), F.lit(None).cast("int").alias("start_line"), "lang", "repo", F.lit(None).cast("string").alias("content")
     )
     grouped = heads.unionByName(blocks).repartition(shuffle_partitions(spark), "file_id", "block").sortWithinPartitions("file_id", "block", F.col("start_line").asc_nulls_first())
-    judged = grouped.mapInArrow(_judge_blocks, "file_id bigint, block int, lang string, repo string, chunks bigint, why string, map string")
+    judged = grouped.mapInArrow(_judge_blocks(block_lines), "file_id bigint, block int, lang string, repo string, chunks bigint, why string, map string")
     by_file = judged.groupBy("file_id").agg(
         F.max("lang").alias("lang"), F.max("repo").alias("repo"), F.sum("chunks").alias("chunks"), F.max("why").alias("why"), F.max("block").alias("last"),
         F.sort_array(F.collect_list(F.when(F.col("map").isNotNull(), F.struct("block", "map")))).alias("maps"),
