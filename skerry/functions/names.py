@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _unicode_fold(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
 
@@ -98,7 +99,7 @@ def resolve_link(source: str | None, link: str | None) -> str | None:
     return None if path.startswith("..") else path
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def resolve_links(source: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([resolve_link(a, b) for a, b in zip(source, link)], dtype=object)
 
@@ -117,6 +118,6 @@ def import_target(module: str | None, source: str | None) -> str | None:
     return posixpath.join(base, rest) if rest else base
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def import_targets(module: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([import_target(a, b) for a, b in zip(module, source)], dtype=object)
