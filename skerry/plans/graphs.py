@@ -43,12 +43,12 @@ _Y02 = q.with_(*_ALL, q.DEFS, SIG) + f""", k as (select symbol_id, path, name, k
 
 @query("Y02_ranked", _Y02)
 def _(ix):
-    return symbols.ranked_symbols(ix.symbols, ix.refs, ix.files)
+    return symbols.ranked_symbols(ix.symbols, ix.raw_refs, ix.files)
 
 
 @query("Y03_sorted", f"select * from ({_Y02}) order by complexity desc, path, line, symbol_id limit 50")
 def _(ix):
-    return symbols.sort_symbols(symbols.ranked_symbols(ix.symbols, ix.refs, ix.files), "complexity", 50)
+    return symbols.sort_symbols(symbols.ranked_symbols(ix.symbols, ix.raw_refs, ix.files), "complexity", 50)
 
 
 @query("Y03_name_order", q.with_(q.SYMBOLS) + f"select symbol_id, case when name = 'Get' then 0 when {_N} = 'get' then 1 when starts_with(name, 'Get') then 2 when starts_with({_N}, 'get') then 3 when contains({_N}, 'get') then 4 else 5 end as ord from s where name is not null")
@@ -85,7 +85,7 @@ def _(ix):
 @query("Y09_outlines", q.with_(*_ALL, q.DEFS, SIG) + """select path, cast(row_number() over (partition by s.file_id order by coalesce(start_line, line) nulls first, start_column nulls first, symbol_id) as int) as position, symbol_id, concat_ws('.', coalesce(container_qualified_name, container_name), name) as display_name, kind, line, cast(case when d.definitions = 1 then coalesce(u.sites, 0) end as bigint) as uses
   from s join f on f.file_id = s.file_id left join d on d.lang = f.lang and d.name_folded = s.name_folded left join used u on u.lang = f.lang and u.name_folded = s.name_folded""")
 def _(ix):
-    return symbols.outlines(ix.symbols, ix.files, ix.refs)
+    return symbols.outlines(ix.symbols, ix.files, ix.raw_refs)
 
 
 @query("Y10_nearby", q.with_(q.SYMBOLS) + """select symbol_id, name, kind, case when 40 between start_line and end_line then 0 else 1 end as outside, case when 40 between start_line and end_line then 0 else least(abs(coalesce(start_line, line) - 40), abs(coalesce(end_line, line) - 40)) end as distance
@@ -121,7 +121,7 @@ def _(ix):
 
 @query("G05_sites", q.with_(q.REFS, q.SITES) + "select kind, count(*) as sites, count(distinct symbol_name) as names from sites group by kind")
 def _(ix):
-    return graph.reference_sites(ix.refs.where("symbol_name is not null")).groupBy(F.col("logical_kind").alias("kind")).agg(F.count("*").alias("sites"), F.countDistinct("symbol_name").alias("names"))
+    return graph.reference_sites(ix.raw_refs.where("symbol_name is not null")).groupBy(F.col("logical_kind").alias("kind")).agg(F.count("*").alias("sites"), F.countDistinct("symbol_name").alias("names"))
 
 
 def _grouped(keys: list[str], container: str) -> str:
@@ -142,32 +142,32 @@ _CALLEES = _grouped(["container_kind", "container_name", "symbol_name", "callee_
 
 @query("G03_callers", _CALLERS)
 def _(ix):
-    return graph.callers(ix.refs, ix.files)
+    return graph.callers(ix.raw_refs, ix.files)
 
 
 @query("G04_callees", _CALLEES.replace("join kc on", "join kc on true and"))
 def _(ix):
-    return graph.callees(ix.refs, ix.files)
+    return graph.callees(ix.raw_refs, ix.files)
 
 
 @query("G07_ranked_callers", f"select * from ({_CALLERS}) where symbol_name = 'Get' order by weighted_score desc, reference_count desc, path, caller, first_line limit 50")
 def _(ix):
-    return graph.ranked(graph.callers(ix.refs.where("symbol_name = 'Get'"), ix.files), "weighted", 50, ["path", "caller", "first_line"])
+    return graph.ranked(graph.callers(ix.raw_refs.where("symbol_name = 'Get'"), ix.files), "weighted", 50, ["path", "caller", "first_line"])
 
 
 @query("G08_caller_counts", f"select symbol_name, count(*) as callers, cast(sum(reference_count) as bigint) as sites from ({_CALLERS}) group by symbol_name")
 def _(ix):
-    return graph.callers(ix.refs, ix.files).groupBy("symbol_name").agg(F.count("*").alias("callers"), F.sum("reference_count").alias("sites"))
+    return graph.callers(ix.raw_refs, ix.files).groupBy("symbol_name").agg(F.count("*").alias("callers"), F.sum("reference_count").alias("sites"))
 
 
 @query("G09_top_level", f"select path, symbol_name, reference_count from ({_CALLERS}) where caller = '<top-level>'")
 def _(ix):
-    return graph.callers(ix.refs.where("container_name is null"), ix.files).select("path", "symbol_name", "reference_count")
+    return graph.callers(ix.raw_refs.where("container_name is null"), ix.files).select("path", "symbol_name", "reference_count")
 
 
 @query("G10_by_identity", q.with_(*_ALL) + "select s.symbol_id, s.name, count(*) as n from r join s on s.symbol_id = r.target_symbol_id group by all")
 def _(ix):
-    counts = ix.refs.where("target_symbol_id is not null").groupBy(F.col("target_symbol_id").alias("symbol_id")).agg(F.count("*").alias("n"))
+    counts = ix.refs_of("target_symbol_id").where("target_symbol_id is not null").groupBy(F.col("target_symbol_id").alias("symbol_id")).agg(F.count("*").alias("n"))
     return counts.join(ix.symbols.select("symbol_id", "name"), "symbol_id").select("symbol_id", "name", "n")
 
 
@@ -179,7 +179,7 @@ def _(ix):
 @query("G13_unqualified", q.with_(q.REFS) + f"select reference_kind, count(*) as n from r where symbol_name is not null and not (target_qualifier is not null and symbol_name in {q.in_list(predicates.NOISE_NAMES)}) group by reference_kind")
 def _(ix):
     common = F.col("target_qualifier").isNotNull() & predicates.is_noise(F.col("symbol_name"))
-    return ix.refs.where(F.col("symbol_name").isNotNull() & ~common).groupBy("reference_kind").agg(F.count("*").alias("n"))
+    return ix.refs_of("symbol_name", "target_qualifier", "reference_kind").where(F.col("symbol_name").isNotNull() & ~common).groupBy("reference_kind").agg(F.count("*").alias("n"))
 
 
 _EDGES = f"ed as (select distinct f.lang, symbol_name_folded as callee, container_name_folded as caller from r join f using (file_id) where lang is not null and reference_kind in {q.in_list(IMPACT_KINDS)} and symbol_name_folded is not null and container_name_folded is not null)"
@@ -188,17 +188,17 @@ _EDGES = f"ed as (select distinct f.lang, symbol_name_folded as callee, containe
 @query("G14_impact", q.with_(q.FILES, q.REFS, _EDGES).replace("with ", "with recursive ", 1) + """, w as (select 'get' as caller, 0 as depth union select ed.caller, w.depth + 1 from w join ed on ed.callee = w.caller and ed.lang = 'python' where w.depth < 3)
   select caller, min(depth) as depth from w where caller <> 'get' group by caller""")
 def _(ix):
-    return graph.impact(ix.refs, ix.files, "Get", "python", 3)[0]
+    return graph.impact(ix.raw_refs, ix.files, "Get", "python", 3)[0]
 
 
 @query("G15_paths")
 def _(ix):
-    return graph.impact_paths(ix.refs, ix.files, "Get", "python", 2)
+    return graph.impact_paths(ix.raw_refs, ix.files, "Get", "python", 2)
 
 
 @query("G16_two_cycles", q.with_(q.FILES, q.REFS, _EDGES) + "select a.lang, a.caller as a, a.callee as b from ed a join ed b on a.lang = b.lang and a.caller = b.callee and a.callee = b.caller where a.caller < a.callee")
 def _(ix):
-    edges = graph.call_edges(ix.refs, ix.files)
+    edges = graph.call_edges(ix.raw_refs, ix.files)
     both = edges.where("caller <> callee").groupBy("lang", F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b")).agg(F.count("*").alias("n"))
     return both.where("n = 2").select("lang", "a", "b")
 
@@ -210,7 +210,7 @@ def _(ix):
 
 @query("G19_hierarchy", q.with_(q.REFS) + "select source_symbol_id as symbol_id, count(*) as sites, min(line) as first_line from r where target_symbol_id = 410 and source_symbol_id is not null group by 1")
 def _(ix):
-    return graph.call_hierarchy(ix.refs, 410)
+    return graph.call_hierarchy(ix.refs_of("source_symbol_id", "target_symbol_id", "line"), 410)
 
 
 @query("G20_positions", q.with_(q.REFS) + "select ref_id, symbol_name from r where file_id <= 100 and line = 29 and 15 between column_number and column_number + span_length - 1")
@@ -220,7 +220,7 @@ def _(ix):
 
 @query("G21_sources", q.with_(*_ALL) + """select ref_id, arg_min(symbol_id, cast(end_line - start_line as hugeint) * 1000000000000 + symbol_id) as source_symbol_id from (select distinct r.ref_id, s.symbol_id, s.start_line, s.end_line from r join s on s.file_id = r.file_id and s.name = r.container_name and r.line between s.start_line and s.end_line) group by ref_id""")
 def _(ix):
-    return graph.source_symbols(ix.refs, ix.symbols)
+    return graph.source_symbols(ix.raw_refs, ix.symbols)
 
 
 @query("G23_unique", q.with_(q.FILES, q.SYMBOLS, q.DEFS) + "select lang, name_folded, lo as family from d where lo = hi")
@@ -234,17 +234,17 @@ def _(ix):
     left join a on a.file_id = r.file_id and a.lang = w.lang and a.name_folded = r.symbol_name_folded left join b on b.dir = w.dir and b.lang = w.lang and b.name_folded = r.symbol_name_folded left join c on c.lang = w.lang and c.name_folded = r.symbol_name_folded where r.symbol_name_folded is not null)
   select ref_id, scope_rank, candidate_count, case when candidate_count = 1 then id end as target_symbol_id, case candidate_count when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as state from x""")
 def _(ix):
-    return graph.candidate_summary(ix.refs, ix.symbols, ix.files)
+    return graph.candidate_summary(ix.refs_of("file_id", "symbol_name_folded"), ix.symbols, ix.files)
 
 
 @query("G25_self", q.with_(q.REFS) + "select coalesce(source_symbol_id = target_symbol_id, symbol_name_folded = container_name_folded, false) as is_self, count(*) as n from r group by 1")
 def _(ix):
-    return graph.self_references(ix.refs).groupBy("is_self").agg(F.count("*").alias("n"))
+    return graph.self_references(ix.refs_of("source_symbol_id", "target_symbol_id", "symbol_name_folded", "container_name_folded")).groupBy("is_self").agg(F.count("*").alias("n"))
 
 
 @query("G26_mutual", q.with_(q.REFS) + ", e as (select distinct source_symbol_id as s, target_symbol_id as t from r where source_symbol_id <> target_symbol_id) select x.s as a, x.t as b from e x join e y on x.s = y.t and x.t = y.s where x.s < x.t")
 def _(ix):
-    return graph.mutual_recursion(ix.refs)
+    return graph.mutual_recursion(ix.raw_refs)
 
 
 # dependencies
@@ -258,7 +258,7 @@ _DEPS = q.with_(*_ALL, q.DEFS, _USES, _TARGETS)
 @query("A01_dependencies", _DEPS + """select fa.path as src_path, fb.path as dst_path, cast(sum(sites) as bigint) as reference_count, count(*) as symbol_count, array_to_string(list_slice(list_sort(list(distinct symbol)), 1, 32), ',') as symbols
   from u join t using (lang, name_folded) join f fa on fa.file_id = src join f fb on fb.file_id = dst where src <> dst group by src, dst, fa.path, fb.path""")
 def _(ix):
-    return structure.file_dependencies(ix.refs, ix.symbols, ix.files)
+    return structure.file_dependencies(ix.raw_refs, ix.symbols, ix.files)
 
 
 @query("A01_ambiguous", q.with_(q.FILES, q.SYMBOLS, q.DEFS) + f"select lang, name_folded, files from d where files > {structure.MOST_TARGETS}")
@@ -269,34 +269,34 @@ def _(ix):
 @query("A01_ambiguous_sides", _DEPS + f"""select lang, name_folded, 'use' as side, path, cast(sum(sites) as bigint) as sites from u join d using (lang, name_folded) join f on f.file_id = src where d.files > {structure.MOST_TARGETS} group by lang, name_folded, path, f.lang having true
   union all select distinct f.lang, s.name_folded, 'definition', path, 0::bigint from s join f on f.file_id = s.file_id join d on d.lang = f.lang and d.name_folded = s.name_folded where d.files > {structure.MOST_TARGETS}""".replace("select lang, name_folded, 'use'", "select u.lang as lang, u.name_folded as name_folded, 'use'").replace("group by lang, name_folded, path, f.lang having true", "group by u.lang, u.name_folded, path"))
 def _(ix):
-    return structure.ambiguous_sides(ix.refs, ix.symbols, ix.files)
+    return structure.ambiguous_sides(ix.raw_refs, ix.symbols, ix.files)
 
 
 @query("A06_evidence", q.with_(*_ALL) + "select r.file_id as src, s.file_id as dst, reference_kind as kind, resolution_state as state, count(*) as n from r join s on s.symbol_id = r.target_symbol_id where r.file_id <> s.file_id group by all")
 def _(ix):
-    return structure.dependency_evidence(ix.refs, ix.symbols, ix.files)
+    return structure.dependency_evidence(ix.refs_of("file_id", "target_symbol_id", "reference_kind", "resolution_state"), ix.symbols, ix.files)
 
 
 @query("A08_dependents", _DEPS + "select dst, count(distinct src) as dependents from u join t using (lang, name_folded) where src <> dst group by dst")
 def _(ix):
-    pairs = structure.name_uses(ix.refs, ix.files).join(structure.targets(ix.symbols, ix.files), ["lang", "name_folded"]).where("src <> dst")
+    pairs = structure.name_uses(ix.raw_refs, ix.files).join(structure.targets(ix.symbols, ix.files), ["lang", "name_folded"]).where("src <> dst")
     return pairs.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("dependents"))
 
 
 @query("A09_by_symbol", _DEPS + "select src, dst, cast(sum(sites) as bigint) as n from u join t using (lang, name_folded) where src <> dst and starts_with(name_folded, 'score') group by all")
 def _(ix):
-    pairs = structure.name_uses(ix.refs, ix.files).where(F.col("name_folded").startswith("score")).join(structure.targets(ix.symbols, ix.files), ["lang", "name_folded"]).where("src <> dst")
+    pairs = structure.name_uses(ix.raw_refs, ix.files).where(F.col("name_folded").startswith("score")).join(structure.targets(ix.symbols, ix.files), ["lang", "name_folded"]).where("src <> dst")
     return pairs.groupBy("src", "dst").agg(F.sum("sites").alias("n"))
 
 
 @query("A10_ranked", _DEPS + f"""select src, dst, cast(sum(sites) as bigint) as reference_count, round(cast(sum(sites) as double) * sum(case when symbol in {q.in_list(predicates.NOISE_NAMES)} then 1 else 10 end) / (count(*) * 10), 4) as score
   from u join t using (lang, name_folded) where src <> dst group by src, dst order by score desc, src, dst limit 200""")
 def _(ix):
-    return structure.ranked_dependencies(ix.refs, ix.symbols, ix.files, 200)
+    return structure.ranked_dependencies(ix.raw_refs, ix.symbols, ix.files, 200)
 
 
 def _file_edges(ix):
-    return structure.dependency_evidence(ix.refs, ix.symbols, ix.files).select("src", "dst").distinct()
+    return structure.dependency_evidence(ix.refs_of("file_id", "target_symbol_id", "reference_kind", "resolution_state"), ix.symbols, ix.files).select("src", "dst").distinct()
 
 
 @query("A12_cycles")
@@ -316,7 +316,7 @@ _HOT = f"""hs as (select f.file_id, f.lang, split_part(x.symbol_name, '#', 1) as
 
 @query("A14_hotspot_counts", q.with_(q.FILES, q.REFS, _HOT) + "select * from hs")
 def _(ix):
-    return structure.hotspot_counts(ix.refs, ix.files)
+    return structure.hotspot_counts(ix.raw_refs, ix.files)
 
 
 @query("A15_hotspots", q.with_(*_ALL, q.DEFS, _HOT) + f"""
@@ -325,12 +325,12 @@ def _(ix):
     from s join f on f.file_id = s.file_id join d on d.lang = f.lang and d.name_folded = s.name_folded left join g on g.lang = f.lang and g.nf = s.name_folded left join o on o.file_id = s.file_id and o.nf = s.name_folded)
   select * from x where reference_count > 0 order by score desc, reference_count desc, path, symbol_id limit 100""")
 def _(ix):
-    return structure.symbol_hotspots(ix.symbols, ix.refs, ix.files, 100)
+    return structure.symbol_hotspots(ix.symbols, ix.raw_refs, ix.files, 100)
 
 
 @query("A16_file_hotspots", q.with_(q.FILES, q.REFS, _HOT) + "select path, cast(sum(reference_count) as bigint) as reference_count, round(sum(score), 4) as score from hs join f using (file_id) group by hs.file_id, path")
 def _(ix):
-    return structure.file_hotspots(ix.refs, ix.files)
+    return structure.file_hotspots(ix.raw_refs, ix.files)
 
 
 @query("A17_name_hotspots", q.with_(q.FILES, q.SYMBOLS) + "select name, kind, count(*) as sites, array_to_string(list_slice(list_sort(list(distinct path)), 1, 20), ',') as paths from s join f on f.file_id = s.file_id where name is not null and kind is not null group by name, kind")
@@ -340,7 +340,7 @@ def _(ix):
 
 @query("A18_identities", q.with_(q.REFS) + "select target_symbol_id, count(distinct (file_id, line, column_number)) as reference_count, count(distinct source_symbol_id) as sources from r where target_symbol_id is not null group by 1")
 def _(ix):
-    return structure.identity_hotspots(ix.refs)
+    return structure.identity_hotspots(ix.raw_refs)
 
 
 _UNUSED = q.with_(*_ALL) + r"""
@@ -353,12 +353,12 @@ _UNUSED = q.with_(*_ALL) + r"""
 
 @query("A21_unused", _UNUSED)
 def _(ix):
-    return structure.unused_symbols(ix.symbols, ix.refs, ix.files)
+    return structure.unused_symbols(ix.symbols, ix.raw_refs, ix.files)
 
 
 @query("A22_unused_buckets", f"select bucket, confidence, count(*) as n from ({_UNUSED}) group by all")
 def _(ix):
-    return structure.unused_symbols(ix.symbols, ix.refs, ix.files).groupBy("bucket", "confidence").agg(F.count("*").alias("n"))
+    return structure.unused_symbols(ix.symbols, ix.raw_refs, ix.files).groupBy("bucket", "confidence").agg(F.count("*").alias("n"))
 
 
 _ENRICHED = "en as (select f.*, coalesce(a.n, 0) as symbols, coalesce(b.n, 0) as refs, coalesce(f.lines, 0) + 5 * coalesce(a.n, 0) + 2 * coalesce(b.n, 0) as score from f left join (select file_id, count(*) as n from s group by 1) a on a.file_id = f.file_id left join (select file_id, count(*) as n from r group by 1) b on b.file_id = f.file_id)"
@@ -367,12 +367,12 @@ _MAP = q.with_(*_ALL, _ENRICHED)
 
 @query("A23_modules", _MAP + "select array_to_string(list_slice(string_split(path, '/'), 1, greatest(least(len(string_split(path, '/')) - 1, 2), 1)), '/') as module, count(*) as files, cast(sum(coalesce(lines, 0)) as bigint) as lines, cast(sum(symbols) as bigint) as symbols, cast(sum(refs) as bigint) as refs from en group by 1")
 def _(ix):
-    return structure.modules(structure.enriched_files(ix.files, ix.symbols, ix.refs))
+    return structure.modules(structure.enriched_files(ix.files, ix.symbols, ix.refs_of("file_id")))
 
 
 @query("A24_top_files", _MAP + "select path, lines, size, symbols, refs, score from en order by score desc nulls last, path limit 50")
 def _(ix):
-    return structure.top_files(structure.enriched_files(ix.files, ix.symbols, ix.refs), "score", 50)
+    return structure.top_files(structure.enriched_files(ix.files, ix.symbols, ix.refs_of("file_id")), "score", 50)
 
 
 @query("A25_module_depth", q.with_(q.FILES) + "select array_to_string(list_slice(string_split(path, '/'), 1, greatest(least(len(string_split(path, '/')) - 1, 3), 1)), '/') as module, count(*) as files from f group by 1")
@@ -389,7 +389,7 @@ def _(ix):
 @query("A27_files", _MAP + "select path, lang, size, symbols, refs from en where path is not null order by path limit 200")
 def _(ix):
     page = structure.listed_files(ix.files.where("path is not null"), 200)
-    return structure.enriched_files(page, ix.symbols, ix.refs).select("path", "lang", "size", "symbols", "refs")
+    return structure.enriched_files(page, ix.symbols, ix.refs_of("file_id")).select("path", "lang", "size", "symbols", "refs")
 
 
 @query("A28_file_sizes", q.with_(q.FILES) + "select count(*) as files, cast(sum(size) as bigint) as bytes, round(avg(size), 4) as mean, max(size) as largest from f")

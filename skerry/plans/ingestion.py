@@ -209,12 +209,12 @@ def _(ix):
 @query("W05_dirty_scope", q.with_(q.SYMBOLS, q.REFS) + ", n as (select distinct name_folded from s where file_id <= 20) select distinct file_id from (select file_id from r where symbol_name_folded in (select name_folded from n) union all select file_id from s where file_id <= 20)")
 def _(ix):
     changed = ix.symbols.where("file_id <= 20").select("file_id").distinct()
-    return watch.dirty_scope(ix.refs, ix.symbols, changed)
+    return watch.dirty_scope(ix.raw_refs, ix.symbols, changed)
 
 
 @query("G17_budget")
 def _(ix):
-    rows, why = graph.impact(ix.refs, ix.files, "Get", "python", 5, max_rows=50)
+    rows, why = graph.impact(ix.raw_refs, ix.files, "Get", "python", 5, max_rows=50)
     return rows.groupBy("depth").agg(F.count("*").alias("callers")).withColumn("ended", F.lit(why))
 
 

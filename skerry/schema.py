@@ -68,4 +68,13 @@ class Index:
 
     @cached_property
     def refs(self) -> DataFrame:
-        return table(self.spark, self.root, "refs", *names(REFS)).distinct()
+        return self.raw_refs.distinct()
+
+    @cached_property
+    def raw_refs(self) -> DataFrame:
+        """With copies of rows, for operators on sites, names and edges, which tell them apart anyway: no exchange of whole rows."""
+        return table(self.spark, self.root, "refs", *names(REFS))
+
+    def refs_of(self, *columns: str) -> DataFrame:
+        """References once each, with some columns only; what is exchanged to leave copies out is as narrow."""
+        return table(self.spark, self.root, "refs", "ref_id", *columns).distinct()
