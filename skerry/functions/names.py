@@ -79,7 +79,8 @@ def type_arity(signature: Column) -> Column:
 def base_names(signature: Column) -> Column:
     """What a type declares to derive from."""
     part = F.regexp_extract(signature, r"(?:\bextends\s+|\bimplements\s+|\)?\s*:\s*|class\s+\w+\()([\w.<>, ]+)", 1)
-    return F.filter(F.transform(F.split(F.regexp_replace(part, "<[^<>]*>", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
+    listed = F.regexp_replace(F.regexp_replace(F.regexp_replace(part, "<[^<>]*>", ""), r"\s+where\s.*$", ""), r"\s+(?:implements|extends)\s+", ",")
+    return F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def heading_slug(title: Column) -> Column:

@@ -129,7 +129,8 @@ def symbols_of(file_id: int, lang: str, text: str) -> list[dict]:
     found: list[dict] = []
     for at, line in enumerate(lines):
         for kind, pattern in _patterns(lang):
-            m = pattern.search(line)
+            # names in quotes are only there in the line as it is written
+            m = pattern.search(raw[at] if '"' in pattern.pattern else line)
             if m is None:
                 continue
             groups = m.groupdict()

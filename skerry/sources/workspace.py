@@ -44,15 +44,15 @@ class IgnoreRules:
             only_dir = line.endswith("/")
             line = line.rstrip("/")
             rooted = "/" in line
-            body = "".join(self._part(p) for p in re.split(r"(\*\*/|/\*\*|\*\*)", line.lstrip("/")))
+            body = "".join(self._part(p) for p in re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*)", line.lstrip("/")))
             prefix = re.escape(base.strip("/") + "/") if base.strip("/") else ""
             head = "^" + prefix + ("" if rooted else "(?:.*/)?")
             self.rules.append((keep, re.compile(head + body + ("/.*$" if only_dir else "(?:/.*)?$"))))
 
     @staticmethod
     def _part(text: str) -> str:
-        if text == "**/":
-            return "(?:.*/)?"
+        if text in ("**/", "/**/"):
+            return "(?:.*/)?" if text == "**/" else "/(?:.*/)?"
         if text in ("/**", "**"):
             return "/.*" if text == "/**" else ".*"
         out = fnmatch.translate(text)
@@ -79,7 +79,7 @@ def not_ignored(files: DataFrame, rules: IgnoreRules, path: str = "path") -> Dat
 def scan_workspace(spark: SparkSession, root: str, rules: IgnoreRules | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, size, modified, content, skipped) of the files below a folder; oversized ones have no content.
 
-    Paths are filtered before any content is read.
+    Paths are filtered before any content is read. Spark's file source leaves files of no bytes out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
