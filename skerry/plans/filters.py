@@ -96,7 +96,7 @@ _MODES = {
 }
 
 
-@query("F12_name_modes", q.with_(q.SYMBOLS) + " union all ".join(f"select '{m}' as mode, count(*) as symbols from s where {w}" for m, w in _MODES.items()))
+@query("F12_name_modes", q.with_(q.SYMBOLS) + " union all ".join(f"select '{m}' as mode, count(*) as symbols from s where {w} having count(*) > 0" for m, w in _MODES.items()))
 def _(ix):
     wanted = {"exact": "ScoreWideGraphOrder", "folded": "scoreWideGraphOrder", "prefix": "Score", "leaf": "ScoreWideGraphOrder", "substring": "Graph"}
     hits = F.array_compact(F.array(*(F.when(predicates.name_matches(F.col("name"), w, m), F.lit(m)) for m, w in wanted.items())))
