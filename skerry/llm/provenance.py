@@ -29,11 +29,13 @@ _GENERATED_NAME = (
     r"(?i)(^|/)("
     r"[^/]*(_pb2|_pb2_grpc)\.pyi?|[^/]*_pb\.(js|d\.ts)|[^/]*_grpc_web_pb\.js|[^/]*\.pb\.(go|cc|h|gw\.go|validate\.go)|[^/]*_grpc\.pb\.go"
     r"|zz_generated[._][^/]*|[^/]*[._-](generated|gen|autogen)\.[a-z]+|[^/]*\.g(\.i)?\.(cs|dart)|[^/]*\.designer\.(cs|vb)|[^/]*\.freezed\.dart"
-    r"|[^/]*(_string|_gen_test)\.go)$"
+    r")$"
 )
 #: Names whose letter case tells them from ordinary words.
 _GENERATED_CLASS = r"[a-z0-9A-Z](Grpc|OuterClass)\.java$"
-_BUNDLED_NAME = r"(?i)[^/]*([.-]min|\.bundle|[.-]bundle|\.packed|\.chunk)\.(m?js|css)$"
+_BUNDLED_NAME = r"(?i)[^/]*(\.min|\.bundle|\.packed)\.(m?js|css)$"
+#: Names that only count with a minified line in the text.
+_MAYBE_BUNDLED_NAME = r"(?i)[^/]*[.-](min|bundle|packed|chunk)\.(m?js|css)$"
 
 #: What tools and packages say of a file before its code.
 _GENERATED_BANNER = regex.compile(
@@ -226,7 +228,7 @@ def file_origins(files: DataFrame, chunks: DataFrame) -> DataFrame:
     origin = (
         F.when(path.rlike(_VENDORED_PATH) | (F.col("banner") == "vendored"), "vendored")
         .when(path.rlike(_GENERATED_PATH) | path.rlike(_GENERATED_NAME) | path.rlike(_GENERATED_CLASS) | (F.col("banner") == "generated"), "generated")
-        .when(path.rlike(_BUNDLED_NAME) & (F.coalesce(F.col("minified"), F.lit(0)) > 0) | (F.col("notes") > 0) & (F.col("minified") > 0), "minified")
+        .when(path.rlike(_MAYBE_BUNDLED_NAME) & (F.coalesce(F.col("minified"), F.lit(0)) > 0) | (F.col("notes") > 0) & (F.col("minified") > 0), "minified")
         .when((F.col("minified") >= MINIFIED_CHARS) & (F.col("minified") >= MINIFIED_SHARE * F.col("chars")), "minified")
         .when((F.col("data") >= DATA_CHARS) & (F.col("data") >= DATA_SHARE * F.col("chars")), "data")
         .when(path.rlike(_BUNDLED_NAME), "minified")
