@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import sys
 import warnings
 
 from skerry.llm.grammar.base import Invalid
@@ -30,16 +31,24 @@ def _json(text: str) -> None:
 PARSERS = {"python": _python, "json": _json, "javascript": parse_javascript, "java": parse_java, "csharp": parse_csharp, "go": parse_go}
 
 
+#: Frames that a parser may use; its rules are plain Python, which takes no room on the machine's stack.
+_FRAMES = 20_000
+
+
 def why_invalid(lang: str, text: str) -> str | None:
     """What is wrong with the syntax of ``text``, None if nothing.
 
     Nesting that exhausts the parser's stack counts as valid here; unbalanced nesting has then been
     found by the bracket summaries already.
     """
+    held = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(held, _FRAMES))
     try:
         PARSERS[lang](text)
     except (RecursionError, MemoryError):
         return None
     except (Invalid, SyntaxError, ValueError) as e:
         return str(e)[:200] or "invalid"
+    finally:
+        sys.setrecursionlimit(held)
     return None

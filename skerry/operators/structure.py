@@ -84,7 +84,7 @@ def ranked_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame, l
     return scored.orderBy(F.desc("score"), "src", "dst").limit(limit)
 
 
-def cycles(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def cycles(edges: DataFrame, most_rounds: int = 2000) -> DataFrame:
     """(node, component) of the nodes that lie on cycles of ``edges`` (src, dst): strongly connected components.
 
     Nodes without a way in or out are peeled off until none is left. Then, round by round, each node
