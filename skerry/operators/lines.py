@@ -74,6 +74,12 @@ def excerpts(lines: DataFrame, ranges: DataFrame, before: int = 0, after: int =
     return found.select("file_id", "start_line", "end_line", F.array_join(F.transform("rows", lambda r: r["t"]), "\n").alias("excerpt"))
 
 
+def file_texts(lines: DataFrame, most_lines: int) -> DataFrame:
+    """(file_id, text) of every file, up to line ``most_lines``."""
+    rows = lines.where(F.col("line") <= most_lines).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line", F.col("text").alias("t")))).alias("rows"))
+    return rows.select("file_id", F.array_join(F.transform("rows", lambda r: r["t"]), "\n").alias("text"))
+
+
 def clamp_line(text: Column, width: int, column: Column, length: Column) -> Column:
     """At most ``width`` characters around a match."""
     start = F.greatest(F.lit(1), F.least(column - F.floor((F.lit(width) - length) / 2).cast("int"), F.length(text) - width + 1))

@@ -198,6 +198,11 @@ def _(ix):
     return ln.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", F.col("text").alias("t")))), lambda r: r["t"]), "\n").alias("text"))
 
 
+@query("L09_file_read_all")
+def _(ix):
+    return lines.file_texts(lines.file_lines(ix.chunks), 10000)
+
+
 @query("X20_clamp", _LN + "select path, line, case when length(text) <= 40 then text else substr(text, greatest(1, least(spot - cast(floor((40 - 5) / 2.0) as int), length(text) - 39)), 40) end as shown from (select *, instr(lower(text), 'graph') as spot from ln where contains(lower(text), 'graph')) join f using (file_id)")
 def _(ix):
     ln = lines.file_lines(ix.chunks).where(F.contains(F.lower("text"), F.lit("graph"))).withColumn("at", F.instr(F.lower("text"), "graph"))

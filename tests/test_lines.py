@@ -46,3 +46,17 @@ def test_names(spark):
     assert [(r.a, r.b, r.c) for r in df.select(names.normalized_name(F.col("n")).alias("a"), names.leaf_name(F.col("n")).alias("b"), names.segment_count(F.col("n")).alias("c")).collect()] == [("dbo.My Table", "My Table", 2), ("a.b", "b", 2), ("x.y.z", "z", 3), ("q", "q", 1)]
     df = spark.createDataFrame([("f(a, g(b, c), [d, e])",), ("f()",), ("f",), ("f('a, b', 2)",)], "t string")
     assert [r.n for r in df.select(names.argument_count(F.col("t")).alias("n")).collect()] == [3, 0, None, 2]
+
+
+def test_every_file_is_read(spark):
+    texts = {f: f"first {f}\nlast" for f in (1, 200, 201, 5000)} | {7: "\n".join(map(str, range(300)))}
+    got = {r.file_id: r.text for r in lines.file_texts(lines.file_lines(_chunks(spark, texts)), 200).collect()}
+    assert got == texts | {7: "\n".join(map(str, range(200)))}
+
+
+def test_read_query_keeps_no_files_back(spark, tmp_path):
+    from skerry.plans import registry
+
+    texts = {1: "a", 201: "b\nc", 5000: "d"}
+    _chunks(spark, texts).selectExpr("cast(chunk_id as bigint) chunk_id", "cast(file_id as bigint) file_id", "chunk_index", "start_line", "end_line", "content").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert {r.file_id: r.text for r in registry.QUERIES["L09_file_read_all"](spark, str(tmp_path)).collect()} == texts
