@@ -218,6 +218,11 @@ def _(ix):
     return ix.refs.where("file_id <= 100 and line = 29 and 15 between column_number and column_number + span_length - 1").select("ref_id", "symbol_name")
 
 
+@query("G20_positions_all", q.with_(q.REFS) + "select ref_id, symbol_name from r where line = 29 and 15 between column_number and column_number + span_length - 1")
+def _(ix):
+    return ix.refs.where("line = 29 and 15 between column_number and column_number + span_length - 1").select("ref_id", "symbol_name")
+
+
 @query("G21_sources", q.with_(*_ALL) + """select ref_id, arg_min(symbol_id, cast(end_line - start_line as hugeint) * 1000000000000 + symbol_id) as source_symbol_id from (select distinct r.ref_id, s.symbol_id, s.start_line, s.end_line from r join s on s.file_id = r.file_id and s.name = r.container_name and r.line between s.start_line and s.end_line) group by ref_id""")
 def _(ix):
     return graph.source_symbols(ix.raw_refs, ix.symbols)

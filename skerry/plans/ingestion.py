@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import names
 from skerry.operators import edges, graph, lines
+from skerry.operators.incremental import new_or_changed
 from skerry.plans import sqltext as q
 from skerry.runtime import table
 from skerry.schema import Index
@@ -212,6 +213,12 @@ def _(ix):
     return watch.dirty_scope(ix.raw_refs, ix.symbols, changed)
 
 
+@query("W05_changed_scope")
+def _(ix):
+    paths = new_or_changed(*(table(ix.spark, ix.root, t) for t in ("files", "file_scan", "index_runs")))
+    return watch.dirty_scope(ix.raw_refs, ix.symbols, ix.files.join(paths, "path", "left_semi"))
+
+
 @query("G17_budget")
 def _(ix):
     rows, why = graph.impact(ix.raw_refs, ix.files, "Get", "python", 5, max_rows=50)

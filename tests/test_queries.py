@@ -23,3 +23,24 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_positions_of_all_files(spark, tmp_path):
+    from skerry import schema
+
+    refs = spark.createDataFrame([(i, f, "n", 29, 10, 6) for i, f in ((1, 5), (2, 100), (3, 101), (4, 9000))], "ref_id bigint, file_id bigint, symbol_name string, line int, column_number int, span_length int")
+    for part in schema.REFS.split(", "):
+        name, kind = part.split()
+        if name not in refs.columns:
+            refs = refs.selectExpr("*", f"cast(null as {kind}) as {name}")
+    refs.write.parquet(str(tmp_path / "refs.parquet"))
+    assert {r.ref_id for r in registry.QUERIES["G20_positions_all"](spark, str(tmp_path)).collect()} == {1, 2, 3, 4}
+
+
+def test_dirty_scope_of_the_real_change_set(spark, duck):
+    from skerry.plans import sqltext as q
+
+    changed = f"changed as (select file_id from f where path in (select path from ({registry.SQL['p2_found']})))"
+    sql = q.with_(q.FILES, q.SYMBOLS, q.REFS, changed) + """, n as (select distinct name_folded from s where file_id in (select file_id from changed))
+      select distinct file_id from (select file_id from r where symbol_name_folded in (select name_folded from n) union all select file_id from changed)"""
+    assert compare(registry.QUERIES["W05_changed_scope"](spark, str(DATA)), duck, sql) > 0
