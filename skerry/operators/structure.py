@@ -84,6 +84,71 @@ def ranked_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame, l
     return scored.orderBy(F.desc("score"), "src", "dst").limit(limit)
 
 
+def _all_definitions(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(dst, lang, name_folded): each file that defines a name, however many define it."""
+    return symbols.where("name_folded is not null").join(files.select("file_id", "lang"), "file_id").where("lang is not null").select(F.col("file_id").alias("dst"), "lang", "name_folded").distinct()
+
+
+def dependencies_by_name(refs: DataFrame, symbols: DataFrame, files: DataFrame, prefix: str) -> DataFrame:
+    """(src, dst, n) of all edges by names that begin with ``prefix``; the pairs are the result, so all are written out."""
+    uses = name_uses(refs, files).where(F.col("name_folded").startswith(prefix))
+    defs = _all_definitions(symbols, files).where(F.col("name_folded").startswith(prefix))
+    return uses.join(defs, ["lang", "name_folded"]).where("src <> dst").groupBy("src", "dst").agg(F.sum("sites").alias("n"))
+
+
+def _name_sets(symbols: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dst, set_id) of each file that defines ambiguous names, and (set_id, lang, name_folded) of each different set of them."""
+    hot = _all_definitions(symbols, files).join(ambiguous_targets(symbols, files).select("lang", "name_folded"), ["lang", "name_folded"], "left_semi")
+    by_file = hot.groupBy("dst", "lang").agg(F.sort_array(F.collect_set("name_folded")).alias("names"))
+    by_file = cut_lineage(by_file.withColumn("set_id", F.sha2(F.to_json(F.struct("lang", "names")), 256)))
+    sets = by_file.select("set_id", "lang", "names").distinct().select("set_id", "lang", F.explode("names").alias("name_folded"))
+    return by_file.select("dst", "set_id"), sets
+
+
+def dependent_counts(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(dst, dependents): how many other files use a name that a file defines, ambiguous names included.
+
+    Files that define the same set of ambiguous names share its users, which are found once for each
+    set; only pairs by other names are written out, and those that a set has already are left out.
+    """
+    uses = cut_lineage(name_uses(refs, files).select("src", "lang", "name_folded"))
+    member, sets = _name_sets(symbols, files)
+    shared = cut_lineage(uses.join(sets, ["lang", "name_folded"]).select("set_id", "src").distinct())
+    few = uses.join(targets(symbols, files), ["lang", "name_folded"]).where("src <> dst").select("src", "dst").distinct()
+    few = few.join(member, "dst", "left").join(shared, ["set_id", "src"], "left_anti").groupBy("dst").agg(F.count("*").alias("n"))
+    users = member.join(shared.groupBy("set_id").agg(F.count("*").alias("n")), "set_id").select("dst", "n")
+    itself = member.withColumn("src", F.col("dst")).join(shared, ["set_id", "src"], "left_semi").select("dst", F.lit(-1).cast("bigint").alias("n"))
+    return few.unionByName(users).unionByName(itself).groupBy("dst").agg(F.sum("n").alias("dependents")).where("dependents > 0")
+
+
+def ranked_all_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame, limit: int) -> DataFrame:
+    """The edges of ``ranked_dependencies`` with ambiguous names in their scores.
+
+    What ambiguous names give an edge depends on the user and the name set of the defining file, so it
+    is summed by these. Edges that have other names too are scored one by one; of the rest, which
+    score alike within a user and a set, only those of the best ``limit`` users and sets are written out.
+    """
+    uses = cut_lineage(name_uses(refs, files).withColumn("tenths", F.when(is_noise(F.col("symbol")), 1).otherwise(10).cast("bigint")))
+    total = (F.sum("sites").alias("sites"), F.sum("tenths").alias("tenths"), F.count("*").alias("n"))
+    member, sets = _name_sets(symbols, files)
+    shared = cut_lineage(uses.join(sets, ["lang", "name_folded"]).groupBy("src", "set_id").agg(*total))
+    few = cut_lineage(uses.join(targets(symbols, files), ["lang", "name_folded"]).where("src <> dst").groupBy("src", "dst").agg(*total).join(member, "dst", "left"))
+    more = shared.select("src", "set_id", F.col("sites").alias("sites_"), F.col("tenths").alias("tenths_"), F.col("n").alias("n_"))
+    both = few.join(more, ["src", "set_id"], "left").select("src", "dst", *((F.col(c) + F.coalesce(f"{c}_", F.lit(0))).alias(c) for c in ("sites", "tenths", "n")))
+    # pairs of a user and a set that are edges by ambiguous names alone
+    size = member.groupBy("set_id").agg(F.count("*").alias("size"))
+    taken = few.where("set_id is not null").select("src", "dst", "set_id").unionByName(member.select(F.col("dst").alias("src"), "dst", "set_id"))
+    left = shared.join(size, "set_id").join(taken.groupBy("src", "set_id").agg(F.count("*").alias("gone")), ["src", "set_id"], "left").where("size > coalesce(gone, 0)")
+    score = F.round(F.col("sites") * F.col("tenths") / (F.col("n") * 10), 4)
+    bound = left.select(score.alias("score")).orderBy(F.desc("score")).limit(limit).agg(F.min("score").alias("bound"))
+    best = left.withColumn("score", score).join(F.broadcast(bound), F.col("score") >= F.col("bound"))
+    first = best.orderBy(F.desc("score"), "src").limit(limit).agg(F.min(F.struct("score", (-F.col("src")).alias("back"))).alias("last"))
+    best = best.join(F.broadcast(first), F.struct("score", (-F.col("src")).alias("back")) >= F.col("last"))
+    alone = best.select("src", "set_id", "sites", "score").join(member, "set_id").join(taken.select("src", "dst"), ["src", "dst"], "left_anti")
+    scored = both.select("src", "dst", F.col("sites").alias("reference_count"), score.alias("score")).unionByName(alone.select("src", "dst", F.col("sites").alias("reference_count"), "score"))
+    return scored.orderBy(F.desc("score"), "src", "dst").limit(limit)
+
+
 def cycles(edges: DataFrame, most_rounds: int = 2000) -> DataFrame:
     """(node, component) of the nodes that lie on cycles of ``edges`` (src, dst): strongly connected components.
 

@@ -300,6 +300,21 @@ def _(ix):
     return structure.ranked_dependencies(ix.raw_refs, ix.symbols, ix.files, 200)
 
 
+@query("A08_dependents_all")
+def _(ix):
+    return structure.dependent_counts(ix.raw_refs, ix.symbols, ix.files)
+
+
+@query("A09_by_symbol_all")
+def _(ix):
+    return structure.dependencies_by_name(ix.raw_refs, ix.symbols, ix.files, "score")
+
+
+@query("A10_ranked_all")
+def _(ix):
+    return structure.ranked_all_dependencies(ix.raw_refs, ix.symbols, ix.files, 200)
+
+
 def _file_edges(ix):
     return structure.dependency_evidence(ix.refs_of("file_id", "target_symbol_id", "reference_kind", "resolution_state"), ix.symbols, ix.files).select("src", "dst").distinct()
 

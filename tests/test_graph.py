@@ -92,3 +92,31 @@ def test_exports(spark):
     rows = spark.createDataFrame([("p", 3, 5, 2, "t")], "path string, line int, column int, length int, text string")
     assert '"line":2' in sinks.lsp_locations(rows).first().value and '"startLine":3' in sinks.sarif_results(rows, "r").first().value
     assert sinks.quickfix(rows).first().value == "p:3:5:t"
+
+
+def test_dependencies_by_ambiguous_names(spark, monkeypatch):
+    monkeypatch.setattr(structure, "MOST_TARGETS", 2)
+    rng = random.Random(5)
+    langs = {f: rng.choice(["go", "go", "java"]) for f in range(1, 25)}
+    names = ["score", "scored", "run", "get", "a", "b", "c", "d"]
+    defs = [(f, rng.choice(names[:5] if f % 3 else names)) for f in langs for _ in range(2)]
+    uses = [(f, rng.choice(names), line) for f in langs for line in range(rng.randrange(6))]
+    files = spark.createDataFrame([(f, f"p{f}", l) for f, l in langs.items()], "file_id bigint, path string, lang string")
+    syms = spark.createDataFrame([(i, f, n, n, None) for i, (f, n) in enumerate(defs)], "symbol_id bigint, file_id bigint, name string, name_folded string, family_key string")
+    refs = spark.createDataFrame([(i, f, n, "call", line, 1, n) for i, (f, n, line) in enumerate(uses)], "ref_id bigint, file_id bigint, symbol_name string, reference_kind string, line int, column_number int, symbol_name_folded string")
+    pairs: dict = {}
+    for f, n, _ in uses:
+        for g in {g for g, m in defs if m == n and langs[g] == langs[f] and g != f}:
+            pairs.setdefault((f, g), {}).setdefault(n, 0)
+            pairs[(f, g)][n] += 1
+    dependents: dict = {}
+    for _, g in pairs:
+        dependents[g] = dependents.get(g, 0) + 1
+    assert {r.dst: r.dependents for r in structure.dependent_counts(refs, syms, files).collect()} == dependents
+    score = {k: v for k, v in ((k, sum(c for n, c in by.items() if n.startswith("score"))) for k, by in pairs.items()) if v}
+    assert {(r.src, r.dst): r.n for r in structure.dependencies_by_name(refs, syms, files, "score").collect()} == score
+    noise = structure.is_noise.__globals__["NOISE_NAMES"]
+    ranked = sorted((-round(sum(by.values()) * sum(1 if n in noise else 10 for n in by) / (len(by) * 10), 4), f, g) for (f, g), by in pairs.items())
+    for limit in (5, 40, 10_000):
+        got = [(-r.score, r.src, r.dst) for r in structure.ranked_all_dependencies(refs, syms, files, limit).collect()]
+        assert got == ranked[:limit]
