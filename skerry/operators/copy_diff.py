@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from skerry.runtime import shuffle_partitions
 
 _OUT = "area string, row_key string, diff string"
-#: Rows of one key beyond this are folded into extremes instead of being held.
+#: Rows of one key beyond this are folded into the values that decide instead of being held.
 _HELD_ROWS = 20_000
 
 
@@ -33,12 +33,15 @@ def _changes(left: pa.Array, right: pa.Array) -> np.ndarray:
     return ~(same | both_null)
 
 
-class _Extremes:
-    """What is kept of one key with many differing rows: of each side and column least, greatest and whether null occurs."""
+class _Values:
+    """What is kept of one key with many rows: of each side and column up to two different values, null being one.
+
+    Two rows of the two sides differ in a column unless both sides have one and the same value there.
+    """
 
     def __init__(self, columns: Sequence[str]) -> None:
         self.columns = columns
-        self.sides: dict[int, dict[str, tuple]] = {}
+        self.sides: dict[int, dict[str, pa.Array]] = {}
 
     def add(self, rows: pa.Table) -> None:
         for side in (0, 1):
@@ -47,18 +50,14 @@ class _Extremes:
                 continue
             kept = self.sides.setdefault(side, {})
             for c in self.columns:
-                low, high = (x.as_py() for x in pc.min_max(part[c]).values())
-                null = part[c].null_count > 0
-                if c in kept:
-                    low = min((x for x in (low, kept[c][0]) if x is not None), default=None)
-                    high = max((x for x in (high, kept[c][1]) if x is not None), default=None)
-                    null |= kept[c][2]
-                kept[c] = (low, high, null)
+                values = part[c].combine_chunks()
+                kept[c] = (pa.concat_arrays([kept[c], values]) if c in kept else values).unique().slice(0, 2)
 
     def differences(self) -> list[str]:
         if len(self.sides) == 1:
             return ["only_right" if 1 in self.sides else "only_left"]
-        return [c for c in self.columns if self.sides[0][c] != self.sides[1][c]]
+        left, right = self.sides[0], self.sides[1]
+        return [c for c in self.columns if len(left[c]) > 1 or len(right[c]) > 1 or _changes(left[c], right[c])[0]]
 
 
 def _merge(area: str, columns: Sequence[str]):
@@ -88,7 +87,7 @@ def _merge(area: str, columns: Sequence[str]):
                 keys += text.take(pa.array(hit)).to_pylist()
                 diffs += [c] * len(hit)
         for k in np.flatnonzero(~single & ~pair):
-            acc = _Extremes(columns)
+            acc = _Values(columns)
             acc.add(rows.slice(starts[k], ends[k] - starts[k]))
             found = acc.differences()
             keys += [text[int(starts[k])].as_py()] * len(found)
@@ -102,7 +101,7 @@ def _merge(area: str, columns: Sequence[str]):
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        hot: _Extremes | None = None
+        hot: _Values | None = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -119,7 +118,7 @@ def _merge(area: str, columns: Sequence[str]):
                 yield closed(rows.slice(0, last))
             held = rows.slice(last).combine_chunks()
             if held.num_rows > _HELD_ROWS:
-                hot = hot or _Extremes(columns)
+                hot = hot or _Values(columns)
                 hot.add(held)
                 held = held.slice(held.num_rows - 1)  # stays as a mark of the key; adding it twice changes nothing
         if held is not None and held.num_rows:
@@ -139,8 +138,8 @@ def diff_copies(left: DataFrame, right: DataFrame, key: str, columns: Sequence[s
     ``diff`` is ``only_left``, ``only_right`` or a column name, one row for each. Null equals null
     only; null and empty text differ; text is compared byte by byte. Copies of a row and the order
     of rows don't count. A null key is compared like any other key and comes out as a null
-    ``row_key``. Where one side has several different rows of one key, a column differs if its least
-    or greatest value or the presence of null differs. Empty tables give one-sided rows or none.
+    ``row_key``. Where a key has several different rows, each row of one side is compared with each of
+    the other, and a column differs if it does in any pair. Empty tables give one-sided rows or none.
     Columns other than the named ones are never read.
     """
     spark = left.sparkSession

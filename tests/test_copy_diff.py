@@ -48,3 +48,19 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in cd.diff_copies(a, a.limit(0), "k", ["x"], "t").collect()] == [("t", "1", "only_left")]
     assert cd.diff_copies(a.limit(0), a.limit(0), "k", ["x"], "t").count() == 0
     assert cd.diff_copies(a, a, "k", ["x"], "t").count() == 0
+
+
+def test_several_rows_of_a_key(spark, monkeypatch):
+    rng = random.Random(4)
+    pick = lambda k: {(k, rng.choice([None, "a", "b", "c"][: 1 + k % 4 if k else 4]), rng.choice([None, 1.0, float("nan")])) for _ in range(rng.randrange(1, 5))}
+    keys = [None, *range(60)]
+    left = [(1000, "a", 0.0), (1000, "c", 0.0)] + [r for k in keys for r in pick(k)]
+    right = [(1000, "a", 0.0), (1000, "b", 0.0), (1000, "c", 0.0)] + [r for k in keys for r in pick(k)]
+    same = lambda p, q: p == q or (p != p and q != q)
+    want = {(None if k is None else str(k), c) for k in [*keys, 1000] for i, c in ((1, "x"), (2, "y")) if any(not same(p[i], q[i]) for p in left if p[0] == k for q in right if q[0] == k)}
+    assert ("1000", "x") in want and ("1000", "y") not in want
+    schema = "k bigint, x string, y double"
+    for held in (20_000, 1):
+        monkeypatch.setattr(cd, "_HELD_ROWS", held)
+        got = [(r.row_key, r.diff) for r in cd.diff_copies(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", ["x", "y"], "t").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
