@@ -2,10 +2,10 @@
 
 A file is cut into blocks of lines and each block is scanned where its chunks lie, into a
 lexer-state map with a bracket summary; maps of a file are composed in order. Where the
-composed map is unbalanced the file is broken; else its statements are read by the local
-grammar of its language. Nearly every file is one block, so this takes one exchange of
-text by file; a huge file is spread over as many tasks as it has blocks, none of which
-holds more than one block of it.
+composed map of an exact scanner is unbalanced the file is broken; else its text is read by
+the local grammar of its language. Nearly every file is one block, so this takes one exchange
+of text by file. The blocks of a huge file are scanned in as many tasks; its text is then put
+together in one task, for the verdict is the grammar's whatever the size of a file.
 """
 
 from __future__ import annotations
@@ -69,12 +69,15 @@ class _Lines:
     def __init__(self) -> None:
         self.lines: dict[int, str] = {}
         self.chunks = 0
+        self.more = False  # whether the file goes on in another block
 
     def add(self, start: int, content: str | None, lo: int, hi: int) -> None:
         self.chunks += 1
+        k = start
         for k, line in enumerate((content or "").split("\n"), start):
             if lo <= k < hi:
                 self.lines.setdefault(k, line)
+        self.more |= k >= hi
 
     def numbers(self) -> list[int]:
         return sorted(self.lines)
@@ -96,15 +99,11 @@ def _unpacked(text: str) -> dict[str, StateMap]:
     return {lang: {s: Effect(*e) for s, e in m.items()} for lang, m in json.loads(text).items()}
 
 
-def judge(lang: str, lines: list[str], block_lines: int = BLOCK_LINES) -> tuple[str | None, StateMap]:
-    """What is wrong with a file of one block, and the map of the block.
-
-    The map decides where the scanner is exact; else it is only made if the file may go on in another block.
-    """
-    maps = _block_map(lang, lines, True) if lang in EXACT or len(lines) > block_lines // 2 else {}
-    if lang in EXACT and not balanced(maps[CODE]):
-        return "unbalanced", maps
-    return why_invalid(lang, "\n".join(lines)), maps
+def judge(lang: str, lines: list[str]) -> str | None:
+    """What is wrong with a file of one block. The map decides where the scanner is exact."""
+    if lang in EXACT and not balanced(_block_map(lang, lines, True)[CODE]):
+        return "unbalanced"
+    return why_invalid(lang, "\n".join(lines))
 
 
 def _judge_blocks(block_lines: int):
@@ -118,19 +117,20 @@ def _judge_blocks(block_lines: int):
                 return
             lines = [block.lines[k] for k in block.numbers()]
             if key[1] == 0 and lang not in PARSERS:
-                out.append((*key, lang, repo, block.chunks, None, None))
+                out.append((*key, lang, repo, block.chunks, None, None, None))
+            elif key[1] == 0 and block.more:
+                maps = {lang: _block_map(lang, lines, True)} if lang in EXACT else {}
+                out.append((*key, lang, repo, block.chunks, None, _packed(maps), "\n".join(lines) if lines else None))
             elif key[1] == 0:
-                why, maps = judge(lang, lines, block_lines) if block.chunks else (None, {})
-                # the map is only needed if it turns out that the file has more blocks
-                crowded = len(lines) > block_lines // 2
-                out.append((*key, lang, repo, block.chunks, why, _packed({lang: maps}) if crowded and maps else None))
+                out.append((*key, lang, repo, block.chunks, judge(lang, lines) if block.chunks else None, None, None))
             else:
-                out.append((*key, None, None, block.chunks, None, _packed({x: _block_map(x, lines, False) for x in PARSERS})))
+                maps = {x: _block_map(x, lines, False) for x in sorted(EXACT)}
+                out.append((*key, None, None, block.chunks, None, _packed(maps), "\n".join(lines) if lines else None))
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [[]] * 7
-            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "block", "lang", "repo", "chunks", "why", "map"])
+            cols = list(zip(*out)) or [[]] * 8
+            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "block", "lang", "repo", "chunks", "why", "map", "text"])
             out.clear()
             return batch
 
@@ -151,18 +151,18 @@ def _judge_blocks(block_lines: int):
     return run
 
 
-def _whole_file(packed: list[str | None], lang: str | None, why: str | None) -> str | None:
-    """The verdict on a file of several blocks, from the maps in order."""
+def _whole_file(blocks: list, lang: str | None) -> str | None:
+    """The verdict on a file of several blocks, from their maps and texts in order."""
     if lang not in PARSERS:
         return None
-    whole: StateMap | None = None
-    for text in packed:
-        if text is not None:
-            m = _unpacked(text)[lang]
+    if lang in EXACT:
+        whole: StateMap | None = None
+        for b in blocks:
+            m = _unpacked(b.map).get(lang)
             whole = m if whole is None else compose(whole, m)
-    if whole is None:
-        return why
-    return None if balanced(whole[CODE]) else "unbalanced"
+        if not balanced(whole[CODE]):
+            return "unbalanced"
+    return why_invalid(lang, "\n".join(b.text for b in blocks if b.text is not None))
 
 
 def syntax_verdicts(files: DataFrame, chunks: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -171,30 +171,31 @@ def syntax_verdicts(files: DataFrame, chunks: DataFrame, block_lines: int = BLOC
     Known are python, javascript, java, csharp, go and json, in any letter case. The text of a file
     is the lines of its chunks by number, a line that several chunks hold being taken once; null
     contents are empty. An empty text is valid except as go and json. Files without a chunk, chunks
-    without a file and null ids give no row; copies of rows don't count. Only syntax counts. A file of
-    over ``block_lines`` lines is judged by its composed lexer-state map alone, and nesting too deep
-    for a parser counts as valid if balanced.
+    without a file and null ids give no row; copies of rows don't count. Only syntax counts, and the
+    verdict doesn't depend on ``block_lines``. Python that is nested too deep for the interpreter's own
+    parser counts as valid.
     """
     spark = files.sparkSession
     rows = chunk_rows(chunks)
     last = F.col("start_line") + F.length("content") - F.length(F.translate("content", "\n", ""))
-    blocks = rows.select(
-        "file_id",
-        F.explode(F.sequence(F.greatest(F.floor(F.col("start_line") / block_lines), F.lit(0)).cast("int"), F.greatest(F.floor(F.coalesce(last, F.col("start_line")) / block_lines), F.lit(0)).cast("int"))).alias("block"),
-        "start_line", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("repo"), "content",
-    )
+    block_of = lambda at: F.greatest(F.floor(at / block_lines), F.lit(0)).cast("int")
+    spans = F.sequence(block_of(F.col("start_line")), block_of(F.coalesce(last, F.col("start_line"))))
+    # the first block of a file also learns of chunks beyond it, without their text
+    blocks = rows.withColumn("first", block_of(F.col("start_line"))).select(
+        "file_id", F.explode(F.array_union(F.array(F.lit(0)), spans)).alias("block"), "first", "start_line", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("repo"), "content",
+    ).withColumn("content", F.when(F.col("block") >= F.col("first"), F.col("content"))).drop("first")
     heads = file_languages(files).select(
         "file_id", F.lit(0).alias("block"), F.lit(None).cast("int").alias("start_line"), "lang", "repo", F.lit(None).cast("string").alias("content")
     )
     grouped = heads.unionByName(blocks).repartition(shuffle_partitions(spark), "file_id", "block").sortWithinPartitions("file_id", "block", F.col("start_line").asc_nulls_first())
-    judged = grouped.mapInArrow(_judge_blocks(block_lines), "file_id bigint, block int, lang string, repo string, chunks bigint, why string, map string")
+    judged = grouped.mapInArrow(_judge_blocks(block_lines), "file_id bigint, block int, lang string, repo string, chunks bigint, why string, map string, text string")
     by_file = judged.groupBy("file_id").agg(
         F.max("lang").alias("lang"), F.max("repo").alias("repo"), F.sum("chunks").alias("chunks"), F.max("why").alias("why"), F.max("block").alias("last"),
-        F.sort_array(F.collect_list(F.when(F.col("map").isNotNull(), F.struct("block", "map")))).alias("maps"),
+        F.sort_array(F.collect_list(F.when(F.col("map").isNotNull(), F.struct("block", "map", "text")))).alias("blocks"),
     ).where(F.col("lang").isin(list(LANGUAGES)) & (F.col("chunks") > 0))
-    # one pass over the verdicts; the maps are null but for files of several blocks
-    whole = F.udf(lambda maps, lang, why: _whole_file([m.map for m in maps], lang, why), "string")
-    why = F.when(F.col("last") > 0, whole("maps", "lang", "why")).otherwise(F.col("why"))
+    # one pass over the verdicts; there are blocks only of files that have several
+    whole = F.udf(lambda blocks, lang, why: _whole_file(blocks, lang) if blocks else why, "string")
+    why = F.when(F.col("last") > 0, whole("blocks", "lang", "why")).otherwise(F.col("why"))
     return by_file.select("file_id", "lang", "repo", why.alias("why")).select("file_id", "lang", "repo", F.col("why").isNull().alias("valid"), "why")
 
 

@@ -116,3 +116,28 @@ def test_a_file_of_many_blocks(spark):
     chunks = spark.createDataFrame(rows, "chunk_id bigint, file_id bigint, chunk_index int, start_line int, end_line int, content string")
     got = {r.file_id: r.valid for r in sx.syntax_verdicts(files, chunks, block_lines=50).collect()}
     assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: True}
+
+
+def test_verdict_does_not_depend_on_size(spark):
+    rows = ",\n".join(f'{{"k{i}": [{i}]}}' for i in range(300))
+    py = "\n".join(f"def f{i}():\n    return {i}" for i in range(150))
+    js = "\n".join(f"function f{i}() {{ return {i}; }}" for i in range(300))
+    texts = {
+        1: ("json", f"[{rows}]"), 2: ("json", f"[{rows}]".replace('},\n{"k250"', '}\n{"k250"')), 3: ("python", py), 4: ("python", py.replace("    return 140", "  x = 1\n    return 140")),
+        5: ("javascript", js + "\nvar r = 1 / 2; // (\nvar q = /[)]/;"), 6: ("javascript", js.replace("return 290;", "return return;")), 7: ("java", "class A {\n" + "int a;\n" * 300 + "}"), 8: ("java", "class A {\n" + "int a;\n" * 300 + "int int;\n}"),
+    }
+    files = spark.createDataFrame([(f, "r/f", lang) for f, (lang, _) in texts.items()] + [(9, "r/g", "json")], "file_id bigint, path string, lang string")
+    chunk_rows = [c for f, (_, t) in texts.items() for c in chunks_of(f, t, 1000 * f)] + [(9000, 9, 0, 120, None, "[1]"), (9001, 9, 0, 10, None, "")]
+    chunks = spark.createDataFrame(chunk_rows, "chunk_id bigint, file_id bigint, chunk_index int, start_line int, end_line int, content string")
+    small, whole = ({r.file_id: r.valid for r in sx.syntax_verdicts(files, chunks, block_lines=n).collect()} for n in (50, 10_000))
+    assert small == whole == {f: f % 2 == 1 for f in range(1, 10)}
+
+
+def test_deep_nesting():
+    deep = 30_000
+    assert why_invalid("json", "[" * deep + "]" * deep) is None
+    assert why_invalid("json", '{"a": ' * deep + "1" + "}" * deep) is None
+    for text in ("[" * deep + "1 2" + "]" * deep, "[" * deep + "1," + "]" * deep, "[" * deep + "]" * (deep - 1) + "}", "[" * deep + "NaN" + "]" * deep, "[" * deep + "]" * deep + "]"):
+        assert why_invalid("json", text) is not None
+    assert why_invalid("java", "class A { int a = " + "(" * deep + "1" + ")" * deep + "; }") is None
+    assert why_invalid("java", "class A { int a = " + "(" * deep + "1 2" + ")" * deep + "; }") is not None
