@@ -191,9 +191,14 @@ def _(ix):
     return graph.impact(ix.raw_refs, ix.files, "Get", "python", 3)[0]
 
 
+@query("G14_impact_all")
+def _(ix):
+    return graph.impact(ix.raw_refs, ix.files, "Get", "python", 5)[0]
+
+
 @query("G15_paths")
 def _(ix):
-    return graph.impact_paths(ix.raw_refs, ix.files, "Get", "python", 2)
+    return graph.impact_paths(ix.raw_refs, ix.files, "Get", "python", 5)
 
 
 @query("G16_two_cycles", q.with_(q.FILES, q.REFS, _EDGES) + "select a.lang, a.caller as a, a.callee as b from ed a join ed b on a.lang = b.lang and a.caller = b.callee and a.callee = b.caller where a.caller < a.callee")

@@ -221,7 +221,7 @@ def _(ix):
 
 @query("G17_budget")
 def _(ix):
-    rows, why = graph.impact(ix.raw_refs, ix.files, "Get", "python", 5, max_rows=50)
+    rows, why = graph.impact(ix.raw_refs, ix.files, "Get", "python", 5, max_rows=10_000)
     return rows.groupBy("depth").agg(F.count("*").alias("callers")).withColumn("ended", F.lit(why))
 
 

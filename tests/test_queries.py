@@ -1,6 +1,7 @@
 import pytest
 from conftest import DATA, compare
 
+from skerry import schema
 from skerry.plans import registry
 
 
@@ -25,18 +26,30 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_positions_of_all_files(spark, tmp_path):
-    from skerry import schema
+def save(root, name, ddl, df):
+    """A table of a data folder; columns that ``df`` lacks are null."""
+    kinds = [part.split() for part in ddl.split(", ")]
+    df.selectExpr(*(f"cast({c if c in df.columns else 'null'} as {kind}) as {c}" for c, kind in kinds)).write.parquet(str(root / f"{name}.parquet"))
+
 
+def test_positions_of_all_files(spark, tmp_path):
     refs = spark.createDataFrame([(i, f, "n", 29, 10, 6) for i, f in ((1, 5), (2, 100), (3, 101), (4, 9000))], "ref_id bigint, file_id bigint, symbol_name string, line int, column_number int, span_length int")
-    for part in schema.REFS.split(", "):
-        name, kind = part.split()
-        if name not in refs.columns:
-            refs = refs.selectExpr("*", f"cast(null as {kind}) as {name}")
-    refs.write.parquet(str(tmp_path / "refs.parquet"))
+    save(tmp_path, "refs", schema.REFS, refs)
     assert {r.ref_id for r in registry.QUERIES["G20_positions_all"](spark, str(tmp_path)).collect()} == {1, 2, 3, 4}
 
 
+def test_walks_go_to_the_default_depth(spark, tmp_path):
+    calls = [(f"c{k}", f"c{k - 1}" if k > 1 else "get") for k in range(1, 8)] + [(f"d{k}", "get") for k in range(60)]
+    refs = spark.createDataFrame([(i, 1, b, "call", i, 1, a, b, a) for i, (a, b) in enumerate(calls)], "ref_id int, file_id int, symbol_name string, reference_kind string, line int, column_number int, container_name string, symbol_name_folded string, container_name_folded string")
+    save(tmp_path, "refs", schema.REFS, refs)
+    save(tmp_path, "files", schema.FILES, spark.createDataFrame([(1, "a.py", "python")], "file_id int, path string, lang string"))
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    want = {(f"c{k}", k) for k in range(1, 6)} | {(f"d{k}", 1) for k in range(60)}
+    assert {(r.caller, r.depth) for r in run("G14_impact_all")} == want
+    assert {(r.caller, r.depth) for r in run("G15_paths")} == want
+    assert {(r.depth, r.callers, r.ended) for r in run("G17_budget")} == {(1, 61, "depth")} | {(k, 1, "depth") for k in range(2, 6)}
+
+
 def test_dirty_scope_of_the_real_change_set(spark, duck):
     from skerry.plans import sqltext as q
 
