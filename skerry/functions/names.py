@@ -71,9 +71,19 @@ def argument_count(text: Column) -> Column:
 
 
 def type_arity(signature: Column) -> Column:
-    """Type parameters right after the first name of a declaration."""
-    inner = F.regexp_extract(signature, r"\b(?:class|struct|interface|record)\s+\w+\s*<([^<>]*)>", 1)
-    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, ",", -1)))
+    """Type parameters right after the first name of a declaration; brackets within them may nest."""
+    listed = F.regexp_extract(signature, r"(?s)\b(?:class|struct|interface|record)\s+\w+\s*<(.*)", 1)
+    marks = F.split(F.regexp_replace(F.regexp_replace(listed, "[=-]>", ""), r"[^<>()\[\]{},]", ""), "")
+    walked = F.aggregate(
+        marks,
+        F.struct(F.lit(1).alias("depth"), F.lit(1).alias("n")),
+        lambda a, c: F.struct(
+            (a["depth"] + F.when(a["depth"] == 0, 0).when(c.isin("<", "(", "[", "{"), 1).when(c.isin(">", ")", "]", "}"), -1).otherwise(0)).alias("depth"),
+            (a["n"] + F.when((a["depth"] == 1) & (c == ","), 1).otherwise(0)).alias("n"),
+        ),
+        lambda a: a["n"],
+    )
+    return F.when(signature.isNotNull(), F.when(listed.rlike(r"^\s*>") | (listed == ""), 0).otherwise(walked))
 
 
 def base_names(signature: Column) -> Column:

@@ -192,6 +192,12 @@ def _(ix):
     return lines.excerpts(lines.file_lines(ix.chunks), spans, 1, 1)
 
 
+@query("L08_excerpts_all", SQL["L08_excerpts"].replace(" and s.end_line - s.start_line < 40", ""))
+def _(ix):
+    spans = ix.symbols.where("kind = 'class'").select("file_id", "start_line", "end_line").distinct()
+    return lines.excerpts(lines.file_lines(ix.chunks), spans, 1, 1)
+
+
 @query("L09_file_read", q.with_(q.CHUNKS, q.LINES) + "select file_id, string_agg(text, chr(10) order by line) as text from ln where file_id <= 200 and line <= 10000 group by file_id")
 def _(ix):
     ln = lines.file_lines(ix.chunks).where("file_id <= 200 and line <= 10000")

@@ -82,6 +82,12 @@ def _(ix):
     return rows.select("symbol_id", names.type_arity(F.col("signature")).alias("arity"))
 
 
+@query("N08_type_arity_all")
+def _(ix):
+    rows = ix.symbols.where("kind in ('class', 'struct') and signature is not null")
+    return rows.select("symbol_id", names.type_arity(F.col("signature")).alias("arity"))
+
+
 @query("N09_verbatim", "select * from (values ('@class.Run', 'class.Run'), ('a.@int', 'a.int'), ('b@c', 'b@c')) t(name, plain)")
 def _(ix):
     df = ix.spark.createDataFrame([("@class.Run",), ("a.@int",), ("b@c",)], "name string")

@@ -143,6 +143,13 @@ def _(ix):
     return plain.where(search.origin_of(F.col("lang"), F.col("text"), F.instr(F.lower("text"), "ledger")) == "code").select("path", "line")
 
 
+@query("X16_code_only_all")
+def _(ix):
+    hits = search.line_hits(lines.file_lines(ix.chunks), "ledger").join(ix.files.where("lang = 'python'").select("file_id", "path", "lang"), "file_id")
+    places = hits.withColumn("at", F.explode(lines.positions(F.lower("text"), "ledger")))
+    return places.where(search.origin_of(F.col("lang"), F.col("text"), F.col("at")) == "code").select("path", "line").distinct()
+
+
 @query("X18_likely_tests", q.with_(q.FILES) + f"select file_id, path from f where regexp_matches(lower(path), '{predicates.LIKELY_TEST}')")
 def _(ix):
     return ix.files.where(predicates.is_likely_test_path(F.col("path"))).select("file_id", "path")

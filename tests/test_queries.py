@@ -57,3 +57,19 @@ def test_dirty_scope_of_the_real_change_set(spark, duck):
     sql = q.with_(q.FILES, q.SYMBOLS, q.REFS, changed) + """, n as (select distinct name_folded from s where file_id in (select file_id from changed))
       select distinct file_id from (select file_id from r where symbol_name_folded in (select name_folded from n) union all select file_id from changed)"""
     assert compare(registry.QUERIES["W05_changed_scope"](spark, str(DATA)), duck, sql) > 0
+
+
+def test_excerpts_code_and_arity_leave_nothing_out(spark, tmp_path):
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    text = ["ledger = 1", "x = ledger.get('x')", "# ledger", "s = 'ledger'", "t = 'ledger' + ledger", 'u = "#" + ledger', 'v = "# ledger"', 'w = """ledger'] + [f"l{k}" for k in range(9, 70)]
+    chunks = spark.createDataFrame([(1, 1, 0, 1, "\n".join(text))], "chunk_id int, file_id int, chunk_index int, start_line int, content string")
+    save(tmp_path, "chunks", schema.CHUNKS, chunks)
+    save(tmp_path, "files", schema.FILES, spark.createDataFrame([(1, "a.py", "python")], "file_id int, path string, lang string"))
+    signatures = {
+        "class A": 0, "class A<T>": 1, "struct B<K, V> : C<K>": 2, "class A<T extends Map<K, V>, U>": 2, "class F<T extends (a, b) => void, U>": 2, "class D : E<X, Y>": 0, "public class P<[In(1, 2)] T>(List<int> a)": 1, "class N<>": 0,
+    }
+    symbols = [(i, 1, "class", s, 2, 60) for i, s in enumerate(signatures)] + [(100, 1, "class", None, 5, 6)]
+    save(tmp_path, "symbols", schema.SYMBOLS, spark.createDataFrame(symbols, "symbol_id int, file_id int, kind string, signature string, start_line int, end_line int"))
+    assert {r.line for r in run("X16_code_only_all")} == {1, 2, 5, 6}
+    assert {r.symbol_id: r.arity for r in run("N08_type_arity_all")} == dict(enumerate(signatures.values()))
+    assert {(r.start_line, r.end_line): r.excerpt for r in run("L08_excerpts_all")} == {(2, 60): "\n".join(text[:61]), (5, 6): "\n".join(text[3:7])}
