@@ -2,12 +2,14 @@
 
 Both copies go through one range partitioning, so they share its split points; each
 partition is sorted by key and side and read once, front to back, by a two-pointer merge
-that works on whole Arrow batches. Copies of a row are combined before the exchange, so
-a row that is repeated a million times is moved once for each input split.
+that works on whole Arrow batches and drops copies of a row as it meets them. Rows are
+exchanged once. A key with very many rows, null among them, is cut into several partitions;
+what such a part says of a key is a few values for each column, and these are added up.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,24 +36,36 @@ def _changes(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 class _Values:
-    """What is kept of one key with many rows: of each side and column up to two different values, null being one.
+    """What decides about one key: of each side and column up to two different values, null being one.
 
     Two rows of the two sides differ in a column unless both sides have one and the same value there.
+    Sums of this kind can be taken anywhere and added up, so a key may be spread over many tasks.
     """
 
     def __init__(self, columns: Sequence[str]) -> None:
         self.columns = columns
         self.sides: dict[int, dict[str, pa.Array]] = {}
 
+    def _keep(self, side: int, column: str, values: pa.Array) -> None:
+        kept = self.sides.setdefault(side, {})
+        kept[column] = (pa.concat_arrays([kept[column], values]) if column in kept else values).unique().slice(0, 2)
+
     def add(self, rows: pa.Table) -> None:
         for side in (0, 1):
             part = rows.filter(pc.equal(rows["side"], side))
-            if not part.num_rows:
-                continue
-            kept = self.sides.setdefault(side, {})
-            for c in self.columns:
-                values = part[c].combine_chunks()
-                kept[c] = (pa.concat_arrays([kept[c], values]) if c in kept else values).unique().slice(0, 2)
+            if part.num_rows:
+                self.sides.setdefault(side, {})
+                for c in self.columns:
+                    self._keep(side, c, part[c].combine_chunks())
+
+    def packed(self) -> bytes:
+        return pickle.dumps(self.sides)
+
+    def add_packed(self, data: bytes) -> None:
+        for side, kept in pickle.loads(data).items():
+            self.sides.setdefault(side, {})
+            for c, values in kept.items():
+                self._keep(side, c, values)
 
     def differences(self) -> list[str]:
         if len(self.sides) == 1:
@@ -60,10 +74,33 @@ class _Values:
         return [c for c in self.columns if len(left[c]) > 1 or len(right[c]) > 1 or _changes(left[c], right[c])[0]]
 
 
-def _merge(area: str, columns: Sequence[str]):
-    def batch(keys: list, diffs: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([area] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(diffs, pa.string())], names=["area", "row_key", "diff"])
+def _rows_out(area: str, keys: list, diffs: list, parts: list | None = None) -> pa.RecordBatch:
+    parts = [None] * len(keys) if parts is None else parts
+    return pa.RecordBatch.from_arrays(
+        [pa.array([area] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(diffs, pa.string()), pa.array(parts, pa.binary())],
+        names=["area", "row_key", "diff", "part"],
+    )
+
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    key = rows["key"].combine_chunks()
+    new = _changes(key.slice(1), key.slice(0, len(key) - 1)) if len(key) > 1 else np.zeros(0, bool)
+    return np.append(0, np.flatnonzero(new) + 1)
+
+
+def _without_copies(rows: pa.Table, columns: Sequence[str]) -> pa.Table:
+    """``rows`` without those that equal the one before them."""
+    n = rows.num_rows
+    if n < 2:
+        return rows
+    other = np.zeros(n - 1, bool)
+    for c in ("key", "side", *columns):
+        col = rows[c].combine_chunks()
+        other |= _changes(col.slice(1), col.slice(0, n - 1))
+    return rows if other.all() else rows.filter(pa.array(np.append(True, other)))
+
+
+def _merge(area: str, columns: Sequence[str]):
     def closed(rows: pa.Table) -> pa.RecordBatch:
         """All keys of ``rows`` are complete."""
         n = rows.num_rows
@@ -92,28 +129,31 @@ def _merge(area: str, columns: Sequence[str]):
             found = acc.differences()
             keys += [text[int(starts[k])].as_py()] * len(found)
             diffs += found
-        return batch(keys, diffs)
-
-    def _starts(rows: pa.Table) -> np.ndarray:
-        key = rows["key"].combine_chunks()
-        new = _changes(key.slice(1), key.slice(0, len(key) - 1)) if len(key) > 1 else np.zeros(0, bool)
-        return np.append(0, np.flatnonzero(new) + 1)
+        return _rows_out(area, keys, diffs)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Differences of the keys that lie within the split, and the sums of its first and last key, which may go on in others."""
         held: pa.Table | None = None
         hot: _Values | None = None
+        opened = False  # whether the first key is behind
         for b in batches:
             if not b.num_rows:
                 continue
             rows = pa.Table.from_batches([b])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            last = int(_starts(rows)[-1])
-            if last and hot is not None:  # the key that was folded ends in this batch
-                end = int(_starts(rows)[1])
-                hot.add(rows.slice(0, end))
-                found = hot.differences()
-                yield batch([rows["key_text"][0].as_py()] * len(found), found)
-                rows, last, hot = rows.slice(end), last - end, None
+            rows = _without_copies(rows if held is None else pa.concat_tables([held, rows]), columns)
+            starts = _starts(rows)
+            last = int(starts[-1])
+            if last and (hot is not None or not opened):
+                end = int(starts[1])
+                key = rows["key_text"][0].as_py()
+                acc = hot or _Values(columns)
+                acc.add(rows.slice(0, end))
+                if opened:
+                    found = acc.differences()
+                    yield _rows_out(area, [key] * len(found), found)
+                else:
+                    yield _rows_out(area, [key], [None], [acc.packed()])
+                rows, last, hot, opened = rows.slice(end), last - end, None, True
             if last:
                 yield closed(rows.slice(0, last))
             held = rows.slice(last).combine_chunks()
@@ -122,16 +162,41 @@ def _merge(area: str, columns: Sequence[str]):
                 hot.add(held)
                 held = held.slice(held.num_rows - 1)  # stays as a mark of the key; adding it twice changes nothing
         if held is not None and held.num_rows:
-            if hot is None:
-                yield closed(held)
-            else:
-                hot.add(held)
-                found = hot.differences()
-                yield batch([held["key_text"][0].as_py()] * len(found), found)
+            acc = hot or _Values(columns)
+            acc.add(held)
+            yield _rows_out(area, [held["key_text"][0].as_py()], [None], [acc.packed()])
 
     return merge
 
 
+def _ranged(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], area: str) -> DataFrame:
+    """Differences found within splits, and sums of the keys at the ends of splits: (area, row_key, diff, part)."""
+    spark = left.sparkSession
+    sides = [df.select(F.col(key).alias("key"), *(F.col(c) for c in columns), F.lit(i).alias("side"), F.spark_partition_id().alias("skerry_split")) for i, df in enumerate((left, right))]
+    both = sides[0].unionByName(sides[1]).withColumn("key_text", F.col("key").cast("string"))
+    # a key with many rows is cut by the input splits that they come from
+    ranged = both.repartitionByRange(shuffle_partitions(spark), "key", "skerry_split").drop("skerry_split").sortWithinPartitions("key", "side")
+    return ranged.mapInArrow(_merge(area, list(columns)), f"{_OUT}, part binary")
+
+
+def _combined(found: DataFrame, columns: dict[str, Sequence[str]]) -> DataFrame:
+    """The differences, the sums of keys at the ends of splits being added up; no more than two of these come from a split."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, _Values] = {}
+        for b in batches:
+            done = pc.is_null(b.column("part"))
+            yield b.filter(done).select(["area", "row_key", "diff"])
+            rest = b.filter(pc.invert(done))
+            for area, key, part in zip(*(rest.column(c).to_pylist() for c in ("area", "row_key", "part"))):
+                sums.setdefault((area, key), _Values(columns[area])).add_packed(part)
+        for (area, key), acc in sums.items():
+            diffs = acc.differences()
+            yield _rows_out(area, [key] * len(diffs), diffs).select(["area", "row_key", "diff"])
+
+    return found.repartition(shuffle_partitions(found.sparkSession), "area", "row_key").mapInArrow(combine, _OUT)
+
+
 def diff_copies(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], area: str) -> DataFrame:
     """Rows on one side only and, of rows on both, each column that differs: (area, row_key, diff).
 
@@ -142,14 +207,7 @@ def diff_copies(left: DataFrame, right: DataFrame, key: str, columns: Sequence[s
     the other, and a column differs if it does in any pair. Empty tables give one-sided rows or none.
     Columns other than the named ones are never read.
     """
-    spark = left.sparkSession
-    sides = [
-        df.select(F.col(key).alias("key"), *(F.col(c) for c in columns)).distinct().withColumn("side", F.lit(i))
-        for i, df in enumerate((left, right))
-    ]
-    both = sides[0].unionByName(sides[1]).withColumn("key_text", F.col("key").cast("string"))
-    ranged = both.repartitionByRange(shuffle_partitions(spark), "key").sortWithinPartitions("key", "side")
-    return ranged.mapInArrow(_merge(area, list(columns)), _OUT)
+    return _combined(_ranged(left, right, key, columns, area), {area: list(columns)})
 
 
 SYMBOL_FIELDS = (
@@ -163,6 +221,5 @@ def diff_index_copies(symbols: DataFrame, symbols_right: DataFrame, headers: Dat
     """All differences between two copies of an index: its symbols by id and its headers by name."""
     left = headers.where(F.lower("side") == "left")
     right = headers.where(F.lower("side") == "right")
-    return diff_copies(symbols, symbols_right, "symbol_id", SYMBOL_FIELDS, "symbols").unionByName(
-        diff_copies(left, right, "db_name", HEADER_FIELDS, "header")
-    )
+    found = _ranged(symbols, symbols_right, "symbol_id", SYMBOL_FIELDS, "symbols").unionByName(_ranged(left, right, "db_name", HEADER_FIELDS, "header"))
+    return _combined(found, {"symbols": SYMBOL_FIELDS, "header": HEADER_FIELDS})

@@ -8,14 +8,22 @@ failure before the commit nor a repeated run can skip or repeat a record.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skerry.runtime import checkpoint_dir
+
+
+class LedgerMoved(RuntimeError):
+    """Another run has committed since this one read the ledger."""
+
 
 @dataclass(frozen=True)
 class Intervals:
@@ -113,45 +121,24 @@ def processed_time(runs: DataFrame) -> Intervals:
     return available - unfinished
 
 
-def new_or_changed(files: DataFrame, scan: DataFrame, runs: DataFrame) -> DataFrame:
-    """Paths whose present checksum isn't the one that the last successful run left: (path).
-
-    The present checksum of a path is that of its latest scan row that has one, by scanned_at; the
-    indexed one that of its latest row among rows owned by a successful run, by indexed_at. They are
-    compared without regard to letter case. Paths without a scanned checksum are no case, a path
-    without such an indexed row, or whose indexed row has a null checksum, is one; a null path is
-    none. Of rows with equal time the greatest checksum counts; a null time is earlier than any.
-    One aggregation by path with map-side combine serves both tables.
-    """
-    indexed = files.select("path", "checksum", F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("at"))
-    kept = within(indexed, "at", processed_time(runs)).select("path", F.lower("checksum").alias("checksum"), "at", F.lit(False).alias("present"))
-    seen = scan.where(F.col("checksum").isNotNull()).select(
-        "path", F.lower("checksum").alias("checksum"), F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("at"), F.lit(True).alias("present")
-    )
-    stamped = F.struct("at", "checksum")
-    latest = seen.unionByName(kept).where(F.col("path").isNotNull()).groupBy("path").agg(
-        F.max(F.when(F.col("present"), stamped)).alias("now"), F.max(F.when(~F.col("present"), stamped)).alias("then")
-    )
-    return latest.where(F.col("now").isNotNull() & ~F.col("now.checksum").eqNullSafe(F.col("then.checksum"))).select("path")
-
-
 class IncrementalRun:
     """Exactly-once processing of the records of a table by their sequence numbers.
 
-    ``folder`` lies on storage that all executors share. Output of attempt n goes to
-    ``data/<id>``; the commit is one file ``commits/<n>.json``, created only if absent, that names
-    the output folder and holds all processed intervals. Readers see outputs named by commits only,
-    so what a failed attempt leaves behind is never read; of two runs that race for one number one
-    fails and can be repeated.
+    ``folder`` lies on storage that all executors share. A run reads the ledger once, which gives it
+    the processed intervals and the number of its own commit. Its output goes to ``data/<id>``; the
+    commit is one file ``commits/<number>.json`` that names this folder and holds all processed
+    intervals. It is put in place whole, and only where no file of that number is, so of two runs that
+    read the same ledger one commits and the other fails with ``LedgerMoved`` and can be repeated.
+    Readers see outputs named by commits only, so what a failed attempt leaves behind is never read.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._io = jvm.org.apache.commons.io.IOUtils
+        self._jvm = spark.sparkContext._jvm
+        self._Path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._Path(self.folder).getFileSystem(self._conf)
 
     def _commits(self) -> list[dict]:
         root = self._Path(f"{self.folder}/commits")
@@ -162,54 +149,112 @@ class IncrementalRun:
         for name in (n for n in names if n.endswith(".json") and not n.startswith((".", "_"))):
             stream = self._fs.open(self._Path(f"{self.folder}/commits/{name}"))
             try:
-                found.append(json.loads(bytes(self._io.toByteArray(stream)).decode()))
+                found.append(json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()) | {"number": int(name.removesuffix(".json"))})
             finally:
                 stream.close()
         return found
 
-    def processed(self) -> Intervals:
+    def ledger(self) -> tuple[Intervals, int]:
+        """The processed intervals, and the number of the next commit, from one read."""
         commits = self._commits()
-        return Intervals.of(map(tuple, commits[-1]["processed"])) if commits else Intervals()
+        return (Intervals.of(map(tuple, commits[-1]["processed"])), commits[-1]["number"] + 1) if commits else (Intervals(), 0)
+
+    def processed(self) -> Intervals:
+        return self.ledger()[0]
 
     def output(self) -> DataFrame | None:
         """All committed output."""
         folders = [c["data"] for c in self._commits() if c["data"]]
         return self.spark.read.parquet(*folders) if folders else None
 
-    def run(self, records: DataFrame, sequence: str, process: Callable[[DataFrame], DataFrame], block: int = 1) -> Intervals:
+    def run(self, records: DataFrame, sequence: str, process: Callable[[DataFrame], DataFrame], available: Intervals | None = None) -> Intervals:
         """Process the records that no committed run has processed; gives the intervals newly done.
 
         ``records`` is read as it is now; sequence numbers that appear later, even below the greatest
-        one processed, are still gaps and come with a later run. ``block`` > 1 makes blocks of that
-        many numbers the unit, for sources that append whole blocks; then the ranges are as few as
-        blocks with gaps. Records with a null number are never processed.
+        one processed, are still gaps and come with a later run. ``available`` names ranges that are
+        closed, in which no more records can appear; without it each number that ``records`` has now is
+        available by itself, and no number beside it. Intervals are held on the driver: as many as the
+        numbering has gaps. Records with a null number are never processed.
         """
-        done = self.processed()
-        unit = F.floor(F.col(sequence) / F.lit(block)).cast("bigint")
-        # islands of consecutive numbers, built within stretches of 2^20 so that no task sees all
-        numbers = records.where(F.col(sequence).isNotNull()).select(unit.alias("n")).distinct().withColumn("part", F.shiftright("n", 20))
-        from pyspark.sql import Window
-
-        island = F.col("n") - F.row_number().over(Window.partitionBy("part").orderBy("n"))
-        spans = numbers.select("n", "part", island.alias("island")).groupBy("part", "island").agg(F.min("n").alias("lo"), (F.max("n") + 1).alias("hi"))
-        available = Intervals.of((r.lo, r.hi) for r in spans.select("lo", "hi").toLocalIterator())
+        done, number = self.ledger()
+        if available is None:
+            # islands of consecutive numbers, built within stretches of 2^20 so that no task sees all
+            numbers = records.where(F.col(sequence).isNotNull()).select(F.col(sequence).cast("bigint").alias("n")).distinct().withColumn("part", F.shiftright("n", 20))
+            island = F.col("n") - F.row_number().over(Window.partitionBy("part").orderBy("n"))
+            spans = numbers.select("n", "part", island.alias("island")).groupBy("part", "island").agg(F.min("n").alias("lo"), (F.max("n") + 1).alias("hi"))
+            available = Intervals.of((r.lo, r.hi) for r in spans.select("lo", "hi").toLocalIterator())
         gaps = available - done
         if not gaps.spans:
             return gaps
-        fresh = within(records.withColumn("skerry_unit", unit), "skerry_unit", gaps).drop("skerry_unit")
+        fresh = within(records.withColumn("skerry_number", F.col(sequence).cast("bigint")), "skerry_number", gaps).drop("skerry_number")
         data = f"{self.folder}/data/{uuid.uuid4().hex}"
         process(fresh).write.parquet(data)
-        self._commit(data, done | gaps)
+        self._commit(number, data, done | gaps)
         return gaps
 
-    def _commit(self, data: str, processed: Intervals) -> None:
-        number = len(self._commits())
-        target = self._Path(f"{self.folder}/commits/{number:08d}.json")
-        body = json.dumps({"data": data, "processed": processed.spans}).encode()
-        staged = self._Path(f"{self.folder}/staged/{uuid.uuid4().hex}")
+    def _commit(self, number: int, data: str, processed: Intervals) -> None:
+        name = f"{self.folder}/commits/{number:08d}.json"
+        staged, target = self._Path(f"{self.folder}/staged/{uuid.uuid4().hex}"), self._Path(name)
         stream = self._fs.create(staged, False)
-        stream.write(bytearray(body))
+        stream.write(bytearray(json.dumps({"data": data, "processed": processed.spans}).encode()))
         stream.close()
         self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target) or not self._fs.rename(staged, target):
-            raise RuntimeError(f"another run has committed {target}")
+        try:
+            self._place(staged, target)
+        except Py4JJavaError as e:
+            if self._fs.exists(target):
+                raise LedgerMoved(f"another run has committed {name}") from e
+            raise
+
+    def _place(self, staged, target) -> None:
+        """Put a file in place in one step, unless one is there: by a link on a local file system, elsewhere by a rename that doesn't overwrite."""
+        if self._fs.getScheme() == "file":
+            local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            self._jvm.java.nio.file.Files.createLink(local(target), local(staged))
+            return
+        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf).rename(staged, target, none)
+
+
+def _latest(rows: DataFrame, at: str) -> DataFrame:
+    """(path, checksum, at) of the last row of each path; of rows with equal time the greatest checksum counts."""
+    last = rows.where(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.struct(at, "checksum")).alias("last"))
+    return last.select("path", F.col("last.checksum").alias("checksum"), F.col(f"last.{at}").alias(at))
+
+
+def indexed_state(files: DataFrame, runs: DataFrame, folder: str | None = None) -> DataFrame | None:
+    """(path, checksum, at) as the successful runs left each path, None if there are no such runs.
+
+    The records are the rows of ``files``, the ranges available are the stretches of time that
+    successful runs own; what the ledger in ``folder`` has already is not read again, and its output
+    is the last row of each path in each batch of gaps. The stretch of a last run has no end yet, so
+    more can come into it: its rows are read each time and not committed. Without ``folder`` the ledger
+    is a new one in the checkpoint folder, so all ranges are gaps.
+    """
+    spark = files.sparkSession
+    ledger = IncrementalRun(spark, folder or f"{checkpoint_dir(spark)}/skerry-ledger-{uuid.uuid4().hex}")
+    records = files.select("path", F.lower("checksum").alias("checksum"), F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("at"))
+    owned = processed_time(runs)
+    still = Intervals.of((lo, hi) for lo, hi in owned.spans if hi >= _FAR)
+    ledger.run(records, "at", lambda rows: _latest(rows, "at"), owned - still)
+    parts = [df for df in (ledger.output(), within(records, "at", still) if still.spans else None) if df is not None]
+    return _latest(functools.reduce(DataFrame.unionByName, parts), "at") if parts else None
+
+
+def new_or_changed(files: DataFrame, scan: DataFrame, runs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Paths whose present checksum isn't the one that the last successful run left: (path).
+
+    The present checksum of a path is that of its latest scan row that has one, by scanned_at; the
+    indexed one that of its latest row among rows owned by a successful run, by indexed_at. They are
+    compared without regard to letter case. Paths without a scanned checksum are no case, a path
+    without such an indexed row, or whose indexed row has a null checksum, is one; a null path is
+    none. Of rows with equal time the greatest checksum counts; a null time is earlier than any.
+    The indexed state comes through the ledger of ``indexed_state``.
+    """
+    seen = scan.where(F.col("checksum").isNotNull()).select("path", F.lower("checksum").alias("checksum"), F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("at"))
+    now = _latest(seen, "at").select("path", F.col("checksum").alias("now"))
+    state = indexed_state(files, runs, folder)
+    if state is None:
+        return now.select("path")
+    both = now.join(state.select("path", F.col("checksum").alias("then")), "path", "left")
+    return both.where(~F.col("now").eqNullSafe(F.col("then"))).select("path")

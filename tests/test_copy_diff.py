@@ -43,6 +43,18 @@ def test_hot_key_with_many_rows(spark, monkeypatch):
     assert got == {("7", "x"), ("1", "only_left"), ("10", "only_right")}
 
 
+def test_hot_key_is_spread_over_tasks(spark):
+    n = 6000
+    hot = spark.range(0, n, 1, 8).select(F.lit(None).cast("bigint").alias("k"), F.col("id").alias("x"), (F.col("id") % 2).alias("y"), F.lit("c").alias("z"))
+    few = spark.createDataFrame([(k, k, 0, "c") for k in range(200)], "k bigint, x bigint, y bigint, z string")
+    other = spark.createDataFrame([(k, k, 0, "c" if k % 50 else "d") for k in range(200)], "k bigint, x bigint, y bigint, z string")
+    left, right = hot.unionByName(few), hot.where(f"x <> {n - 1}").unionByName(other)
+    sizes = [r["count"] for r in cd._ranged(left, right, "k", ["x", "y", "z"], "t").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 3
+    got = {(r.row_key, r.diff) for r in cd.diff_copies(left, right, "k", ["x", "y", "z"], "t").collect()}
+    assert got == {(None, "x"), (None, "y")} | {(str(k), "z") for k in range(0, 200, 50)}
+
+
 def test_empty_tables(spark):
     a = spark.createDataFrame([(1, "p")], "k bigint, x string")
     assert [tuple(r) for r in cd.diff_copies(a, a.limit(0), "k", ["x"], "t").collect()] == [("t", "1", "only_left")]

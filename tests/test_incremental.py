@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skerry.operators.incremental import IncrementalRun, Intervals, new_or_changed, processed_time, within
+from skerry.operators.incremental import IncrementalRun, Intervals, LedgerMoved, indexed_state, new_or_changed, processed_time, within
 
 spans = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), max_size=8)
 
@@ -52,20 +52,55 @@ def test_runs_take_each_record_once(spark, tmp_path):
     assert sorted(r.seq for r in run.output().collect()) == [1, 2, 3, 4, 5, 7, 9]
 
 
-def test_a_lost_race_leaves_nothing(spark, tmp_path):
+def test_of_two_runs_that_read_one_ledger_one_commits(spark, tmp_path):
     a, b = (IncrementalRun(spark, f"file://{tmp_path}/l") for _ in range(2))
-    data = spark.createDataFrame([(1, "x")], "seq bigint, v string")
+    data = spark.createDataFrame([(1, "x"), (2, "y")], "seq bigint, v string")
 
     def late(df):
-        b.run(data, "seq", lambda d: d)
+        b.run(data, "seq", lambda d: d)  # reads and commits between the other run's read and its commit
         return df
 
-    a._commits  # noqa: B018
-    with pytest.raises(RuntimeError):
-        number = len(a._commits())
-        a._commits = lambda: [] if number == 0 else None  # the state it saw before the other run
+    with pytest.raises(LedgerMoved):
         a.run(data, "seq", late)
-    assert b.output().count() == 1
+    assert sorted(r.seq for r in a.output().collect()) == [1, 2]
+    assert a.run(data, "seq", lambda d: d).spans == ()
+    more = spark.createDataFrame([(n, "z") for n in range(5)], "seq bigint, v string")
+    assert a.run(more, "seq", lambda d: d).spans == ((0, 1), (3, 5))
+    assert sorted(r.seq for r in b.output().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_of_many_runs_at_once_each_record_comes_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    data = spark.range(50).withColumnRenamed("id", "seq")
+
+    def attempt(_):
+        try:
+            return len(IncrementalRun(spark, f"file://{tmp_path}/m").run(data, "seq", lambda d: d).spans)
+        except LedgerMoved:
+            return -1
+
+    with ThreadPoolExecutor(6) as pool:
+        ends = list(pool.map(attempt, range(6)))
+    assert ends.count(1) == 1
+    assert sorted(r.seq for r in IncrementalRun(spark, f"file://{tmp_path}/m").output().collect()) == list(range(50))
+
+
+def test_a_rename_takes_no_number_twice(spark, tmp_path, monkeypatch):
+    run = IncrementalRun(spark, f"file://{tmp_path}/n")
+    monkeypatch.setattr(run, "_fs", type("Fs", (), {"getScheme": lambda self: "other", "__getattr__": lambda self, n, fs=run._fs: getattr(fs, n)})())
+    run._commit(0, "a", Intervals())
+    with pytest.raises(LedgerMoved):
+        run._commit(0, "b", Intervals())
+    assert [c["data"] for c in run._commits()] == ["a"]
+
+
+def test_closed_ranges(spark, tmp_path):
+    run = IncrementalRun(spark, f"file://{tmp_path}/c")
+    data = spark.createDataFrame([(n,) for n in (3, 5, 11, 25)] + [(None,)], "seq bigint")
+    assert run.run(data, "seq", lambda d: d, Intervals.of([(0, 10), (20, 30)])).spans == ((0, 10), (20, 30))
+    assert run.run(data, "seq", lambda d: d, Intervals.of([(0, 40)])).spans == ((10, 20), (30, 40))
+    assert sorted(r.seq for r in run.output().collect()) == [3, 5, 11, 25]
 
 
 def _t(hour):
@@ -87,3 +122,19 @@ def test_new_or_changed(spark):
     assert new_or_changed(empty, scan.limit(0), runs).count() == 0
     assert new_or_changed(empty, scan, runs.limit(0)).count() == 7
     assert len(processed_time(runs).spans) == 2
+
+
+def test_indexed_state_goes_on_from_its_ledger(spark, tmp_path):
+    runs = [(1, _t(1), "ok"), (2, _t(3), "failed")]
+    files = [("a", "1", _t(1)), ("b", "2", _t(2)), ("a", "9", _t(3))]
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    ddl, run_ddl, folder = "path string, checksum string, indexed_at timestamp", "run_id bigint, started_at timestamp, status string", f"file://{tmp_path}/s"
+    state = lambda: {r.path: r.checksum for r in indexed_state(frame(files, ddl), frame(runs, run_ddl), folder).collect()}
+    assert state() == {"a": "1", "b": "2"}
+    runs += [(3, _t(5), "ok"), (4, _t(7), "running")]
+    files[:] = [("a", "3", _t(6)), ("b", "7", _t(8))]  # what is processed needn't be there any more
+    assert state() == {"a": "3", "b": "2"}
+    runs[3] = (4, _t(7), "ok")  # no end is known of its time
+    assert state() == {"a": "3", "b": "7"}
+    files.append(("c", "8", _t(9)))
+    assert state() == {"a": "3", "b": "7", "c": "8"}
