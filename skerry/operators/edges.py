@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.names import base_names, import_targets, resolve_links
+from skerry.operators.lines import matching_lines
 from skerry.operators.structure import _CLASS_KINDS
 
 _ATTRIBUTE = r"^\s*(?:\[(?:\w+:\s*)?([A-Z]\w*)|@([A-Z]\w*))"
 
 
-def metadata_edges(symbols: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
+def metadata_edges(symbols: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(src, dst, name) from an attribute or annotation to the class that it names.
 
     ``[Foo]`` may also mean a class FooAttribute, which then takes the edge alone. A name that several
     files define in a language gives no edge.
     """
-    found = lines.where(F.col("text").rlike(_ATTRIBUTE)).select("file_id", F.coalesce(F.nullif(F.regexp_extract("text", _ATTRIBUTE, 1), F.lit("")), F.regexp_extract("text", _ATTRIBUTE, 2)).alias("name"))
+    found = matching_lines(chunks, lambda t: t.rlike(_ATTRIBUTE)).select("file_id", F.coalesce(F.nullif(F.regexp_extract("text", _ATTRIBUTE, 1), F.lit("")), F.regexp_extract("text", _ATTRIBUTE, 2)).alias("name"))
     uses = found.distinct().join(files.select("file_id", "lang"), "file_id").withColumnRenamed("file_id", "src")
     defs = symbols.where(F.col("kind").isin(*_CLASS_KINDS)).join(files.select("file_id", "lang"), "file_id")
     single = defs.groupBy("lang", F.col("name").alias("target")).agg(F.min("file_id").alias("dst"), F.max("file_id").alias("hi")).where("dst = hi").drop("hi")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.operators.lines import file_lines
+from skerry.operators.lines import matching_lines
 
 MAX_LINE = 64 * 1024
 MAX_TOKEN = 512
@@ -13,20 +15,20 @@ MAX_TOKEN = 512
 
 def content_issues(chunks: DataFrame) -> DataFrame:
     """(file_id, kind, line) of issues that show in a line: replacement characters, marks, nulls, long lines and tokens, conflict markers."""
-    t = F.col("text")
-    tests = {
+    tests = lambda t: {
         "replacement_char": F.contains(t, F.lit("\ufffd")),
-        "bom": (F.col("line") == 1) & t.startswith("\ufeff"),
+        "bom": t.startswith("\ufeff"),
         "null_byte": F.contains(t, F.lit("\u0000")),
         "line_too_long": F.length(t) > MAX_LINE,
         "token_too_long": t.rlike(f"[A-Za-z0-9_]{{{MAX_TOKEN + 1},}}"),
         "conflict_marker": t.rlike("^(<<<<<<< |>>>>>>> |=======$)"),
-        "lfs_pointer": (F.col("line") == 1) & t.startswith("version https://git-lfs"),
+        "lfs_pointer": t.startswith("version https://git-lfs"),
         "tab_after_space": t.rlike("^ +\\t"),
         "trailing_space": t.rlike("[ \\t]$"),
     }
-    found = F.array_compact(F.array(*(F.when(test, F.lit(kind)) for kind, test in tests.items())))
-    return file_lines(chunks).select("file_id", "line", F.explode(found).alias("kind")).select("file_id", "kind", "line")
+    lines = matching_lines(chunks, lambda t: functools.reduce(Column.__or__, tests(t).values()))
+    found = F.array_compact(F.array(*(F.when(test, F.lit(kind)) for kind, test in tests(F.col("text")).items())))
+    return lines.select("file_id", F.explode(found).alias("kind"), "line").where("line = 1 or kind not in ('bom', 'lfs_pointer')")
 
 
 def text_issues(documents: DataFrame) -> DataFrame:

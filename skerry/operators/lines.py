@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.operators.predicates import path_bucket
-from skerry.runtime import shuffle_partitions
+from skerry.runtime import measured_side, shuffle_partitions
 
 
 def file_lines(chunks: DataFrame) -> DataFrame:
-    """(file_id, chunk_id, line, text) of each line of each file, once.
+    """(file_id, chunk_id, line, text) of each line of each file, once, for work that needs all lines.
 
-    A chunk owns its lines up to the start of the next chunk. That start comes from a window over the
-    chunks of a file, so chunks move once and lines never; a copy of a chunk owns nothing, since its
-    successor starts where it does. Null contents have no lines.
+    A chunk owns its lines up to the start of the next chunk of its file; a copy of a chunk owns
+    nothing, since its successor starts where it does. Null contents have no lines. This exchanges
+    contents by file; ``matching_lines`` and ``lines_at`` don't.
     """
     w = Window.partitionBy("file_id").orderBy("start_line", "chunk_id")
     rows = chunks.where("content is not null").select("file_id", "chunk_id", "start_line", "content", F.lead("start_line").over(w).alias("next"))
@@ -26,6 +26,50 @@ def file_lines(chunks: DataFrame) -> DataFrame:
     return lines.select("file_id", "chunk_id", (F.col("start_line") + F.col("k")).alias("line"), "text", "next").where("next is null or line < next").drop("next")
 
 
+def _owned(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the copies of a line, in chunks that overlap or are copies, the one in the last chunk that has it."""
+    last = F.max_by(F.struct("chunk_id", "text"), F.struct("start_line", "chunk_id")).alias("last")
+    found = rows.groupBy("file_id", "line", *keys).agg(last)
+    return found.select("file_id", F.col("last.chunk_id").alias("chunk_id"), "line", F.col("last.text").alias("text"), *keys)
+
+
+def matching_lines(chunks: DataFrame, found: Callable[[Column], Column], maybe: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file_id, chunk_id, line, text) of the lines that ``found`` holds for, each once.
+
+    Lines are looked at where their chunks lie; only those found are exchanged. ``maybe`` is a test that
+    holds for every content with such a line, and keeps the others from being cut into lines. Null
+    contents have no lines.
+    """
+    rows = chunks.where("content is not null")
+    if maybe is not None:
+        rows = rows.where(maybe(F.col("content")))
+    lines = rows.select("file_id", "chunk_id", "start_line", F.posexplode(F.split("content", "\n", -1)).alias("k", "text"))
+    return _owned(lines.where(found(F.col("text"))).select("file_id", "chunk_id", "start_line", (F.col("start_line") + F.col("k")).alias("line"), "text"))
+
+
+def literal_lines(chunks: DataFrame, query: str, exact: bool = False) -> DataFrame:
+    """(file_id, chunk_id, line, text) of the lines that hold ``query``, without regard to case unless ``exact``."""
+    if exact:
+        holds = lambda c: F.contains(c, F.lit(query))
+    else:
+        holds = lambda c: F.contains(F.lower(c), F.lit(query.lower()))
+    return matching_lines(chunks, holds, None if "\n" in query else holds)
+
+
+def lines_at(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file_id, line, text) of the lines (file_id, line) of ``wanted``, where they exist.
+
+    The wanted lines are gathered by file and meet the chunks of that file; they are written and
+    counted first, and chunks are only exchanged where the files that are wanted are too many to broadcast.
+    """
+    by_file = measured_side(wanted.select("file_id", "line").groupBy("file_id").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
+    held = chunks.where("content is not null").select("file_id", "chunk_id", "start_line", "content").join(by_file, "file_id")
+    parts = held.select("file_id", "chunk_id", "start_line", "wanted", F.split("content", "\n", -1).alias("parts"))
+    inside = F.filter("wanted", lambda n: (n >= F.col("start_line")) & (n < F.col("start_line") + F.size("parts")))
+    rows = parts.select("file_id", "chunk_id", "start_line", "parts", F.explode(inside).alias("line"))
+    return _owned(rows.select("file_id", "chunk_id", "start_line", "line", F.get("parts", F.col("line") - F.col("start_line")).alias("text"))).drop("chunk_id")
+
+
 def overlaps_itself(text: str) -> bool:
     return any(text[:k] == text[-k:] for k in range(1, len(text)))
 
@@ -46,38 +90,46 @@ def positions(text: Column, query: str) -> Column:
     return F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)) == query)
 
 
-def find_literal(lines: DataFrame, files: DataFrame, query: str, exact: bool = False) -> DataFrame:
+def find_literal(chunks: DataFrame, files: DataFrame, query: str, exact: bool = False) -> DataFrame:
     """(path, bucket, line, column, text) of all occurrences in each line, without regard to case unless ``exact``."""
-    text = F.col("text") if exact else F.lower("text")
-    wanted = query if exact else query.lower()
-    hits = lines.where(F.contains(text, F.lit(wanted))).withColumn("column", F.explode(positions(text, wanted)))
+    text, wanted = (F.col("text"), query) if exact else (F.lower("text"), query.lower())
+    hits = literal_lines(chunks, query, exact).withColumn("column", F.explode(positions(text, wanted)))
     return hits.join(files.select("file_id", "path"), "file_id").select("path", path_bucket(F.col("path")).alias("bucket"), "line", "column", "text")
 
 
-def find_regex(lines: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
+def find_regex(chunks: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
     """(path, line, ordinal, match) of all non-overlapping matches in each line; the pattern is one that Java and RE2 read alike."""
-    hits = lines.where(F.col("text").rlike(pattern)).select("file_id", "line", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("ordinal", "match"))
+    rows = matching_lines(chunks, lambda c: c.rlike(pattern))
+    hits = rows.select("file_id", "line", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("ordinal", "match"))
     return hits.join(files.select("file_id", "path"), "file_id").select("path", "line", "ordinal", "match")
 
 
-def with_context(lines: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
+def with_context(chunks: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
     """(file_id, hit_line, line, text) of the lines around each hit; an equi-join on the line number, no range join."""
     around = hits.select("file_id", F.col("line").alias("hit_line"), F.explode(F.sequence(F.col("line") - before, F.col("line") + after)).alias("line"))
-    return around.join(lines.select("file_id", "line", "text"), ["file_id", "line"]).select("file_id", "hit_line", "line", "text")
+    return around.join(lines_at(chunks, around), ["file_id", "line"]).select("file_id", "hit_line", "line", "text")
 
 
-def excerpts(lines: DataFrame, ranges: DataFrame, before: int = 0, after: int = 0, width: int | None = None) -> DataFrame:
+def excerpts(chunks: DataFrame, ranges: DataFrame, before: int = 0, after: int = 0, width: int | None = None) -> DataFrame:
     """(file_id, start_line, end_line, excerpt) for ranges of lines with context, clamped to the file."""
     wanted = ranges.select("file_id", "start_line", "end_line", F.explode(F.sequence(F.greatest(F.col("start_line") - before, F.lit(1)), F.col("end_line") + after)).alias("line"))
     text = F.col("text") if width is None else F.substring("text", 1, width)
-    found = wanted.join(lines, ["file_id", "line"]).groupBy("file_id", "start_line", "end_line").agg(F.sort_array(F.collect_list(F.struct("line", text.alias("t")))).alias("rows"))
+    found = wanted.join(lines_at(chunks, wanted), ["file_id", "line"]).groupBy("file_id", "start_line", "end_line").agg(F.sort_array(F.collect_list(F.struct("line", text.alias("t")))).alias("rows"))
     return found.select("file_id", "start_line", "end_line", F.array_join(F.transform("rows", lambda r: r["t"]), "\n").alias("excerpt"))
 
 
-def file_texts(lines: DataFrame, most_lines: int) -> DataFrame:
-    """(file_id, text) of every file, up to line ``most_lines``."""
-    rows = lines.where(F.col("line") <= most_lines).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line", F.col("text").alias("t")))).alias("rows"))
-    return rows.select("file_id", F.array_join(F.transform("rows", lambda r: r["t"]), "\n").alias("text"))
+def file_texts(chunks: DataFrame, most_lines: int | None = None) -> DataFrame:
+    """(file_id, text) of every file, up to line ``most_lines``.
+
+    Chunks move once, by file, and are put together there: of each the lines up to the start of the next one.
+    """
+    rows = chunks.where("content is not null").groupBy("file_id").agg(F.sort_array(F.collect_set(F.struct("start_line", "chunk_id", "content"))).alias("parts"))
+    start = lambda k: F.get("parts", k)["start_line"]
+    end = lambda k: F.coalesce(start(k + 1), F.lit(2**31 - 1))
+    if most_lines is not None:
+        inner, end = end, lambda k: F.least(inner(k), F.lit(most_lines + 1))
+    lines = F.flatten(F.transform("parts", lambda p, k: F.slice(F.split(p["content"], "\n", -1), 1, F.greatest(end(k) - p["start_line"], F.lit(0)))))
+    return rows.select("file_id", lines.alias("lines")).where(F.size("lines") > 0).select("file_id", F.array_join("lines", "\n").alias("text"))
 
 
 def clamp_line(text: Column, width: int, column: Column, length: Column) -> Column:

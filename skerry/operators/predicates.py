@@ -157,8 +157,38 @@ def normalised_query(query: str, lang: str | None = None) -> str:
 
 
 #: Framework names that say little of a dependency.
-NOISE_NAMES = ("ToString", "Equals", "GetHashCode", "Append", "Add", "Get", "Set", "push", "len", "log", "print", "assertThat", "ToText")
+NOISE_NAMES = (
+    "Append", "AppendLine", "Array", "BoundedRegex", "CancellationToken", "Code", "Console", "Count", "DateTime", "Dictionary", "Directory", "Dispose", "Encoding", "Enumerable",
+    "Error", "Escape", "File", "Flush", "IEnumerable", "IsMatch", "Kind", "Language", "Length", "List", "Match", "Matches", "Math", "Name", "None", "Option", "Options", "Path",
+    "Read", "ReadLine", "Record", "Regex", "Replace", "Result", "Results", "String", "StringBuilder", "Task", "Token", "ToString", "Unescape", "Value", "Values", "Version",
+    "Write", "WriteLine",
+)
 
 
 def is_noise(name: Column) -> Column:
-    return name.isin(*NOISE_NAMES)
+    """Whether a name is one of these, whatever its case."""
+    return F.lower(name).isin(*(n.lower() for n in NOISE_NAMES))
+
+
+def in_partition(path: Column, paths: Sequence[str]) -> Column:
+    """Whether a path is, to the letter, one of those of an audit's part."""
+    return path.isin(*paths)
+
+
+#: Most values of one kind of evidence that a filter may name.
+MOST_EVIDENCE = 64
+
+
+def evidence(state: Column, kind: Column, states: Sequence[str] = (), kinds: Sequence[str] = ()) -> Column:
+    """References whose resolution state and kind are among those named; naming none doesn't restrict."""
+    if max(len(states), len(kinds)) > MOST_EVIDENCE:
+        raise ValueError(f"more than {MOST_EVIDENCE} values")
+    out = F.lit(True)
+    if states:
+        out = out & state.isin(*states)
+    return out & kind.isin(*kinds) if kinds else out
+
+
+def at_position(line: Column, start: Column, length: Column, at_line: int, at_column: int) -> Column:
+    """Whether a reference of ``length`` characters from a column on covers a place in a file, both counted from 1."""
+    return (line == at_line) & F.lit(at_column).between(start, start + length - 1)

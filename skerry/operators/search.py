@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skerry.operators.lines import literal_lines, matching_lines
 from skerry.operators.predicates import ascii_lower, path_bucket, visibility_rank
+from skerry.runtime import numbered
 
 K1, B = 1.2, 0.75
 MAX_QUERY = 1000
+#: Characters of the longest token that has a posting.
+MAX_TOKEN = 512
 
 
 def tokens(text: Column) -> Column:
@@ -21,18 +28,34 @@ def tokens(text: Column) -> Column:
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks once each, whole; this exchanges contents, so it is for results that are contents."""
     return chunks.where("content is not null").select("chunk_id", "file_id", "start_line", "content").distinct()
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, file_id, term, tf, first): how often and first where each term occurs in a chunk."""
-    rows = distinct_chunks(chunks).select("chunk_id", "file_id", F.posexplode(tokens(F.col("content"))).alias("at", "term"))
-    return rows.groupBy("chunk_id", "file_id", "term").agg(F.count("*").alias("tf"), F.min("at").alias("first"))
+def _once(rows: DataFrame) -> DataFrame:
+    """What was found of chunks, with one row for each different chunk, the contents themselves staying where they are."""
+    return rows.distinct()
+
+
+def _keys() -> list[Column]:
+    """What tells chunks apart; contents by two hashes."""
+    return [F.col("chunk_id"), F.col("file_id"), F.col("start_line"), F.xxhash64("content").alias("skerry_a"), F.hash("content").alias("skerry_b")]
 
 
-def write_postings(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """The inverted index as Parquet, in buckets of terms, so that a query reads the buckets of its terms only."""
-    postings(chunks).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def lengths(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, length in tokens, ...) of each different chunk."""
+    return _term_counts(chunks, [])
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, file_id, term, tf, first, length): how often and first where each term occurs in a chunk.
+
+    Terms are counted within each chunk before anything is exchanged, so copies of a chunk give equal rows.
+    """
+    rows = chunks.where("content is not null").select(F.monotonically_increasing_id().alias("skerry_row"), *_keys(), tokens(F.col("content")).alias("words"))
+    terms = rows.select(*rows.columns[:-1], F.size("words").alias("length"), F.posexplode("words").alias("at", "term"))
+    counted = terms.groupBy("skerry_row", "chunk_id", "file_id", "start_line", "skerry_a", "skerry_b", "length", "term").agg(F.count("*").alias("tf"), F.min("at").alias("first"))
+    return _once(counted.drop("skerry_row")).drop("start_line", "skerry_a", "skerry_b")
 
 
 def query_terms(query: str) -> list[str]:
@@ -44,67 +67,97 @@ def query_terms(query: str) -> list[str]:
 def search_all(chunks: DataFrame, query: str, prefix: bool = False) -> DataFrame:
     """(chunk_id, file_id, bm25) of chunks that hold every term of the query, or a word that starts with it.
 
-    Only the terms asked for leave the scan: chunks are turned into the counts of these terms and
-    their length by built-in functions, and no posting is exchanged. The statistics are two counts.
+    Without a stored index: contents become the counts of these terms and their length in the scan, and
+    only these are exchanged, to leave copies of chunks out. See ``index.SearchIndex`` for a stored one.
     """
     terms = query_terms(query)
-    if not terms:
-        return distinct_chunks(chunks).select("chunk_id", "file_id", F.lit(0.0).alias("bm25")).where(F.lit(False))
-    words = distinct_chunks(chunks).select("chunk_id", "file_id", tokens(F.col("content")).alias("words"))
+    counts = _term_counts(chunks, terms, prefix)
+    return _scored(counts, len(terms)).select("chunk_id", "file_id", "bm25")
+
+
+def _term_counts(chunks: DataFrame, terms: Sequence[str], prefix: bool = False, more: Sequence[Column] = ()) -> DataFrame:
+    """Of each different chunk its length, how often it has each term, and ``more``."""
+    rows = chunks.where("content is not null").select(*_keys(), *more, tokens(F.col("content")).alias("words"))
     same = (lambda q: lambda w: w.startswith(q)) if prefix else (lambda q: lambda w: w == q)
-    counts = words.select("chunk_id", "file_id", F.size("words").alias("length"), *(F.size(F.filter("words", same(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = counts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))))
-    score = F.lit(0.0)
-    held = F.lit(True)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(F.lit(1.0) + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return _once(rows.select(*rows.columns[:-1], F.size("words").alias("length"), *(F.size(F.filter("words", same(t))).alias(f"tf{i}") for i, t in enumerate(terms))))
+
+
+def _scored(counts: DataFrame, n_terms: int) -> DataFrame:
+    """The chunks that have all terms, with their score; a query without terms finds none."""
+    if not n_terms:
+        return counts.withColumn("bm25", F.lit(0.0)).where(F.lit(False))
+    stats = counts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(n_terms)))
+    score, held = F.lit(0.0), F.lit(True)
+    for i in range(n_terms):
+        tf = F.col(f"tf{i}")
+        score = score + bm25(tf, F.col(f"df{i}"), F.col("length"), F.col("n"), F.col("mean"))
         held = held & (tf > 0)
     # one row of statistics, whatever the size of the index
-    return counts.join(F.broadcast(stats), how="inner").where(held).select("chunk_id", "file_id", F.round(score, 6).alias("bm25"))
+    return counts.join(F.broadcast(stats), how="inner").where(held).withColumn("bm25", F.round(score, 6))
+
+
+def bm25(tf: Column, df: Column, length: Column, n: Column, mean: Column) -> Column:
+    idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def search_ranked(chunks: DataFrame, files: DataFrame, symbols: DataFrame, query: str, limit: int) -> DataFrame:
     """Ranked hits: (rank, path, chunk_id, symbol_bucket, prefix_bucket, text_match, bucket, bm25).
 
     First come chunks with a symbol of exactly this name, then files with one, then the rest; next
-    prefixes of names, then whether the query occurs as it stands, the kind of path, and BM25.
+    prefixes of names, then whether the query occurs as it stands, the kind of path, and BM25. What is
+    asked of a content is asked in the scan, so no content leaves it.
     """
     low = query.strip().lower()
-    hits = search_all(chunks, query).join(distinct_chunks(chunks).select("chunk_id", "start_line", "content").withColumn("end_line", F.col("start_line") + F.size(F.split("content", "\n", -1)) - 1), "chunk_id")
-    named = symbols.select("file_id", ascii_lower(F.col("name")).alias("n"), F.coalesce("start_line", "line").alias("at"))
-    exact, pre = named.where(F.col("n") == low), named.where(F.col("n").startswith(low))
-
-    def inside(names: DataFrame, tag: str) -> DataFrame:
-        spots = hits.select("chunk_id", "file_id", "start_line", "end_line").join(names, "file_id").where(F.col("at").between(F.col("start_line"), F.col("end_line")))
-        return spots.select("chunk_id").distinct().withColumn(tag, F.lit(True))
-
-    def held(names: DataFrame, tag: str) -> DataFrame:
-        return names.select("file_id").distinct().withColumn(tag, F.lit(True))
-
-    rows = hits
-    for names, tag in ((exact, "x"), (pre, "p")):
-        rows = rows.join(inside(names, f"{tag}_chunk"), "chunk_id", "left").join(held(names, f"{tag}_file"), "file_id", "left")
-    bucket = lambda t: F.when(F.col(f"{t}_chunk"), 0).when(F.col(f"{t}_file"), 1).otherwise(2)
-    rows = rows.join(files.select("file_id", "path"), "file_id").select(
-        "path", "chunk_id", bucket("x").alias("symbol_bucket"), bucket("p").alias("prefix_bucket"),
-        F.when(F.contains(F.lower("content"), F.lit(low)), 0).otherwise(1).alias("text_match"), path_bucket(F.col("path")).alias("bucket"), "bm25",
+    terms = query_terms(query)
+    asked = [F.contains(F.lower("content"), F.lit(low)).alias("text_match"), (F.col("start_line") + F.size(F.split("content", "\n", -1)) - 1).alias("end_line")]
+    hits = _scored(_term_counts(chunks, terms, more=asked), len(terms)).select("chunk_id", "file_id", "start_line", "end_line", "text_match", "bm25")
+    named = symbols.where(ascii_lower(F.col("name")).startswith(low)).select("file_id", (ascii_lower(F.col("name")) == low).alias("exact"), F.coalesce("start_line", "line").alias("at"))
+    by_file = named.groupBy("file_id").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("at")))).alias("exact_at"), F.sort_array(F.collect_set("at")).alias("at"), F.max("exact").alias("exact"))
+    inside = lambda c: F.exists(c, lambda n: n.between(F.col("start_line"), F.col("end_line")))
+    rows = hits.join(by_file, "file_id", "left").join(files.select("file_id", "path"), "file_id").select(
+        "path", "chunk_id",
+        F.when(inside("exact_at"), 0).when(F.col("exact"), 1).otherwise(2).alias("symbol_bucket"),
+        F.when(inside("at"), 0).when(F.col("exact").isNotNull(), 1).otherwise(2).alias("prefix_bucket"),
+        F.when(F.col("text_match"), 0).otherwise(1).alias("text_match"), path_bucket(F.col("path")).alias("bucket"), "bm25",
     )
     order = ["symbol_bucket", "prefix_bucket", "text_match", "bucket", F.desc("bm25"), "path", "chunk_id"]
     top = rows.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def found_chunks(chunks: DataFrame, found: Column, *more: Column) -> DataFrame:
+    """(chunk_id, file_id, ...) of the different chunks that ``found`` holds for; contents stay in the scan."""
+    rows = _once(chunks.where(F.col("content").isNotNull() & found).select(*_keys(), *more))
+    return rows.drop("start_line", "skerry_a", "skerry_b")
+
+
+def phrase_first(chunks: DataFrame, query: str) -> DataFrame:
+    """(chunk_id, file_id, rank) of chunks that hold all words of a query; those that hold it as it stands come first, with rank 0."""
+    words = [F.contains(F.lower("content"), F.lit(t)) for t in query_terms(query)]
+    return found_chunks(chunks, functools.reduce(Column.__and__, words, F.lit(bool(words))), F.when(F.contains("content", F.lit(query)), 0).otherwise(1).alias("rank"))
+
+
+def long_token_hits(chunks: DataFrame, query: str, longest: int = MAX_TOKEN) -> DataFrame:
+    """(chunk_id, file_id) of chunks that hold the query, whatever its case, in files with a token too long to be indexed.
+
+    Such tokens have no posting, so only a look at the contents finds what lies in them.
+    """
+    if not query.isascii():
+        raise ValueError("only ASCII can be sought in long tokens")
+    odd = found_chunks(chunks, F.col("content").rlike(f"[A-Za-z0-9_]{{{longest + 1}}}")).select("file_id").distinct()
+    return found_chunks(chunks, F.contains(F.lower("content"), F.lit(query.lower()))).join(odd, "file_id", "left_semi").select("chunk_id", "file_id")
+
+
 def exact_substring(chunks: DataFrame, query: str) -> DataFrame:
-    return distinct_chunks(chunks).where(F.contains("content", F.lit(query))).select("chunk_id", "file_id")
+    return found_chunks(chunks, F.contains("content", F.lit(query)))
 
 
 def token_boundary(chunks: DataFrame, query: str) -> DataFrame:
     """Chunks where the query occurs with no letter, digit or underscore of ASCII right before or after it."""
     quoted = "\\Q" + query + "\\E"
     found = F.contains("content", F.lit(query)) & F.col("content").rlike(f"(?<![A-Za-z0-9_]){quoted}(?![A-Za-z0-9_])")
-    return distinct_chunks(chunks).where(found).select("chunk_id", "file_id")
+    return found_chunks(chunks, found)
 
 
 # the syntax of raw queries
@@ -241,42 +294,76 @@ def raw_search(chunks: DataFrame, query: str) -> DataFrame:
     node = _RawQuery(query).read()
     # the words are bound to a lambda's variable, so that they are split once and not for each place they are looked at
     found = F.get(F.transform(F.array(tokens(F.col("content"))), lambda words: _holds(node, words)), 0)
-    return distinct_chunks(chunks).where(found).select("chunk_id", "file_id")
+    return found_chunks(chunks, found)
 
 
 #: Words that begin statements.
-_KEYWORDS = frozenset("class def function func public private static return import using namespace new await async".split())
+_KEYWORDS = ("class", "def", "function", "func", "public", "private", "static", "return", "import", "using", "namespace", "new", "await", "async")
+#: Operators that stand alone.
+_OPERATORS = ("=>", "->", "::", "==", "!=", "&&", "||")
 
 
-def suggests_exact(query: str) -> bool:
-    """Whether a query looks like code, so that an exact substring search may serve better."""
-    if sum(c in "(){}[];=<>.:&|!+-*/%" for c in query) >= 2:
-        return True
-    words = query.split()
-    return any(w in ("=>", "->", "::", "==", "!=", "&&", "||") for w in words) or (len(words) > 1 and words[0] in _KEYWORDS and re.fullmatch(r"[A-Za-z_]\w*", words[1]) is not None)
+def advised(queries: DataFrame) -> DataFrame:
+    """(query, exact): whether a query looks like code, so that an exact substring search may serve better.
+
+    That is with two or more marks of code, an operator that stands alone, or a keyword and then a name.
+    """
+    marks = F.length(F.regexp_replace("query", r"[^(){}\[\];=<>.:&|!+\-*/%]", ""))
+    words = F.filter(F.split("query", r"\s+"), lambda w: w != "")
+    stands = F.arrays_overlap(words, F.array(*(F.lit(o) for o in _OPERATORS)))
+    phrase = (F.size(words) > 1) & F.get(words, 0).isin(*_KEYWORDS) & F.get(words, 1).rlike(r"^[A-Za-z_]\w*$")
+    return queries.select("query", F.when(F.col("query").isNotNull(), (marks >= 2) | stands | F.coalesce(phrase, F.lit(False))).alias("exact"))
+
+
+def suggests_exact(spark: SparkSession, query: str) -> bool:
+    return advised(spark.createDataFrame([(query,)], "query string")).first().exact
 
 
 # hits on lines
 
 
-def line_hits(lines: DataFrame, query: str) -> DataFrame:
-    """(file_id, line, text) of lines that hold the query, without regard to ASCII case."""
-    return lines.where(F.contains(F.lower("text"), F.lit(query.lower()))).select("file_id", "line", "text")
+def line_hits(chunks: DataFrame, query: str) -> DataFrame:
+    """(file_id, line, text) of lines that hold the query, without regard to case."""
+    return literal_lines(chunks, query).select("file_id", "line", "text")
+
+
+class GuardBudgetError(ValueError):
+    """More candidates than a guard may look at."""
+
 
+def within_budget(hits: DataFrame, most: int = 200) -> DataFrame:
+    """``hits``, if they are at most ``most``; a guard on more is refused with ``GuardBudgetError``."""
+    if hits.limit(most + 1).count() > most:
+        raise GuardBudgetError(f"more than {most} candidates")
+    return hits
 
-def guarded(hits: DataFrame, lines: DataFrame, guard: str, window: int, side: str = "before", require: bool = True) -> DataFrame:
+
+def guarded(hits: DataFrame, chunks: DataFrame, guard: str, window: int, side: str = "before", require: bool = True) -> DataFrame:
     """Hits that have, or have not, a guard within a window of lines on one side or on the same line.
 
     The guard's lines are turned into the lines they reach, so the test is an equi-join on file and line.
     """
-    marks = line_hits(lines, guard).select("file_id", F.col("line").alias("at"))
+    marks = line_hits(chunks, guard).select("file_id", F.col("line").alias("at"))
     lo, hi = {"before": (1, window), "after": (-window, -1), "same": (0, 0)}[side]
     reach = marks.select("file_id", F.explode(F.sequence(F.col("at") + lo, F.col("at") + hi)).alias("line")).distinct()
     return hits.join(reach, ["file_id", "line"], "left_semi" if require else "left_anti")
 
 
+def guarded_in_symbol(hits: DataFrame, chunks: DataFrame, guard: str, symbols: DataFrame, side: str = "before", require: bool = True) -> DataFrame:
+    """Hits that have, or have not, a guard before or after them in the same innermost symbol.
+
+    Of a symbol's guards the first and the last line tell, so hits and guards are never paired. A hit
+    outside of all symbols has no guard.
+    """
+    marks = enclosing_symbols(line_hits(chunks, guard).select("file_id", "line"), symbols).where("symbol_id is not null")
+    ends = marks.groupBy("file_id", "symbol_id").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    rows = enclosing_symbols(hits.select("file_id", "line"), symbols).join(ends, ["file_id", "symbol_id"], "left")
+    there = F.coalesce(F.col("first") < F.col("line") if side == "before" else F.col("last") > F.col("line"), F.lit(False))
+    return rows.where(there if require else ~there).select("file_id", "line")
+
+
 def enclosing_symbols(hits: DataFrame, symbols: DataFrame, bucket: int = 64) -> DataFrame:
-    """Hits with the innermost symbol that covers their line: (*, symbol_name, symbol_kind), null where there is none.
+    """Hits with the innermost symbol that covers their line: (*, symbol_id, symbol_name, symbol_kind, symbol_line), null where there is none.
 
     Covering is an equi-join on file and on stretches of ``bucket`` lines, with the exact range as a
     residue, so a file with many symbols and hits doesn't pair them all.
@@ -288,7 +375,7 @@ def enclosing_symbols(hits: DataFrame, symbols: DataFrame, bucket: int = 64) ->
     keyed = hits.select("file_id", "line").distinct().withColumn("stretch", F.floor(F.col("line") / bucket))
     found = keyed.join(reach, ["file_id", "stretch"]).where("line between s and e")
     inner = found.groupBy("file_id", "line").agg(F.min(F.struct((F.col("e") - F.col("s")).alias("span"), (-F.col("s")).alias("x"), "symbol_id", "n", "k")).alias("best"))
-    return hits.join(inner, ["file_id", "line"], "left").select(*[hits[c] for c in hits.columns], F.col("best.n").alias("symbol_name"), F.col("best.k").alias("symbol_kind"))
+    return hits.join(inner, ["file_id", "line"], "left").select(*[hits[c] for c in hits.columns], F.col("best.symbol_id").alias("symbol_id"), F.col("best.n").alias("symbol_name"), F.col("best.k").alias("symbol_kind"), (-F.col("best.x")).alias("symbol_line"))
 
 
 def structured_order(symbols: DataFrame) -> DataFrame:
@@ -310,6 +397,21 @@ def origin_of(lang: Column, text: Column, column: Column) -> Column:
     return F.when(lang.isNull(), "unknown").when(comment, "comment").when(bare.rlike("[\"'`]"), "string_literal").otherwise("code")
 
 
+def result_kinds(hits: DataFrame, query: str, column: str = "column") -> DataFrame:
+    """``hits`` (file_id, line, text, lang, symbol_line and the column of a match) with ``kinds``: what a match is, sorted.
+
+    Always its origin; identifier if that is code, declaration on the line where its innermost symbol
+    begins, call_site if elsewhere in code the name that ends the query is followed by a bracket.
+    """
+    probe = re.search(r"[A-Za-z_@][A-Za-z0-9_@]*(?:\.[A-Za-z_@][A-Za-z0-9_@]*)*$", query.strip())
+    name = probe.group().removeprefix("@") if probe else ""
+    rows = hits.withColumn("origin", origin_of(F.col("lang"), F.col("text"), F.col(column)))
+    code, declared = F.col("origin") == "code", F.coalesce(F.col("symbol_line") == F.col("line"), F.lit(False))
+    called = code & ~declared & F.contains("text", F.lit(name + "(")) if name else F.lit(False)
+    kinds = F.array(F.col("origin"), F.when(code, "identifier"), F.when(declared, "declaration"), F.when(called, "call_site"))
+    return rows.withColumn("kinds", F.sort_array(F.array_compact(kinds))).drop("origin")
+
+
 def first_per_file(hits: DataFrame, per_file: int, total: int | None = None) -> DataFrame:
     """The first hits of each file by line and column, then at most ``total`` by path order."""
     w = Window.partitionBy("path").orderBy("line", "column")
@@ -317,17 +419,47 @@ def first_per_file(hits: DataFrame, per_file: int, total: int | None = None) ->
     return rows if total is None else rows.orderBy("path", "line", "column").limit(total)
 
 
-def sample_hits(hits: DataFrame, share_of_1000: int, seed: int = 0) -> DataFrame:
-    """A sample that is the same on every run: those whose hash of place and seed falls below a bound."""
-    key = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("column").cast("string"), F.lit(str(seed)))
-    return hits.where(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % 1000 < share_of_1000)
+#: Start and factor of the 64-bit FNV-1a hash, and the seed of samples.
+FNV_START = 14695981039346656037
+FNV_FACTOR = 1099511628211
+SAMPLE_SEED = 0
+
+
+def fnv1a(*columns: pd.Series, seed: int = SAMPLE_SEED) -> pd.Series:
+    """FNV-1a of the UTF-16 units of texts, each followed by 0xff, as a signed number whose order is that of the unsigned one."""
+    n = len(columns[0])
+    h = np.full(n, FNV_START ^ seed, dtype=np.uint64)
+    factor = np.uint64(FNV_FACTOR)
+    with np.errstate(over="ignore"):
+        for texts in columns:
+            units = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in texts]
+            sizes = np.array([len(u) for u in units])
+            for k in range(sizes.max(initial=0)):
+                on = np.flatnonzero(sizes > k)
+                h[on] = (h[on] ^ np.array([units[i][k] for i in on], dtype=np.uint64)) * factor
+            h = (h ^ np.uint64(0xFF)) * factor
+    return pd.Series((h ^ np.uint64(1 << 63)).view(np.int64))
+
+
+def sample_hits(hits: DataFrame, size: int, order: Sequence[str], fields: Sequence[str], seed: int = SAMPLE_SEED) -> DataFrame:
+    """``size`` hits, the same on every run: those with the least hashes of ``fields`` and of their place in ``order``, from 0.
+
+    As many hits as there are up to ``size`` come whole; of a sample of one it is the first.
+    """
+    if size == 1:
+        return hits.orderBy(*order).limit(1)
+    placed = numbered(hits, order, "skerry_place")
+    key = F.pandas_udf(lambda *c: fnv1a(*c, seed=seed), "bigint")
+    keyed = placed.withColumn("skerry_key", key(*(F.col(c).cast("string") for c in fields), F.col("skerry_place").cast("string")))
+    return keyed.orderBy("skerry_key", "skerry_place").limit(size).drop("skerry_key", "skerry_place")
 
 
-def named_queries(lines: DataFrame, queries: dict[str, str]) -> DataFrame:
-    """(query_name, file_id, line) of several queries in one pass over the lines."""
-    low = F.lower("text")
-    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(q.lower())), F.lit(n)) for n, q in queries.items())))
-    return lines.select("file_id", "line", F.explode(found).alias("query_name"))
+def named_queries(chunks: DataFrame, queries: dict[str, str]) -> DataFrame:
+    """(query_name, file_id, line) of several queries in one pass over the contents."""
+    holds = lambda c: {n: F.contains(F.lower(c), F.lit(q.lower())) for n, q in queries.items()}
+    some = lambda c: functools.reduce(Column.__or__, holds(c).values())
+    lines = matching_lines(chunks, some, some)
+    return lines.select("file_id", "line", F.explode(F.array_compact(F.array(*(F.when(h, F.lit(n)) for n, h in holds(F.col("text")).items())))).alias("query_name"))
 
 
 #: Built-in sets of queries for audits.
@@ -338,10 +470,10 @@ RECIPES: dict[str, Sequence[str]] = {
 }
 
 
-def audit(lines: DataFrame, recipes: dict[str, Sequence[str]] = RECIPES) -> DataFrame:
+def audit(chunks: DataFrame, recipes: dict[str, Sequence[str]] = RECIPES) -> DataFrame:
     """(recipe, query, findings, files) of all recipes in one pass over the lines."""
     flat = {f"{r}\t{q}": q for r, qs in recipes.items() for q in qs}
-    hits = named_queries(lines, flat)
+    hits = named_queries(chunks, flat)
     return hits.groupBy("query_name").agg(F.count("*").alias("findings"), F.countDistinct("file_id").alias("files")).select(
         F.split("query_name", "\t")[0].alias("recipe"), F.split("query_name", "\t")[1].alias("query"), "findings", "files"
     )

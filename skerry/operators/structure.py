@@ -11,9 +11,12 @@ from skerry.runtime import cut_lineage
 from skerry.schema import HOTSPOT_WEIGHTS
 
 #: Names that say little as hotspots.
-GENERIC_NAMES = tuple("add append build call combine convert create execute get getstring getvalue getvalues handle invoke load parse process read resolve run set start stop tolist tostring tryparse update write".split())
-#: Names with more defining files than this in a language aren't expanded into pairs of files; ``ambiguous_sides`` has both of their sides, whole.
-MOST_TARGETS = 8
+GENERIC_NAMES = (
+    "add", "append", "build", "call", "combine", "convert", "create", "execute", "get", "getstring", "getvalue", "getvalues", "handle", "invoke", "load", "parse", "process",
+    "read", "resolve", "run", "set", "start", "stop", "tolist", "tostring", "tryparse", "update", "write",
+)
+#: A name that more files than this define in a language is ambiguous: counts and ranks are then taken from its two sides, not from pairs of files. Results don't depend on it.
+AMBIGUOUS_FROM = 8
 _CLASS_KINDS = ("class", "struct", "interface", "enum", "record")
 
 
@@ -24,16 +27,19 @@ def name_uses(refs: DataFrame, files: DataFrame) -> DataFrame:
     return uses.join(files.select(F.col("file_id").alias("src"), "lang"), "src").where("lang is not null")
 
 
-def targets(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(dst, lang, name_folded): each file that defines a name, for names that few files define."""
-    rows = symbols.where("name_folded is not null").join(files.select("file_id", "lang"), "file_id").select(F.col("file_id").alias("dst"), "lang", "name_folded").distinct()
-    few = definition_names(symbols, files).where(F.col("files") <= MOST_TARGETS).select("lang", "name_folded")
-    return rows.join(few, ["lang", "name_folded"], "left_semi")
+def definitions_by_file(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(dst, lang, name_folded): each file that defines a name, however many define it."""
+    return symbols.where("name_folded is not null").join(files.select("file_id", "lang"), "file_id").where("lang is not null").select(F.col("file_id").alias("dst"), "lang", "name_folded").distinct()
+
+
+def _few_targets(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    few = definition_names(symbols, files).where(F.col("files") <= AMBIGUOUS_FROM).select("lang", "name_folded")
+    return definitions_by_file(symbols, files).join(few, ["lang", "name_folded"], "left_semi")
 
 
 def ambiguous_targets(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(lang, name_folded, files): the names that aren't expanded into pairs of files."""
-    return definition_names(symbols, files).where(F.col("files") > MOST_TARGETS).select("lang", "name_folded", "files")
+    """(lang, name_folded, files): the names that many files define."""
+    return definition_names(symbols, files).where((F.col("files") > AMBIGUOUS_FROM) & F.col("lang").isNotNull()).select("lang", "name_folded", "files")
 
 
 def ambiguous_sides(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -54,11 +60,12 @@ def ambiguous_sides(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Da
 def file_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(src_path, dst_path, reference_count, symbol_count, symbols): which file uses names that another defines.
 
-    Uses are summed by file and name, and definitions by name and file, before they meet; a name meets
-    at most ``MOST_TARGETS`` files, so the join grows with the number of distinct uses. ``symbols`` are
-    the first 32 names.
+    Uses are summed by file and name, and definitions by name and file, before they meet, so no edge is
+    made twice for a name. The edges are the result, by common names too; who wants counts or ranks of
+    them finds these without pairs in ``dependent_counts`` and ``ranked_dependencies``, and both sides
+    of common names in ``ambiguous_sides``. ``symbols`` are the first 32 names.
     """
-    edges = name_uses(refs, files).join(targets(symbols, files), ["lang", "name_folded"]).where("src <> dst")
+    edges = name_uses(refs, files).join(definitions_by_file(symbols, files), ["lang", "name_folded"]).where("src <> dst")
     totals = edges.groupBy("src", "dst").agg(F.sum("sites").alias("reference_count"), F.count("*").alias("symbol_count"), F.slice(F.sort_array(F.collect_set("symbol")), 1, 32).alias("symbols"))
     a = files.select(F.col("file_id").alias("src"), F.col("path").alias("src_path"))
     b = files.select(F.col("file_id").alias("dst"), F.col("path").alias("dst_path"))
@@ -75,30 +82,16 @@ def dependency_evidence(refs: DataFrame, symbols: DataFrame, files: DataFrame) -
     return edges.groupBy("src", "dst", F.col("reference_kind").alias("kind"), F.col("resolution_state").alias("state")).agg(F.sum("n").alias("n"))
 
 
-def ranked_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame, limit: int) -> DataFrame:
-    """Edges by a score that counts noise names a tenth: sum of sites times mean penalty."""
-    edges = name_uses(refs, files).join(targets(symbols, files), ["lang", "name_folded"]).where("src <> dst")
-    tenths = F.when(is_noise(F.col("symbol")), 1).otherwise(10)
-    totals = edges.groupBy("src", "dst").agg(F.sum("sites").alias("reference_count"), F.sum(tenths).alias("tenths"), F.count("*").alias("n"))
-    scored = totals.select("src", "dst", "reference_count", F.round(F.col("reference_count") * F.col("tenths") / (F.col("n") * 10), 4).alias("score"))
-    return scored.orderBy(F.desc("score"), "src", "dst").limit(limit)
-
-
-def _all_definitions(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(dst, lang, name_folded): each file that defines a name, however many define it."""
-    return symbols.where("name_folded is not null").join(files.select("file_id", "lang"), "file_id").where("lang is not null").select(F.col("file_id").alias("dst"), "lang", "name_folded").distinct()
-
-
 def dependencies_by_name(refs: DataFrame, symbols: DataFrame, files: DataFrame, prefix: str) -> DataFrame:
     """(src, dst, n) of all edges by names that begin with ``prefix``; the pairs are the result, so all are written out."""
     uses = name_uses(refs, files).where(F.col("name_folded").startswith(prefix))
-    defs = _all_definitions(symbols, files).where(F.col("name_folded").startswith(prefix))
+    defs = definitions_by_file(symbols, files).where(F.col("name_folded").startswith(prefix))
     return uses.join(defs, ["lang", "name_folded"]).where("src <> dst").groupBy("src", "dst").agg(F.sum("sites").alias("n"))
 
 
 def _name_sets(symbols: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dst, set_id) of each file that defines ambiguous names, and (set_id, lang, name_folded) of each different set of them."""
-    hot = _all_definitions(symbols, files).join(ambiguous_targets(symbols, files).select("lang", "name_folded"), ["lang", "name_folded"], "left_semi")
+    hot = definitions_by_file(symbols, files).join(ambiguous_targets(symbols, files).select("lang", "name_folded"), ["lang", "name_folded"], "left_semi")
     by_file = hot.groupBy("dst", "lang").agg(F.sort_array(F.collect_set("name_folded")).alias("names"))
     by_file = cut_lineage(by_file.withColumn("set_id", F.sha2(F.to_json(F.struct("lang", "names")), 256)))
     sets = by_file.select("set_id", "lang", "names").distinct().select("set_id", "lang", F.explode("names").alias("name_folded"))
@@ -114,15 +107,15 @@ def dependent_counts(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> D
     uses = cut_lineage(name_uses(refs, files).select("src", "lang", "name_folded"))
     member, sets = _name_sets(symbols, files)
     shared = cut_lineage(uses.join(sets, ["lang", "name_folded"]).select("set_id", "src").distinct())
-    few = uses.join(targets(symbols, files), ["lang", "name_folded"]).where("src <> dst").select("src", "dst").distinct()
+    few = uses.join(_few_targets(symbols, files), ["lang", "name_folded"]).where("src <> dst").select("src", "dst").distinct()
     few = few.join(member, "dst", "left").join(shared, ["set_id", "src"], "left_anti").groupBy("dst").agg(F.count("*").alias("n"))
     users = member.join(shared.groupBy("set_id").agg(F.count("*").alias("n")), "set_id").select("dst", "n")
     itself = member.withColumn("src", F.col("dst")).join(shared, ["set_id", "src"], "left_semi").select("dst", F.lit(-1).cast("bigint").alias("n"))
     return few.unionByName(users).unionByName(itself).groupBy("dst").agg(F.sum("n").alias("dependents")).where("dependents > 0")
 
 
-def ranked_all_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame, limit: int) -> DataFrame:
-    """The edges of ``ranked_dependencies`` with ambiguous names in their scores.
+def ranked_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame, limit: int) -> DataFrame:
+    """Edges by a score that counts noise names a tenth: sum of sites times mean penalty.
 
     What ambiguous names give an edge depends on the user and the name set of the defining file, so it
     is summed by these. Edges that have other names too are scored one by one; of the rest, which
@@ -132,7 +125,7 @@ def ranked_all_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFram
     total = (F.sum("sites").alias("sites"), F.sum("tenths").alias("tenths"), F.count("*").alias("n"))
     member, sets = _name_sets(symbols, files)
     shared = cut_lineage(uses.join(sets, ["lang", "name_folded"]).groupBy("src", "set_id").agg(*total))
-    few = cut_lineage(uses.join(targets(symbols, files), ["lang", "name_folded"]).where("src <> dst").groupBy("src", "dst").agg(*total).join(member, "dst", "left"))
+    few = cut_lineage(uses.join(_few_targets(symbols, files), ["lang", "name_folded"]).where("src <> dst").groupBy("src", "dst").agg(*total).join(member, "dst", "left"))
     more = shared.select("src", "set_id", F.col("sites").alias("sites_"), F.col("tenths").alias("tenths_"), F.col("n").alias("n_"))
     both = few.join(more, ["src", "set_id"], "left").select("src", "dst", *((F.col(c) + F.coalesce(f"{c}_", F.lit(0))).alias(c) for c in ("sites", "tenths", "n")))
     # pairs of a user and a set that are edges by ambiguous names alone

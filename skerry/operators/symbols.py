@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.operators.graph import definition_names, reference_sites
+from skerry.operators.lines import lines_at
 from skerry.operators.predicates import any_of, ascii_lower, name_matches, path_bucket, visibility_rank, weight
 from skerry.schema import HOTSPOT_WEIGHTS
 
@@ -69,11 +70,11 @@ def partial_families(symbols: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def definitions(symbols: DataFrame, files: DataFrame, lines: DataFrame, name: str, body_lines: int = 20) -> DataFrame:
+def definitions(symbols: DataFrame, files: DataFrame, chunks: DataFrame, name: str, body_lines: int = 20) -> DataFrame:
     """Definitions of a name with up to ``body_lines`` lines of their text."""
     found = symbols.where(ascii_lower(F.col("name")) == name.lower()).where("start_line is not null")
     wanted = found.select("symbol_id", "file_id", F.explode(F.sequence(F.col("start_line"), F.least(F.coalesce("end_line", "start_line"), F.col("start_line") + body_lines - 1))).alias("line"))
-    text = wanted.join(lines.select("file_id", "line", "text"), ["file_id", "line"]).groupBy("symbol_id").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("rows"))
+    text = wanted.join(lines_at(chunks, wanted), ["file_id", "line"]).groupBy("symbol_id").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("rows"))
     body = text.select("symbol_id", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("body"))
     return found.join(files.select("file_id", "path"), "file_id").join(body, "symbol_id", "left").select("path", "symbol_id", "name", "kind", "start_line", "end_line", "body")
 

@@ -84,10 +84,10 @@ def _(ix):
     return ix.symbols.where(F.col("kind").isin("class", "method") & (rank <= 1)).select("symbol_id", "name", rank.alias("rank"))
 
 
-@query("F11_path_partition", q.with_(q.FILES) + "select cast(('0x' || substr(md5(path), 1, 6))::bigint % 4 as int) as part, count(*) as files, min(path) as first from f where path is not null group by 1")
+@query("F11_path_partition", q.with_(q.FILES) + "select file_id, path from f where path in (select path from f where path is not null order by md5(path) limit 40)")
 def _(ix):
-    part = (F.conv(F.substring(F.md5("path"), 1, 6), 16, 10).cast("bigint") % 4).cast("int")
-    return ix.files.where("path is not null").groupBy(part.alias("part")).agg(F.count("*").alias("files"), F.min("path").alias("first"))
+    part = [r.path for r in ix.files.where("path is not null").orderBy(F.md5("path")).select("path").limit(40).collect()]  # the parts of an audit are lists that a user gives
+    return ix.files.where(predicates.in_partition(F.col("path"), part)).select("file_id", "path")
 
 
 _N = q.folded("name")
@@ -123,10 +123,10 @@ def _(ix):
 
 @query("F16_evidence", q.with_(q.REFS) + "select resolution_state, reference_kind, count(*) as n from r where resolution_state in ('resolved', 'ambiguous') and reference_kind in ('call', 'instantiate') group by all")
 def _(ix):
-    return ix.refs.where(F.col("resolution_state").isin("resolved", "ambiguous") & F.col("reference_kind").isin("call", "instantiate")).groupBy("resolution_state", "reference_kind").agg(F.count("*").alias("n"))
+    return ix.refs.where(predicates.evidence(F.col("resolution_state"), F.col("reference_kind"), ["resolved", "ambiguous"], ["call", "instantiate"])).groupBy("resolution_state", "reference_kind").agg(F.count("*").alias("n"))
 
 
-@query("F17_noise", q.with_(q.REFS) + f"select symbol_name, count(*) as n from r where symbol_name in {q.in_list(predicates.NOISE_NAMES)} group by symbol_name")
+@query("F17_noise", q.with_(q.REFS) + f"select symbol_name, count(*) as n from r where lower(symbol_name) in {q.in_list(n.lower() for n in q.NOISE)} group by symbol_name")
 def _(ix):
     return ix.refs.where(predicates.is_noise(F.col("symbol_name"))).groupBy("symbol_name").agg(F.count("*").alias("n"))
 
@@ -145,13 +145,13 @@ SQL["L10_lines"] = SQL["L10_lines"].replace("sum(length(text)) as", "cast(sum(le
 @query("L01_find", _LN + f"""select path, {q.bucket()} as bucket, line, col as "column", text from (
   select file_id, line, text, unnest(list_filter(range(1, length(text) + 1), lambda i: lower(substr(text, i, 5)) = 'graph')) as col from ln where contains(lower(text), 'graph')) join f using (file_id)""")
 def _(ix):
-    return lines.find_literal(lines.file_lines(ix.chunks), ix.files, "Graph")
+    return lines.find_literal(ix.chunks, ix.files, "Graph")
 
 
 @query("L01_find_overlapping", _LN + f"""select path, {q.bucket()} as bucket, line, col as "column", text from (
   select file_id, line, text, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 2) = 'oo')) as col from ln where contains(text, 'oo')) join f using (file_id)""")
 def _(ix):
-    return lines.find_literal(lines.file_lines(ix.chunks), ix.files, "oo", exact=True)
+    return lines.find_literal(ix.chunks, ix.files, "oo", exact=True)
 
 
 _RX = "[A-Z][a-z]+Graph[A-Z][a-z]+"
@@ -159,7 +159,7 @@ _RX = "[A-Z][a-z]+Graph[A-Z][a-z]+"
 
 @query("L02_regex", _LN + f"select path, line, cast(k - 1 as int) as ordinal, m[k] as match from (select file_id, line, m, unnest(range(1, len(m) + 1)) as k from (select file_id, line, regexp_extract_all(text, '{_RX}') as m from ln)) join f using (file_id)")
 def _(ix):
-    return lines.find_regex(lines.file_lines(ix.chunks), ix.files, _RX)
+    return lines.find_regex(ix.chunks, ix.files, _RX)
 
 
 @query("L03_windows")
@@ -169,49 +169,36 @@ def _(ix):
 
 @query("L05_context", _LN + "select h.file_id, h.line as hit_line, ln.line, ln.text from (select file_id, line from ln where contains(lower(text), 'licensed under') or contains(lower(text), 'budgetprobe')) h join ln on ln.file_id = h.file_id and ln.line between h.line - 2 and h.line + 2")
 def _(ix):
-    ln = lines.file_lines(ix.chunks)
-    hits = ln.where(F.contains(F.lower("text"), F.lit("licensed under")) | F.contains(F.lower("text"), F.lit("budgetprobe"))).select("file_id", "line")
-    return lines.with_context(ln, hits, 2, 2)
+    held = lambda c: F.contains(F.lower(c), F.lit("licensed under")) | F.contains(F.lower(c), F.lit("budgetprobe"))
+    return lines.with_context(ix.chunks, lines.matching_lines(ix.chunks, held, held).select("file_id", "line"), 2, 2)
 
 
 @query("L06_resume", _LN + "select path, line from ln join f using (file_id) where contains(lower(text), 'graph') and (path, line) > ('juniper', 0) order by path, line limit 100")
 def _(ix):
-    ln = lines.file_lines(ix.chunks).where(F.contains(F.lower("text"), F.lit("graph"))).join(ix.files, "file_id").select("path", "line")
+    ln = lines.literal_lines(ix.chunks, "graph").join(ix.files, "file_id").select("path", "line")
     return ln.where((F.col("path") > "juniper") | (F.col("path") == "juniper") & (F.col("line") > 0)).orderBy("path", "line").limit(100)
 
 
 @query("L07_count", _LN + "select count(*) as lines, count(distinct file_id) as files from ln where contains(lower(text), 'graph')")
 def _(ix):
-    return lines.file_lines(ix.chunks).where(F.contains(F.lower("text"), F.lit("graph"))).agg(F.count("*").alias("lines"), F.countDistinct("file_id").alias("files"))
+    return lines.literal_lines(ix.chunks, "graph").agg(F.count("*").alias("lines"), F.countDistinct("file_id").alias("files"))
 
 
 @query("L08_excerpts", q.with_(q.CHUNKS, q.LINES, q.SYMBOLS) + """select file_id, start_line, end_line, string_agg(text, chr(10) order by line) as excerpt from (
-  select distinct s.file_id, s.start_line, s.end_line, ln.line, ln.text from s join ln on ln.file_id = s.file_id and ln.line between greatest(s.start_line - 1, 1) and s.end_line + 1 where s.kind = 'class' and s.end_line - s.start_line < 40) group by all""")
-def _(ix):
-    spans = ix.symbols.where("kind = 'class' and end_line - start_line < 40").select("file_id", "start_line", "end_line").distinct()
-    return lines.excerpts(lines.file_lines(ix.chunks), spans, 1, 1)
-
-
-@query("L08_excerpts_all", SQL["L08_excerpts"].replace(" and s.end_line - s.start_line < 40", ""))
+  select distinct s.file_id, s.start_line, s.end_line, ln.line, ln.text from s join ln on ln.file_id = s.file_id and ln.line between greatest(s.start_line - 1, 1) and s.end_line + 1 where s.kind = 'class') group by all""")
 def _(ix):
     spans = ix.symbols.where("kind = 'class'").select("file_id", "start_line", "end_line").distinct()
-    return lines.excerpts(lines.file_lines(ix.chunks), spans, 1, 1)
-
-
-@query("L09_file_read", q.with_(q.CHUNKS, q.LINES) + "select file_id, string_agg(text, chr(10) order by line) as text from ln where file_id <= 200 and line <= 10000 group by file_id")
-def _(ix):
-    ln = lines.file_lines(ix.chunks).where("file_id <= 200 and line <= 10000")
-    return ln.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", F.col("text").alias("t")))), lambda r: r["t"]), "\n").alias("text"))
+    return lines.excerpts(ix.chunks, spans, 1, 1)
 
 
-@query("L09_file_read_all")
+@query("L09_file_read", q.with_(q.CHUNKS, q.LINES) + "select file_id, string_agg(text, chr(10) order by line) as text from ln where line <= 10000 group by file_id")
 def _(ix):
-    return lines.file_texts(lines.file_lines(ix.chunks), 10000)
+    return lines.file_texts(ix.chunks, 10000)
 
 
 @query("X20_clamp", _LN + "select path, line, case when length(text) <= 40 then text else substr(text, greatest(1, least(spot - cast(floor((40 - 5) / 2.0) as int), length(text) - 39)), 40) end as shown from (select *, instr(lower(text), 'graph') as spot from ln where contains(lower(text), 'graph')) join f using (file_id)")
 def _(ix):
-    ln = lines.file_lines(ix.chunks).where(F.contains(F.lower("text"), F.lit("graph"))).withColumn("at", F.instr(F.lower("text"), "graph"))
+    ln = lines.literal_lines(ix.chunks, "graph").withColumn("at", F.instr(F.lower("text"), "graph"))
     return ln.join(ix.files, "file_id").select("path", "line", lines.clamp_line(F.col("text"), 40, F.col("at"), F.lit(5)).alias("shown"))
 
 

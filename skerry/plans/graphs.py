@@ -74,7 +74,7 @@ def _(ix):
 @query("Y07_definitions", q.with_(q.FILES, q.SYMBOLS, q.CHUNKS, q.LINES) + f"""select path, symbol_id, name, kind, start_line, end_line, (select string_agg(text, chr(10) order by line) from ln where ln.file_id = s.file_id and line between s.start_line and least(coalesce(s.end_line, s.start_line), s.start_line + 19)) as body
   from s join f on f.file_id = s.file_id where {_N} = 'scorewidegraphorder' and start_line is not null""")
 def _(ix):
-    return symbols.definitions(ix.symbols, ix.files, lines.file_lines(ix.chunks), "ScoreWideGraphOrder")
+    return symbols.definitions(ix.symbols, ix.files, ix.chunks, "ScoreWideGraphOrder")
 
 
 @query("Y08_goto", _SF + f"select path, symbol_id, name, kind, line from s join f on f.file_id = s.file_id where {_N} = 'scorewidegraphorder' order by case when name = 'ScoreWideGraphOrder' then 0 else 1 end, {q.bucket()}, {q.visibility()}, path, line, symbol_id limit 1")
@@ -176,7 +176,7 @@ def _(ix):
     return ix.symbols.where("name_folded = 'scorewidegraphorder'").select("symbol_id", "name", "kind").orderBy("symbol_id").limit(21)
 
 
-@query("G13_unqualified", q.with_(q.REFS) + f"select reference_kind, count(*) as n from r where symbol_name is not null and not (target_qualifier is not null and symbol_name in {q.in_list(predicates.NOISE_NAMES)}) group by reference_kind")
+@query("G13_unqualified", q.with_(q.REFS) + f"select reference_kind, count(*) as n from r where symbol_name is not null and not (target_qualifier is not null and lower(symbol_name) in {q.in_list(n.lower() for n in q.NOISE)}) group by reference_kind")
 def _(ix):
     common = F.col("target_qualifier").isNotNull() & predicates.is_noise(F.col("symbol_name"))
     return ix.refs_of("symbol_name", "target_qualifier", "reference_kind").where(F.col("symbol_name").isNotNull() & ~common).groupBy("reference_kind").agg(F.count("*").alias("n"))
@@ -185,13 +185,8 @@ def _(ix):
 _EDGES = f"ed as (select distinct f.lang, symbol_name_folded as callee, container_name_folded as caller from r join f using (file_id) where lang is not null and reference_kind in {q.in_list(IMPACT_KINDS)} and symbol_name_folded is not null and container_name_folded is not null)"
 
 
-@query("G14_impact", q.with_(q.FILES, q.REFS, _EDGES).replace("with ", "with recursive ", 1) + """, w as (select 'get' as caller, 0 as depth union select ed.caller, w.depth + 1 from w join ed on ed.callee = w.caller and ed.lang = 'python' where w.depth < 3)
+@query("G14_impact", q.with_(q.FILES, q.REFS, _EDGES).replace("with ", "with recursive ", 1) + """, w as (select 'get' as caller, 0 as depth union select ed.caller, w.depth + 1 from w join ed on ed.callee = w.caller and ed.lang = 'python' where w.depth < 5)
   select caller, min(depth) as depth from w where caller <> 'get' group by caller""")
-def _(ix):
-    return graph.impact(ix.raw_refs, ix.files, "Get", "python", 3)[0]
-
-
-@query("G14_impact_all")
 def _(ix):
     return graph.impact(ix.raw_refs, ix.files, "Get", "python", 5)[0]
 
@@ -218,14 +213,9 @@ def _(ix):
     return graph.call_hierarchy(ix.refs_of("source_symbol_id", "target_symbol_id", "line"), 410)
 
 
-@query("G20_positions", q.with_(q.REFS) + "select ref_id, symbol_name from r where file_id <= 100 and line = 29 and 15 between column_number and column_number + span_length - 1")
-def _(ix):
-    return ix.refs.where("file_id <= 100 and line = 29 and 15 between column_number and column_number + span_length - 1").select("ref_id", "symbol_name")
-
-
-@query("G20_positions_all", q.with_(q.REFS) + "select ref_id, symbol_name from r where line = 29 and 15 between column_number and column_number + span_length - 1")
+@query("G20_positions", q.with_(q.REFS) + "select ref_id, symbol_name from r where line = 29 and 15 between column_number and column_number + span_length - 1")
 def _(ix):
-    return ix.refs.where("line = 29 and 15 between column_number and column_number + span_length - 1").select("ref_id", "symbol_name")
+    return ix.refs.where(predicates.at_position(F.col("line"), F.col("column_number"), F.col("span_length"), 29, 15)).select("ref_id", "symbol_name")
 
 
 @query("G21_sources", q.with_(*_ALL) + """select ref_id, arg_min(symbol_id, cast(end_line - start_line as hugeint) * 1000000000000 + symbol_id) as source_symbol_id from (select distinct r.ref_id, s.symbol_id, s.start_line, s.end_line from r join s on s.file_id = r.file_id and s.name = r.container_name and r.line between s.start_line and s.end_line) group by ref_id""")
@@ -261,7 +251,7 @@ def _(ix):
 
 
 _USES = f"u as (select x.file_id as src, f.lang, x.name_folded, count(*) as sites, min(x.symbol_name) as symbol from (select file_id, symbol_name, line, column_number, {q.LOGICAL} as kind, min_by(symbol_name_folded, ref_id) as name_folded from r where symbol_name_folded is not null group by file_id, symbol_name, line, column_number, kind) x join f on f.file_id = x.file_id where f.lang is not null group by x.file_id, f.lang, x.name_folded)"
-_TARGETS = f"t as (select distinct s.file_id as dst, f.lang, s.name_folded from s join f on f.file_id = s.file_id join d on d.lang = f.lang and d.name_folded = s.name_folded where d.files <= {structure.MOST_TARGETS})"
+_TARGETS = "t as (select distinct s.file_id as dst, f.lang, s.name_folded from s join f on f.file_id = s.file_id where f.lang is not null and s.name_folded is not null)"
 _DEPS = q.with_(*_ALL, q.DEFS, _USES, _TARGETS)
 
 
@@ -271,13 +261,13 @@ def _(ix):
     return structure.file_dependencies(ix.raw_refs, ix.symbols, ix.files)
 
 
-@query("A01_ambiguous", q.with_(q.FILES, q.SYMBOLS, q.DEFS) + f"select lang, name_folded, files from d where files > {structure.MOST_TARGETS}")
+@query("A01_ambiguous", q.with_(q.FILES, q.SYMBOLS, q.DEFS) + f"select lang, name_folded, files from d where lang is not null and files > {structure.AMBIGUOUS_FROM}")
 def _(ix):
     return structure.ambiguous_targets(ix.symbols, ix.files)
 
 
-@query("A01_ambiguous_sides", _DEPS + f"""select lang, name_folded, 'use' as side, path, cast(sum(sites) as bigint) as sites from u join d using (lang, name_folded) join f on f.file_id = src where d.files > {structure.MOST_TARGETS} group by lang, name_folded, path, f.lang having true
-  union all select distinct f.lang, s.name_folded, 'definition', path, 0::bigint from s join f on f.file_id = s.file_id join d on d.lang = f.lang and d.name_folded = s.name_folded where d.files > {structure.MOST_TARGETS}""".replace("select lang, name_folded, 'use'", "select u.lang as lang, u.name_folded as name_folded, 'use'").replace("group by lang, name_folded, path, f.lang having true", "group by u.lang, u.name_folded, path"))
+@query("A01_ambiguous_sides", _DEPS + f"""select lang, name_folded, 'use' as side, path, cast(sum(sites) as bigint) as sites from u join d using (lang, name_folded) join f on f.file_id = src where d.files > {structure.AMBIGUOUS_FROM} group by lang, name_folded, path, f.lang having true
+  union all select distinct f.lang, s.name_folded, 'definition', path, 0::bigint from s join f on f.file_id = s.file_id join d on d.lang = f.lang and d.name_folded = s.name_folded where d.files > {structure.AMBIGUOUS_FROM}""".replace("select lang, name_folded, 'use'", "select u.lang as lang, u.name_folded as name_folded, 'use'").replace("group by lang, name_folded, path, f.lang having true", "group by u.lang, u.name_folded, path"))
 def _(ix):
     return structure.ambiguous_sides(ix.raw_refs, ix.symbols, ix.files)
 
@@ -289,37 +279,20 @@ def _(ix):
 
 @query("A08_dependents", _DEPS + "select dst, count(distinct src) as dependents from u join t using (lang, name_folded) where src <> dst group by dst")
 def _(ix):
-    pairs = structure.name_uses(ix.raw_refs, ix.files).join(structure.targets(ix.symbols, ix.files), ["lang", "name_folded"]).where("src <> dst")
-    return pairs.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("dependents"))
+    return structure.dependent_counts(ix.raw_refs, ix.symbols, ix.files)
 
 
 @query("A09_by_symbol", _DEPS + "select src, dst, cast(sum(sites) as bigint) as n from u join t using (lang, name_folded) where src <> dst and starts_with(name_folded, 'score') group by all")
 def _(ix):
-    pairs = structure.name_uses(ix.raw_refs, ix.files).where(F.col("name_folded").startswith("score")).join(structure.targets(ix.symbols, ix.files), ["lang", "name_folded"]).where("src <> dst")
-    return pairs.groupBy("src", "dst").agg(F.sum("sites").alias("n"))
+    return structure.dependencies_by_name(ix.raw_refs, ix.symbols, ix.files, "score")
 
 
-@query("A10_ranked", _DEPS + f"""select src, dst, cast(sum(sites) as bigint) as reference_count, round(cast(sum(sites) as double) * sum(case when symbol in {q.in_list(predicates.NOISE_NAMES)} then 1 else 10 end) / (count(*) * 10), 4) as score
+@query("A10_ranked", _DEPS + f"""select src, dst, cast(sum(sites) as bigint) as reference_count, round(cast(sum(sites) as double) * sum(case when lower(symbol) in {q.in_list(n.lower() for n in q.NOISE)} then 1 else 10 end) / (count(*) * 10), 4) as score
   from u join t using (lang, name_folded) where src <> dst group by src, dst order by score desc, src, dst limit 200""")
 def _(ix):
     return structure.ranked_dependencies(ix.raw_refs, ix.symbols, ix.files, 200)
 
 
-@query("A08_dependents_all")
-def _(ix):
-    return structure.dependent_counts(ix.raw_refs, ix.symbols, ix.files)
-
-
-@query("A09_by_symbol_all")
-def _(ix):
-    return structure.dependencies_by_name(ix.raw_refs, ix.symbols, ix.files, "score")
-
-
-@query("A10_ranked_all")
-def _(ix):
-    return structure.ranked_all_dependencies(ix.raw_refs, ix.symbols, ix.files, 200)
-
-
 def _file_edges(ix):
     return structure.dependency_evidence(ix.refs_of("file_id", "target_symbol_id", "reference_kind", "resolution_state"), ix.symbols, ix.files).select("src", "dst").distinct()
 

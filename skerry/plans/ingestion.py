@@ -9,6 +9,7 @@ from skerry.functions import names
 from skerry.operators import edges, graph, lines
 from skerry.operators.incremental import new_or_changed
 from skerry.plans import sqltext as q
+from skerry.plans import training_data
 from skerry.runtime import table
 from skerry.schema import Index
 from skerry.sources import extractors
@@ -76,13 +77,7 @@ def _(ix):
     return ix.refs.where("context is not null").select("ref_id", names.argument_count(F.col("context")).alias("arguments"))
 
 
-@query("N08_type_arity", q.with_(q.SYMBOLS) + "select symbol_id, 0 as arity from s where kind in ('class', 'struct') and signature is not null and not contains(signature, '<')")
-def _(ix):
-    rows = ix.symbols.where("kind in ('class', 'struct') and signature is not null").where(~F.contains("signature", F.lit("<")))
-    return rows.select("symbol_id", names.type_arity(F.col("signature")).alias("arity"))
-
-
-@query("N08_type_arity_all")
+@query("N08_type_arity")
 def _(ix):
     rows = ix.symbols.where("kind in ('class', 'struct') and signature is not null")
     return rows.select("symbol_id", names.type_arity(F.col("signature")).alias("arity"))
@@ -116,11 +111,8 @@ def _(ix):
 
 
 def _texts(ix: Index) -> DataFrame:
-    """(file_id, path, lang, text): one row for each file, its lines put together."""
-    ln = lines.file_lines(ix.chunks)
-    rows = ln.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line", F.col("text").alias("t")))).alias("rows"))
-    text = rows.select("file_id", F.array_join(F.transform("rows", lambda r: r["t"]), "\n").alias("text"))
-    return text.join(ix.files.select("file_id", "path", "lang"), "file_id").select("file_id", "path", "lang", "text")
+    """(file_id, path, lang, text): one row for each file, its chunks put together."""
+    return lines.file_texts(ix.chunks).join(ix.files.select("file_id", "path", "lang"), "file_id").select("file_id", "path", "lang", "text")
 
 
 @query("E01_symbols")
@@ -157,7 +149,7 @@ def _(ix):
 
 @query("A02_metadata_edges")
 def _(ix):
-    return edges.metadata_edges(ix.symbols, ix.files, lines.file_lines(ix.chunks))
+    return edges.metadata_edges(ix.symbols, ix.files, ix.chunks)
 
 
 @query("A03_import_edges")
@@ -178,7 +170,7 @@ def _(ix):
 
 @query("A36_omissions", q.with_(q.CHUNKS, q.LINES) + "select count(distinct file_id) as files, max(length(text)) as longest from ln where length(text) > 4000")
 def _(ix):
-    ln = lines.file_lines(ix.chunks).where(F.length("text") > 4000)
+    ln = lines.matching_lines(ix.chunks, lambda t: F.length(t) > 4000)
     return ln.agg(F.countDistinct("file_id").alias("files"), F.max(F.length("text")).alias("longest"))
 
 
@@ -213,13 +205,8 @@ def _(ix):
     return watch.batches(watch.touched(df))
 
 
-@query("W05_dirty_scope", q.with_(q.SYMBOLS, q.REFS) + ", n as (select distinct name_folded from s where file_id <= 20) select distinct file_id from (select file_id from r where symbol_name_folded in (select name_folded from n) union all select file_id from s where file_id <= 20)")
-def _(ix):
-    changed = ix.symbols.where("file_id <= 20").select("file_id").distinct()
-    return watch.dirty_scope(ix.raw_refs, ix.symbols, changed)
-
-
-@query("W05_changed_scope")
+@query("W05_dirty_scope", q.with_(q.FILES, q.SYMBOLS, q.REFS, f"changed as (select file_id from f where path in (select path from ({training_data.SQL['p2_found']})))") + """, n as (select distinct name_folded from s where file_id in (select file_id from changed))
+  select distinct file_id from (select file_id from r where symbol_name_folded in (select name_folded from n) union all select file_id from changed)""")
 def _(ix):
     paths = new_or_changed(*(table(ix.spark, ix.root, t) for t in ("files", "file_scan", "index_runs")))
     return watch.dirty_scope(ix.raw_refs, ix.symbols, ix.files.join(paths, "path", "left_semi"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skerry.operators import lines, predicates, search
+from skerry.operators.index import SearchIndex
 from skerry.plans import sqltext as q
-from skerry.runtime import table
+from skerry.runtime import checkpoint_dir, table
 from skerry.schema import Index
 
 QUERIES: dict = {}
@@ -88,12 +91,9 @@ def _(ix):
     return search.search_all(ix.chunks, "ledg", prefix=True).drop("bm25")
 
 
-@query("X07_long_tokens", q.with_(q.CHUNKS) + "select chunk_id, file_id from c where contains(lower(content), 'aa') and file_id in (select file_id from c where regexp_matches(content, '[A-Za-z0-9_]{513}'))")
+@query("X07_long_tokens", q.with_(q.CHUNKS) + "select chunk_id, file_id from c where contains(lower(content), '3f') and file_id in (select file_id from c where regexp_matches(content, '[A-Za-z0-9_]{513}'))")
 def _(ix):
-    from skerry.operators.issues import content_issues
-
-    odd = content_issues(ix.chunks).where("kind = 'token_too_long'").select("file_id").distinct()
-    return search.distinct_chunks(ix.chunks).where(F.contains(F.lower("content"), F.lit("aa"))).join(odd, "file_id", "left_semi").select("chunk_id", "file_id")
+    return search.long_token_hits(ix.chunks, "3F")
 
 
 _LN = q.with_(q.CHUNKS, q.LINES, q.FILES, q.SYMBOLS)
@@ -101,21 +101,18 @@ _LN = q.with_(q.CHUNKS, q.LINES, q.FILES, q.SYMBOLS)
 
 @query("X08_line_hits", _LN + "select path, line, text from ln join f using (file_id) where contains(lower(text), 'log.info')")
 def _(ix):
-    return search.line_hits(lines.file_lines(ix.chunks), "Log.Info").join(ix.files, "file_id").select("path", "line", "text")
-
-
-_ADVICE = {"foo(bar)": True, "hello world": False, "class Foo": True, "a => b": True, "plain": False}
+    return search.line_hits(ix.chunks, "Log.Info").join(ix.files, "file_id").select("path", "line", "text")
 
 
-@query("X09_advice", "select * from (values " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _ADVICE.items()) + ") t(query, exact)")
+@query("X09_advice", q.with_(q.REFS) + """, c as (select distinct trim(context) as query from r where context is not null), m as (select query, length(regexp_replace(query, '[^(){}\\[\\];=<>.:&|!+\\-*/%]', '', 'g')) as marks, list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> '') as words from c)
+  select query, marks >= 2 or list_has_any(words, ['=>', '->', '::', '==', '!=', '&&', '||']) or (len(words) > 1 and words[1] in ('class', 'def', 'function', 'func', 'public', 'private', 'static', 'return', 'import', 'using', 'namespace', 'new', 'await', 'async') and regexp_full_match(words[2], '[A-Za-z_]\\w*')) as exact from m""")
 def _(ix):
-    return ix.spark.createDataFrame([(k, search.suggests_exact(k)) for k in _ADVICE], "query string, exact boolean")
+    return search.advised(ix.raw_refs.where("context is not null").select(F.trim("context").alias("query")).distinct())
 
 
 @query("X10_phrase_first", q.with_(q.CHUNKS) + "select chunk_id, file_id, case when contains(content, 'return key;') then 0 else 1 end as rank from c where contains(lower(content), 'return') and contains(lower(content), 'key')")
 def _(ix):
-    rows = search.distinct_chunks(ix.chunks).where(F.contains(F.lower("content"), F.lit("return")) & F.contains(F.lower("content"), F.lit("key")))
-    return rows.select("chunk_id", "file_id", F.when(F.contains("content", F.lit("return key;")), 0).otherwise(1).alias("rank"))
+    return search.phrase_first(ix.chunks, "return key;")
 
 
 def _guard(lo: int, hi: int, need: str) -> str:
@@ -126,30 +123,54 @@ for _name, _side, _window, _lo, _hi, _need in (("X12_require_before", "before",
 
     @query(_name, _guard(_lo, _hi, "" if _need else "not"))
     def _(ix, side=_side, window=_window, need=_need):
-        ln = lines.file_lines(ix.chunks)
-        return search.guarded(search.line_hits(ln, "return"), ln, "if", window, side, need).select("file_id", "line")
+        return search.guarded(search.line_hits(ix.chunks, "return"), ix.chunks, "if", window, side, need).select("file_id", "line")
 
 
-@query("X15_origins")
+_INNER = """, e as (select file_id, line, symbol_id, symbol_line from (select h.file_id, h.line, s.symbol_id, s.start_line as symbol_line, row_number() over (partition by h.file_id, h.line order by s.end_line - s.start_line, -s.start_line, symbol_id) as k
+    from h join s on s.file_id = h.file_id and s.end_line >= s.start_line and h.line between s.start_line and s.end_line) where k = 1)"""
+_SAME = _LN + ", h as (select file_id, line, contains(lower(text), 'return') as hit, contains(lower(text), 'if') as guard from ln where contains(lower(text), 'return') or contains(lower(text), 'if'))" + _INNER
+
+
+@query("X12_same_symbol", _SAME + " select h.file_id, h.line from h join e using (file_id, line) where hit and exists (select 1 from h g join e x using (file_id, line) where g.guard and g.file_id = h.file_id and x.symbol_id = e.symbol_id and g.line < h.line)")
 def _(ix):
-    hits = search.line_hits(lines.file_lines(ix.chunks), "ledger").join(ix.files.select("file_id", "path", "lang"), "file_id")
-    return hits.select("path", "line", search.origin_of(F.col("lang"), F.col("text"), F.instr(F.lower("text"), "ledger")).alias("origin"))
+    return search.guarded_in_symbol(search.line_hits(ix.chunks, "return"), ix.chunks, "if", ix.symbols)
 
 
-@query("X16_code_only", _LN + "select path, line from ln join f using (file_id) where lang = 'python' and contains(lower(text), 'ledger') and not contains(text, '#') and not contains(text, '\"') and not contains(text, '''')")
+@query("X12_not_in_symbol", _SAME + " select h.file_id, h.line from h left join e using (file_id, line) where hit and not exists (select 1 from h g join e x using (file_id, line) where g.guard and g.file_id = h.file_id and x.symbol_id = e.symbol_id and g.line > h.line)")
 def _(ix):
-    hits = search.line_hits(lines.file_lines(ix.chunks), "ledger").join(ix.files.where("lang = 'python'").select("file_id", "path", "lang"), "file_id")
-    plain = hits.where(~F.col("text").rlike("[#\"']"))
-    return plain.where(search.origin_of(F.col("lang"), F.col("text"), F.instr(F.lower("text"), "ledger")) == "code").select("path", "line")
+    return search.guarded_in_symbol(search.line_hits(ix.chunks, "return"), ix.chunks, "if", ix.symbols, "after", False)
+
+
+@query("X14_budget", _guard(1, 8, "").replace("'return'", "'licensed under'"))
+def _(ix):
+    hits = search.within_budget(search.line_hits(ix.chunks, "licensed under"), 100_000)
+    return search.guarded(hits, ix.chunks, "if", 8).select("file_id", "line")
+
+
+@query("X15_origins")
+def _(ix):
+    hits = search.line_hits(ix.chunks, "ledger").join(ix.files.select("file_id", "path", "lang"), "file_id")
+    return hits.select("path", "line", search.origin_of(F.col("lang"), F.col("text"), F.instr(F.lower("text"), "ledger")).alias("origin"))
 
 
-@query("X16_code_only_all")
+@query("X16_code_only")
 def _(ix):
-    hits = search.line_hits(lines.file_lines(ix.chunks), "ledger").join(ix.files.where("lang = 'python'").select("file_id", "path", "lang"), "file_id")
+    hits = search.line_hits(ix.chunks, "ledger").join(ix.files.where("lang = 'python'").select("file_id", "path", "lang"), "file_id")
     places = hits.withColumn("at", F.explode(lines.positions(F.lower("text"), "ledger")))
     return places.where(search.origin_of(F.col("lang"), F.col("text"), F.col("at")) == "code").select("path", "line").distinct()
 
 
+@query("X17_kinds", _LN + ", h as (select distinct file_id, line, instr(text, 'Ledger') as col, text from ln where contains(text, 'Ledger'))" + _INNER + """
+  , g as (select h.file_id, path, h.line, text, symbol_line, left(text, col - 1) as pre from h join f using (file_id) left join e using (file_id, line) where lang = 'go'),
+  o as (select *, regexp_replace(pre, '"(?:[^"\\\\]|\\\\.)*"|''(?:[^''\\\\]|\\\\.)*''|`[^`]*`', '', 'g') as bare from g),
+  k as (select *, case when contains(bare, '//') or regexp_matches(bare, '/\\*') or regexp_matches(ltrim(text), '^(/\\*|\\*)') then 'comment' when regexp_matches(bare, '["''`]') then 'string_literal' else 'code' end as origin from o)
+  select path, line, array_to_string(list_sort(list_filter([origin, case when origin = 'code' then 'identifier' end, case when symbol_line = line then 'declaration' end, case when origin = 'code' and symbol_line is distinct from line and contains(text, 'Ledger(') then 'call_site' end], lambda x: x is not null)), ',') as kinds from k""")
+def _(ix):
+    hits = lines.literal_lines(ix.chunks, "Ledger", exact=True).select("file_id", "line", "text", F.instr("text", "Ledger").alias("column"))
+    rows = search.enclosing_symbols(hits, ix.symbols).join(ix.files.where("lang = 'go'").select("file_id", "path", "lang"), "file_id")
+    return search.result_kinds(rows, "Ledger").select("path", "line", F.array_join("kinds", ",").alias("kinds"))
+
+
 @query("X18_likely_tests", q.with_(q.FILES) + f"select file_id, path from f where regexp_matches(lower(path), '{predicates.LIKELY_TEST}')")
 def _(ix):
     return ix.files.where(predicates.is_likely_test_path(F.col("path"))).select("file_id", "path")
@@ -158,27 +179,31 @@ def _(ix):
 @query("X19_snippets", _LN + """select h.file_id, h.line, string_agg(n.text, chr(10) order by n.line) as snippet from (select file_id, line from ln where contains(lower(text), 'log.info')) h
   join ln n on n.file_id = h.file_id and n.line between h.line - 3 and h.line + 4 group by all""")
 def _(ix):
-    ln = lines.file_lines(ix.chunks)
-    hits = search.line_hits(ln, "log.info").select("file_id", F.col("line").alias("start_line"), F.col("line").alias("end_line"))
-    return lines.excerpts(ln, hits, 3, 4).select("file_id", F.col("start_line").alias("line"), F.col("excerpt").alias("snippet"))
+    hits = search.line_hits(ix.chunks, "log.info").select("file_id", F.col("line").alias("start_line"), F.col("line").alias("end_line"))
+    return lines.excerpts(ix.chunks, hits, 3, 4).select("file_id", F.col("start_line").alias("line"), F.col("excerpt").alias("snippet"))
 
 
 @query("X21_count_by_file", _LN + "select path, count(*) as n from ln join f using (file_id) where contains(lower(text), 'return') group by path order by n desc, path limit 100")
 def _(ix):
-    hits = search.line_hits(lines.file_lines(ix.chunks), "return").join(ix.files, "file_id")
+    hits = search.line_hits(ix.chunks, "return").join(ix.files, "file_id")
     return hits.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(100)
 
 
 @query("X22_first_per_file", _LN + "select path, line from (select path, line, row_number() over (partition by path order by line) as k from ln join f using (file_id) where contains(lower(text), 'return')) where k <= 2")
 def _(ix):
-    hits = search.line_hits(lines.file_lines(ix.chunks), "return").join(ix.files, "file_id").withColumn("column", F.lit(1))
+    hits = search.line_hits(ix.chunks, "return").join(ix.files, "file_id").withColumn("column", F.lit(1))
     return search.first_per_file(hits, 2).select("path", "line")
 
 
-@query("X22_sample", _LN + "select path, line from ln join f using (file_id) where contains(lower(text), 'return') and cast('0x' || substr(md5(path || ':' || line || ':1:7'), 1, 8) as bigint) % 1000 < 50")
+_UNITS = lambda c: f"list_concat(list_transform(string_split({c}, ''), lambda x: unicode(x)::uhugeint), [255::uhugeint])"  # noqa: E731 - paths and numbers are ASCII
+
+
+@query("X22_sample", _LN + f""", h as (select path, line, row_number() over (order by path, line) - 1 as place from ln join f using (file_id) where contains(lower(text), 'return')),
+  k as (select path, line, place, list_reduce(list_concat([14695981039346656037::uhugeint], {_UNITS('path')}, {_UNITS('line::varchar')}, {_UNITS('place::varchar')}), lambda a, c: xor(a, c) * 1099511628211::uhugeint % 18446744073709551616::uhugeint) as key from h)
+  select path, line from k order by key, place limit 50""")
 def _(ix):
-    hits = search.line_hits(lines.file_lines(ix.chunks), "return").join(ix.files, "file_id").withColumn("column", F.lit(1))
-    return search.sample_hits(hits, 50, 7).select("path", "line")
+    hits = search.line_hits(ix.chunks, "return").join(ix.files.select("file_id", "path"), "file_id").select("path", "line")
+    return search.sample_hits(hits, 50, ["path", "line"], ["path", "line"])
 
 
 _NAMED = {"logs": "log", "returns": "return", "loops": "while"}
@@ -186,12 +211,12 @@ _NAMED = {"logs": "log", "returns": "return", "loops": "while"}
 
 @query("X23_named", _LN + " union all ".join(f"select '{n}' as query_name, file_id, line from ln where contains(lower(text), '{t}')" for n, t in _NAMED.items()))
 def _(ix):
-    return search.named_queries(lines.file_lines(ix.chunks), _NAMED).select("query_name", "file_id", "line")
+    return search.named_queries(ix.chunks, _NAMED).select("query_name", "file_id", "line")
 
 
 @query("X24_audit", _LN + "select recipe, query, count(*) as findings, count(distinct file_id) as files from (" + " union all ".join(f"select '{r}' as recipe, '{t}' as query, file_id from ln where contains(lower(text), '{t}')" for r, ts in search.RECIPES.items() for t in ts) + ") group by all")
 def _(ix):
-    return search.audit(lines.file_lines(ix.chunks))
+    return search.audit(ix.chunks)
 
 
 @query("X24_baseline", "with a as (select distinct symbol_id from symbols), b as (select distinct symbol_id from symbols_right) select coalesce(a.symbol_id, b.symbol_id) as symbol_id, case when a.symbol_id is null then 'new' when b.symbol_id is null then 'gone' else 'kept' end as state from a full join b on a.symbol_id = b.symbol_id")
@@ -203,5 +228,24 @@ def _(ix):
   e as (select h.file_id, h.line, s.name, s.kind, row_number() over (partition by h.file_id, h.line order by s.end_line - s.start_line, -s.start_line, symbol_id) as k from h join s on s.file_id = h.file_id and s.end_line >= s.start_line and h.line between s.start_line and s.end_line)
   select h.file_id, h.line, e.name as symbol_name, e.kind as symbol_kind from h left join e on e.file_id = h.file_id and e.line = h.line and e.k = 1""")
 def _(ix):
-    hits = search.line_hits(lines.file_lines(ix.chunks), "ledger").select("file_id", "line").distinct()
-    return search.enclosing_symbols(hits, ix.symbols)
+    hits = search.line_hits(ix.chunks, "ledger").select("file_id", "line").distinct()
+    return search.enclosing_symbols(hits, ix.symbols).select("file_id", "line", "symbol_name", "symbol_kind")
+
+
+def _stored(ix) -> SearchIndex:
+    return SearchIndex(ix.spark, f"{checkpoint_dir(ix.spark)}/skerry-index-{uuid.uuid4().hex}")
+
+
+@query("K02_stored_search", SQL["X01_search"])
+def _(ix):
+    return _stored(ix).write_postings(ix.chunks).search("return key")
+
+
+@query("K02_stored_prefix", SQL["X06_prefix"])
+def _(ix):
+    return _stored(ix).write_postings(ix.chunks).search("ledg", prefix=True).drop("bm25")
+
+
+@query("L04_indexed_find", _LN + "select path, line, text from ln join f using (file_id) where contains(lower(text), 'log.info')")
+def _(ix):
+    return _stored(ix).write_trigrams(ix.chunks).literal_lines(ix.chunks, "Log.Info").join(ix.files, "file_id").select("path", "line", "text")

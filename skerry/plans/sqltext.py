@@ -49,6 +49,10 @@ def visibility(c: str = "visibility") -> str:
     )
 
 
+#: Expected noise names, written out apart from the operator's own.
+NOISE = """Append AppendLine Array BoundedRegex CancellationToken Code Console Count DateTime Dictionary Directory Dispose Encoding Enumerable Error Escape File Flush IEnumerable IsMatch Kind
+  Language Length List Match Matches Math Name None Option Options Path Read ReadLine Record Regex Replace Result Results String StringBuilder Task Token ToString Unescape Value Values
+  Version Write WriteLine""".split()
 LOGICAL = f"case when reference_kind in {in_list(schema.EVENT_KINDS)} then 'subscribe' else reference_kind end"
 CALLABLE = f"reference_kind in {in_list(schema.CALLABLE_KINDS)}"
 SITES = f"sites as (select file_id, symbol_name, line, column_number, {LOGICAL} as kind, min(ref_id) as ref_id from r where symbol_name is not null group by all)"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
@@ -21,14 +23,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a temporary folder is used
+    if all executors are in this process, as in tests; on a cluster it is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="skerry-checkpoint-"))
     return jsc.getCheckpointDir().get()
 
@@ -39,6 +43,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a side of a join is broadcast; those meant here are of some 100 bytes.
+BROADCAST_ROWS = 200_000
+
+
+def measured_side(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written and counted, as the side of a join: broadcast if it has few rows, else left to an exchange."""
+    side = cut_lineage(df)
+    return F.broadcast(side) if side.count() <= most_rows else side
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the place of each row in a total order, from 0, without bringing all rows together.
+
+    Rows are range-partitioned and written; each partition numbers its own and adds what lies before it.
+    """
+    spark = df.sparkSession
+    ranged = cut_lineage(df.repartitionByRange(shuffle_partitions(spark), *order).withColumn("skerry_part", F.spark_partition_id()))
+    counts = ranged.groupBy("skerry_part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = counts.select("skerry_part", F.coalesce(F.sum("n").over(Window.orderBy("skerry_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skerry_before"))
+    place = F.row_number().over(Window.partitionBy("skerry_part").orderBy(*order)) - 1 + F.col("skerry_before")
+    return ranged.join(F.broadcast(before), "skerry_part").withColumn(name, place).drop("skerry_part", "skerry_before")
+
+
 #: Input splits for each core that CPU-heavy Python stages want at least.
 SPLITS_PER_CORE = 3
 

@@ -64,10 +64,10 @@ def test_language_edges(spark):
 
 
 def test_metadata_edges(spark):
-    lines = spark.createDataFrame([(1, 1, "    [Obsolete]"), (1, 2, "@Test"), (1, 3, "x[Foo]"), (1, 4, "[Twice]")], "file_id int, line int, text string")
+    chunks = spark.createDataFrame([(1, 1, 1, "    [Obsolete]\n@Test\nx[Foo]\n[Twice]")], "chunk_id int, file_id int, start_line int, content string")
     syms = spark.createDataFrame([(2, "class", "ObsoleteAttribute"), (3, "class", "Obsolete"), (4, "class", "Test"), (5, "class", "Twice"), (6, "class", "Twice")], "file_id int, kind string, name string")
     files = spark.createDataFrame([(i, f"f{i}", "csharp") for i in range(1, 7)], "file_id int, path string, lang string")
-    assert {(r.src, r.dst, r.name) for r in edges.metadata_edges(syms, files, lines).collect()} == {(1, 2, "Obsolete"), (1, 4, "Test")}
+    assert {(r.src, r.dst, r.name) for r in edges.metadata_edges(syms, files, chunks).collect()} == {(1, 2, "Obsolete"), (1, 4, "Test")}
 
 
 def test_raw_queries(spark):
@@ -95,7 +95,7 @@ def test_exports(spark):
 
 
 def test_dependencies_by_ambiguous_names(spark, monkeypatch):
-    monkeypatch.setattr(structure, "MOST_TARGETS", 2)
+    monkeypatch.setattr(structure, "AMBIGUOUS_FROM", 2)
     rng = random.Random(5)
     langs = {f: rng.choice(["go", "go", "java"]) for f in range(1, 25)}
     names = ["score", "scored", "run", "get", "a", "b", "c", "d"]
@@ -115,8 +115,10 @@ def test_dependencies_by_ambiguous_names(spark, monkeypatch):
     assert {r.dst: r.dependents for r in structure.dependent_counts(refs, syms, files).collect()} == dependents
     score = {k: v for k, v in ((k, sum(c for n, c in by.items() if n.startswith("score"))) for k, by in pairs.items()) if v}
     assert {(r.src, r.dst): r.n for r in structure.dependencies_by_name(refs, syms, files, "score").collect()} == score
-    noise = structure.is_noise.__globals__["NOISE_NAMES"]
+    noise: tuple = ()
+    edges = {(int(r.src_path[1:]), int(r.dst_path[1:])): r.reference_count for r in structure.file_dependencies(refs, syms, files).collect()}
+    assert edges == {k: sum(by.values()) for k, by in pairs.items()}
     ranked = sorted((-round(sum(by.values()) * sum(1 if n in noise else 10 for n in by) / (len(by) * 10), 4), f, g) for (f, g), by in pairs.items())
     for limit in (5, 40, 10_000):
-        got = [(-r.score, r.src, r.dst) for r in structure.ranked_all_dependencies(refs, syms, files, limit).collect()]
+        got = [(-r.score, r.src, r.dst) for r in structure.ranked_dependencies(refs, syms, files, limit).collect()]
         assert got == ranked[:limit]

@@ -50,7 +50,7 @@ def test_names(spark):
 
 def test_every_file_is_read(spark):
     texts = {f: f"first {f}\nlast" for f in (1, 200, 201, 5000)} | {7: "\n".join(map(str, range(300)))}
-    got = {r.file_id: r.text for r in lines.file_texts(lines.file_lines(_chunks(spark, texts)), 200).collect()}
+    got = {r.file_id: r.text for r in lines.file_texts(_chunks(spark, texts), 200).collect()}
     assert got == texts | {7: "\n".join(map(str, range(200)))}
 
 
@@ -59,4 +59,52 @@ def test_read_query_keeps_no_files_back(spark, tmp_path):
 
     texts = {1: "a", 201: "b\nc", 5000: "d"}
     _chunks(spark, texts).selectExpr("cast(chunk_id as bigint) chunk_id", "cast(file_id as bigint) file_id", "chunk_index", "start_line", "end_line", "content").write.parquet(str(tmp_path / "chunks.parquet"))
-    assert {r.file_id: r.text for r in registry.QUERIES["L09_file_read_all"](spark, str(tmp_path)).collect()} == texts
+    assert {r.file_id: r.text for r in registry.QUERIES["L09_file_read"](spark, str(tmp_path)).collect()} == texts
+
+
+def test_long_tokens_and_budget(spark):
+    import pytest
+
+    from skerry.operators import search
+
+    chunks = _chunks(spark, {1: "x" * 520 + "needle" + "y" * 520, 2: "needle", 3: "a needle b\nneedle", 4: "z" * 600})
+    assert {r.file_id for r in search.long_token_hits(chunks, "NEEDLE").collect()} == {1}
+    hits = search.line_hits(chunks, "needle")
+    assert search.within_budget(hits, 4).count() == 4
+    with pytest.raises(search.GuardBudgetError):
+        search.within_budget(hits, 3)
+
+
+def test_stored_index_against_the_scan(spark, tmp_path):
+    from skerry.operators import search
+    from skerry.operators.index import SearchIndex, texts_of
+
+    texts = {1: "Alpha beta\nbeta gamma", 2: "alpha " * 50, 3: "be tabeta", 4: "", 5: "ALPHA\nbet", 6: "日本語 beta", 7: "\n".join(f"beta {k}" for k in range(200))}
+    chunks = _chunks(spark, texts)
+    index = SearchIndex(spark, f"file://{tmp_path}/ix").write(chunks)
+    for query, prefix in (("beta", False), ("alpha beta", False), ("bet", True), ("al be", True), ("none", False), ("", False)):
+        rows = lambda df: {(r.chunk_id, r.file_id, round(r.bm25, 5)) for r in df.collect()}
+        assert rows(index.search(query, prefix)) == rows(search.search_all(chunks, query, prefix)), query
+    for query in ("beta", "a b", "ETA", "日本", "語 be", "ta", "zzz", "beta\nbeta"):
+        rows = lambda df: sorted((r.file_id, r.line, r.text) for r in df.select("file_id", "line", "text").collect())
+        assert rows(index.literal_lines(chunks, query)) == rows(lines.literal_lines(chunks, query)), query
+    assert index.terms("be").count() == 3
+    assert {r.content for r in texts_of(index.search("gamma"), chunks).collect()} == {texts[1]}
+
+
+def test_no_content_is_exchanged(spark, tmp_path):
+    import io
+    import re as _re
+    from contextlib import redirect_stdout
+
+    from skerry.operators import search
+
+    root = f"file://{tmp_path}/c"
+    _chunks(spark, {1: "Alpha beta"}).write.parquet(root)
+    chunks = spark.read.parquet(root)
+    for df in (search.search_all(chunks, "alpha beta"), search.exact_substring(chunks, "a"), search.phrase_first(chunks, "a b"), lines.literal_lines(chunks, "beta"), search.named_queries(chunks, {"a": "b"})):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            df.explain("formatted")
+        for part in _re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", out.getvalue()):
+            assert "content#" not in part

@@ -35,7 +35,7 @@ def save(root, name, ddl, df):
 def test_positions_of_all_files(spark, tmp_path):
     refs = spark.createDataFrame([(i, f, "n", 29, 10, 6) for i, f in ((1, 5), (2, 100), (3, 101), (4, 9000))], "ref_id bigint, file_id bigint, symbol_name string, line int, column_number int, span_length int")
     save(tmp_path, "refs", schema.REFS, refs)
-    assert {r.ref_id for r in registry.QUERIES["G20_positions_all"](spark, str(tmp_path)).collect()} == {1, 2, 3, 4}
+    assert {r.ref_id for r in registry.QUERIES["G20_positions"](spark, str(tmp_path)).collect()} == {1, 2, 3, 4}
 
 
 def test_walks_go_to_the_default_depth(spark, tmp_path):
@@ -45,20 +45,11 @@ def test_walks_go_to_the_default_depth(spark, tmp_path):
     save(tmp_path, "files", schema.FILES, spark.createDataFrame([(1, "a.py", "python")], "file_id int, path string, lang string"))
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
     want = {(f"c{k}", k) for k in range(1, 6)} | {(f"d{k}", 1) for k in range(60)}
-    assert {(r.caller, r.depth) for r in run("G14_impact_all")} == want
+    assert {(r.caller, r.depth) for r in run("G14_impact")} == want
     assert {(r.caller, r.depth) for r in run("G15_paths")} == want
     assert {(r.depth, r.callers, r.ended) for r in run("G17_budget")} == {(1, 61, "depth")} | {(k, 1, "depth") for k in range(2, 6)}
 
 
-def test_dirty_scope_of_the_real_change_set(spark, duck):
-    from skerry.plans import sqltext as q
-
-    changed = f"changed as (select file_id from f where path in (select path from ({registry.SQL['p2_found']})))"
-    sql = q.with_(q.FILES, q.SYMBOLS, q.REFS, changed) + """, n as (select distinct name_folded from s where file_id in (select file_id from changed))
-      select distinct file_id from (select file_id from r where symbol_name_folded in (select name_folded from n) union all select file_id from changed)"""
-    assert compare(registry.QUERIES["W05_changed_scope"](spark, str(DATA)), duck, sql) > 0
-
-
 def test_excerpts_code_and_arity_leave_nothing_out(spark, tmp_path):
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
     text = ["ledger = 1", "x = ledger.get('x')", "# ledger", "s = 'ledger'", "t = 'ledger' + ledger", 'u = "#" + ledger', 'v = "# ledger"', 'w = """ledger'] + [f"l{k}" for k in range(9, 70)]
@@ -70,6 +61,6 @@ def test_excerpts_code_and_arity_leave_nothing_out(spark, tmp_path):
     }
     symbols = [(i, 1, "class", s, 2, 60) for i, s in enumerate(signatures)] + [(100, 1, "class", None, 5, 6)]
     save(tmp_path, "symbols", schema.SYMBOLS, spark.createDataFrame(symbols, "symbol_id int, file_id int, kind string, signature string, start_line int, end_line int"))
-    assert {r.line for r in run("X16_code_only_all")} == {1, 2, 5, 6}
-    assert {r.symbol_id: r.arity for r in run("N08_type_arity_all")} == dict(enumerate(signatures.values()))
-    assert {(r.start_line, r.end_line): r.excerpt for r in run("L08_excerpts_all")} == {(2, 60): "\n".join(text[:61]), (5, 6): "\n".join(text[3:7])}
+    assert {r.line for r in run("X16_code_only")} == {1, 2, 5, 6}
+    assert {r.symbol_id: r.arity for r in run("N08_type_arity")} == dict(enumerate(signatures.values()))
+    assert {(r.start_line, r.end_line): r.excerpt for r in run("L08_excerpts")} == {(2, 60): "\n".join(text[:61]), (5, 6): "\n".join(text[3:7])}
