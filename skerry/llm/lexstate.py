@@ -4,7 +4,9 @@ A piece of whole lines is represented by what it does to a lexer: for each state
 its first line may begin (code, a block comment, a long string) the state after its last
 line, the brackets that it closes without having opened them, those it leaves open, and
 whether it is broken in itself. Such maps compose associatively, so the pieces of a file
-can be scanned anywhere and reduced in any grouping that keeps their order.
+can be scanned anywhere and reduced in any grouping that keeps their order. A scanner can
+be misled, by a slash that may divide or begin an expression, or by quotes in a string's
+hole; a piece with such a thing says so, and then only the grammar decides.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ class Effect(NamedTuple):
     closes: str
     opens: str
     broken: bool
+    unsure: bool = False  # whether the piece has something that can mislead the scanner
 
 
 StateMap = dict[str, Effect]
@@ -35,14 +38,19 @@ _LEXERS: dict[str, tuple[str, dict[str, str]]] = {
     ),
     "go": (rf"//[^\n]*|(?P<block>/\*)|(?P<raw>`)|{_SIMPLE}", {"block": r"\*/", "raw": r"[^`]*`"}),
     "javascript": (
-        rf"//[^\n]*|(?P<block>/\*)|(?P<raw>`)|{_SIMPLE}|(?:(?<=[=(,:;!&|?{{}}\[+*%~^<>])|(?<=[=(,:;!&|?{{}}\[+*%~^<>] ))/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/",
+        rf"//[^\n]*|(?P<block>/\*)|(?P<raw>`)|{_SIMPLE}|(?P<unsure>(?:(?:(?<=[=(,:;!&|?{{}}\[+*%~^<>])|(?<=[=(,:;!&|?{{}}\[+*%~^<>] ))/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+)?/)",
         {"block": r"\*/", "raw": r"(?:[^`\\]|\\(?s:.))*`"},
     ),
     "python": (r"\#[^\n]*|(?P<long>\"\"\")|(?P<single>''')|" + r'"(?:[^"\\\n]|\\(?s:.))*"|\'(?:[^\'\\\n]|\\(?s:.))*\'', {"long": r'(?:[^"\\]|\\(?s:.)|"(?!""))*?"""', "single": r"(?:[^'\\]|\\(?s:.)|'(?!''))*?'''"}),
     "json": (r'"(?:[^"\\\n]|\\.)*"', {}),
 }
-#: Languages whose scanner is exact. In the others a slash, a hole or a directive can mislead it, and only the grammar decides.
-EXACT = frozenset({"java", "go", "json"})
+#: What can mislead the scanner of a language, wherever in a piece: holes of strings that a quote or bracket lies in, directives, escaped code points.
+_MISLEADING = {
+    "python": re.compile(r"""(?<!\w)(?:[fFtT][rR]?|[rR][fFtT])(?:\"\"\"|'''|(["'])(?:(?!\1)[^\n])*\{(?:(?!\1)[^}\n])*\1)"""),
+    "javascript": re.compile(r"\$\{[^}]*[`'\"{]|<!--|-->"),
+    "csharp": re.compile(r"^[ \t]*\#|\"{4}|\$+\"\"\"|(?:\$@?|@\$)\"[^\"\n]*\{[^}\"\n]*\"", re.M),
+    "java": re.compile(r"\\u+00"),
+}
 
 _SCANNERS = {lang: (re.compile(f"(?:{tokens})|(?P<bracket>[()\\[\\]{{}}])|(?P<odd>[\"'])", re.M), {s: re.compile(r"(?s:.)*?" + e if e == r"\*/" else e) for s, e in ends.items()}) for lang, (tokens, ends) in _LEXERS.items()}
 CODE = "code"
@@ -58,6 +66,7 @@ def scan(lang: str, text: str, entry: str = CODE) -> Effect:
     closes: list[str] = []
     opens: list[str] = []
     at, state, broken = 0, entry, False
+    unsure = lang in _MISLEADING and _MISLEADING[lang].search(text) is not None
     while True:
         if state != CODE:
             m = ends[state].match(text, at)
@@ -79,9 +88,11 @@ def scan(lang: str, text: str, entry: str = CODE) -> Effect:
                 closes.append(c)
         elif kind == "odd":
             broken = True
+        elif kind == "unsure":
+            unsure = True
         elif kind is not None:
             state = kind
-    return Effect(state, "".join(closes), "".join(opens), broken)
+    return Effect(state, "".join(closes), "".join(opens), broken, unsure)
 
 
 def state_map(lang: str, text: str, first: bool = False) -> StateMap:
@@ -92,7 +103,7 @@ def state_map(lang: str, text: str, first: bool = False) -> StateMap:
 def then(a: Effect, b: Effect) -> Effect:
     n = min(len(a.opens), len(b.closes))
     broken = a.broken or b.broken or any(_PAIRS[o] != c for o, c in zip(reversed(a.opens), b.closes[:n]))
-    return Effect(b.exit, a.closes + b.closes[n:], a.opens[: len(a.opens) - n] + b.opens, broken)
+    return Effect(b.exit, a.closes + b.closes[n:], a.opens[: len(a.opens) - n] + b.opens, broken, a.unsure or b.unsure)
 
 
 def compose(a: StateMap, b: StateMap) -> StateMap:
@@ -102,3 +113,8 @@ def compose(a: StateMap, b: StateMap) -> StateMap:
 
 def balanced(e: Effect) -> bool:
     return e.exit == CODE and not e.closes and not e.opens and not e.broken
+
+
+def surely_invalid(e: Effect) -> bool:
+    """Whether the map of a whole file shows by itself that it isn't valid."""
+    return not e.unsure and not balanced(e)

@@ -2,7 +2,7 @@
 
 A file is cut into blocks of lines and each block is scanned where its chunks lie, into a
 lexer-state map with a bracket summary; maps of a file are composed in order. Where the
-composed map of an exact scanner is unbalanced the file is broken; else its text is read by
+composed map shows that the file is broken, that is the verdict; else its text is read by
 the local grammar of its language. Nearly every file is one block, so this takes one exchange
 of text by file. The blocks of a huge file are scanned in as many tasks; its text is then put
 together in one task, for the verdict is the grammar's whatever the size of a file.
@@ -10,6 +10,7 @@ together in one task, for the verdict is the grammar's whatever the size of a fi
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.grammar import PARSERS, why_invalid
-from skerry.llm.lexstate import CODE, EXACT, Effect, StateMap, balanced, compose, state_map
+from skerry.llm.lexstate import CODE, Effect, StateMap, compose, state_map, surely_invalid
 from skerry.runtime import shuffle_partitions, spread
 
 LANGUAGES = tuple(PARSERS)
-#: Lines of a block. A file within one block is read by its grammar as a whole.
-BLOCK_LINES = 200_000
+#: The verdict of a map.
+UNBALANCED = "unbalanced"
+#: Lines of a block, which is scanned in one task.
+BLOCK_LINES = 20_000
 #: Pieces in which a block is scanned.
 _PIECE_LINES = 5_000
 #: Chunks that a split remembers, to hand on copies of a chunk once.
@@ -100,9 +103,9 @@ def _unpacked(text: str) -> dict[str, StateMap]:
 
 
 def judge(lang: str, lines: list[str]) -> str | None:
-    """What is wrong with a file of one block. The map decides where the scanner is exact."""
-    if lang in EXACT and not balanced(_block_map(lang, lines, True)[CODE]):
-        return "unbalanced"
+    """What is wrong with a file of one block: by its map, if that is sure, else by the grammar."""
+    if surely_invalid(_block_map(lang, lines, True)[CODE]):
+        return UNBALANCED
     return why_invalid(lang, "\n".join(lines))
 
 
@@ -119,12 +122,12 @@ def _judge_blocks(block_lines: int):
             if key[1] == 0 and lang not in PARSERS:
                 out.append((*key, lang, repo, block.chunks, None, None, None))
             elif key[1] == 0 and block.more:
-                maps = {lang: _block_map(lang, lines, True)} if lang in EXACT else {}
+                maps = {lang: _block_map(lang, lines, True)}
                 out.append((*key, lang, repo, block.chunks, None, _packed(maps), "\n".join(lines) if lines else None))
             elif key[1] == 0:
                 out.append((*key, lang, repo, block.chunks, judge(lang, lines) if block.chunks else None, None, None))
             else:
-                maps = {x: _block_map(x, lines, False) for x in sorted(EXACT)}
+                maps = {x: _block_map(x, lines, False) for x in LANGUAGES}
                 out.append((*key, None, None, block.chunks, None, _packed(maps), "\n".join(lines) if lines else None))
 
         def flush() -> pa.RecordBatch:
@@ -151,18 +154,26 @@ def _judge_blocks(block_lines: int):
     return run
 
 
-def _whole_file(blocks: list, lang: str | None) -> str | None:
+def _whole_file(blocks: list[dict], lang: str) -> str | None:
     """The verdict on a file of several blocks, from their maps and texts in order."""
-    if lang not in PARSERS:
-        return None
-    if lang in EXACT:
-        whole: StateMap | None = None
-        for b in blocks:
-            m = _unpacked(b.map).get(lang)
-            whole = m if whole is None else compose(whole, m)
-        if not balanced(whole[CODE]):
-            return "unbalanced"
-    return why_invalid(lang, "\n".join(b.text for b in blocks if b.text is not None))
+    maps = [_unpacked(b["map"])[lang] for b in blocks]
+    if surely_invalid(functools.reduce(compose, maps)[CODE]):
+        return UNBALANCED
+    return why_invalid(lang, "\n".join(b["text"] for b in blocks if b["text"] is not None))
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each file of a known language with a chunk; maps are composed and texts read where a file has several blocks."""
+    for batch in batches:
+        rows = [r for r in batch.to_pylist() if r["lang"] in PARSERS and r["chunks"] > 0]
+        why = [_whole_file(r["blocks"], r["lang"]) if r["blocks"] else r["why"] for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r["file_id"] for r in rows], pa.int64()), pa.array([r["lang"] for r in rows], pa.string()), pa.array([r["repo"] for r in rows], pa.string()),
+                pa.array([w is None for w in why], pa.bool_()), pa.array(why, pa.string()),
+            ],
+            names=["file_id", "lang", "repo", "valid", "why"],
+        )
 
 
 def syntax_verdicts(files: DataFrame, chunks: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -192,11 +203,8 @@ def syntax_verdicts(files: DataFrame, chunks: DataFrame, block_lines: int = BLOC
     by_file = judged.groupBy("file_id").agg(
         F.max("lang").alias("lang"), F.max("repo").alias("repo"), F.sum("chunks").alias("chunks"), F.max("why").alias("why"), F.max("block").alias("last"),
         F.sort_array(F.collect_list(F.when(F.col("map").isNotNull(), F.struct("block", "map", "text")))).alias("blocks"),
-    ).where(F.col("lang").isin(list(LANGUAGES)) & (F.col("chunks") > 0))
-    # one pass over the verdicts; there are blocks only of files that have several
-    whole = F.udf(lambda blocks, lang, why: _whole_file(blocks, lang) if blocks else why, "string")
-    why = F.when(F.col("last") > 0, whole("blocks", "lang", "why")).otherwise(F.col("why"))
-    return by_file.select("file_id", "lang", "repo", why.alias("why")).select("file_id", "lang", "repo", F.col("why").isNull().alias("valid"), "why")
+    )
+    return by_file.select("file_id", "lang", "repo", "chunks", "why", "blocks").mapInArrow(_verdicts, "file_id bigint, lang string, repo string, valid boolean, why string")
 
 
 def invalid_files(files: DataFrame, chunks: DataFrame) -> DataFrame:

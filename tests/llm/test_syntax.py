@@ -141,3 +141,26 @@ def test_deep_nesting():
         assert why_invalid("json", text) is not None
     assert why_invalid("java", "class A { int a = " + "(" * deep + "1" + ")" * deep + "; }") is None
     assert why_invalid("java", "class A { int a = " + "(" * deep + "1 2" + ")" * deep + "; }") is not None
+
+
+MISLEADING = {
+    "python": ["x = f\"{d[\"(\"]}\"\n", "x = f'{d['{']}' + f'{a}'\n", 'y = f"""{a["("]}"""\n', "z = rf'{p['[']}'\n"],
+    "javascript": ["var a = b / c; // (\nvar r = /[(\"]/;\n", "var t = `${f(\"`(\")}`;\n", "x = a / 2 / b('/');\n"],
+    "csharp": ["#if A\nclass A {\n#else\nclass B {\n#endif\n}\n", "var s = $\"{d[\"(\"]}\";\n", 'var r = """" a """ ( """";\n', "#region it's (\n#endregion\n"],
+    "java": ['String s = "\\\\u0022(";\n'.replace("\\\\", "\\")],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(MISLEADING))
+def test_maps_know_what_misleads_them(lang):
+    for text in MISLEADING[lang]:
+        assert not lx.surely_invalid(lx.scan(lang, text)), text
+        assert not lx.surely_invalid(lx.compose(lx.state_map(lang, "\n", True), lx.state_map(lang, text))[lx.CODE])
+
+
+def test_maps_decide_in_every_language():
+    for lang in sx.LANGUAGES:
+        for text in ("[" * 30_000, "]", "[(]"):
+            assert sx.judge(lang, [text]) == sx.UNBALANCED
+        for good in VALID[lang]:
+            assert not lx.surely_invalid(lx.scan(lang, good)), (lang, good)
