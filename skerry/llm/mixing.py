@@ -10,9 +10,11 @@ this very seed draws, not only those expected, meet the source's target.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,10 @@ from skerry.runtime import cut_lineage, shuffle_partitions
 SEED = 17
 #: Cells into which the hashed numbers are counted to set the means.
 CELLS = 4096
-#: Repeats of a source without a cap; the chance to draw more is below 1e-9 up to a mean of 30.
-UNCAPPED = 64
-#: The mix table has a row for each source and is read to the driver up to this many rows.
-MOST_SOURCES = 10_000
+#: Sources up to which the plan of a mix is broadcast; with more, documents are exchanged by source.
+BROADCAST_SOURCES = 10_000
+#: Numbers are drawn in steps of this size, so no chance below it can come up.
+_STEP = 2.0**-53
 
 
 def hashed_unit(column: Column, seed: int) -> Column:
@@ -33,19 +35,31 @@ def hashed_unit(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def distribution(mean: float, cap: int) -> np.ndarray:
-    """P(count <= k) for k below the cap: a number u draws as many repeats as entries it reaches."""
+def distribution(mean: float, cap: int | None) -> np.ndarray:
+    """P(count <= k) for k below the cap: a number u draws as many repeats as entries it reaches.
+
+    Without a cap the entries go on until none is left that a number below 1 could reach.
+    """
     if math.isinf(mean):
         return np.zeros(cap)
-    terms = [math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) if mean > 0 else float(k == 0) for k in range(cap)]
-    return np.minimum(np.cumsum(terms), 1.0)
+    if mean <= 0:
+        return np.ones(cap if cap is not None else 1)
+    most = cap
+    if cap is None:
+        most = int(mean + 12 * math.sqrt(mean)) + 60
+    k = np.arange(most, dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(k[1:]))]) if most else k
+    cdf = np.minimum(np.cumsum(np.exp(-mean + k * math.log(mean) - logs)), 1.0)
+    if cap is None:
+        cdf = np.append(cdf[cdf < 1 - _STEP], 1.0)
+    return cdf
 
 
 @dataclass
 class _Source:
     name: str
     weight: float
-    cap: int
+    cap: int | None  # null: no cap
     cells: np.ndarray  # tokens by cell of the hashed number
 
     def __post_init__(self) -> None:
@@ -60,10 +74,10 @@ class _Source:
         return float(inside.sum())
 
     def mean_for(self, tokens: float) -> float:
-        if tokens >= self.cap * self.tokens:
+        if self.cap is not None and tokens >= self.cap * self.tokens:
             return math.inf
         low, high = 0.0, 1.0
-        while self.drawn(high) < tokens and high < 1e6:
+        while self.drawn(high) < tokens:
             high *= 2
         for _ in range(80):
             middle = (low + high) / 2
@@ -76,46 +90,56 @@ def _measured(documents: DataFrame, vocabulary: str, seed: int) -> DataFrame:
     return cut_lineage(sized.where("source is not null and n_tokens > 0").withColumn("u", hashed_unit(F.col("doc_id"), seed)))
 
 
-def _targets(mix: DataFrame) -> dict[str, tuple[float, int]]:
-    rows = mix.where("source is not null and weight > 0").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("cap")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"a mix of more than {MOST_SOURCES} sources")
-    return {r.source: (float(r.weight), UNCAPPED if r.cap is None else max(0, int(r.cap))) for r in rows}
+_PLAN = "source string, weight double, max_repeats int, available bigint, target double, mean double, thresholds array<double>"
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean and the thresholds of each source, from its sums by cell."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            cells = np.zeros(CELLS)
+            for c in r["cells"] or ():
+                cells[c["cell"]] = c["n"]
+            s = _Source(r["source"], r["weight"], r["cap"], cells)
+            if s.tokens > 0 and s.cap != 0:
+                target = s.weight / r["weights"] * r["total"]
+                mean = s.mean_for(target)
+                rows.append((s.name, s.weight / r["weights"], s.cap, int(s.tokens), target, mean, distribution(mean, s.cap).tolist()))
+            else:
+                rows.append((s.name, 0.0, s.cap, int(s.tokens), 0.0, 0.0, [2.0]))
+        columns = list(zip(*rows)) or [[]] * 7
+        kinds = [pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["source", "weight", "max_repeats", "available", "target", "mean", "thresholds"])
 
 
 def plan_mix(sized: DataFrame, mix: DataFrame, total_tokens: float | None = None) -> DataFrame:
     """The draw of each source: (source, weight, max_repeats, available, target, mean, thresholds).
 
     ``sized`` has source, n_tokens and u. Weights are taken relative to the sum over sources that have
-    documents. ``total_tokens`` is the size of the mix; by default the greatest at which every source
-    can still give its share within its cap. Its sums per source and cell are at most ``CELLS`` rows
-    for each source of the mix.
+    documents; of several rows of a source the greatest weight and cap count, and a source whose
+    ``max_repeats`` is null has no cap. ``total_tokens`` is the size of the mix; by default the greatest
+    at which every source can still give its share within its cap, and where no source has a cap as
+    many tokens as there are. Each source is planned by itself, from at most ``CELLS`` sums.
     """
-    spark = sized.sparkSession
-    targets = _targets(mix)
-    cells = (
-        sized.where(F.col("source").isin(list(targets)))
-        .groupBy("source", F.floor(F.col("u") * CELLS).cast("int").alias("cell"))
-        .agg(F.sum("n_tokens").alias("n"))
+    targets = mix.where("source is not null and weight > 0").groupBy("source").agg(
+        F.max("weight").cast("double").alias("weight"), F.when(F.max(F.col("max_repeats").isNull()), F.lit(None)).otherwise(F.greatest(F.max("max_repeats"), F.lit(0))).cast("int").alias("cap")
     )
-    sums = {s: np.zeros(CELLS) for s in targets}
-    for r in cells.toLocalIterator():
-        sums[r.source][r.cell] += r.n
-    sources = [_Source(s, w, cap, sums[s]) for s, (w, cap) in sorted(targets.items())]
-    usable = [s for s in sources if s.tokens > 0 and s.cap > 0]
-    weights = sum(s.weight for s in usable)
-    total = total_tokens if total_tokens is not None else min((s.cap * s.tokens * weights / s.weight for s in usable), default=0.0)
-    rows = []
-    for s in sources:
-        share = s.weight / weights if s in usable else 0.0
-        mean = s.mean_for(share * total) if s in usable else 0.0
-        rows.append((s.name, share, s.cap, int(s.tokens), share * total, mean, distribution(mean, s.cap).tolist() if s in usable else [2.0] * s.cap))
-    return spark.createDataFrame(rows, "source string, weight double, max_repeats int, available bigint, target double, mean double, thresholds array<double>")
+    cells = sized.groupBy("source", F.floor(F.col("u") * CELLS).cast("int").alias("cell")).agg(F.sum("n_tokens").alias("n"))
+    by_source = cells.groupBy("source").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("n").cast("double").alias("tokens"))
+    rows = cut_lineage(targets.join(by_source, "source", "left"))
+    usable = (F.col("tokens") > 0) & (F.col("cap").isNull() | (F.col("cap") > 0))
+    most = F.when(usable, F.col("cap") * F.col("tokens") / F.col("weight"))
+    whole = rows.agg(F.coalesce(F.sum(F.when(usable, F.col("weight"))), F.lit(1.0)).alias("weights"), F.min(most).alias("most"), F.coalesce(F.sum(F.when(usable, F.col("tokens"))), F.lit(0.0)).alias("all"))
+    total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(F.col("most") * F.col("weights"), F.col("all"))
+    sums = whole.select("weights", total.alias("total"))  # one row
+    return cut_lineage(rows.join(F.broadcast(sums), how="inner").select("source", "weight", "cap", "cells", "weights", "total").mapInArrow(_solved, _PLAN))
 
 
 def _drawn(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` with source and u, and how often each is used; the plan has a row for each source of the mix."""
-    return rows.join(F.broadcast(plan.select("source", "thresholds")), "source").withColumn("repeats", F.size(F.filter("thresholds", lambda t: t <= F.col("u")))).drop("thresholds")
+    """``rows`` with source and u, and how often each is used; the plan has a row for each source of the mix and is counted before it is broadcast."""
+    draws = plan.select("source", "thresholds")
+    return rows.join(F.broadcast(draws) if plan.count() <= BROADCAST_SOURCES else draws, "source").withColumn("repeats", F.size(F.filter("thresholds", lambda t: t <= F.col("u")))).drop("thresholds")
 
 
 def mix_shares(documents: DataFrame, mix: DataFrame, total_tokens: float | None = None, vocabulary: str = DEFAULT_VOCABULARY, seed: int = SEED) -> DataFrame:

@@ -57,3 +57,24 @@ def test_empty(spark):
     docs, mix = _tables(spark)
     assert all(r.drawn_tokens == 0 for r in mx.mix_shares(docs.limit(0), mix).collect())
     assert mx.mix_documents(docs, mix.limit(0)).count() == 0
+
+
+def test_no_cap_cuts_nothing(spark):
+    d = mx.distribution(200.0, None)
+    assert d[-1] == 1.0 and len(d) > 250 and (np.diff(d) >= 0).all()
+    s = mx._Source("a", 1.0, None, np.full(mx.CELLS, 10.0))
+    assert abs(s.drawn(s.mean_for(300 * s.tokens)) - 300 * s.tokens) < 0.01 * s.tokens
+    docs = spark.createDataFrame([(i, "word " * 3, "free" if i % 50 == 0 else "big") for i in range(2000)], "doc_id bigint, text string, source string")
+    mix = spark.createDataFrame([("free", 9.0, None), ("big", 1.0, 2)], "source string, weight double, max_repeats int")
+    rows = {r.source: r for r in mx.mix_shares(docs, mix).collect()}
+    assert rows["free"].max_repeats is None and abs(rows["free"].share - 0.9) < 0.03 and rows["free"].most_repeats > 300
+    assert rows["big"].drawn_tokens == 2 * rows["big"].available_tokens
+    rows = {r.source: r for r in mx.mix_shares(docs, mix.withColumn("max_repeats", mx.F.lit(None).cast("int"))).collect()}
+    assert abs(sum(r.drawn_tokens for r in rows.values()) - 2000 * 4) < 600
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    docs, mix = _tables(spark)
+    want = {(r.doc_id, r.copy) for r in mx.mix_documents(docs, mix).collect()}
+    monkeypatch.setattr(mx, "BROADCAST_SOURCES", 1)
+    assert {(r.doc_id, r.copy) for r in mx.mix_documents(docs, mix).collect()} == want
