@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skerry.llm.mixing import mix_documents, mix_shares
 from skerry.llm.provenance import file_origins, not_hand_written, shared_subtrees
 from skerry.llm.repetition import clean_lines, repetition_shares, repetitive_documents
-from skerry.llm.splitting import split_chunks
+from skerry.llm.splitting import piece_texts, split_chunks
 from skerry.llm.syntax import invalid_files, invalid_rates
 from skerry.llm.tokenizer import encode_documents
 from skerry.runtime import table
@@ -26,6 +26,10 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return split_chunks(table(spark, root, "chunks")).select("chunk_id", "piece_index", "start_line", "end_line")
 
 
+def p4_texts(spark: SparkSession, root: str) -> DataFrame:
+    return piece_texts(table(spark, root, "chunks"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return not_hand_written(table(spark, root, "files"), table(spark, root, "chunks"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_found": p4_found,
+    "p4_texts": p4_texts,
     "p6_found": p6_found,
     "p6_origins": p6_origins,
     "p6_shared": p6_shared,

@@ -4,7 +4,7 @@ Items are worked on in ranges of bytes. A worker sees one range and a halo of th
 of a code point that crosses its end, and gives the boundary table of the range: where its
 lines end, how long they are in characters and which are blank. The tables of an item are
 stitched in order and lengths become offsets by prefix sums; the pieces are cut on these
-numbers alone, and the text of a piece is later taken by its offsets. No worker in Python
+numbers alone, and the text of a piece is later taken from its ranges by offset. No worker in Python
 ever holds a whole item, and the text isn't shuffled unless an item is very large.
 """
 
@@ -26,17 +26,11 @@ _HALO = 3
 #: Items of more bytes than this have their ranges dealt out over the cluster.
 _GIANT = 16 << 20
 
-_TABLE = "item string, range int, ends array<int>, chars array<int>, blank array<boolean>"
+_TABLE = "item string, range int, chars array<int>, blank array<boolean>"
 
 
-def range_table(data: bytes, first: bool, own: int) -> tuple[list[int], list[int], list[bool]]:
-    """The boundary table of one range.
-
-    ``data`` holds ``own`` bytes of the range and a halo. A code point belongs to the range in which
-    its first byte lies. The range is cut at its line feeds into segments, the last of which runs on
-    in the next range. Gives the byte positions of the line feeds, and for each segment its characters
-    and whether it holds white space only.
-    """
+def range_bounds(data: bytes, first: bool, own: int) -> tuple[int, int]:
+    """Where the code points of a range begin and end in its data: those whose first byte lies in its own bytes."""
     start = 0
     if not first:
         while start < len(data) and data[start] & 0xC0 == 0x80:
@@ -44,43 +38,43 @@ def range_table(data: bytes, first: bool, own: int) -> tuple[list[int], list[int
     end = own
     while end < len(data) and data[end] & 0xC0 == 0x80:
         end += 1
+    return start, end
+
+
+def range_table(data: bytes, first: bool, own: int) -> tuple[np.ndarray, list[bool]]:
+    """The boundary table of one range.
+
+    ``data`` holds ``own`` bytes of the range and a halo. The range is cut at its line feeds into
+    segments, the last of which runs on in the next range. Gives for each segment its characters and
+    whether it holds white space only.
+    """
+    start, end = range_bounds(data, first, own)
     raw = np.frombuffer(data, dtype=np.uint8)[start:end]
     feeds = np.flatnonzero(raw == 10)
     lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     cuts = np.concatenate([[-1], feeds, [len(raw)]])
-    chars = lead[cuts[1:]] - lead[cuts[:-1] + 1]
     body = data[start:end].decode("utf-8", "replace")
-    return (feeds + start).tolist(), chars.tolist(), [not s.strip() for s in body.split("\n")]
+    return lead[cuts[1:]] - lead[cuts[:-1] + 1], [not s.strip() for s in body.split("\n")]
 
 
 def _range_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [range_table(d.as_py(), r.as_py() == 0, o.as_py()) for d, r, o in zip(batch.column("data"), batch.column("range"), batch.column("own"))]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("item"),
-                batch.column("range"),
-                pa.array([x[0] for x in rows], pa.list_(pa.int32())),
-                pa.array([x[1] for x in rows], pa.list_(pa.int32())),
-                pa.array([x[2] for x in rows], pa.list_(pa.bool_())),
-            ],
-            names=["item", "range", "ends", "chars", "blank"],
+            [batch.column("item"), batch.column("range"), pa.array([x[0] for x in rows], pa.list_(pa.int32())), pa.array([x[1] for x in rows], pa.list_(pa.bool_()))],
+            names=["item", "range", "chars", "blank"],
         )
 
 
-def stitch(tables: list[tuple[list[int], list[bool]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and blankness of the lines of an item, from the tables of its ranges in order."""
-    chars: list[int] = []
-    blank: list[bool] = []
-    for sizes, blanks in tables:
-        if chars:
-            chars[-1] += sizes[0]
-            blank[-1] = blank[-1] and blanks[0]
-            chars += sizes[1:]
-            blank += blanks[1:]
-        else:
-            chars, blank = list(sizes), list(blanks)
-    return np.asarray(chars, dtype=np.int64), np.asarray(blank, dtype=bool)
+def stitch(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and blankness of the lines of an item, from the tables of its ranges in order: the last segment of one goes on in the first of the next."""
+    sizes = np.array([len(chars) for chars, _ in tables])
+    chars = np.concatenate([np.asarray(c, dtype=np.int64) for c, _ in tables])
+    blank = np.concatenate([np.asarray(b, dtype=bool) for _, b in tables])
+    begins = np.ones(len(chars), dtype=bool)
+    begins[np.cumsum(sizes)[:-1]] = False
+    at = np.flatnonzero(begins)
+    return np.add.reduceat(chars, at), np.logical_and.reduceat(blank, at)
 
 
 def cut(chars: np.ndarray, blank: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP_LINES, back: int = BACK_LINES) -> list[tuple[int, int, int, int]]:
@@ -118,12 +112,24 @@ def cut(chars: np.ndarray, blank: np.ndarray, limit: int = LIMIT, overlap: int =
     return pieces
 
 
+_PIECE = "item string, piece_index int, line_from int, line_to int, char_from bigint, n_chars bigint, parts array<struct<range: int, at: int, n: int>>"
+
+
 def _pieces_of(limit: int, overlap: int, back: int):
     def run(item: pa.Table) -> pa.Table:
         tables = {}
-        for r, chars, blank in zip(item["range"].to_pylist(), item["chars"].to_pylist(), item["blank"].to_pylist()):
-            tables[r] = (chars, blank)  # copies of an item give equal tables
-        pieces = cut(*stitch([tables[r] for r in sorted(tables)]), limit, overlap, back)
+        for k, r in enumerate(item["range"].to_pylist()):
+            if r not in tables:  # copies of an item give equal tables
+                tables[r] = tuple(item[c].combine_chunks()[k].values.to_numpy(zero_copy_only=False) for c in ("chars", "blank"))
+        order = [tables[r] for r in sorted(tables)]
+        pieces = cut(*stitch(order), limit, overlap, back)
+        # the character at which each range begins; a line feed belongs to the range it lies in
+        starts = np.concatenate([[0], np.cumsum([int(c.sum()) + len(c) - 1 for c, _ in order])])
+        parts = []
+        for _, _, at, n in pieces:
+            lo = int(np.searchsorted(starts, at, side="right")) - 1
+            hi = int(np.searchsorted(starts, at + n, side="left"))
+            parts.append([{"range": r, "at": max(0, at - int(starts[r])), "n": min(at + n, int(starts[r + 1])) - max(at, int(starts[r]))} for r in range(lo, min(hi, len(order)))])
         name = item["item"][0].as_py()
         return pa.table(
             {
@@ -133,14 +139,31 @@ def _pieces_of(limit: int, overlap: int, back: int):
                 "line_to": pa.array([p[1] for p in pieces], pa.int32()),
                 "char_from": pa.array([p[2] for p in pieces], pa.int64()),
                 "n_chars": pa.array([p[3] for p in pieces], pa.int64()),
+                "parts": pa.array(parts, pa.list_(pa.struct([("range", pa.int32()), ("at", pa.int32()), ("n", pa.int32())]))),
             }
         )
 
     return run
 
 
+def _slices(items: DataFrame, item: str, content: str) -> DataFrame:
+    """(item, range, giant, data, own): the ranges of the items, each with its halo."""
+    rows = items.select(F.col(item).alias("item"), F.encode(F.col(content), "utf-8").alias("bytes")).where(F.col("bytes").isNotNull())
+    size = F.length("bytes")
+    ranges = rows.select(
+        "item", "bytes", (size > _GIANT).alias("giant"),
+        F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / RANGE).cast("int") - 1, F.lit(0)))).alias("range"),
+    )
+    pos = F.col("range") * RANGE
+    return ranges.select(
+        "item", "range", "giant",
+        F.substring("bytes", pos + 1, F.lit(RANGE + _HALO)).alias("data"),
+        F.least(F.lit(RANGE), F.length("bytes") - pos).cast("int").alias("own"),
+    )
+
+
 def split_items(items: DataFrame, item: str, content: str, limit: int = LIMIT, overlap: int = OVERLAP_LINES, back: int = BACK_LINES) -> DataFrame:
-    """Pieces of each item: (item, piece_index, line_from, line_to, char_from, n_chars), lines from 0.
+    """Pieces of each item: (item, piece_index, line_from, line_to, char_from, n_chars, parts), lines from 0.
 
     ``item`` is a text that names the item; rows with the same name must hold the same content and
     count once. Lines are what lies between line feeds. A piece is a run of whole lines of at most
@@ -150,25 +173,55 @@ def split_items(items: DataFrame, item: str, content: str, limit: int = LIMIT, o
     one, less as many of the earliest as needed for its first new line to fit. A line of over
     ``limit`` characters is cut every ``limit`` characters, nothing being repeated in or right after
     these pieces. An item within the limit is one piece; null contents give none, empty ones one
-    empty piece.
+    empty piece. ``parts`` tells in which ranges a piece lies, from which of their characters on and
+    for how many.
     """
     spark = items.sparkSession
-    rows = items.select(F.col(item).alias("item"), F.encode(F.col(content), "utf-8").alias("bytes")).where(F.col("bytes").isNotNull())
-    size = F.length("bytes")
-    ranges = rows.select(
-        "item", "bytes", (size > _GIANT).alias("giant"),
-        F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / RANGE).cast("int") - 1, F.lit(0)))).alias("range"),
-    )
-    pos = F.col("range") * RANGE
-    slices = ranges.select(
-        "item", "range", "giant",
-        F.substring("bytes", pos + 1, F.lit(RANGE + _HALO)).alias("data"),
-        F.least(F.lit(RANGE), F.length("bytes") - pos).cast("int").alias("own"),
-    )
+    slices = _slices(items, item, content)
     near = slices.where(~F.col("giant")).drop("giant").mapInArrow(_range_tables, _TABLE)
     far = slices.where("giant").drop("giant").repartition(2 * spark.sparkContext.defaultParallelism, "item", "range").mapInArrow(_range_tables, _TABLE)
     tables = near.unionByName(far).select("item", "range", "chars", "blank")
-    return tables.groupBy("item").applyInArrow(_pieces_of(limit, overlap, back), "item string, piece_index int, line_from int, line_to int, char_from bigint, n_chars bigint")
+    return tables.groupBy("item").applyInArrow(_pieces_of(limit, overlap, back), _PIECE)
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each part of a piece, from the range that it lies in."""
+    for batch in batches:
+        last, body, texts = None, "", []
+        for data, r, own, at, n in zip(*(batch.column(c) for c in ("data", "range", "own", "at", "n"))):
+            data = data.as_py()
+            if data is not last and data != last:
+                start, end = range_bounds(data, r.as_py() == 0, own.as_py())
+                last, body = data, data[start:end].decode("utf-8", "replace")
+            texts.append(body[at.as_py() : at.as_py() + n.as_py()])
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("piece_index"), batch.column("range"), pa.array(texts, pa.string())], names=["item", "piece_index", "range", "text"])
+
+
+def split_texts(items: DataFrame, item: str, content: str, limit: int = LIMIT, overlap: int = OVERLAP_LINES, back: int = BACK_LINES) -> DataFrame:
+    """The pieces of ``split_items`` with their text: (item, piece_index, line_from, line_to, text).
+
+    A piece is taken from the ranges that it lies in, nearly always one, which meet it by item and
+    range; no whole item is put together again.
+    """
+    pieces = split_items(items, item, content, limit, overlap, back)
+    wanted = pieces.select("item", "piece_index", F.explode("parts").alias("part")).select("item", "piece_index", "part.*")
+    slices = _slices(items, item, content).groupBy("item", "range").agg(F.first("data").alias("data"), F.first("own").alias("own"))
+    found = wanted.join(slices, ["item", "range"]).select("item", "piece_index", "range", "at", "n", "data", "own").mapInArrow(_cut_out, "item string, piece_index int, range int, text string")
+    texts = found.groupBy("item", "piece_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "text"))), lambda p: p["text"]), "").alias("text"))
+    return pieces.join(texts, ["item", "piece_index"], "left").select("item", "piece_index", "line_from", "line_to", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _oversized(chunks: DataFrame, limit: int) -> DataFrame:
+    """(item, content) of the chunks over the limit; an item is named by id, first line and content."""
+    name = F.concat_ws(" ", F.coalesce(F.col("chunk_id").cast("string"), F.lit("null")), F.coalesce("start_line", F.lit(1)).cast("string"), F.sha2("content", 256))
+    return chunks.where(F.length("content") > limit).select(name.alias("item"), "content")
+
+
+def _of_chunks(pieces: DataFrame, *more: str) -> DataFrame:
+    first = F.split("item", " ")[1].cast("int")
+    return pieces.select(
+        F.expr("try_cast(split(item, ' ')[0] as bigint)").alias("chunk_id"), "piece_index", (first + F.col("line_from")).alias("start_line"), (first + F.col("line_to")).alias("end_line"), *more
+    )
 
 
 def split_chunks(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -177,25 +230,9 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     Chunks that differ in chunk_id, start_line or content are distinct; null contents are left out, a
     null start_line counts as 1, and end_line isn't used.
     """
-    first = F.coalesce("start_line", F.lit(1))
-    over = chunks.where(F.length("content") > limit).select(
-        F.concat_ws(" ", F.coalesce(F.col("chunk_id").cast("string"), F.lit("null")), first.cast("string"), F.sha2("content", 256)).alias("item"), "content"
-    )
-    parts = F.split("item", " ")
-    return split_items(over, "item", "content", limit).select(
-        F.expr("try_cast(split(item, ' ')[0] as bigint)").alias("chunk_id"),
-        "piece_index",
-        (parts[1].cast("int") + F.col("line_from")).alias("start_line"),
-        (parts[1].cast("int") + F.col("line_to")).alias("end_line"),
-        "char_from",
-        "n_chars",
-    )
+    return _of_chunks(split_items(_oversized(chunks, limit), "item", "content", limit), "char_from", "n_chars")
 
 
 def piece_texts(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The pieces with their text, taken from the chunks by offset: (chunk_id, piece_index, start_line, end_line, text)."""
-    whole = chunks.where(F.length("content") > limit).select("chunk_id", "start_line", "content").distinct()
-    pieces = split_chunks(chunks, limit)
-    return whole.withColumnRenamed("start_line", "first_line").join(pieces, "chunk_id").where(
-        (F.col("start_line") >= F.coalesce("first_line", F.lit(1)))
-    ).select("chunk_id", "piece_index", "start_line", "end_line", F.substring("content", (F.col("char_from") + 1).cast("int"), F.col("n_chars").cast("int")).alias("text"))
+    """The pieces of ``split_chunks`` with their text: (chunk_id, piece_index, start_line, end_line, text)."""
+    return _of_chunks(split_texts(_oversized(chunks, limit), "item", "content", limit), "text")

@@ -75,7 +75,7 @@ def test_ranges_stitch_to_the_whole(seed):
     tables = []
     for at in range(0, max(len(data), 1), width):
         own = min(width, len(data) - at)
-        _, chars, blank = sp.range_table(data[at : at + width + 3], at == 0, own)
+        chars, blank = sp.range_table(data[at : at + width + 3], at == 0, own)
         tables.append((chars, blank))
     chars, blank = sp.stitch(tables)
     lines = text.split("\n")
@@ -88,7 +88,7 @@ def test_chunks(spark, monkeypatch):
     rng = random.Random(9)
     texts = {i: random_text(rng, 4000) for i in range(12)}
     rows = [(i, i, 0, 1 + 70 * i, None, t) for i, t in texts.items()]
-    rows += rows[:3] + [(99, 1, 0, 1, 2, "short"), (98, 1, 0, 1, 2, None), (97, None, None, None, None, "a\n" * 3000), (None, 1, 0, 1, 1, "b" * 9000)]
+    rows += rows[:3] + [(99, 1, 0, 1, 2, "short"), (98, 1, 0, 1, 2, None), (97, None, None, None, None, "a\n" * 3000), (None, 1, 0, 1, 1, "b" * 9000), (0, 0, 0, 1, None, "another text under this id\n" * 400)]
     df = spark.createDataFrame(rows, "chunk_id bigint, file_id bigint, chunk_index int, start_line int, end_line int, content string").selectExpr("*", "'clash' as item", "0 as range")
     monkeypatch.setattr(sp, "RANGE", 1000)
     got = [tuple(r)[:4] for r in sp.split_chunks(df).collect()]
@@ -97,8 +97,19 @@ def test_chunks(spark, monkeypatch):
         if t is not None and len(t) > 4000:
             want += [(c, k, (s or 1) + a, (s or 1) + b) for k, (a, b) in enumerate(pieces_by_hand(t))]
     assert sorted(got, key=str) == sorted(want, key=str)
-    for r in sp.piece_texts(df.where("chunk_id < 12")).collect():
-        first = r.start_line - (1 + 70 * r.chunk_id)
-        line = texts[r.chunk_id].split("\n")[first]
-        assert r.text.startswith(line[:10]) or len(line) > 4000
+    items = {(r[0], r[3], r[5]): r for r in rows}.values()
+    texts_wanted = []
+    for c, _, _, s, _, t in items:
+        if t is not None and len(t) > 4000:
+            lines = t.split("\n")
+            cuts = sp.cut(np.array([len(x) for x in lines]), np.array([not x.strip() for x in lines]))
+            texts_wanted += [(c, k, (s or 1) + a, (s or 1) + b, t[at : at + n]) for k, (a, b, at, n) in enumerate(cuts)]
+    for width in (1000, 7, 1 << 20):
+        monkeypatch.setattr(sp, "RANGE", width)
+        if width == 7:
+            some = [r for r in rows if r[0] in (0, 1, 97)]
+            small = spark.createDataFrame(some, "chunk_id bigint, file_id bigint, chunk_index int, start_line int, end_line int, content string")
+            assert sorted(map(tuple, sp.piece_texts(small).collect()), key=str) == sorted((w for w in texts_wanted if w[0] in (0, 1, 97)), key=str)
+        else:
+            assert sorted(map(tuple, sp.piece_texts(df).collect()), key=str) == sorted(texts_wanted, key=str)
     assert sp.split_chunks(df.limit(0)).count() == 0
