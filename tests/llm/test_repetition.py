@@ -40,8 +40,19 @@ def test_documents_dont_mix(spark):
 
 
 def test_line_rules(spark):
-    text = "Home | News | About | Login\nThis is a sentence that ends well.\nAll rights reserved.\nsome words without an end here\n\nFine."
+    text = "Home | News | About | Login\nThis is a sentence that ends well.\nAll rights reserved.\nsome words without an end here\n\nint value = call(some, other, thing, 3) +\nFine."
     row = rp.clean_lines(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")).orderBy("doc_id").collect()
-    assert row[0].text == "This is a sentence that ends well.\n\nFine." and row[0].rejected
+    assert row[0].text == "This is a sentence that ends well.\n\nint value = call(some, other, thing, 3) +\nFine." and row[0].rejected
     assert row[1].text is None and not row[1].rejected
     assert row[2].text == "" and row[2].lost == 0
+
+
+def test_lines_of_many_documents(spark):
+    rows = [(i, f"Own words {chr(97 + i % 26) * 5} number {i} of this text {chr(97 + i // 26) * 7}.\nPage {i} of the great manual of everything.") for i in range(60)]
+    df = spark.createDataFrame(rows + [(100, "Page 7 of the great manual of everything.\n" * 3)], "doc_id bigint, text string")
+    common = {r.line: r.documents for r in rp.common_lines(df, 0.5).collect()}
+    assert common == {rp.line_key("page 0 of the great manual of everything."): 61}
+    cleaned = {r.doc_id: r for r in rp.clean_lines(df, common_share=0.5).collect()}
+    assert cleaned[3].text == rows[3][1].split("\n")[0] and cleaned[100].text == "" and cleaned[100].rejected
+    assert {r.doc_id for r in rp.repetitive_documents(df).collect()} <= {i for i, r in cleaned.items() if r.rejected}
+    assert rp.clean_lines(df.limit(0)).count() == 0
