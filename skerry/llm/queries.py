@@ -61,7 +61,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
-    return repetition_shares(table(spark, root, "documents"))
+    return repetition_shares(table(spark, root, "documents")).select("doc_id", "words", "repeated_words", "share")
 
 
 def p9_clean(spark: SparkSession, root: str) -> DataFrame:
@@ -84,5 +84,16 @@ QUERIES = {
     "p9_clean": p9_clean,
 }
 
-#: Recursion over pieces, merges and hashes has no workable SQL on whole tables; see tests/llm.
-SQL: dict[str, str] = {}
+_P9 = """
+with w as (select doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') as ws from documents),
+g as (select doc_id, p, array_to_string(list_slice(ws, p, p + 7), ' ') as gram from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as p from w where len(ws) >= 8)),
+again as (select doc_id, p from (select doc_id, p, min(p) over (partition by doc_id, gram) as first from g) where p > first),
+hit as (select doc_id, count(distinct p + k) as n from again, range(0, 8) t(k) group by doc_id),
+s as (select w.doc_id, len(ws) as words, coalesce(n, 0) as repeated_words from w left join hit on hit.doc_id = w.doc_id)
+"""
+
+#: Token ids, pieces, hashes of trees, lexers and seeded draws have no workable SQL on whole tables; see tests/llm.
+SQL: dict[str, str] = {
+    "p9_found": _P9 + "select doc_id from s where words > 0 and repeated_words >= 0.35 * words",
+    "p9_shares": _P9 + "select doc_id, cast(words as bigint) as words, repeated_words, case when words > 0 then repeated_words / words else 0.0 end as share from s",
+}
