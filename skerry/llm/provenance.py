@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.syntax import chunk_rows
@@ -99,31 +99,37 @@ def layout(lines: list[str]) -> tuple[int, int, int, int]:
     return chars, minified, data, notes
 
 
-def leading_comment(lines: list[str]) -> str:
-    """The comments in front of the first line of code."""
+#: The ends of comments over several lines, by their starts.
+_SPANS = (("/*", "*/"), ("<!--", "-->"))
+#: What a chunk may begin in: the comments in front of the code, or a comment over several lines among them.
+_ENTRIES = ("", *(end for _, end in _SPANS))
+_CODE = "code"
+
+
+def leading_comment(lines: list[str], inside: str = "") -> tuple[list[str], str]:
+    """The comments in front of the first line of code, and what the text ends in: code, or one of ``_ENTRIES``, the last of which it may begin in."""
     kept = []
-    inside = None
-    for raw in lines[:200]:
+    for raw in lines:
         line = raw.strip()
         if inside:
             kept.append(line)
             if inside in line:
-                inside = None
-        elif line.startswith("/*"):
-            kept.append(line)
-            inside = None if "*/" in line[2:] else "*/"
-        elif line.startswith("<!--"):
+                inside = ""
+            continue
+        start = next((s for s in _SPANS if line.startswith(s[0])), None)
+        if start:
             kept.append(line)
-            inside = None if "-->" in line else "-->"
+            inside = "" if start[1] in line[2:] else start[1]
         elif line.startswith(("//", "#", "--", ";;")) or not line or line.startswith("<?xml"):
             kept.append(line)
         else:
-            break
-    return "\n".join(kept)
+            return kept, _CODE
+    return kept, inside
 
 
 def banner(lines: list[str]) -> str | None:
-    for line in leading_comment(lines).split("\n"):
+    """What a text says of itself, line by line."""
+    for line in lines:
         if _GENERATED_BANNER.search(line):
             return "generated"
         if _VENDORED_BANNER.search(line):
@@ -131,40 +137,77 @@ def banner(lines: list[str]) -> str | None:
     return None
 
 
-_STATS = "file_id bigint, start_line int, banner string, own array<bigint>, rest array<bigint>, followed boolean"
+#: Texts, one of which is in every banner, in lower case.
+_BANNER_HINTS = ("generated", "written", "created", "produced", "emitted", "edit", "modify", "change", "copy", "upstream", "vendored", "contributors", "(c)")
+
+
+def leads(lines: list[str], first: bool) -> list[str]:
+    """For each of ``_ENTRIES`` how a piece that begins so ends, and the banner in its comments, with a bar between; nothing if all end in code without one."""
+    out = []
+    hinted = None
+    for entry in _ENTRIES[:1] if first else _ENTRIES:
+        kept, leaves = leading_comment(lines, entry)
+        said = None
+        if kept:
+            if hinted is None:
+                low = "\n".join(lines).lower()
+                hinted = any(h in low for h in _BANNER_HINTS)
+            said = banner(kept) if hinted else None
+        out.append(f"{leaves}|{said or ''}")
+    return [] if all(x == f"{_CODE}|" for x in out) else out
+
+
+_STATS = "file_id bigint, start_line int, lead array<string>, lead_rest array<string>, own array<bigint>, rest array<bigint>, followed boolean"
 
 
 def _chunk_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk a row of its own figures, and a row that tells the chunk ``STRIDE`` lines before that it is followed."""
     for batch in batches:
         starts = batch.column("start_line").to_pylist()
-        own, rest, banners = [], [], []
+        own, rest, lead, lead_rest = [], [], [], []
         for start, content in zip(starts, batch.column("content").to_pylist()):
             lines = (content or "").split("\n")
             own.append(layout(lines[:STRIDE]))
             rest.append(layout(lines[STRIDE:]))
-            banners.append(banner(lines) if start <= 1 else None)
-        n, kind, ids = len(starts), pa.list_(pa.int64()), batch.column("file_id").to_pylist()
+            lead.append(leads(lines[:STRIDE], start <= 1))
+            lead_rest.append(leads(lines[STRIDE:], False) if len(lines) > STRIDE and lead[-1] else None)
+        n, kind, texts, ids = len(starts), pa.list_(pa.int64()), pa.list_(pa.string()), batch.column("file_id").to_pylist()
         none = [None] * n
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids + ids, pa.int64()), pa.array(starts + [s - STRIDE for s in starts], pa.int32()), pa.array(banners + none, pa.string()),
+                pa.array(ids + ids, pa.int64()), pa.array(starts + [s - STRIDE for s in starts], pa.int32()), pa.array(lead + none, texts), pa.array(lead_rest + none, texts),
                 pa.array(own + none, kind), pa.array(rest + none, kind), pa.array([False] * n + [True] * n, pa.bool_()),
             ],
-            names=["file_id", "start_line", "banner", "own", "rest", "followed"],
+            names=["file_id", "start_line", "lead", "lead_rest", "own", "rest", "followed"],
         )
 
 
+def _banner_of(leads: Column) -> Column:
+    """The first banner of a file, from the leads of its chunks in order, as long as all that is before a chunk is comment."""
+    def step(acc: Column, lead: Column) -> Column:
+        at = acc["at"]
+        mine = F.coalesce(F.get(lead, F.when(at == _ENTRIES[1], 1).when(at == _ENTRIES[2], 2).otherwise(0)), F.lit(f"{_CODE}|"))
+        said = F.substring_index(mine, "|", -1)
+        over = (at == _CODE) | (acc["said"] != "")
+        return F.when(over, acc).otherwise(F.struct(F.substring_index(mine, "|", 1).alias("at"), said.alias("said")))
+
+    return F.aggregate(leads, F.struct(F.lit("").alias("at"), F.lit("").alias("said")), step, lambda a: F.nullif(a["said"], F.lit("")))
+
+
 def file_layouts(chunks: DataFrame) -> DataFrame:
     """(file_id, banner, chars, minified, data, notes) of each file with a chunk.
 
     A chunk's first ``STRIDE`` lines are its own; what lies beyond them counts for a chunk that none
-    follows, as windows overlap.
+    follows, as windows overlap. The banner is sought in all comments in front of the first line of
+    code, however many chunks they fill; chunks tell for themselves what they would add to them.
     """
     stats = chunk_rows(chunks).mapInArrow(_chunk_stats, _STATS)
-    seen = stats.groupBy("file_id", "start_line").agg(*(F.max(c).alias(c) for c in ("banner", "own", "rest", "followed"))).where("own is not null")
+    seen = stats.groupBy("file_id", "start_line").agg(*(F.max(c).alias(c) for c in ("lead", "lead_rest", "own", "rest", "followed"))).where("own is not null")
     part = lambda k: (F.col("own")[k] + F.when(F.col("followed"), 0).otherwise(F.col("rest")[k])).cast("bigint")
-    return seen.groupBy("file_id").agg(F.max("banner").alias("banner"), *(F.sum(part(k)).alias(n) for k, n in enumerate(("chars", "minified", "data", "notes"))))
+    mine = F.array_compact(F.array("lead", F.when(~F.col("followed"), F.col("lead_rest"))))
+    kept = F.struct("start_line", mine.alias("leads"))  # a few bytes for each chunk
+    by_file = seen.groupBy("file_id").agg(F.sort_array(F.collect_list(kept)).alias("found"), *(F.sum(part(k)).alias(n) for k, n in enumerate(("chars", "minified", "data", "notes"))))
+    return by_file.select("file_id", _banner_of(F.flatten(F.transform("found", lambda x: x["leads"]))).alias("banner"), "chars", "minified", "data", "notes")
 
 
 #: Levels of a tree that are combined in one plan before its lineage is cut.

@@ -11,11 +11,12 @@ def test_line_kinds():
 
 
 def test_banners():
-    assert pv.banner(["// Licensed under X", "", "// Code generated by t from a. DO NOT EDIT.", "package a"]) == "generated"
-    assert pv.banner(["/*! lib 1.2.3 -- bundled copy, local patches: none */", "x"]) == "vendored"
-    assert pv.banner(["import a", "// Code generated by t. DO NOT EDIT."]) is None
-    assert pv.banner(["# auto-generated names are checked below"]) is None
-    assert pv.banner(["BANNER = '<auto-generated/>'"]) is None
+    said = lambda lines: pv.banner(pv.leading_comment(lines)[0])
+    assert said(["// Licensed under X", "", "// Code generated by t from a. DO NOT EDIT.", "package a"]) == "generated"
+    assert said(["/*! lib 1.2.3 -- bundled copy, local patches: none */", "x"]) == "vendored"
+    assert said(["import a", "// Code generated by t. DO NOT EDIT."]) is None
+    assert said(["# auto-generated names are checked below"]) is None
+    assert said(["BANNER = '<auto-generated/>'"]) is None
 
 
 def _chunks(rows):
@@ -54,3 +55,18 @@ def test_overlaps_count_once(spark):
     rows = [(1, 1, "\n".join(lines[:80])), (1, 71, "\n".join(lines[70:150])), (1, 141, "\n".join(lines[140:]))]
     got = pv.file_layouts(spark.createDataFrame(_chunks(rows + rows[1:2]), CHUNK)).collect()[0]
     assert got.chars == got.data == sum(map(len, lines))
+
+
+def test_banner_after_a_long_licence(spark):
+    licence = [f" * words {i} of a licence" for i in range(300)]
+    note = "// Code generated by t from a. DO NOT EDIT."
+    texts = {
+        1: ["/*", *licence, " */", note, "x = 1"], 2: ["/*", *licence, " */", "x = 1", note], 3: [*(f"// {x}" for x in licence), note, "x"], 4: ["x", *(f"// {x}" for x in licence), note],
+        5: ["/*", *licence[:75], " */", note], 6: [*(f"// {x}" for x in licence[:69]), note, *["y = 2"] * 90],
+        7: [*(f"// {x}" for x in licence[:70]), *["y = 2"] * 70, note, *["y = 2"] * 90],
+    }
+    windows = [(f, at + 1, "\n".join(t[at : at + 80])) for f, t in texts.items() for at in range(0, max(len(t) - 10, 1), 70)]
+    whole = [(f + 10, 1, "\n".join(t)) for f, t in texts.items()]
+    got = {r.file_id: r.banner for r in pv.file_layouts(spark.createDataFrame(_chunks(windows + whole), CHUNK)).collect()}
+    want = {1: "generated", 2: None, 3: "generated", 4: None, 5: "generated", 6: "generated", 7: None}
+    assert got == want | {f + 10: v for f, v in want.items()}
