@@ -210,15 +210,12 @@ def file_layouts(chunks: DataFrame) -> DataFrame:
     return by_file.select("file_id", _banner_of(F.flatten(F.transform("found", lambda x: x["leads"]))).alias("banner"), "chars", "minified", "data", "notes")
 
 
-#: Levels of a tree that are combined in one plan before its lineage is cut.
-_LEVELS_AT_ONCE = 12
-
-
 def shared_subtrees(files: DataFrame, least_files: int = 2) -> DataFrame:
     """Directories whose whole subtree, by relative paths and checksums, lies in several repositories: (dir, tree_hash, n_files).
 
     A directory's hash is a sum over its entries of hashes of name and hash, in two independent halves,
-    so it is built by a partial aggregation level by level, however many entries a directory has.
+    so it is built by a partial aggregation level by level, however many entries a directory has. Each
+    level is written, so the plan doesn't grow with the depth.
     Whole repositories don't count, nor do subtrees of under ``least_files`` files. Files without a
     checksum make the subtrees above them unlike any other.
     """
@@ -237,11 +234,10 @@ def shared_subtrees(files: DataFrame, least_files: int = 2) -> DataFrame:
             here = here.unionByName(level)
         name = F.substring_index("path", "/", -1)
         wrapped = lambda h, k: F.xxhash64(name, F.col(f"hash.{h}"), F.lit(k)) % F.lit(1 << 40)  # noqa: E731 - sums of 2^23 of these fit 64 bits
-        level = here.groupBy(F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("path")).agg(
+        grouped = here.groupBy(F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("path")).agg(
             F.struct(F.sum(wrapped("a", 3)).alias("a"), F.sum(wrapped("b", 4)).alias("b")).alias("hash"), F.sum("n_files").alias("n_files")
         )
-        if (deepest - depth) % _LEVELS_AT_ONCE == _LEVELS_AT_ONCE - 1:
-            level = cut_lineage(level)
+        level = cut_lineage(grouped)
         found = level if found is None else found.unionByName(level)
     if found is None:
         found = nodes.select("path", "hash", "n_files").where(F.lit(False))
