@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skerry.functions.names import base_names, import_targets, resolve_links
 from skerry.operators.lines import matching_lines
 from skerry.operators.structure import _CLASS_KINDS
+from skerry.runtime import cut_lineage
 
 _ATTRIBUTE = r"^\s*(?:\[(?:\w+:\s*)?([A-Z]\w*)|@([A-Z]\w*))"
 
@@ -50,20 +51,19 @@ def link_edges(texts: DataFrame, files: DataFrame) -> DataFrame:
     return found.join(files.where("path is not null").select(F.col("path").alias("target")), "target", "left_semi").groupBy(F.col("path").alias("src_path"), "target").agg(F.sum("n").alias("n"))
 
 
-def dispatch_targets(symbols: DataFrame, files: DataFrame, rounds: int = 8) -> DataFrame:
-    """(lang, type, base, depth): each type with all types it derives from, up to ``rounds`` steps.
+def dispatch_targets(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(lang, type, base, depth): each type with all types it derives from, and in how many steps.
 
-    Each step joins the bases found so far with declared bases and stops when none is new.
+    Each step joins the bases found last with declared bases and is written; it ends when none is new.
     """
     rows = symbols.where(F.col("kind").isin(*_CLASS_KINDS) & F.col("signature").isNotNull()).join(files.select("file_id", "lang"), "file_id")
-    direct = rows.select("lang", F.col("name").alias("type"), F.explode(base_names(F.col("signature"))).alias("base")).where("type <> base").distinct()
+    direct = cut_lineage(rows.select("lang", F.col("name").alias("type"), F.explode(base_names(F.col("signature"))).alias("base")).where("type <> base").distinct())
     found = direct.withColumn("depth", F.lit(1))
-    step = direct
-    for depth in range(2, rounds + 1):
+    step, depth = direct, 1
+    while not step.isEmpty():
+        depth += 1
         more = step.select("lang", "type", F.col("base").alias("via")).join(direct.select("lang", F.col("type").alias("via"), "base"), ["lang", "via"]).select("lang", "type", "base").distinct()
-        step = more.join(found, ["lang", "type", "base"], "left_anti").where("type <> base")
-        if step.isEmpty():
-            break
+        step = cut_lineage(more.join(found, ["lang", "type", "base"], "left_anti").where("type <> base"))
         found = found.unionByName(step.withColumn("depth", F.lit(depth)))
     return found
 

@@ -12,10 +12,10 @@ from skerry.schema import CALLER_WEIGHTS, IMPACT_KINDS, TOP_LEVEL
 _SITE = ["file_id", "symbol_name", "line", "column_number"]
 
 
-def reference_sites(refs: DataFrame) -> DataFrame:
-    """References with one row for each site and logical kind: of several the least ref_id."""
+def reference_sites(refs: DataFrame, *columns: str) -> DataFrame:
+    """References with one row for each site and logical kind: of several the least ref_id, with the named columns of its row."""
     kind = logical_kind(F.col("reference_kind"))
-    rest = [c for c in refs.columns if c not in _SITE]
+    rest = ["ref_id", *columns]
     rows = refs.groupBy(*_SITE, kind.alias("logical_kind")).agg(F.min(F.struct("ref_id", *(c for c in rest if c != "ref_id"))).alias("row"))
     return rows.select(*_SITE, "logical_kind", *(F.col(f"row.{c}").alias(c) for c in rest))
 
@@ -54,7 +54,8 @@ def _grouped(sites: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def call_sites(refs: DataFrame, kind: str | None = None) -> DataFrame:
-    return reference_sites(refs.where("symbol_name is not null").where(kind_predicate(F.col("reference_kind"), kind)))
+    named = refs.where("symbol_name is not null").where(kind_predicate(F.col("reference_kind"), kind))
+    return reference_sites(named, "container_kind", "container_name", "span_length", "is_self_reference", "is_mutual_recursion")
 
 
 def callers(refs: DataFrame, files: DataFrame, name: str | None = None, kind: str | None = None) -> DataFrame:
@@ -109,25 +110,24 @@ def unique_families(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def candidate_summary(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(ref_id, scope_rank, candidate_count, target_symbol_id, state) of each named reference.
 
-    Definitions of the same folded name and language are candidates, those in the same file first (rank
-    1), then in the same directory (2), then anywhere (3); the best rank that has one decides. Names
-    are summed up by file, directory and language before references meet them, so a name with many
-    definitions and many references never pairs them.
+    Definitions of the same folded name and language are candidates: those in the same container of the
+    same file (rank 1), then in the same file (2), in the same directory (3), anywhere (4); the best rank
+    that has one decides. Names are summed up by container, file, directory and language before
+    references meet them, so a name with many definitions and many references never pairs them.
     """
     where = files.select("file_id", "lang", F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)))").alias("dir"))
-    defs = symbols.where("name_folded is not null").join(where, "file_id")
-    count = [F.count("*").alias("n"), F.min("symbol_id").alias("id")]
-    by_file = defs.groupBy("file_id", "lang", "name_folded").agg(*count)
-    by_dir = defs.groupBy("dir", "lang", "name_folded").agg(*count)
-    by_lang = defs.groupBy("lang", "name_folded").agg(*count)
-    rows = refs.where("symbol_name_folded is not null").select("ref_id", "file_id", F.col("symbol_name_folded").alias("name_folded")).join(where, "file_id")
+    defs = symbols.where("name_folded is not null").select("file_id", "symbol_id", "name_folded", ascii_lower(F.col("container_name")).alias("container")).join(where, "file_id")
+    rows = refs.where("symbol_name_folded is not null").select("ref_id", "file_id", F.col("symbol_name_folded").alias("name_folded"), ascii_lower(F.col("container_name_folded")).alias("container")).join(where, "file_id")
     # a name that holds a third of all references meets one row of each sum
-    for tag, sums, keys in (("f", by_file, ["file_id", "lang", "name_folded"]), ("d", by_dir, ["dir", "lang", "name_folded"]), ("l", by_lang, ["lang", "name_folded"])):
-        rows = rows.join(sums.withColumnRenamed("n", f"n_{tag}").withColumnRenamed("id", f"id_{tag}"), keys, "left")
-    n = F.coalesce("n_f", "n_d", "n_l", F.lit(0).cast("bigint"))
-    rank = F.when(F.col("n_f").isNotNull(), 1).when(F.col("n_d").isNotNull(), 2).when(F.col("n_l").isNotNull(), 3)
+    scopes = (["file_id", "container", "lang", "name_folded"], ["file_id", "lang", "name_folded"], ["dir", "lang", "name_folded"], ["lang", "name_folded"])
+    for k, keys in enumerate(scopes):
+        sums = defs.groupBy(*keys).agg(F.count("*").alias(f"n_{k}"), F.min("symbol_id").alias(f"id_{k}"))
+        rows = rows.join(sums, keys, "left")
+    found = lambda name: [F.col(f"{name}_{k}") for k in range(len(scopes))]
+    n = F.coalesce(*found("n"), F.lit(0).cast("bigint"))
+    rank = F.coalesce(*(F.when(c.isNotNull(), k + 1) for k, c in enumerate(found("n"))))
     return rows.select(
-        "ref_id", rank.alias("scope_rank"), n.alias("candidate_count"), F.when(n == 1, F.coalesce("id_f", "id_d", "id_l")).alias("target_symbol_id"),
+        "ref_id", rank.alias("scope_rank"), n.alias("candidate_count"), F.when(n == 1, F.coalesce(*found("id"))).alias("target_symbol_id"),
         F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("state"),
     )
 
@@ -165,7 +165,7 @@ def impact(refs: DataFrame, files: DataFrame, root: str, lang: str, max_depth: i
     edges = cut_lineage(call_edges(refs, files).where(F.col("lang") == lang).select("callee", "caller"))
     spark = edges.sparkSession
     seen = frontier = spark.createDataFrame([(root.lower(), 0)], "caller string, depth int")
-    why = "depth"
+    why, total = "depth", 1
     for depth in range(1, max_depth + 1):
         found = edges.join(frontier.select(F.col("caller").alias("callee")), "callee", "left_semi").select("caller").distinct()
         frontier = cut_lineage(found.join(seen, "caller", "left_anti").withColumn("depth", F.lit(depth)))
@@ -173,8 +173,8 @@ def impact(refs: DataFrame, files: DataFrame, root: str, lang: str, max_depth: i
         if not size:
             why = "exhausted"
             break
-        seen = seen.unionByName(frontier)
-        if max_rows is not None and seen.count() > max_rows:
+        seen, total = seen.unionByName(frontier), total + size  # each part is written already
+        if max_rows is not None and total > max_rows:
             why = "budget"
             break
     return seen.where("depth > 0"), why

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators.lines import literal_lines, matching_lines
 from skerry.operators.predicates import ascii_lower, path_bucket, visibility_rank
-from skerry.runtime import numbered
+from skerry.runtime import numbered, spread
 
 K1, B = 1.2, 0.75
 MAX_QUERY = 1000
@@ -77,7 +77,8 @@ def search_all(chunks: DataFrame, query: str, prefix: bool = False) -> DataFrame
 
 def _term_counts(chunks: DataFrame, terms: Sequence[str], prefix: bool = False, more: Sequence[Column] = ()) -> DataFrame:
     """Of each different chunk its length, how often it has each term, and ``more``."""
-    rows = chunks.where("content is not null").select(*_keys(), *more, tokens(F.col("content")).alias("words"))
+    contents = spread(chunks.where("content is not null").select("chunk_id", "file_id", "start_line", "content"))
+    rows = contents.select(*_keys(), *more, tokens(F.col("content")).alias("words"))
     same = (lambda q: lambda w: w.startswith(q)) if prefix else (lambda q: lambda w: w == q)
     return _once(rows.select(*rows.columns[:-1], F.size("words").alias("length"), *(F.size(F.filter("words", same(t))).alias(f"tf{i}") for i, t in enumerate(terms))))
 

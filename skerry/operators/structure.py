@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.operators.graph import definition_names, reference_sites
-from skerry.operators.predicates import ascii_lower, is_noise, weight
+from skerry.operators.graph import call_edges, definition_names, impact, reference_sites
+from skerry.operators.predicates import ascii_lower, is_noise, logical_kind, weight
 from skerry.runtime import cut_lineage
 from skerry.schema import HOTSPOT_WEIGHTS
 
@@ -22,7 +22,7 @@ _CLASS_KINDS = ("class", "struct", "interface", "enum", "record")
 
 def name_uses(refs: DataFrame, files: DataFrame) -> DataFrame:
     """(src, lang, name_folded, symbol, sites): uses of each name by file, counted before any join."""
-    sites = reference_sites(refs.where("symbol_name_folded is not null"))
+    sites = reference_sites(refs.where("symbol_name_folded is not null"), "symbol_name_folded")
     uses = sites.groupBy(F.col("file_id").alias("src"), F.col("symbol_name_folded").alias("name_folded")).agg(F.count("*").alias("sites"), F.min("symbol_name").alias("symbol"))
     return uses.join(files.select(F.col("file_id").alias("src"), "lang"), "src").where("lang is not null")
 
@@ -142,29 +142,23 @@ def ranked_dependencies(refs: DataFrame, symbols: DataFrame, files: DataFrame, l
     return scored.orderBy(F.desc("score"), "src", "dst").limit(limit)
 
 
-def cycles(edges: DataFrame, most_rounds: int = 2000) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes that lie on cycles of ``edges`` (src, dst): strongly connected components.
 
     Nodes without a way in or out are peeled off until none is left. Then, round by round, each node
     takes the greatest label that reaches it forwards; the nodes that can reach their label's owner
     backwards, within the label, form its component, and the rest goes on. Every step is a join and an
-    aggregation; rounds are written to the checkpoint folder. Nothing is collected but counts.
+    aggregation; rounds are written to the checkpoint folder, and there are as many as the longest chain
+    of the graph needs. Nothing is collected but counts. A component is named by its greatest node.
     """
     rest = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     loops = rest.where("src = dst").select("src").distinct()
     rest = cut_lineage(rest.where("src <> dst"))
-    spark, found, rounds = edges.sparkSession, None, 0
-
-    def steps() -> None:
-        nonlocal rounds
-        rounds += 1
-        if rounds > most_rounds:
-            raise RuntimeError("cycles: the graph is deeper than most_rounds")
+    found = None
 
     while True:
         size = rest.count()
         while size:  # peel
-            steps()
             kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             rest = cut_lineage(kept)
             left = rest.count()
@@ -175,7 +169,6 @@ def cycles(edges: DataFrame, most_rounds: int = 2000) -> DataFrame:
             break
         label = cut_lineage(rest.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
         while True:  # the greatest label that reaches a node
-            steps()
             moved = rest.join(label, rest.src == label.node).groupBy("dst").agg(F.max("label").alias("new"))
             after = cut_lineage(label.join(moved, label.node == moved.dst, "left").select("node", F.greatest("label", F.coalesce("new", "label")).alias("label"), (F.col("new") > F.col("label")).alias("changed")))
             changed = after.where("changed").count()
@@ -188,7 +181,6 @@ def cycles(edges: DataFrame, most_rounds: int = 2000) -> DataFrame:
         member = cut_lineage(label.where("node = label"))
         front = member
         while True:  # backwards from each owner, within its label
-            steps()
             back = inside.join(front.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
             front = cut_lineage(back.join(member, ["node", "label"], "left_anti"))
             if not front.count():
@@ -206,6 +198,25 @@ def cycles(edges: DataFrame, most_rounds: int = 2000) -> DataFrame:
     return sizes.unionByName(alone.join(sizes.select("node"), "node", "left_anti"))
 
 
+def ranked_cycles(edges: DataFrame, limit: int, after: int = 0) -> DataFrame:
+    """(rank, component, nodes, edges) of cycles, those with most nodes and then most edges within first; a page of ``limit`` after rank ``after``."""
+    on = cut_lineage(cycles(edges))
+    pair = edges.select("src", "dst").distinct()
+    inside = pair.join(on.select(F.col("node").alias("src"), "component"), "src").join(on.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other")
+    counts = on.groupBy("component").agg(F.count("*").alias("nodes")).join(inside.groupBy("component").agg(F.count("*").alias("edges")), "component")
+    first = counts.orderBy(F.desc("nodes"), F.desc("edges"), "component").limit(after + limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("nodes"), F.desc("edges"), "component"))).where(F.col("rank") > after)
+
+
+def impact_cycles(refs: DataFrame, files: DataFrame, root: str, lang: str, max_depth: int = 5) -> DataFrame:
+    """(node, component): the names on cycles among the root and its callers up to ``max_depth`` levels."""
+    walked = impact(refs, files, root, lang, max_depth)[0].select(F.col("caller").alias("node"))
+    nodes = cut_lineage(walked.unionByName(refs.sparkSession.createDataFrame([(root.lower(),)], "node string")).distinct())
+    edges = call_edges(refs, files).where(F.col("lang") == lang).select(F.col("callee").alias("src"), F.col("caller").alias("dst"))
+    inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return cycles(inside)
+
+
 # hotspots
 
 
@@ -221,12 +232,12 @@ def generic_penalty(name: Column) -> Column:
     return F.when(F.lower(name).isin(*GENERIC_NAMES), 0.35).otherwise(1.0)
 
 
-def symbol_hotspots(symbols: DataFrame, refs: DataFrame, files: DataFrame, limit: int) -> DataFrame:
-    """The most used symbols: a name that one definition has takes all its uses, any other only those in its own file."""
+def symbol_hotspots(symbols: DataFrame, refs: DataFrame, files: DataFrame, limit: int, defined: DataFrame | None = None) -> DataFrame:
+    """The most used symbols: a name that one definition has, among ``defined`` or the symbols themselves, takes all its uses, any other only those in its own file."""
     counts = hotspot_counts(refs, files).withColumn("folded", F.lower("symbol_name"))
     by_lang = counts.groupBy("lang", F.col("folded").alias("name_folded")).agg(F.sum("reference_count").alias("all_count"), F.sum("score").alias("all_score"))
     by_file = counts.groupBy("file_id", F.col("folded").alias("name_folded")).agg(F.sum("reference_count").alias("own_count"), F.sum("score").alias("own_score"))
-    known = definition_names(symbols, files).select("lang", "name_folded", "definitions")
+    known = definition_names(symbols if defined is None else defined, files).select("lang", "name_folded", "definitions")
     rows = symbols.join(files.select("file_id", "path", "lang"), "file_id").join(known, ["lang", "name_folded"]).join(by_lang, ["lang", "name_folded"], "left").join(by_file, ["file_id", "name_folded"], "left")
     alone = F.col("definitions") == 1
     count = F.coalesce(F.when(alone, F.col("all_count")).otherwise(F.col("own_count")), F.lit(0).cast("bigint"))
@@ -253,9 +264,37 @@ def name_hotspots(symbols: DataFrame, files: DataFrame, sample: int = 20) -> Dat
     return counts.join(paths, ["name", "kind"]).select("name", "kind", "sites", F.array_join("paths", ",").alias("paths"))
 
 
-def identity_hotspots(refs: DataFrame) -> DataFrame:
-    """(target_symbol_id, reference_count, sources) of resolved references."""
-    return refs.where("target_symbol_id is not null").groupBy("target_symbol_id").agg(F.countDistinct("file_id", "line", "column_number").alias("reference_count"), F.countDistinct("source_symbol_id").alias("sources"))
+def identity_hotspots(refs: DataFrame, symbols: DataFrame, files: DataFrame, lang: str = "csharp") -> DataFrame:
+    """(target_key, name, kind, reference_count, score) of what references of one language mean for certain.
+
+    A resolved reference means its symbol; an ambiguous one means its candidates' declaration, if all
+    definitions of its name are one family with one name and kind. Parts of a family count as one. Sites
+    count once for each logical kind, with the greatest weight.
+    """
+    key = F.coalesce("family_key", F.concat(F.lit("sym:"), F.col("symbol_id").cast("string")))
+    ours = files.where(F.col("lang") == lang).select("file_id")
+    targets = symbols.join(ours, "file_id", "left_semi").select("symbol_id", "name_folded", "name", "kind", key.alias("key"))
+    one = F.struct("key", "name", "kind")
+    agreed = targets.where("name_folded is not null").groupBy("name_folded").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <=> hi").select(F.col("name_folded").alias("symbol_name_folded"), "lo.*")
+    sites = refs.join(ours, "file_id", "left_semi").select("file_id", "line", "column_number", logical_kind(F.col("reference_kind")).alias("logical"), "resolution_state", "target_symbol_id", "symbol_name_folded")
+    exact = sites.where("target_symbol_id is not null").join(targets.select(F.col("symbol_id").alias("target_symbol_id"), "key", "name", "kind"), "target_symbol_id")
+    group = sites.where("target_symbol_id is null and resolution_state in ('ambiguous', 'resolved_group')").join(agreed, "symbol_name_folded")
+    columns = ["key", "name", "kind", "file_id", "line", "column_number", "logical"]
+    found = exact.select(*columns).unionByName(group.select(*columns)).distinct()
+    return found.groupBy(F.col("key").alias("target_key"), "name", "kind").agg(F.count("*").alias("reference_count"), (F.sum(weight(F.col("logical"), HOTSPOT_WEIGHTS)) / 10).alias("score"))
+
+
+#: A frontier has so many candidates for each result, and no fewer and no more than these.
+FRONTIER_EACH, FRONTIER_LEAST, FRONTIER_MOST = 64, 512, 4096
+
+
+def frontier_hotspots(symbols: DataFrame, refs: DataFrame, files: DataFrame, limit: int) -> DataFrame:
+    """``symbol_hotspots`` among the names of the strongest counts only: a quick answer to a small ``limit`` that may miss what ``symbol_hotspots`` finds."""
+    most = max(FRONTIER_LEAST, min(FRONTIER_MOST, limit * FRONTIER_EACH))
+    first = hotspot_counts(refs, files).orderBy(F.desc("score"), F.desc("reference_count"), "lang", "symbol_name", "file_id").limit(most)
+    names = first.select("lang", F.lower("symbol_name").alias("name_folded")).distinct()
+    found = symbols.join(files.select("file_id", "lang"), "file_id").join(F.broadcast(names), ["lang", "name_folded"], "left_semi").select(*symbols.columns)
+    return symbol_hotspots(found, refs, files, limit, symbols)
 
 
 # unused symbols

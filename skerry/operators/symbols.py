@@ -26,7 +26,7 @@ def matching(symbols: DataFrame, files: DataFrame, queries: Sequence[str], mode:
 
 def name_signals(symbols: DataFrame, refs: DataFrame, files: DataFrame) -> DataFrame:
     """(lang, name_folded, sites, tenths, definitions): how often a name is used and defined in a language."""
-    sites = reference_sites(refs.where("symbol_name_folded is not null")).join(files.select("file_id", "lang"), "file_id")
+    sites = reference_sites(refs.where("symbol_name_folded is not null"), "symbol_name_folded").join(files.select("file_id", "lang"), "file_id")
     used = sites.groupBy("lang", F.col("symbol_name_folded").alias("name_folded")).agg(F.count("*").alias("sites"), F.sum(weight(F.col("logical_kind"), HOTSPOT_WEIGHTS)).alias("tenths"))
     return definition_names(symbols, files).select("lang", "name_folded", "definitions").join(used, ["lang", "name_folded"], "left").na.fill(0, ["sites", "tenths"])
 

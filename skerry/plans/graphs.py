@@ -203,6 +203,13 @@ def _(ix):
     return both.where("n = 2").select("lang", "a", "b")
 
 
+@query("G16_walk_cycles", q.with_(q.FILES, q.REFS, _EDGES).replace("with ", "with recursive ", 1) + """, w as (select 'get' as caller, 0 as depth union select ed.caller, w.depth + 1 from w join ed on ed.callee = w.caller and ed.lang = 'python' where w.depth < 5),
+  e as (select distinct callee as src, caller as dst from ed where lang = 'python' and callee in (select caller from w) and caller in (select caller from w)), t as (select src, dst from e union select t.src, e.dst from t join e on e.src = t.dst)
+  select a.src as node, max(a.dst) as component from t a join t b on b.src = a.dst and b.dst = a.src group by a.src""")
+def _(ix):
+    return structure.impact_cycles(ix.raw_refs, ix.files, "Get", "python", 5)
+
+
 @query("G18_roots", q.with_(q.FILES, q.SYMBOLS, q.DEFS) + "select lang, name_folded, definitions, files from d where files = 1 or lang = 'csharp'")
 def _(ix):
     return graph.definition_names(ix.symbols, ix.files).where("files = 1 or lang = 'csharp'").select("lang", "name_folded", "definitions", "files")
@@ -228,13 +235,26 @@ def _(ix):
     return graph.unique_families(ix.symbols, ix.files)
 
 
-@query("G24_resolution", q.with_(*_ALL) + """, w as (select file_id, lang, left(path, length(path) - length(split_part(path, '/', -1))) as dir from f), df as (select s.symbol_id, s.name_folded, w.* from s join w using (file_id) where s.name_folded is not null),
-  a as (select file_id, lang, name_folded, count(*) as n, min(symbol_id) as id from df group by all), b as (select dir, lang, name_folded, count(*) as n, min(symbol_id) as id from df group by all), c as (select lang, name_folded, count(*) as n, min(symbol_id) as id from df group by all),
-  x as (select r.ref_id, case when a.n is not null then 1 when b.n is not null then 2 when c.n is not null then 3 end as scope_rank, coalesce(a.n, b.n, c.n, 0) as candidate_count, coalesce(a.id, b.id, c.id) as id from r join w using (file_id)
+_RESOLVED = q.with_(*_ALL) + """, w as (select file_id, lang, left(path, length(path) - length(split_part(path, '/', -1))) as dir from f), df as (select s.symbol_id, s.name_folded, lower(s.container_name) as container, w.* from s join w using (file_id) where s.name_folded is not null),
+  o as (select file_id, container, lang, name_folded, count(*) as n, min(symbol_id) as id from df group by all), a as (select file_id, lang, name_folded, count(*) as n, min(symbol_id) as id from df group by all), b as (select dir, lang, name_folded, count(*) as n, min(symbol_id) as id from df group by all), c as (select lang, name_folded, count(*) as n, min(symbol_id) as id from df group by all),
+  x as (select r.ref_id, case when o.n is not null then 1 when a.n is not null then 2 when b.n is not null then 3 when c.n is not null then 4 end as scope_rank, coalesce(o.n, a.n, b.n, c.n, 0) as candidate_count, coalesce(o.id, a.id, b.id, c.id) as id from r join w using (file_id)
+    left join o on o.file_id = r.file_id and o.container = r.container_name_folded and o.lang = w.lang and o.name_folded = r.symbol_name_folded
     left join a on a.file_id = r.file_id and a.lang = w.lang and a.name_folded = r.symbol_name_folded left join b on b.dir = w.dir and b.lang = w.lang and b.name_folded = r.symbol_name_folded left join c on c.lang = w.lang and c.name_folded = r.symbol_name_folded where r.symbol_name_folded is not null)
-  select ref_id, scope_rank, candidate_count, case when candidate_count = 1 then id end as target_symbol_id, case candidate_count when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as state from x""")
+  """
+
+
+def _resolution(ix):
+    return graph.candidate_summary(ix.refs_of("file_id", "symbol_name_folded", "container_name_folded"), ix.symbols, ix.files)
+
+
+@query("G24_resolution", _RESOLVED + "select ref_id, scope_rank, candidate_count, case when candidate_count = 1 then id end as target_symbol_id, case candidate_count when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as state from x")
 def _(ix):
-    return graph.candidate_summary(ix.refs_of("file_id", "symbol_name_folded"), ix.symbols, ix.files)
+    return _resolution(ix)
+
+
+@query("G22_ranks", _RESOLVED + "select scope_rank, count(*) as refs, cast(sum(candidate_count) as bigint) as candidates from x group by scope_rank")
+def _(ix):
+    return _resolution(ix).groupBy("scope_rank").agg(F.count("*").alias("refs"), F.sum("candidate_count").alias("candidates"))
 
 
 @query("G25_self", q.with_(q.REFS) + "select coalesce(source_symbol_id = target_symbol_id, symbol_name_folded = container_name_folded, false) as is_self, count(*) as n from r group by 1")
@@ -297,11 +317,23 @@ def _file_edges(ix):
     return structure.dependency_evidence(ix.refs_of("file_id", "target_symbol_id", "reference_kind", "resolution_state"), ix.symbols, ix.files).select("src", "dst").distinct()
 
 
-@query("A12_cycles")
+_SCC = "with recursive " + ", ".join([q.SYMBOLS, q.REFS]) + """, e as (select distinct r.file_id as src, s.file_id as dst from r join s on s.symbol_id = r.target_symbol_id where r.file_id <> s.file_id),
+  t as (select src, dst from e union select t.src, e.dst from t join e on e.src = t.dst), m as (select a.src as node, a.dst as other from t a join t b on b.src = a.dst and b.dst = a.src),
+  k as (select node, max(other) as component from m group by node)
+  """
+
+
+@query("A12_cycles", _SCC + "select node, component from k")
 def _(ix):
     return structure.cycles(_file_edges(ix))
 
 
+@query("A12_ranked", _SCC + """, n as (select component, count(*) as nodes from k group by component), i as (select a.component, count(*) as edges from e join k a on a.node = e.src join k b on b.node = e.dst where a.component = b.component group by a.component)
+  select cast(row_number() over (order by nodes desc, edges desc, component) as int) as rank, component, nodes, edges from n join i using (component) order by rank limit 20""")
+def _(ix):
+    return structure.ranked_cycles(_file_edges(ix), 20)
+
+
 @query("A13_nodes", q.with_(q.FILES, q.SYMBOLS) + "select container_qualified_name as node, count(distinct path) as files, min(path) as first from s join f on f.file_id = s.file_id where container_qualified_name is not null group by 1")
 def _(ix):
     rows = ix.symbols.where("container_qualified_name is not null").join(ix.files.select("file_id", "path"), "file_id")
@@ -336,9 +368,27 @@ def _(ix):
     return structure.name_hotspots(ix.symbols.where("kind is not null"), ix.files)
 
 
-@query("A18_identities", q.with_(q.REFS) + "select target_symbol_id, count(distinct (file_id, line, column_number)) as reference_count, count(distinct source_symbol_id) as sources from r where target_symbol_id is not null group by 1")
+@query("A18_identities", q.with_(*_ALL) + f""", t as (select symbol_id, name_folded, name, kind, coalesce(family_key, 'sym:' || symbol_id) as key from s join f on f.file_id = s.file_id where f.lang = 'csharp'),
+  g as (select name_folded, min(key) as key, min(name) as name, min(kind) as kind from t where name_folded is not null group by name_folded having count(distinct key) = 1 and count(distinct name) = 1 and count(distinct kind) <= 1 and (count(kind) = count(*) or count(kind) = 0)),
+  x as (select r.file_id, r.line, r.column_number, {q.LOGICAL} as kind_, resolution_state, target_symbol_id, symbol_name_folded from r join f on f.file_id = r.file_id where f.lang = 'csharp'),
+  z as (select distinct t.key, t.name, t.kind, x.file_id, x.line, x.column_number, kind_ from x join t on t.symbol_id = x.target_symbol_id
+    union select distinct g.key, g.name, g.kind, x.file_id, x.line, x.column_number, kind_ from x join g on g.name_folded = x.symbol_name_folded where x.target_symbol_id is null and resolution_state in ('ambiguous', 'resolved_group'))
+  select key as target_key, name, kind, count(*) as reference_count, cast(sum({q.weight('kind_', HOTSPOT_WEIGHTS)}) as double) / 10 as score from z group by key, name, kind""")
+def _(ix):
+    return structure.identity_hotspots(ix.raw_refs, ix.symbols, ix.files)
+
+
+_FRONT = q.with_(*_ALL, q.DEFS, _HOT) + f"""
+  , top as (select distinct lang, lower(symbol_name) as nf from (select * from hs order by score desc, reference_count desc, lang nulls first, symbol_name, file_id limit 1280)),
+  g as (select lang, lower(symbol_name) as nf, sum(reference_count) as n, sum(score) as sc from hs group by all), o as (select file_id, lower(symbol_name) as nf, sum(reference_count) as n, sum(score) as sc from hs group by all),
+  x as (select path, symbol_id, name, kind, cast(coalesce(case when definitions = 1 then g.n else o.n end, 0) as bigint) as reference_count, round(coalesce(case when definitions = 1 then g.sc else o.sc end, 0.0) * (case when lower(name) in {q.in_list(structure.GENERIC_NAMES)} then 0.35::double else 1.0::double end), 4) as score
+    from s join f on f.file_id = s.file_id join d on d.lang = f.lang and d.name_folded = s.name_folded join top on top.lang = f.lang and top.nf = s.name_folded left join g on g.lang = f.lang and g.nf = s.name_folded left join o on o.file_id = s.file_id and o.nf = s.name_folded)
+  select * from x where reference_count > 0 order by score desc, reference_count desc, path, symbol_id limit 20"""
+
+
+@query("A20_frontier", _FRONT)
 def _(ix):
-    return structure.identity_hotspots(ix.raw_refs)
+    return structure.frontier_hotspots(ix.symbols, ix.raw_refs, ix.files, 20)
 
 
 _UNUSED = q.with_(*_ALL) + r"""
