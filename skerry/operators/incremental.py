@@ -14,11 +14,10 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.runtime import checkpoint_dir
+from skerry.runtime import checkpoint_dir, numbered_files, write_once
 
 
 class LedgerMoved(RuntimeError):
@@ -135,24 +134,9 @@ class IncrementalRun:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._Path = self._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._Path(self.folder).getFileSystem(self._conf)
 
     def _commits(self) -> list[dict]:
-        root = self._Path(f"{self.folder}/commits")
-        if not self._fs.exists(root):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(root))
-        found = []
-        for name in (n for n in names if n.endswith(".json") and not n.startswith((".", "_"))):
-            stream = self._fs.open(self._Path(f"{self.folder}/commits/{name}"))
-            try:
-                found.append(json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()) | {"number": int(name.removesuffix(".json"))})
-            finally:
-                stream.close()
-        return found
+        return [json.loads(text) | {"number": n} for n, text in sorted(numbered_files(self.spark, f"{self.folder}/commits").items())]
 
     def ledger(self) -> tuple[Intervals, int]:
         """The processed intervals, and the number of the next commit, from one read."""
@@ -194,26 +178,10 @@ class IncrementalRun:
 
     def _commit(self, number: int, data: str, processed: Intervals) -> None:
         name = f"{self.folder}/commits/{number:08d}.json"
-        staged, target = self._Path(f"{self.folder}/staged/{uuid.uuid4().hex}"), self._Path(name)
-        stream = self._fs.create(staged, False)
-        stream.write(bytearray(json.dumps({"data": data, "processed": processed.spans}).encode()))
-        stream.close()
-        self._fs.mkdirs(target.getParent())
         try:
-            self._place(staged, target)
-        except Py4JJavaError as e:
-            if self._fs.exists(target):
-                raise LedgerMoved(f"another run has committed {name}") from e
-            raise
-
-    def _place(self, staged, target) -> None:
-        """Put a file in place in one step, unless one is there: by a link on a local file system, elsewhere by a rename that doesn't overwrite."""
-        if self._fs.getScheme() == "file":
-            local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
-            self._jvm.java.nio.file.Files.createLink(local(target), local(staged))
-            return
-        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf).rename(staged, target, none)
+            write_once(self.spark, name, json.dumps({"data": data, "processed": processed.spans}))
+        except FileExistsError as e:
+            raise LedgerMoved(f"another run has committed {name}") from e
 
 
 def _latest(rows: DataFrame, at: str) -> DataFrame:

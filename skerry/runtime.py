@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,54 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm, conf, jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+
+
+def numbered_files(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The texts of the files ``<number>.json`` of a folder, by number."""
+    jvm, _, fs = _file_system(spark, folder)
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    found: dict[int, str] = {}
+    for status in fs.listStatus(root) if fs.exists(root) else ():
+        name = status.getPath().getName()
+        if name.endswith(".json") and name[0].isdigit():
+            stream = fs.open(status.getPath())
+            try:
+                found[int(name.removesuffix(".json"))] = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            finally:
+                stream.close()
+    return found
+
+
+def write_once(spark: SparkSession, path: str, text: str, by_link: bool | None = None) -> None:
+    """A file that appears whole and only where none of its name is; else ``FileExistsError``.
+
+    The text is written beside it and put in place in one step: by a link on a local file system,
+    elsewhere by a rename that doesn't overwrite, which the file system must do in one step.
+    """
+    jvm, conf, fs = _file_system(spark, path)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    staged = jvm.org.apache.hadoop.fs.Path(f"{target.getParent().toString()}/.staged-{uuid.uuid4().hex}")
+    stream = fs.create(staged, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if fs.getScheme() == "file" if by_link is None else by_link:
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(target), local(staged))
+            fs.delete(staged, False)
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(staged, target, none)
+    except Py4JJavaError as e:
+        fs.delete(staged, False)
+        if fs.exists(target):
+            raise FileExistsError(path) from e
+        raise
+
+
 #: Rows up to which a side of a join is broadcast; those meant here are of some 100 bytes.
 BROADCAST_ROWS = 200_000
 

@@ -31,7 +31,12 @@ class Rules:
 _VIS = r"(?P<vis>public|protected|private|internal)?\s*"
 _MODS = r"(?:(?:static|abstract|sealed|final|async|override|virtual|partial|readonly|new|unsafe|extern|synchronized|default|native)\s+)*"
 _TYPE = r"[\w.<>\[\],?]+(?:\s*<[^>{}()]*>)?"
-_C_WORDS = frozenset("if for while switch catch return sizeof new throw else do try using lock foreach typeof nameof await function in not and or elif assert with yield lambda def class match case super this range defer go func select".split())
+#: Words that no call begins with.
+_C_WORDS = frozenset({
+    "if", "for", "while", "switch", "catch", "return", "sizeof", "new", "throw", "else", "do", "try", "using", "lock", "foreach", "typeof", "nameof",
+    "await", "function", "in", "not", "and", "or", "elif", "assert", "with", "yield", "lambda", "def", "class", "match", "case", "super", "this",
+    "range", "defer", "go", "func", "select",
+})
 
 RULES: dict[str, Rules] = {
     "python": Rules((("class", r"^\s*class\s+(?P<name>\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(?P<name>\w+)"), ("variable", r"^(?P<name>[A-Z][A-Z0-9_]+)\s*=")), "indent", r"#", _C_WORDS | {"print"}, r"^\s*(?:from\s+(?P<a>[\w.]+)\s+import|import\s+(?P<b>[\w.]+))"),

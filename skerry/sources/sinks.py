@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.runtime import shuffle_partitions
+from skerry.runtime import numbered_files, shuffle_partitions, write_once
 
 #: Kinds of tags files.
 CTAGS_KINDS = {"class": "c", "struct": "s", "interface": "i", "enum": "g", "function": "f", "method": "m", "property": "p", "namespace": "n", "variable": "v", "heading": "h"}
 
 
 def write_index(tables: dict[str, DataFrame], path: str) -> None:
-    """All tables of an index, then a mark that makes it visible; readers ask for the mark.
+    """All tables of an index as a new version, which one file then publishes.
 
-    Rows of one file lie together, so reading a file touches few row groups.
+    Readers follow the last published version, so they see all of its tables or all of the one before;
+    what a failed run leaves behind is never read. Of two runs at once the later one to publish wins a
+    higher number. Rows of one file lie together, so reading a file touches few row groups.
     """
-    for name, df in tables.items():
-        rows = df.repartition(shuffle_partitions(df.sparkSession), "file_id").sortWithinPartitions("file_id") if "file_id" in df.columns else df
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(sorted(tables),)], "tables array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/_complete")
+    data = f"{path.rstrip('/')}/versions/{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        rows = df.repartition(shuffle_partitions(spark), "file_id").sortWithinPartitions("file_id") if "file_id" in df.columns else df
+        rows.write.parquet(f"{data}/{name}")
+    body = json.dumps({"data": data, "tables": sorted(tables)})
+    while True:
+        number = max(numbered_files(spark, f"{path.rstrip('/')}/published"), default=-1) + 1
+        try:
+            return write_once(spark, f"{path.rstrip('/')}/published/{number:08d}.json", body)
+        except FileExistsError:
+            continue
+
+
+def published(spark: SparkSession, path: str) -> dict:
+    """The last published version of an index: where its data are, and its tables."""
+    found = numbered_files(spark, f"{path.rstrip('/')}/published")
+    if not found:
+        raise ValueError(f"no index has been published in {path}")
+    return json.loads(found[max(found)])
 
 
 def ctags(symbols: DataFrame, files: DataFrame) -> DataFrame:

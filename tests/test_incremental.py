@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skerry.runtime import numbered_files, write_once
 from skerry.operators.incremental import IncrementalRun, Intervals, LedgerMoved, indexed_state, new_or_changed, processed_time, within
 
 spans = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), max_size=8)
@@ -86,13 +87,14 @@ def test_of_many_runs_at_once_each_record_comes_once(spark, tmp_path):
     assert sorted(r.seq for r in IncrementalRun(spark, f"file://{tmp_path}/m").output().collect()) == list(range(50))
 
 
-def test_a_rename_takes_no_number_twice(spark, tmp_path, monkeypatch):
-    run = IncrementalRun(spark, f"file://{tmp_path}/n")
-    monkeypatch.setattr(run, "_fs", type("Fs", (), {"getScheme": lambda self: "other", "__getattr__": lambda self, n, fs=run._fs: getattr(fs, n)})())
-    run._commit(0, "a", Intervals())
-    with pytest.raises(LedgerMoved):
-        run._commit(0, "b", Intervals())
-    assert [c["data"] for c in run._commits()] == ["a"]
+@pytest.mark.parametrize("by_link", [True, False])
+def test_a_file_is_written_once(spark, tmp_path, by_link):
+    path = f"file://{tmp_path}/n/00000003.json"
+    write_once(spark, path, "a", by_link)
+    with pytest.raises(FileExistsError):
+        write_once(spark, path, "b", by_link)
+    assert numbered_files(spark, f"file://{tmp_path}/n") == {3: "a"}
+    assert [f.name for f in (tmp_path / "n").iterdir() if not f.name.endswith(".crc")] == ["00000003.json"]
 
 
 def test_closed_ranges(spark, tmp_path):

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from skerry.sources import extractors, workspace
@@ -35,11 +36,12 @@ def test_ingest(spark, tmp_path):
     _tree(tmp_path, {
         "src/a.py": "import os\n\nclass A:\n    def run(self):\n        return helper(1)\n\ndef helper(x):\n    return x\n",
         "src/B.java": "package p;\npublic class B {\n    private int f(int a) {\n        return new C(a).go();\n    }\n}\n",
-        "node_modules/x.js": "x", "bin.dat": b"\x00\x01", "big.py": "x" * 3000, "skip.log": "no", "empty.py": "", "crlf.go": "package a\r\n\r\nfunc F() {\r\n}\r\n",
+        "node_modules/x.js": "x", "bin.dat": b"\x00\x01", "big.py": "x" * 3000, "skip.log": "no", "empty.py": "", "src/deep/er/__init__.py": "z = 1\n", "src/deep/bin/no.py": "", "crlf.go": "package a\r\n\r\nfunc F() {\r\n}\r\n",
     })
     scan = workspace.scan_workspace(spark, str(tmp_path), workspace.IgnoreRules(["*.log"]), max_bytes=2000)
     rows = {r.path: r for r in workspace.decoded(scan).collect()}
-    assert set(rows) == {"src/a.py", "src/B.java", "bin.dat", "big.py", "crlf.go"}
+    assert set(rows) == {"src/a.py", "src/B.java", "bin.dat", "big.py", "crlf.go", "empty.py", "src/deep/er/__init__.py"}
+    assert rows["empty.py"].text == "" and rows["src/deep/er/__init__.py"].text == "z = 1\n"
     assert rows["bin.dat"].skipped == "binary" and rows["big.py"].skipped == "too_large" and rows["big.py"].text is None
     assert "\r" not in rows["crlf.go"].text
     tables = workspace.ingest(spark, str(tmp_path), workspace.IgnoreRules(["*.log", "big.py"]))
@@ -49,7 +51,7 @@ def test_ingest(spark, tmp_path):
     assert {("class", "A", None, 3, 5), ("method", "run", "A", 4, 5), ("function", "helper", None, 7, 8), ("class", "B", None, 2, 6), ("method", "f", "B", 3, 5), ("function", "F", None, 3, 4)} <= symbols
     refs = {(r.symbol_name, r.reference_kind, r.container_name, r.resolution_state) for r in tables["refs"].collect()}
     assert ("helper", "call", "run", "resolved") in refs and ("C", "instantiate", "f", "unresolved") in refs and ("os", "import", None, "unresolved") in refs
-    assert tables["chunks"].count() == 3
+    assert tables["chunks"].count() == 4
 
 
 def test_written_index_reads_back(spark, tmp_path):
@@ -60,7 +62,47 @@ def test_written_index_reads_back(spark, tmp_path):
     write_index(tables, str(tmp_path / "index"))
     back = workspace.read_index(spark, str(tmp_path / "index"))
     assert back["symbols"].count() == 1 and back["refs"].select("target_symbol_id").count() == 1
-    assert os.path.exists(tmp_path / "index" / "_complete")
+    # a run that fails before it publishes leaves what readers see as it was
+    from skerry.sources import sinks
+
+    failing = tables | {"refs": tables["refs"].withColumn("ref_id", F.raise_error(F.lit("lost")).cast("bigint"))}
+    with pytest.raises(Exception):
+        write_index(failing, str(tmp_path / "index"))
+    assert sinks.published(spark, str(tmp_path / "index"))["data"].endswith(os.path.basename(sinks.published(spark, str(tmp_path / "index"))["data"]))
+    assert workspace.read_index(spark, str(tmp_path / "index"))["symbols"].count() == 1
+    write_index({n: df.limit(0) for n, df in tables.items()}, str(tmp_path / "index"))
+    assert workspace.read_index(spark, str(tmp_path / "index"))["symbols"].count() == 0
+
+
+def test_bad_indexes_are_refused(spark, tmp_path):
+    from skerry.sources.sinks import write_index
+
+    _tree(tmp_path / "w", {"src/a.py": "def f():\n    g()\n", "lib/b.py": "x = 1\n"})
+    tables = workspace.ingest(spark, str(tmp_path / "w"))
+    with pytest.raises(ValueError):
+        workspace.read_index(spark, str(tmp_path / "none"))
+    for k, bad in enumerate((tables | {"files": tables["files"].drop("lang")}, tables | {"files": tables["files"].withColumn("size", F.lit("x"))}, {n: df for n, df in tables.items() if n != "refs"})):
+        write_index(bad, str(tmp_path / f"bad{k}"))
+        with pytest.raises(ValueError):
+            workspace.read_index(spark, str(tmp_path / f"bad{k}"))
+    write_index(tables, str(tmp_path / "good"))
+    workspace.import_index(spark, str(tmp_path / "good"), str(tmp_path / "copy"), "src")
+    back = workspace.read_index(spark, str(tmp_path / "copy"))
+    assert [r.path for r in back["files"].collect()] == ["src/a.py"] and back["chunks"].count() == 1
+
+
+def test_rules_of_directories(spark, tmp_path):
+    _tree(tmp_path, {".gitignore": "*.log\nout*/\n", "a/.gitignore": "!keep.log\n/top.txt\n", "a/keep.log": "1", "b/keep.log": "1", "a/top.txt": "1", "a/c/top.txt": "1", "outer/x.py": "1", "x.py": "1"})
+    rules = workspace.tree_rules(spark, str(tmp_path))
+    rows = {r.path for r in workspace.scan_workspace(spark, str(tmp_path), rules).collect()}
+    assert rows == {".gitignore", "a/.gitignore", "a/keep.log", "a/c/top.txt", "x.py"}
+
+
+def test_nested_repositories(spark, tmp_path):
+    _tree(tmp_path, {".gitmodules": '[submodule "m"]\n\tpath = libs/m\n\turl = u\n[submodule "bad"]\n path = ../x\n', "libs/m/a.py": "1", "libs/n.py": "1", "sub/.git/HEAD": "ref", "sub/q.py": "1", "subway/r.py": "1", "wt/.git": "gitdir: x", "wt/s.py": "1"})
+    nested = workspace.nested_repositories(spark, str(tmp_path))
+    assert nested == ["libs/m", "sub", "wt"]
+    assert {r.path for r in workspace.scan_workspace(spark, str(tmp_path), nested=nested).collect()} == {".gitmodules", "libs/n.py", "subway/r.py"}
 
 
 def test_chunks_of_texts(spark):
@@ -71,7 +113,7 @@ def test_chunks_of_texts(spark):
 
 
 def test_languages(spark):
-    names = {"a/b.PY": "python", "Dockerfile": "dockerfile", "x.unknown": None, "noext": None, "m.m": "matlab", "q.ts": "typescript"}
+    names = {"a/b.PY": "python", "Dockerfile": "dockerfile", "x.unknown": None, "noext": None, "m.m": "matlab", "q.ts": "typescript", "Dockerfile.dev": "dockerfile", "Makefile-x": "makefile", "go.sum": "dependency_lock", "a.cuh": "cuda"}
     df = spark.createDataFrame([(n, "function f\nend") for n in names], "path string, text string")
     assert {r.path: r.lang for r in df.select("path", language_of(F.col("path"), F.col("text")).alias("lang")).collect()} == names
     df = spark.createDataFrame([("tool", "#!/usr/bin/env python3\nx")], "path string, text string")
