@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.schema import CALLABLE_KINDS, EVENT_KINDS
@@ -142,18 +142,22 @@ def name_matches(name: Column, query: str, mode: str = "substring") -> Column:
     return F.contains(ascii_lower(name), F.lit(low))
 
 
-def normalised_query(query: str, lang: str | None = None) -> str:
-    """A name as its language writes it, as names are stored: Rust paths, verbatim and bracketed names, module exports."""
-    q = query.strip()
-    if lang == "rust":
-        q = q.replace("::", ".")
-    if lang == "csharp":
-        q = ".".join(part.removeprefix("@") for part in q.split("."))
-    if lang == "javascript":
-        q = q.removeprefix("module.exports.").removeprefix("exports.")
-    if lang == "sql":
-        q = ".".join(part.strip('[]"`') for part in q.split("."))
-    return q
+def normalised_names(name: Column, lang: Column) -> Column:
+    """Names as their languages store them: Rust paths with dots, C#'s verbatim signs, module exports and SQL's quotes left out."""
+    n = F.trim(name)
+    sql = F.array_join(F.transform(F.split(n, r"\."), lambda p: F.regexp_replace(p, r'^[\["`]+|[\]"`]+$', "")), ".")
+    return (
+        F.when(lang == "rust", F.replace(n, F.lit("::"), F.lit(".")))
+        .when(lang == "csharp", F.regexp_replace(n, r"(^|\.)@", "$1"))
+        .when(lang == "javascript", F.regexp_replace(n, r"^(module\.)?exports\.", ""))
+        .when(lang == "sql", sql)
+        .otherwise(n)
+    )
+
+
+def normalised_query(spark: SparkSession, query: str, lang: str | None = None) -> str:
+    """A name that is asked for, as its language stores it."""
+    return spark.createDataFrame([(query, lang)], "q string, lang string").select(normalised_names(F.col("q"), F.col("lang"))).first()[0]
 
 
 #: Framework names that say little of a dependency.

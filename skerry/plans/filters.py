@@ -10,7 +10,7 @@ from skerry.plans import sqltext as q
 from skerry.runtime import table
 from skerry.schema import Index
 from skerry.sources import workspace
-from skerry.sources.languages import EXTENSIONS, language_of
+from skerry.sources.languages import language_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,10 +103,11 @@ def _(ix):
     return ix.symbols.select(F.explode(hits).alias("mode")).groupBy("mode").agg(F.count("*").alias("symbols"))
 
 
-@query("F13_query_forms", "select * from (values ('csharp', 'Outer.class'), ('javascript', 'run'), ('rust', 'a.b'), ('sql', 'dbo.users')) t(lang, name)")
+@query("F13_query_forms", """select distinct lower(lang) as lang, raw_symbol_name as name, case lower(lang) when 'rust' then replace(trim(raw_symbol_name), '::', '.') when 'csharp' then regexp_replace(trim(raw_symbol_name), '(^|\\.)@', '\\1', 'g')
+  when 'javascript' then regexp_replace(trim(raw_symbol_name), '^(module\\.)?exports\\.', '') when 'sql' then regexp_replace(trim(raw_symbol_name), '[\\[\\]"`]', '', 'g') else trim(raw_symbol_name) end as stored from hotspot_reference_counts where raw_symbol_name is not null""")
 def _(ix):
-    given = {"csharp": "Outer.@class", "javascript": "module.exports.run", "rust": "a::b", "sql": "[dbo].[users]"}
-    return ix.spark.createDataFrame([(k, predicates.normalised_query(v, k)) for k, v in given.items()], "lang string, name string")
+    rows = table(ix.spark, ix.root, "hotspot_reference_counts", "lang", "raw_symbol_name").where("raw_symbol_name is not null").select(F.lower("lang").alias("lang"), F.col("raw_symbol_name").alias("name")).distinct()
+    return rows.select("lang", "name", predicates.normalised_names(F.col("name"), F.col("lang")).alias("stored"))
 
 
 @query("F14_reference_kinds", q.with_(q.REFS) + f"select count(*) filter (where {q.CALLABLE}) as callable, count(*) filter (where {q.CALLABLE} or reference_kind = 'member_read') as with_reads, count(*) filter (where reference_kind in ('subscribe', 'unsubscribe', 'razor_event_binding')) as events from r")
@@ -162,9 +163,10 @@ def _(ix):
     return lines.find_regex(ix.chunks, ix.files, _RX)
 
 
-@query("L03_windows")
+@query("L03_windows", q.with_(q.CHUNKS, q.LINES) + """, w as (select file_id, line, text, lead(text) over v as b, lead(line) over v as l2, lead(line, 2) over v as l3 from ln window v as (partition by file_id order by line))
+  select file_id, line, cast(length(text) as int) as "column", line + 2 as end_line, '{' || chr(10) || b || chr(10) as match from w where ends_with(text, '{') and l2 = line + 1 and l3 = line + 2 and regexp_matches(b, '^[ \\t]*return ')""")
 def _(ix):
-    return lines.find_windows(lines.file_lines(ix.chunks), r"\{\s*\n\s*return [^\n]*\n")
+    return lines.find_windows(lines.file_lines(ix.chunks), r"\{\n[ \t]*return [^\n]*\n")
 
 
 @query("L05_context", _LN + "select h.file_id, h.line as hit_line, ln.line, ln.text from (select file_id, line from ln where contains(lower(text), 'licensed under') or contains(lower(text), 'budgetprobe')) h join ln on ln.file_id = h.file_id and ln.line between h.line - 2 and h.line + 2")
@@ -205,7 +207,12 @@ def _(ix):
 # sources
 
 
-@query("S02_exclusions", q.with_(q.FILES) + f"select file_id, path from f where path is not null and len(list_intersect(list_slice(string_split(lower(path), '/'), 1, len(string_split(path, '/')) - 1), {list(workspace.EXCLUDED_DIRS)})) = 0")
+_EXCLUDED = """.git .svn .hg node_modules .pnpm-store .yarn .turbo .parcel-cache .svelte-kit .nx __pycache__ .pytest_cache .mypy_cache .ruff_cache .tox .nox .eggs htmlcov venv .venv env dist build .build
+  out .cache testresults bin obj target .gradle .next .nuxt .cmake cmakefiles bazel-bin bazel-out bazel-testlogs buck-out .pants.d .bloop .metals .idea .vscode coverage vendor .terraform .cargo .pub-cache
+  .dart_tool .swiftpm deriveddata .stack-work .bundle _build""".split()
+
+
+@query("S02_exclusions", q.with_(q.FILES) + f"select file_id, path from f where path is not null and len(list_intersect(list_slice(string_split(lower(path), '/'), 1, len(string_split(path, '/')) - 1), {_EXCLUDED})) = 0 and not regexp_matches(lower(path), '(^|/)(\\._[^/]*|\\.ds_store|thumbs\\.db)$')")
 def _(ix):
     return ix.files.where(~workspace.is_excluded(F.col("path"))).select("file_id", "path")
 
@@ -217,31 +224,32 @@ def _(ix):
 
 @query("S05_size_cap", q.with_(q.FILES) + "select file_id, size, case when size > 20000 then 'too_large' end as skipped from f")
 def _(ix):
-    return ix.files.select("file_id", "size", F.when(F.col("size") > 20000, "too_large").alias("skipped"))
+    return ix.files.select("file_id", "size", workspace.size_state(F.col("size"), 20000).alias("skipped"))
 
 
-@query("S06_languages", q.with_(q.FILES) + "select e.lang, count(*) as files from f join (values " + ", ".join(f"('{k}', '{v}')" for k, v in EXTENSIONS.items()) + ") e(ext, lang) on e.ext = lower(split_part(path, '.', -1)) group by e.lang")
+@query("S06_languages", q.with_(q.FILES) + """select case when name in ('package.json', 'go.mod') then 'dependency_manifest' when name in ('package-lock.json', 'go.sum') then 'dependency_lock' when regexp_matches(name, '^dockerfile([._-].*)?$') then 'dockerfile' when regexp_matches(name, '^makefile([._-].*)?$') then 'makefile'
+  else case ext when 'py' then 'python' when 'js' then 'javascript' when 'cs' then 'csharp' when 'java' then 'java' when 'go' then 'go' when 'json' then 'json' when 'md' then 'markdown' when 'ts' then 'typescript' when 'css' then 'css' when 'yml' then 'yaml' when 'yaml' then 'yaml' when 'toml' then 'toml' when 'sh' then 'shell' when 'html' then 'html' when 'mjs' then 'javascript' when 'sql' then 'sql' end end as lang, count(*) as files
+  from (select lower(split_part(path, '/', -1)) as name, lower(split_part(path, '.', -1)) as ext from f where path is not null) group by 1 having lang is not null""")
 def _(ix):
     return ix.files.select(language_of(F.col("path")).alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("files"))
 
 
-@query("S08_normalise", "select doc_id as file_id, sha256(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')) as checksum from documents where text is not null and not regexp_matches(text, '(?m)^[\\x{feff}\\x{200b}\\x{200c}\\x{200d}\\x{2060}]')")
+@query("S08_normalise", "select doc_id as file_id, sha256(regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '(?m)^[\\x{feff}\\x{200b}\\x{200c}\\x{200d}\\x{2060}]+', '', 'g')) as checksum from documents where text is not null")
 def _(ix):
-    marks = F.col("text").rlike("(?m)^[\\ufeff\\u200b\\u200c\\u200d\\u2060]")
-    return docs(ix).where("text is not null").where(~marks).select("file_id", F.sha2(workspace.normalised(F.col("text")), 256).alias("checksum"))
+    return docs(ix).where("text is not null").select("file_id", F.sha2(workspace.normalised(F.col("text")), 256).alias("checksum"))
 
 
-@query("S09_skips", "select doc_id as file_id from documents where text is not null and not contains(text, chr(0)) and not starts_with(text, 'version https://git-lfs')")
+@query("S09_skips", "select doc_id as file_id, case when contains(text, chr(0)) then 'binary' when starts_with(text, 'version https://git-lfs') then 'lfs_pointer' end as skipped from documents where text is not null")
 def _(ix):
-    return docs(ix).where("text is not null").where(~F.contains("text", F.lit("\u0000")) & ~F.col("text").startswith("version https://git-lfs")).select("file_id")
-
-
-_GENERATED = r"(\.g\.cs|\.designer\.cs|\.generated\.[a-z]+|_pb2\.py|\.pb\.go|\.min\.js)$"
+    return docs(ix).where("text is not null").select("file_id", workspace.content_state(F.col("text")).alias("skipped"))
 
 
-@query("S10_generated_names", q.with_(q.FILES) + f"select file_id, path from f where regexp_matches(lower(path), '{_GENERATED}')")
+@query("S10_generated", q.with_(q.FILES) + """, h as (select file_id, bool_or(list_bool_or(list_transform(list_slice(string_split(lower(left(content, 16384)), chr(10)), 1, 20), lambda x: contains(x, '<auto-generated') or contains(x, '@generated') or contains(x, 'generated by') and contains(x, 'do not edit')))) as says from chunks where start_line = 1 and content is not null group by file_id)
+  select f.file_id, path from f left join h using (file_id) where coalesce(says, false) or regexp_matches(lower(path), '(\\.designer\\.cs|\\.generated\\.cs|\\.g\\.cs|\\.g\\.dart|\\.gen\\.go|\\.generated\\.ts|_pb\\.go|_pb2\\.py)$')""")
 def _(ix):
-    return ix.files.where(F.lower("path").rlike(_GENERATED)).select("file_id", "path")
+    heads = ix.chunks.where("start_line = 1 and content is not null").groupBy("file_id").agg(F.max(workspace.has_generated_head(F.col("content"))).alias("says"))
+    rows = ix.files.join(heads, "file_id", "left")
+    return rows.where(F.coalesce("says", F.lit(False)) | workspace.has_generated_name(F.col("path"))).select("file_id", "path")
 
 
 @query("S11_chunks", """with t as (select doc_id as file_id, string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) as l from documents where text is not null and text <> ''),

@@ -499,7 +499,8 @@ def _(ix):
     return sinks.ctags(ix.symbols, ix.files)
 
 
-@query("K03_skipped", q.with_(q.SYMBOLS) + f"select * from (select case when name is null then 'no_name' when line is null then 'no_line' when not coalesce(kind in {q.in_list(sinks.CTAGS_KINDS)}, false) then 'kind' when contains(name, chr(9)) then 'bad_name' end as reason, count(*) as n from s group by 1) where reason is not null")
+@query("K03_skipped", q.with_(q.SYMBOLS) + f""", x as (select case when name is null then 'no_name' when line is null then 'no_line' when not coalesce(kind in {q.in_list(sinks.CTAGS_KINDS)}, false) then 'kind' when contains(name, chr(9)) then 'bad_name' end as reason from s)
+  select r as reason, count(reason) as n from (values ('no_name'), ('no_line'), ('kind'), ('bad_name')) v(r) left join x on x.reason = r group by r""")
 def _(ix):
     return sinks.ctags_skipped(ix.symbols)
 

@@ -72,7 +72,11 @@ def _(ix):
     return rows.where(names.context_has_name(F.col("context"), F.col("symbol_name"))).select("ref_id")
 
 
-@query("N07_argument_counts")
+_INNER = r"""regexp_extract(context, '\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)', 1)"""
+_BARE = rf"""regexp_replace(regexp_replace({_INNER}, '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''', 's', 'g'), '\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]|\{{[^}}]*\}}|<[^<>]*>', '', 'g')"""
+
+
+@query("N07_argument_counts", q.with_(q.REFS) + f"select ref_id, cast(case when not contains(context, '(') then null when trim({_INNER}) = '' then 0 else len(string_split({_BARE}, ',')) end as int) as arguments from r where context is not null")
 def _(ix):
     return ix.refs.where("context is not null").select("ref_id", names.argument_count(F.col("context")).alias("arguments"))
 
@@ -83,28 +87,35 @@ def _(ix):
     return rows.select("symbol_id", names.type_arity(F.col("signature")).alias("arity"))
 
 
-@query("N09_verbatim", "select * from (values ('@class.Run', 'class.Run'), ('a.@int', 'a.int'), ('b@c', 'b@c')) t(name, plain)")
+@query("N09_verbatim", _RAW + "select n as name, regexp_replace(n, '(^|\\.)@', '\\1', 'g') as plain from h")
 def _(ix):
-    df = ix.spark.createDataFrame([("@class.Run",), ("a.@int",), ("b@c",)], "name string")
-    return df.select("name", names.without_verbatim(F.col("name")).alias("plain"))
+    return _hot(ix).select(F.col("raw_symbol_name").alias("name"), names.without_verbatim(F.col("raw_symbol_name")).alias("plain"))
 
 
-_LINKS = {("docs/a.md", "../b.md#x"): "b.md", ("docs/a.md", "c/d.md"): "docs/c/d.md", ("docs/a.md", "#x"): "docs/a.md", ("docs/a.md", "/e.md"): "e.md", ("docs/a.md", "https://x.y/z"): None, ("a.md", "../../q"): None}
+def _paths(ix: Index) -> DataFrame:
+    return ix.files.where("path is not null").select(F.col("path").alias("source"), F.substring_index("path", "/", -1).alias("leaf")).distinct()
 
 
-@query("N10_links", "select * from (values " + ", ".join(f"('{s}', '{t}', {repr(p) if p else 'null'})" for (s, t), p in _LINKS.items()) + ") t(source, link, path)")
-def _(ix):
-    df = ix.spark.createDataFrame(list(_LINKS), "source string, link string")
-    return df.select("source", "link", names.resolve_links("source", "link").alias("path"))
+_PARTS = q.with_(q.FILES) + ", p as (select distinct path as source, split_part(path, '/', -1) as leaf, string_split(path, '/') as parts from f where path is not null), b as (select *, list_slice(parts, 1, len(parts) - 1) as dir, list_slice(parts, 1, len(parts) - 2) as up from p)\n"
+_JOIN = lambda dirs, tail: f"array_to_string(list_concat({dirs}, {tail}), '/')"
 
 
-_IMPORTS = {("pkg/mod/a.py", ".edge"): "pkg/mod/edge", ("pkg/mod/a.py", "..x.y"): "pkg/x/y", ("pkg/mod/a.py", "os.path"): "os/path", ("pkg/mod/a.py", "."): "pkg/mod"}
+@query("N10_links", _PARTS + " union all ".join(
+    f"select source, {link} as link, {path} as path from b"
+    for link, path in (
+        ("'../' || leaf || '#x'", _JOIN("up", "[leaf]")), ("'c/./' || leaf", _JOIN("dir", "['c', leaf]")), ("'#' || leaf", "source"), ("'/' || leaf || '?q'", "leaf"), ("'https://x.y/' || leaf", "null"), ("'../../../../../../../../' || leaf", "null"),
+    )
+))
+def _(ix):
+    leaf = F.col("leaf")
+    forms = F.array(F.concat(F.lit("../"), leaf, F.lit("#x")), F.concat(F.lit("c/./"), leaf), F.concat(F.lit("#"), leaf), F.concat(F.lit("/"), leaf, F.lit("?q")), F.concat(F.lit("https://x.y/"), leaf), F.concat(F.lit("../../../../../../../../"), leaf))
+    return _paths(ix).select("source", F.explode(forms).alias("link")).select("source", "link", names.resolve_links("source", "link").alias("path"))
 
 
-@query("N11_imports", "select * from (values " + ", ".join(f"('{s}', '{t}', '{p}')" for (s, t), p in _IMPORTS.items()) + ") t(source, module, path)")
+@query("N11_imports", _PARTS + " union all ".join(f"select source, '{m}' as module, {path} as path from b" for m, path in ((".edge", _JOIN("dir", "['edge']")), ("..x.y", _JOIN("up", "['x', 'y']")), ("os.path", "'os/path'"), (".", "array_to_string(dir, '/')"))))
 def _(ix):
-    df = ix.spark.createDataFrame(list(_IMPORTS), "source string, module string")
-    return df.select("source", "module", names.import_targets("module", "source").alias("path"))
+    modules = F.array(*(F.lit(m) for m in (".edge", "..x.y", "os.path", ".")))
+    return _paths(ix).select("source", F.explode(modules).alias("module")).select("source", "module", names.import_targets("module", "source").alias("path"))
 
 
 # extractors on the texts of the files
@@ -126,9 +137,9 @@ def _(ix):
     return rows.where("kind = 'struct'").select("file_id", "name", "line")
 
 
-@query("E03_python_functions", q.with_(q.CHUNKS, q.LINES, q.FILES) + "select file_id, regexp_extract(text, '^\\s*(async\\s+)?def\\s+(\\w+)', 2) as name, line from ln join f using (file_id) where lang = 'python' and path not like '%/tests/%' and regexp_matches(text, '^\\s*(async\\s+)?def\\s+\\w+')")
+@query("E03_python_functions", q.with_(q.CHUNKS, q.LINES, q.FILES) + "select file_id, regexp_extract(text, '^\\s*(async\\s+)?def\\s+(\\w+)', 2) as name, line from ln join f using (file_id) where lang = 'python' and regexp_matches(text, '^\\s*(async\\s+)?def\\s+\\w+')")
 def _(ix):
-    rows = extractors.extract_symbols(_texts(ix).where("lang = 'python' and path not like '%/tests/%'"))
+    rows = extractors.extract_symbols(_texts(ix).where("lang = 'python'"))
     return rows.where("kind in ('function', 'method') and signature like '%def %'").select("file_id", "name", "line")
 
 
@@ -199,10 +210,13 @@ def _(ix):
     return watch.settled(_file_events(ix), quiet="2 hours")
 
 
-@query("W04_renames", "select * from (values ('a'), ('b'), ('c'), ('*')) t(path)")
+@query("W04_renames", "select 'm' || user_id as path from events where event_type <> (select max(event_type) from events) union select 'o' || user_id % 97 from events where event_type = (select min(event_type) from events) union select '*' from events where event_type = (select max(event_type) from events)")
 def _(ix):
-    df = ix.spark.createDataFrame([("b", "renamed", "a"), ("c", "changed", None), ("x", "overflow", None)], "path string, kind string, old_path string").withColumn("ts", F.current_timestamp())
-    return watch.batches(watch.touched(df))
+    e = table(ix.spark, ix.root, "events", "user_id", "event_type", "ts")
+    ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))  # one row
+    kind = F.when(F.col("event_type") == F.col("lo"), "renamed").when(F.col("event_type") == F.col("hi"), "overflow").otherwise("changed")
+    made = e.join(F.broadcast(ends), how="inner").select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"), F.concat(F.lit("o"), (F.col("user_id") % 97).cast("string")).alias("old_path"), "ts")
+    return watch.batches(watch.touched(made))
 
 
 @query("W05_dirty_scope", q.with_(q.FILES, q.SYMBOLS, q.REFS, f"changed as (select file_id from f where path in (select path from ({training_data.SQL['p2_found']})))") + """, n as (select distinct name_folded from s where file_id in (select file_id from changed))

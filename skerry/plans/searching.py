@@ -71,7 +71,8 @@ def _(ix):
     return search.raw_search(ix.chunks, "(return OR raise) AND rank* NOT class")
 
 
-@query("X03_phrase_near")
+@query("X03_phrase_near", q.with_(_WORDS) + """select chunk_id, file_id from w where len(list_filter(range(1, len(words)), lambda i: words[i] = 'return' and words[i + 1] = 'key')) > 0
+  or len(list_filter(range(1, len(words) + 1), lambda i: words[i] = 'rank' and list_contains(list_slice(words, greatest(1, i - 4), i + 4), 'log'))) > 0""")
 def _(ix):
     return search.raw_search(ix.chunks, '"return key" OR NEAR(rank log, 3)')
 
@@ -147,13 +148,18 @@ def _(ix):
     return search.guarded(hits, ix.chunks, "if", 8).select("file_id", "line")
 
 
-@query("X15_origins")
+_BARE = r"""regexp_replace(left(text, col - 1), '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|`[^`]*`', '', 'g')"""
+_ORIGIN = r"""case when lang is null then 'unknown' when lang in ('javascript', 'typescript', 'java', 'csharp', 'go', 'c', 'cpp', 'rust', 'kotlin', 'swift') and (contains(bare, '//') or contains(bare, '/*') or regexp_matches(ltrim(text), '^(/\*|\*)'))
+  or lang in ('python', 'shell', 'ruby', 'yaml') and contains(bare, '#') then 'comment' when regexp_matches(bare, '["''`]') then 'string_literal' else 'code' end"""
+
+
+@query("X15_origins", _LN + f", h as (select path, line, text, lang, instr(lower(text), 'ledger') as col from ln join f using (file_id) where contains(lower(text), 'ledger')), b as (select *, {_BARE} as bare from h) select path, line, {_ORIGIN} as origin from b")
 def _(ix):
     hits = search.line_hits(ix.chunks, "ledger").join(ix.files.select("file_id", "path", "lang"), "file_id")
     return hits.select("path", "line", search.origin_of(F.col("lang"), F.col("text"), F.instr(F.lower("text"), "ledger")).alias("origin"))
 
 
-@query("X16_code_only")
+@query("X16_code_only", _LN + f", h as (select path, line, text, lang, unnest(list_filter(range(1, length(text) + 1), lambda i: lower(substr(text, i, 6)) = 'ledger')) as col from ln join f using (file_id) where lang = 'python' and contains(lower(text), 'ledger')), b as (select *, {_BARE} as bare from h) select distinct path, line from b where {_ORIGIN} = 'code'")
 def _(ix):
     hits = search.line_hits(ix.chunks, "ledger").join(ix.files.where("lang = 'python'").select("file_id", "path", "lang"), "file_id")
     places = hits.withColumn("at", F.explode(lines.positions(F.lower("text"), "ledger")))

@@ -52,9 +52,11 @@ def ctags(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def ctags_skipped(symbols: DataFrame) -> DataFrame:
-    """(reason, n) of symbols that a tags file leaves out."""
+    """(reason, n) of symbols that a tags file leaves out, each reason with a row."""
     reason = F.when(F.col("name").isNull(), "no_name").when(F.col("line").isNull(), "no_line").when(~F.coalesce(F.col("kind").isin(*CTAGS_KINDS), F.lit(False)), "kind").when(F.contains("name", F.lit("\t")), "bad_name")
-    return symbols.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    reasons = ("no_name", "no_line", "kind", "bad_name")
+    counts = symbols.select(reason.alias("reason")).agg(*(F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in reasons))
+    return counts.select(F.expr(f"stack({len(reasons)}, {', '.join(f"'{r}', {r}" for r in reasons)}) as (reason, n)"))
 
 
 def redacted(path: Column, depth: int = 1) -> Column:

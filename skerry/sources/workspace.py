@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import functools
 import itertools
 import os
 import posixpath
@@ -195,6 +196,29 @@ def tree_rules(spark: SparkSession, root: str, names: Sequence[str] = (".gitigno
     return RuleTree(found)
 
 
+#: Ends of the names of generated files, without regard to case.
+GENERATED_NAMES = (".designer.cs", ".generated.cs", ".g.cs", ".g.dart", ".gen.go", ".generated.ts", "_pb.go", "_pb2.py")
+#: The head of a text, in which its marks are sought.
+HEAD_LINES, HEAD_CHARS = 20, 16 * 1024
+
+
+def has_generated_name(path: Column) -> Column:
+    name = F.lower(F.substring_index(path, "/", -1))
+    return functools.reduce(Column.__or__, (name.endswith(e) for e in GENERATED_NAMES))
+
+
+def has_generated_head(text: Column) -> Column:
+    """Whether one of the first lines says so: auto-generated, @generated, or generated by and do not edit together."""
+    lines = F.slice(F.split(F.lower(F.substring(text, 1, HEAD_CHARS)), "\n", HEAD_LINES + 1), 1, HEAD_LINES)
+    says = lambda x, t: F.contains(x, F.lit(t))
+    return F.exists(lines, lambda x: says(x, "<auto-generated") | says(x, "@generated") | says(x, "generated by") & says(x, "do not edit"))
+
+
+def is_generated(path: Column, text: Column) -> Column:
+    """By its name or its head; null texts have none."""
+    return F.coalesce(has_generated_name(path), F.lit(False)) | F.coalesce(has_generated_head(text), F.lit(False))
+
+
 def submodule_paths(text: str) -> list[str]:
     """The directories that a .gitmodules file names."""
     found = re.findall(r"(?m)^\s*path\s*=\s*(.+?)\s*$", text)
@@ -322,7 +346,7 @@ def ingest(spark: SparkSession, root: str, rules: IgnoreRules | None = None) ->
     chunks = chunk_texts(rows).withColumn("chunk_id", F.xxhash64("file_id", "chunk_index"))
     symbols = extract_symbols(rows)
     return {
-        "files": rows.drop("text").withColumn("generated", F.lit(False)).withColumn("indexed_at", F.current_timestamp()),
+        "files": rows.withColumn("generated", is_generated(F.col("path"), F.col("text"))).drop("text").withColumn("indexed_at", F.current_timestamp()),
         "chunks": chunks.select("chunk_id", "file_id", "chunk_index", "start_line", "end_line", "content"),
         "symbols": symbols,
         "refs": extract_references(rows, symbols),

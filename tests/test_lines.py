@@ -92,13 +92,14 @@ def test_stored_index_against_the_scan(spark, tmp_path):
     assert {r.content for r in texts_of(index.search("gamma"), chunks).collect()} == {texts[1]}
 
 
-def test_no_content_is_exchanged(spark, tmp_path):
+def test_no_content_is_exchanged(spark, tmp_path, monkeypatch):
     import io
     import re as _re
     from contextlib import redirect_stdout
 
     from skerry.operators import search
 
+    monkeypatch.setattr("skerry.runtime.SPLITS_PER_CORE", 0)  # as for a scan of many splits
     root = f"file://{tmp_path}/c"
     _chunks(spark, {1: "Alpha beta"}).write.parquet(root)
     chunks = spark.read.parquet(root)
