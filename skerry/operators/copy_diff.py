@@ -173,9 +173,9 @@ def _ranged(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str],
     """Differences found within splits, and sums of the keys at the ends of splits: (area, row_key, diff, part)."""
     spark = left.sparkSession
     sides = [df.select(F.col(key).alias("key"), *(F.col(c) for c in columns), F.lit(i).alias("side"), F.spark_partition_id().alias("skerry_split")) for i, df in enumerate((left, right))]
-    both = sides[0].unionByName(sides[1]).withColumn("key_text", F.col("key").cast("string"))
+    both = sides[0].unionByName(sides[1])
     # a key with many rows is cut by the input splits that they come from
-    ranged = both.repartitionByRange(shuffle_partitions(spark), "key", "skerry_split").drop("skerry_split").sortWithinPartitions("key", "side")
+    ranged = both.repartitionByRange(shuffle_partitions(spark), "key", "skerry_split").drop("skerry_split").withColumn("key_text", F.col("key").cast("string")).sortWithinPartitions("key", "side")
     return ranged.mapInArrow(_merge(area, list(columns)), f"{_OUT}, part binary")
 
 
