@@ -66,21 +66,3 @@ def dispatch_targets(symbols: DataFrame, files: DataFrame) -> DataFrame:
         step = cut_lineage(more.join(found, ["lang", "type", "base"], "left_anti").where("type <> base"))
         found = found.unionByName(step.withColumn("depth", F.lit(depth)))
     return found
-
-
-_REQUIREMENT = r"(?m)^\s*([A-Za-z][\w.-]*)\s*(?:\[[^\]]*\])?\s*[=~><!]=\s*([\w.*+-]+)"
-_JSON_ENTRY = r'"((?:@[\w.-]+/)?[\w.-]+)"\s*:\s*"[~^>=<]*\s*(\d[\w.+-]*)"'
-_GO_REQUIRE = r"(?m)^\s*(?:require\s+)?([\w.-]+\.[a-z]+/[\w./-]+)\s+(v\d[\w.+-]*)"
-
-
-def manifest_packages(texts: DataFrame) -> DataFrame:
-    """(path, package, version) of the packages that manifests and lock files name."""
-    name = F.lower(F.substring_index("path", "/", -1))
-    kinds = [(name.rlike(r"^requirements.*\.txt$"), _REQUIREMENT), (name.isin("package.json", "package-lock.json"), _JSON_ENTRY), (name == "go.mod", _GO_REQUIRE)]
-    out = None
-    for which, pattern in kinds:
-        rows = texts.where(which)
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("package"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("version"))
-        one = rows.select("path", F.explode(pairs).alias("p")).select("path", F.col("p.package").alias("package"), F.col("p.version").alias("version"))
-        out = one if out is None else out.unionByName(one)
-    return out

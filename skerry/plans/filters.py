@@ -285,8 +285,7 @@ def _(ix):
 
 _ISSUES = {
     "replacement_char": "contains(text, chr(65533))", "bom": "line = 1 and starts_with(text, chr(65279))", "null_byte": "contains(text, chr(0))", "line_too_long": "length(text) > 65536",
-    "token_too_long": "regexp_matches(text, '[A-Za-z0-9_]{513}')", "conflict_marker": "regexp_matches(text, '^(<<<<<<< |>>>>>>> |=======$)')", "lfs_pointer": "line = 1 and starts_with(text, 'version https://git-lfs')",
-    "tab_after_space": "regexp_matches(text, '^ +\\t')", "trailing_space": "regexp_matches(text, '[ \\t]$')",
+    "fts_token_too_long": "regexp_matches(text, '[A-Za-z0-9_]{513}')", "conflict_markers": "regexp_matches(text, '^(<<<<<<< |>>>>>>> |=======$)')", "lfs_pointer_skipped": "line = 1 and starts_with(text, 'version https://git-lfs')",
 }
 
 
@@ -295,14 +294,19 @@ def _(ix):
     return issues.content_issues(ix.chunks)
 
 
-@query("A31_issue_counts", q.with_(q.CHUNKS, q.LINES) + "select kind, count(*) as issues, count(distinct file_id) as files from (" + " union all ".join(f"select file_id, '{k}' as kind from ln where {w}" for k, w in _ISSUES.items()) + ") group by kind")
+@query("A31_issue_counts", q.with_(q.CHUNKS, q.LINES) + "select kind, case when kind in ('line_too_long', 'fts_token_too_long') then 'content_limit' when kind = 'conflict_markers' then 'content_structure' when kind = 'replacement_char' then 'decoding_risk' when kind = 'bom' then 'byte_order_mark' when kind = 'null_byte' then 'raw_bytes' else 'other' end as category, count(*) as issues, count(distinct file_id) as files from (" + " union all ".join(f"select file_id, '{k}' as kind from ln where {w}" for k, w in _ISSUES.items()) + ") group by kind")
 def _(ix):
-    return issues.issue_counts(issues.content_issues(ix.chunks))
+    return issues.issue_counts(issues.content_issues(ix.chunks)).select("kind", issues.category(F.col("kind")).alias("category"), "issues", "files")
 
 
 @query("A32_text_issues", """with t as (select doc_id, text, (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as crlf, length(text) - length(replace(text, chr(13), '')) as crs, length(text) - length(replace(text, chr(10), '')) as lfs from documents where text is not null),
   u as (select *, crs - crlf as cr, lfs - crlf as lf from t), e as (select *, (crlf > 0)::int + (cr > 0)::int + (lf > 0)::int as ends from u)
-  select doc_id, 'mixed_line_endings' as kind, cast(crlf + cr + lf as int) as n from e where ends > 1 union all select doc_id, 'cr_only', cast(cr as int) from e where ends = 1 and cr > 0
-  union all select doc_id, 'replacement_char', cast(length(text) - length(replace(text, chr(65533), '')) as int) from e where contains(text, chr(65533)) union all select doc_id, 'bom', 1 from e where starts_with(text, chr(65279))""")
+  select doc_id, case when ends = 3 then 'mixed_line_endings_three_way' else 'mixed_line_endings' end as kind, cast(crlf + cr + lf as int) as n from e where ends > 1 union all select doc_id, 'cr_only_line_endings', cast(cr as int) from e where ends = 1 and cr > 0
+  union all select doc_id, 'replacement_char', cast(length(text) - length(replace(text, chr(65533), '')) as int) from e where contains(text, chr(65533)) union all select doc_id, 'null_byte', cast(length(text) - length(replace(text, chr(0), '')) as int) from e where contains(text, chr(0)) union all select doc_id, 'bom', 1 from e where starts_with(text, chr(65279))""")
 def _(ix):
     return issues.text_issues(table(ix.spark, ix.root, "documents", "doc_id", "text"))
+
+
+@query("A32_suppressed", q.with_(q.FILES) + f"select file_id, 'generated_code_extraction_skipped' as kind, 0 as line from f where {_P} like '%/%.min.js' or {_P} like '%/gen/%'")
+def _(ix):
+    return issues.suppressed_extraction(ix.files, ["*.min.js", "*/gen/*"])

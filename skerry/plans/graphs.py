@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skerry.operators import graph, lines, predicates, structure, symbols
+from skerry.operators import graph, predicates, service, structure, symbols
 from skerry.plans import sqltext as q
 from skerry.runtime import table
 from skerry.schema import CALLER_WEIGHTS, HOTSPOT_WEIGHTS, IMPACT_KINDS, Index
@@ -491,6 +491,22 @@ def _(ix):
     return orphans(ix.symbols, "symbols").unionByName(orphans(ix.refs, "refs"))
 
 
+_SELECTOR = """select symbol_id, 'id:' || symbol_id || '@7:' || left(sha256('{"path":' || coalesce('"' || path || '"', 'null') || ',"kind":' || coalesce('"' || kind || '"', 'null') || ',"container_qualified_name":' || coalesce('"' || container_qualified_name || '"', 'null')
+  || ',"name":' || coalesce('"' || replace(replace(name, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"', 'null') || ',"line":' || coalesce(line::varchar, 'null') || '}'), 16) as selector from s join f on f.file_id = s.file_id"""
+
+
+@query("Y13_selectors", _SF + _SELECTOR)
+def _(ix):
+    return service.selectors(ix.symbols, ix.files, 7)
+
+
+@query("A38_batch", q.with_(q.FILES, q.SYMBOLS) + """select 0 as ordinal, 'kinds' as query, '{"kind":' || coalesce('"' || kind || '"', 'null') || ',"n":' || count(*) || '}' as row from s group by kind
+  union all select 1, 'languages', '{"lang":' || coalesce('"' || lang || '"', 'null') || ',"files":' || count(*) || '}' from f group by lang""")
+def _(ix):
+    kinds = ix.symbols.groupBy("kind").agg(F.count("*").alias("n"))
+    return service.batch([("kinds", kinds), ("languages", ix.files.groupBy("lang").agg(F.count("*").alias("files")))])
+
+
 # sinks
 
 

@@ -12,7 +12,7 @@ from skerry.plans import sqltext as q
 from skerry.plans import training_data
 from skerry.runtime import table
 from skerry.schema import Index
-from skerry.sources import extractors
+from skerry.sources import extractors, projects
 from skerry.streaming import watch
 
 QUERIES: dict = {}
@@ -192,7 +192,7 @@ def _(ix):
 
 @query("S14_manifest_rows")
 def _(ix):
-    return edges.manifest_packages(_texts(ix))
+    return projects.manifest_packages(_texts(ix))
 
 
 # watching

@@ -1,7 +1,7 @@
 import random
 
 from skerry.operators import edges, graph, search, structure
-from skerry.sources import sinks
+from skerry.sources import projects, sinks
 
 
 def components(edges_):
@@ -60,7 +60,7 @@ def test_language_edges(spark):
     files = spark.createDataFrame([(1, "p/a.py", "python"), (5, "p/b.py", "python"), (6, "p/c/__init__.py", "python"), (7, "r.md", "markdown")], "file_id int, path string, lang string")
     assert {(r.module, r.target) for r in edges.import_edges(texts, files).collect()} == {(".b", "p/b.py"), ("os", None), ("p.c", "p/c/__init__.py")}
     assert [tuple(r) for r in edges.link_edges(texts, files).collect()] == [("docs/i.md", "r.md", 1)]
-    assert {(r.package, r.version) for r in edges.manifest_packages(texts).collect()} == {("foo", "1.2"), ("bar", "2"), ("left", "1.3.0")}
+    assert {(r.package, r.version) for r in projects.manifest_packages(texts).collect()} == {("foo", "1.2"), ("bar", "2"), ("left", "^1.3.0")}
 
 
 def test_metadata_edges(spark):
