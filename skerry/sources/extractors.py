@@ -1,13 +1,16 @@
 """Symbols and references of source texts, by the rules of each language.
 
 A language is a row of patterns over lines: what declares a symbol, and what a declared block looks
-like. Rules are data, so a language is added by a row. Extraction sees one file at a time.
+like. Rules are data, so a language is added by a row. Strings and comments are blanked in the whole
+text first, so those over several lines hold no names; parameters may go on over lines. Extraction sees
+one file at a time and passes over it a fixed number of times.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 import regex
@@ -30,7 +33,8 @@ class Rules:
 
 _VIS = r"(?P<vis>public|protected|private|internal)?\s*"
 _MODS = r"(?:(?:static|abstract|sealed|final|async|override|virtual|partial|readonly|new|unsafe|extern|synchronized|default|native)\s+)*"
-_TYPE = r"[\w.<>\[\],?]+(?:\s*<[^>{}()]*>)?"
+#: A type with arguments in three levels of angle brackets at most, arrays and nullables included.
+_TYPE = r"[\w.]+(?:<(?:[^<>(){};]|<(?:[^<>(){};]|<[^<>(){};]*>)*>)*>)?(?:\[[\],]*\])*\??"
 #: Words that no call begins with.
 _C_WORDS = frozenset({
     "if", "for", "while", "switch", "catch", "return", "sizeof", "new", "throw", "else", "do", "try", "using", "lock", "foreach", "typeof", "nameof",
@@ -66,8 +70,13 @@ RULES: dict[str, Rules] = {
 RULES["typescript"] = Rules((*RULES["javascript"].declares, ("interface", r"^\s*(?:export\s+)?interface\s+(?P<name>\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(?P<name>\w+)\s*="), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)")), "brace", r"//", _C_WORDS, RULES["javascript"].imports)
 RULES["cpp"] = Rules((("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(?P<name>\w+)"), ("namespace", r"^\s*namespace\s+(?P<name>\w+)"), *RULES["c"].declares), "brace", r"//", _C_WORDS, RULES["c"].imports)
 
+#: Words of the list above that are keywords in other languages only.
+_FOREIGN = {lang: frozenset({"go", "defer", "func", "select", "range", "def", "elif", "lambda", "not", "and", "or", "match"}) for lang in ("java", "csharp", "javascript", "typescript", "c", "cpp")}
+_FOREIGN["python"] = frozenset({"go", "defer", "func", "select", "range", "match", "this", "new", "do", "switch", "catch", "throw", "using", "lock", "foreach", "sizeof", "typeof", "nameof", "function"})
+_FOREIGN["go"] = frozenset({"lock", "using", "foreach", "not", "and", "or", "in", "with", "yield", "match", "def", "this", "do", "try", "catch", "assert"})
+RULES.update({lang: replace(RULES[lang], keywords=RULES[lang].keywords - words) for lang, words in _FOREIGN.items()})
+
 _CONTAINERS = frozenset("class struct interface enum record namespace module heading type message service".split())
-_STRINGS = regex.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`")
 _CALL = regex.compile(r"(?P<new>\bnew\s+)?(?:(?P<qual>[A-Za-z_]\w*)\s*(?:\.|::|->)\s*)?(?P<name>[A-Za-z_]\w*)\s*(?:<[\w\s,.<>]*>)?\s*\(")
 _LINK = regex.compile(r"\[[^\]]*\]\((?P<to>[^)\s]+)")
 _HREF = regex.compile(r"(?i)\b(?:href|src)\s*=\s*[\"'](?P<to>[^\"']+)")
@@ -85,41 +94,76 @@ def _patterns(lang: str) -> list[tuple[str, regex.Pattern]]:
     return _COMPILED[lang]
 
 
-def masked(line: str, rules: Rules) -> str:
-    """The line with strings and a trailing comment blanked, columns kept."""
-    line = _STRINGS.sub(lambda m: m.group()[0] + " " * (len(m.group()) - 2) + m.group()[-1], line)
-    m = regex.search(rules.comment, line)
-    return line if m is None else line[: m.start()]
-
-
-def _block_end(lines: list[str], at: int, style: str) -> int:
-    """Index of the last line of the block that is declared on line ``at``."""
-    n = len(lines)
-    if style == "brace":
-        depth, opened = 0, False
-        for k in range(at, n):
-            for c in lines[k]:
-                if c == "{":
-                    depth, opened = depth + 1, True
-                elif c == "}":
-                    depth -= 1
-            if opened and depth <= 0:
-                return k
-            if not opened and lines[k].rstrip().endswith(";"):
-                return k
-        return n - 1 if opened else at
-    if style in ("indent", "end"):
-        indent = len(lines[at]) - len(lines[at].lstrip())
-        last = at
-        for k in range(at + 1, n):
-            if not lines[k].strip():
-                continue
-            here = len(lines[k]) - len(lines[k].lstrip())
-            if here <= indent:
-                return k if style == "end" and lines[k].strip().startswith("end") else last
+_BRACE_TEXT = r'"(?:[^"\\\n]|\\.)*+"' + r"|'(?:[^'\\\n]|\\.)*+'"
+#: What has no names in it, strings and comments over lines included, by family of languages; quotes stay, the rest is blanked.
+_BLANKED = {
+    "c": regex.compile(r"//[^\n]*|/\*(?s:.)*?(?:\*/|\Z)|" + _BRACE_TEXT),
+    "raw": regex.compile(r"//[^\n]*|/\*(?s:.)*?(?:\*/|\Z)|`(?:[^`\\]|\\(?s:.))*+`|" + _BRACE_TEXT),
+    "triple": regex.compile(r'//[^\n]*|/\*(?s:.)*?(?:\*/|\Z)|"""(?s:.)*?(?:"""+|\Z)|@\$?"(?:[^"]|"")*+"|' + _BRACE_TEXT),
+    "python": regex.compile(r'#[^\n]*|"""(?:[^"\\]|\\(?s:.)|"(?!""))*+(?:"""|\Z)|' + r"'''(?:[^'\\]|\\(?s:.)|'(?!''))*+(?:'''|\Z)|" + _BRACE_TEXT),
+    "hash": regex.compile(r"#[^\n]*|" + _BRACE_TEXT),
+    "dash": regex.compile(r"--\[\[(?s:.)*?(?:\]\]|\Z)|--[^\n]*|/\*(?s:.)*?(?:\*/|\Z)|" + r"'(?:[^'\n]|'')*+'"),
+}
+_FAMILY = {
+    "java": "triple", "csharp": "triple", "kotlin": "triple", "scala": "triple", "swift": "triple", "javascript": "raw", "typescript": "raw", "go": "raw", "python": "python", "rust": "c", "c": "c", "cpp": "c",
+    "php": "c", "protobuf": "c", "ruby": "hash", "shell": "hash", "elixir": "hash", "terraform": "hash", "graphql": "hash", "dockerfile": "hash", "lua": "dash", "sql": "dash",
+}
+_INSIDE = regex.compile(r"[^\n\"'`]")
+
+
+def masked(text: str, lang: str) -> str:
+    """The text with strings and comments blanked, over lines too; places and line ends are kept."""
+    family = _FAMILY.get(lang)
+    return text if family is None else _BLANKED[family].sub(lambda m: _INSIDE.sub(" ", m.group()), text)
+
+
+class _Blocks:
+    """Where the blocks of a text in braces end, from one pass over it."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.starts = [0, *(m.end() for m in regex.finditer("\n", text))]
+        self.close: dict[int, int] = {}
+        stack: list[int] = []
+        for m in regex.finditer(r"[{}]", text):
+            if m.group() == "{":
+                stack.append(m.start())
+            elif stack:
+                self.close[stack.pop()] = m.start()
+
+    def line_of(self, at: int) -> int:
+        return bisect.bisect_right(self.starts, at) - 1
+
+    def end(self, at: int) -> int:
+        """Index of the last line of the block that is declared on line ``at``: up to the brace that closes it, or to a semicolon that comes first."""
+        depth = 0
+        for m in regex.finditer(r"[(){};\[\]]", self.text, pos=self.starts[at]):
+            c = m.group()
+            if c in "([":
+                depth += 1
+            elif c in ")]":
+                depth -= 1
+            elif c == "{" and depth <= 0:
+                return self.line_of(self.close.get(m.start(), len(self.text)))
+            elif c == ";" and depth <= 0:
+                return self.line_of(m.start())
+            elif c == "}" and depth <= 0:
+                return at
+        return at
+
+
+def _indent_end(lines: list[str], at: int, style: str) -> int:
+    indent = len(lines[at]) - len(lines[at].lstrip())
+    last, depth = at, 0
+    for k in range(at, len(lines)):
+        line = lines[k]
+        here = len(line) - len(line.lstrip())
+        if k > at and line.strip() and depth <= 0 and here <= indent:
+            return k if style == "end" and line.strip().startswith("end") else last
+        depth += sum(map(line.count, "([{")) - sum(map(line.count, ")]}"))
+        if line.strip():
             last = k
-        return last
-    return at
+    return last
 
 
 def symbols_of(file_id: int, lang: str, text: str) -> list[dict]:
@@ -130,22 +174,26 @@ def symbols_of(file_id: int, lang: str, text: str) -> list[dict]:
         return []
     rules = RULES[lang]
     raw = text.split("\n")
-    lines = raw if rules.blocks == "none" else [masked(x, rules) for x in raw]
+    bare = text if rules.blocks == "none" and lang != "sql" else masked(text, lang)
+    lines = bare.split("\n")
+    blocks = _Blocks(bare) if rules.blocks == "brace" else None
     found: list[dict] = []
     for at, line in enumerate(lines):
+        if not line or line.isspace():
+            continue
         for kind, pattern in _patterns(lang):
             # names in quotes are only there in the line as it is written
             m = pattern.search(raw[at] if '"' in pattern.pattern else line)
             if m is None:
                 continue
             groups = m.groupdict()
-            end = _block_end(lines, at, rules.blocks)
+            end = blocks.end(at) if blocks else _indent_end(lines, at, rules.blocks) if rules.blocks in ("indent", "end") else at
             if kind == "heading" and lang == "markdown":
                 level = len(groups["hash"])
                 end = next((k - 1 for k in range(at + 1, len(lines)) if (h := regex.match(r"^(#{1,6})\s", lines[k])) and len(h.group(1)) <= level), len(lines) - 1)
             found.append({
                 "file_id": file_id, "kind": kind, "sub_kind": "async" if regex.search(r"\basync\b", line[: m.end()]) else None, "name": groups["name"].strip("[]\"`"), "line": at + 1, "start_line": at + 1, "start_column": m.start("name") + 1,
-                "end_line": end + 1, "body_start_line": min(at + 2, end + 1), "body_end_line": end + 1, "signature": raw[at].strip()[:400], "visibility": groups.get("vis"), "return_type": groups.get("type"),
+                "end_line": end + 1, "body_start_line": min(at + 2, end + 1), "body_end_line": end + 1, "signature": _signature(raw, lines, at), "visibility": groups.get("vis"), "return_type": groups.get("type"),
             })
             break
     stack: list[dict] = []
@@ -162,8 +210,28 @@ def symbols_of(file_id: int, lang: str, text: str) -> list[dict]:
     return found
 
 
+def _signature(raw: list[str], lines: list[str], at: int) -> str:
+    """A declaration up to the end of its parameters, which may go on over lines."""
+    parts, depth = [], 0
+    for k in range(at, min(at + 20, len(lines))):
+        parts.append(raw[k].strip())
+        depth += sum(map(lines[k].count, "([")) - sum(map(lines[k].count, ")]"))
+        if depth <= 0:
+            break
+    return " ".join(parts)[:400]
+
+
+#: Names that a declaration derives from, after its own.
+_BASES = regex.compile(r"(?:\bextends\b|\bimplements\b|:(?!:)|\bclass\s+\w+\s*\()\s*(?P<list>[\w.<>\[\], ]+)")
+_TYPE_NAME = regex.compile(r"(?<![\w.])(?:\w+\.)*(?P<name>[A-Z]\w*)")
+#: Attributes and annotations, and handlers that are put on an event or taken off.
+_ANNOTATION = regex.compile(r"^\s*(?:@(?P<at>[A-Za-z_][\w.]*)|\[(?:\w+:\s*)?(?P<attr>[A-Z][\w.]*)[\](])")
+_EVENT = regex.compile(r"(?P<event>[A-Za-z_]\w*)\s*(?P<sign>[+-])=\s*(?:this\.)?(?P<name>[A-Z]\w*)\s*;")
+_LITERAL = regex.compile(r"(?<![\w.])&?(?:\w+\.)?(?P<name>[A-Z]\w*)\{")
+
+
 def references_of(file_id: int, lang: str, text: str, symbols: list[dict] | None = None) -> list[dict]:
-    """The references of one file: calls, instantiations, imports, links, and tables of queries."""
+    """The references of one file: calls, instantiations, base types, annotations, event handlers, imports, links, and tables of queries."""
     if lang in REFERENCE_PLUGINS:
         return REFERENCE_PLUGINS[lang](file_id, lang, text)
     if lang not in RULES:
@@ -172,17 +240,25 @@ def references_of(file_id: int, lang: str, text: str, symbols: list[dict] | None
     symbols = symbols_of(file_id, lang, text) if symbols is None else symbols
     declared = {(s["line"], s["name"]) for s in symbols}
     out: list[dict] = []
+    raw_lines = text.split("\n")
+    # symbols come by their first lines, inner ones after outer ones, so the last to paint a line is the innermost
+    inner: list[dict | None] = [None] * (len(raw_lines) + 2)
+    for s in sorted(symbols, key=lambda s: (s["start_line"], -s["end_line"])):
+        for k in range(s["start_line"], min(s["end_line"], len(raw_lines)) + 1):
+            inner[k] = s
 
     def add(name: str, kind: str, line: int, column: int, qualifier: str | None, context: str) -> None:
-        covering = [s for s in symbols if s["start_line"] <= line <= s["end_line"]]
-        inner = min(covering, key=lambda s: s["end_line"] - s["start_line"], default=None)
+        holder = inner[line]
         out.append({
             "file_id": file_id, "symbol_name": name, "reference_kind": kind, "line": line, "column_number": column, "span_length": len(name), "context": context.strip()[:400],
-            "container_kind": inner and inner["kind"], "container_name": inner and inner["name"], "target_qualifier": qualifier,
+            "container_kind": holder and holder["kind"], "container_name": holder and holder["name"], "target_qualifier": qualifier,
         })
 
-    for at, raw in enumerate(text.split("\n"), 1):
-        if rules.imports and (m := regex.search(rules.imports, raw)):
+    bare = masked(text, lang).split("\n")
+    typed = {s["line"] for s in symbols if s["kind"] in ("class", "struct", "interface", "record", "enum")}
+    for at, raw in enumerate(raw_lines, 1):
+        line = bare[at - 1]
+        if rules.imports and line.strip() and (m := regex.search(rules.imports, raw)):
             name = next(g for g in m.groups() if g)
             add(name, "import", at, raw.index(name) + 1, None, raw)
             continue
@@ -190,15 +266,26 @@ def references_of(file_id: int, lang: str, text: str, symbols: list[dict] | None
             for m in (_LINK if lang == "markdown" else _HREF).finditer(raw):
                 add(m.group("to"), "link", at, m.start("to") + 1, None, raw)
             continue
-        line = masked(raw, rules)
         if lang == "sql":
             for m in _SQL_FROM.finditer(line):
                 if (at, m.group("to").strip("[]\"`")) not in declared:
                     add(m.group("to"), "call", at, m.start("to") + 1, None, raw)
             continue
+        noted = _ANNOTATION.match(line) if lang in ("python", "java", "kotlin", "csharp", "typescript", "swift", "scala") else None
+        if noted:
+            group = "at" if noted.group("at") else "attr"
+            add(noted.group(group).rsplit(".", 1)[-1], "annotation", at, noted.end(group) - len(noted.group(group).rsplit(".", 1)[-1]) + 1, None, raw)
+        if at in typed and (m := _BASES.search(line)):
+            for t in _TYPE_NAME.finditer(line, m.start("list"), m.end("list")):
+                if (at, t.group("name")) not in declared:
+                    add(t.group("name"), "type_reference", at, t.start("name") + 1, None, raw)
+        for m in _EVENT.finditer(line) if lang == "csharp" else ():
+            add(m.group("name"), "subscribe" if m.group("sign") == "+" else "unsubscribe", at, m.start("name") + 1, m.group("event"), raw)
+        for m in _LITERAL.finditer(line) if lang in ("go", "rust") and at not in typed else ():
+            add(m.group("name"), "instantiate", at, m.start("name") + 1, None, raw)
         for m in _CALL.finditer(line, overlapped=False):
             name = m.group("name")
-            if name in rules.keywords or (at, name) in declared:
+            if name in rules.keywords or (at, name) in declared or noted and m.start("name") < noted.end():
                 continue
             kind = "instantiate" if m.group("new") or (lang == "python" and name[0].isupper()) else "call"
             add(name, kind, at, m.start("name") + 1, m.group("qual"), raw)

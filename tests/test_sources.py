@@ -149,3 +149,19 @@ def test_extractors():
 def test_strings_and_comments_hold_no_references():
     refs = extractors.references_of(1, "python", "x = 'call(1)'  # other(2)\nreal(3)\n")
     assert [r["symbol_name"] for r in refs] == ["real"]
+
+
+OVER_LINES = {
+    "python": ('''"""doc with call(1)\nand class No:\n"""\nclass A(Base, mixin.Other):\n    @cached\n    def run(\n        self,\n        x=f(")"),\n    ):\n        return B(x)\n\ny = g()\n''', {("class", "A", 4, 10), ("method", "run", 6, 10)}, {("Base", "type_reference", "A"), ("Other", "type_reference", "A"), ("cached", "annotation", "A"), ("f", "call", "run"), ("B", "instantiate", "run"), ("g", "call", None)}),
+    "csharp": ('/* class No {\n */\npublic class A : Base<int>, IThing {\n    var s = @"x\n void No() {\n";\n    [Obsolete]\n    public Task<Dictionary<string, int>> Run(\n        int a,\n        string b)\n    {\n        Clicked += OnClick;\n        return new B<int>(a).Go("}");\n    }\n}\n', {("class", "A", 3, 15), ("method", "Run", 8, 14)}, {("Base", "type_reference", "A"), ("IThing", "type_reference", "A"), ("Obsolete", "annotation", "A"), ("OnClick", "subscribe", "Run"), ("B", "instantiate", "Run"), ("Go", "call", "Run")}),
+    "javascript": ("const t = `\nfunction no() { call() }\n`;\nexport class A extends B {\n  run(a) {\n    /* x(\n */ return f(a);\n  }\n}\nfunction g(\n  a,\n  b,\n) {\n  h();\n}\n", {("class", "A", 4, 9), ("method", "run", 5, 8), ("function", "g", 10, 15)}, {("B", "type_reference", "A"), ("f", "call", "run"), ("h", "call", "g")}),
+    "java": ('class A extends B implements C {\n  String s = """\n    void no() {\n  """;\n  @Override\n  public Map<String, List<Integer>> run(int a,\n      int b) {\n    return new D(a).go();\n  }\n}\n', {("class", "A", 1, 10), ("method", "run", 6, 9)}, {("B", "type_reference", "A"), ("C", "type_reference", "A"), ("Override", "annotation", "A"), ("D", "instantiate", "run"), ("go", "call", "run")}),
+    "go": ("package p\n\nvar q = `\nfunc no() {\n`\n\ntype T struct {\n\ta int\n}\n\nfunc (t *T) Run(\n\ta int,\n) *T {\n\treturn &T{a: f(a)}\n}\n", {("struct", "T", 7, 9), ("method", "Run", 11, 15)}, {("T", "instantiate", "Run"), ("f", "call", "Run")}),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(OVER_LINES))
+def test_extractors_over_lines(lang):
+    text, symbols, refs = OVER_LINES[lang]
+    assert {(s["kind"], s["name"], s["start_line"], s["end_line"]) for s in extractors.symbols_of(1, lang, text)} == symbols
+    assert {(r["symbol_name"], r["reference_kind"], r["container_name"]) for r in extractors.references_of(1, lang, text) if r["reference_kind"] != "import"} == refs
