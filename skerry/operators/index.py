@@ -7,7 +7,9 @@ as its rows need. Statistics are stored, so no query counts the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators import search
@@ -31,28 +33,43 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
+        self._counts: tuple[int, float] | None = None
 
     def write(self, chunks: DataFrame) -> SearchIndex:
         """Replaces what the folder holds."""
         return self.write_postings(chunks).write_trigrams(chunks)
 
     def write_postings(self, chunks: DataFrame) -> SearchIndex:
-        """Postings, terms and statistics. Tokens of over ``search.MAX_TOKEN`` characters have no posting."""
+        """Postings, terms, places and statistics. Tokens of over ``search.MAX_TOKEN`` characters have no posting."""
+        self._tables, self._counts = {}, None
         n = shuffle_partitions(self.spark)
         ordered = lambda df, *keys: df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
         rows = search.postings(chunks).where(F.length("term") <= search.MAX_TOKEN)
         ordered(rows, "term", "chunk_id").write.mode("overwrite").parquet(f"{self.folder}/postings")
         ordered(self._read("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), "term").write.mode("overwrite").parquet(f"{self.folder}/terms")
-        search.lengths(chunks).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{self.folder}/stats")
+        end = F.col("start_line") + F.size(F.split("content", "\n", -1)) - 1
+        ordered(search.lengths(chunks, end.alias("end_line")), "chunk_id").write.mode("overwrite").parquet(f"{self.folder}/chunks")
+        self._read("chunks").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{self.folder}/stats")
         return self
 
     def write_trigrams(self, chunks: DataFrame) -> SearchIndex:
+        self._tables.pop("trigrams", None)
         ordered = trigrams(chunks).repartitionByRange(shuffle_partitions(self.spark), "gram", "chunk_id").sortWithinPartitions("gram", "chunk_id")
         ordered.write.mode("overwrite").parquet(f"{self.folder}/trigrams")
         return self
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}")
+        return self._tables[name]
+
+    def _stats(self) -> tuple[int, float]:
+        """How many chunks there are, and their mean length."""
+        if self._counts is None:
+            row = self._read("stats").first()
+            self._counts = (row.n, row.mean or 0.0)
+        return self._counts
 
     def terms(self, prefix: str = "") -> DataFrame:
         """(term, df, tf) of the terms that begin with ``prefix``."""
@@ -61,26 +78,36 @@ class SearchIndex:
     def search(self, query: str, prefix: bool = False) -> DataFrame:
         """(chunk_id, file_id, bm25) as ``search.search_all`` gives it, from the postings of the query's terms."""
         terms = search.query_terms(query)
-        held, df, score = F.lit(bool(terms)), {}, F.lit(0.0)
         rows = self._read("postings")
-        wanted = F.lit(False)
-        sums = []
-        for i, t in enumerate(terms):
-            same = F.col("term").startswith(t) if prefix else F.col("term") == t
-            wanted = wanted | same
-            sums.append(F.sum(F.when(same, F.col("tf")).otherwise(0)).alias(f"tf{i}"))
-            held = held & (F.col(f"tf{i}") > 0)
         if not terms:
             return rows.select("chunk_id", "file_id", F.lit(0.0).alias("bm25")).where(F.lit(False))
-        found = rows.where(wanted).groupBy("chunk_id", "file_id", "length").agg(*sums)
-        if prefix:
-            df = found.agg(*(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))))
-        else:
-            df = self._read("terms").where(F.col("term").isin(terms)).agg(*(F.coalesce(F.sum(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(terms)))
+        same = [F.col("term").startswith(t) if prefix else F.col("term") == t for t in terms]
+        wanted = functools.reduce(Column.__or__, same) if prefix else F.col("term").isin(terms)
+        found = rows.where(wanted).groupBy("chunk_id", "file_id", "length").agg(*(F.sum(F.when(c, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, c in enumerate(same)))
+        if prefix:  # one row
+            found = found.join(F.broadcast(found.agg(*(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))))), how="inner")
+            df = [F.col(f"df{i}") for i in range(len(terms))]
+        else:  # as many rows as the query has terms
+            known = {r.term: r.df for r in self._read("terms").where(F.col("term").isin(terms)).collect()}
+            df = [F.lit(known.get(t, 0)) for t in terms]
+        n, mean = self._stats()
+        score, held = F.lit(0.0), F.lit(True)
         for i in range(len(terms)):
-            score = score + search.bm25(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("length"), F.col("n"), F.col("mean"))
-        # one row of statistics and one of document frequencies
-        return found.where(held).join(F.broadcast(self._read("stats")), how="inner").join(F.broadcast(df), how="inner").select("chunk_id", "file_id", F.round(score, 6).alias("bm25"))
+            score = score + search.bm25(F.col(f"tf{i}"), df[i], F.col("length"), F.lit(n), F.lit(mean))
+            held = held & (F.col(f"tf{i}") > 0)
+        return found.where(held).select("chunk_id", "file_id", F.round(score, 6).alias("bm25"))
+
+    def ranked(self, query: str, chunks: DataFrame, files: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
+        """Ranked hits as ``search.search_ranked`` gives them; contents are only looked at where the query isn't a single term."""
+        low = query.strip().lower()
+        places = self._read("chunks").select("chunk_id", "file_id", "start_line", "end_line")
+        hits = self.search(query).join(places, ["chunk_id", "file_id"])
+        if search.query_terms(query) == [low]:
+            hits = hits.withColumn("text_match", F.lit(True))
+        else:
+            held = literal_lines_chunks(chunks, low).join(measured_side(hits.select("chunk_id").distinct()), "chunk_id", "left_semi")
+            hits = hits.join(held.withColumn("text_match", F.lit(True)), "chunk_id", "left").withColumn("text_match", F.coalesce("text_match", F.lit(False)))
+        return search.ranked_hits(hits.select("chunk_id", "file_id", "start_line", "end_line", "text_match", "bm25"), files, symbols, query, limit)
 
     def literal_chunks(self, query: str) -> DataFrame | None:
         """(chunk_id) of chunks that have all trigrams of ``query``; None if it is too short or spans lines, and any chunk may hold it."""
@@ -98,6 +125,11 @@ class SearchIndex:
         return literal_lines(rows, query, exact)
 
 
+def literal_lines_chunks(chunks: DataFrame, low: str) -> DataFrame:
+    """(chunk_id) of chunks whose content holds a lower-cased text."""
+    return search.found_chunks(chunks, F.contains(F.lower("content"), F.lit(low))).select("chunk_id").distinct()
+
+
 def texts_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """``hits`` (chunk_id, ...) with the content of their chunks; the hits are counted and broadcast if few."""
     contents = chunks.where("content is not null").select("chunk_id", "content").join(measured_side(hits.select("chunk_id").distinct()), "chunk_id", "left_semi")

@@ -42,9 +42,9 @@ def _keys() -> list[Column]:
     return [F.col("chunk_id"), F.col("file_id"), F.col("start_line"), F.xxhash64("content").alias("skerry_a"), F.hash("content").alias("skerry_b")]
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, length in tokens, ...) of each different chunk."""
-    return _term_counts(chunks, [])
+def lengths(chunks: DataFrame, *more: Column) -> DataFrame:
+    """(chunk_id, file_id, start_line, length in tokens, ...) of each different chunk."""
+    return _term_counts(chunks, [], more=more).drop("skerry_a", "skerry_b")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -113,6 +113,12 @@ def search_ranked(chunks: DataFrame, files: DataFrame, symbols: DataFrame, query
     terms = query_terms(query)
     asked = [F.contains(F.lower("content"), F.lit(low)).alias("text_match"), (F.col("start_line") + F.size(F.split("content", "\n", -1)) - 1).alias("end_line")]
     hits = _scored(_term_counts(chunks, terms, more=asked), len(terms)).select("chunk_id", "file_id", "start_line", "end_line", "text_match", "bm25")
+    return ranked_hits(hits, files, symbols, query, limit)
+
+
+def ranked_hits(hits: DataFrame, files: DataFrame, symbols: DataFrame, query: str, limit: int) -> DataFrame:
+    """The first ``limit`` of hits (chunk_id, file_id, start_line, end_line, text_match, bm25), see ``search_ranked``."""
+    low = query.strip().lower()
     named = symbols.where(ascii_lower(F.col("name")).startswith(low)).select("file_id", (ascii_lower(F.col("name")) == low).alias("exact"), F.coalesce("start_line", "line").alias("at"))
     by_file = named.groupBy("file_id").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("at")))).alias("exact_at"), F.sort_array(F.collect_set("at")).alias("at"), F.max("exact").alias("exact"))
     inside = lambda c: F.exists(c, lambda n: n.between(F.col("start_line"), F.col("end_line")))

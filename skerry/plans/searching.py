@@ -247,6 +247,11 @@ def _(ix):
     return _stored(ix).write_postings(ix.chunks).search("return key")
 
 
+@query("K02_stored_ranked", SQL["X02_ranked"])
+def _(ix):
+    return _stored(ix).write_postings(ix.chunks).ranked("rank", ix.chunks, ix.files, ix.symbols, 50)
+
+
 @query("K02_stored_prefix", SQL["X06_prefix"])
 def _(ix):
     return _stored(ix).write_postings(ix.chunks).search("ledg", prefix=True).drop("bm25")

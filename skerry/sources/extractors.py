@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.names import fold_name
+from skerry.runtime import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -319,7 +320,7 @@ def extract_references(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     from skerry.operators.graph import candidate_summary, self_references, source_symbols
 
     rows = texts.select("file_id", "lang", "text").mapInArrow(lambda it: _rows(it, references_of, _REFERENCE_FIELDS), _REFERENCE_FIELDS)
-    keyed = rows.select(F.xxhash64("file_id", "line", "column_number", "symbol_name", "reference_kind").alias("ref_id"), "*", fold_name(F.col("symbol_name")).alias("symbol_name_folded"), fold_name(F.col("container_name")).alias("container_name_folded"))
+    keyed = cut_lineage(rows.select(F.xxhash64("file_id", "line", "column_number", "symbol_name", "reference_kind").alias("ref_id"), "*", fold_name(F.col("symbol_name")).alias("symbol_name_folded"), fold_name(F.col("container_name")).alias("container_name_folded")))
     files = texts.select("file_id", "path", "lang") if "path" in texts.columns else texts.select("file_id", F.lit("").alias("path"), "lang")
     found = keyed.join(source_symbols(keyed, symbols), "ref_id", "left").join(candidate_summary(keyed, symbols, files), "ref_id", "left")
     whole = found.select(

@@ -15,6 +15,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.runtime import cut_lineage
 from skerry.sources.languages import language_of
 
 #: Directories that are never scanned, without regard to case.
@@ -335,16 +336,20 @@ def vanished(files: DataFrame, scan: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> dict[str, DataFrame]:
-    """files, chunks, symbols and refs of a source tree; file_id is a hash of the path, so a run needs no counter."""
+    """files, chunks, symbols and refs of a source tree; file_id is a hash of the path, so a run needs no counter.
+
+    Texts and symbols are written once in between, so each file is read and each text extracted once
+    for all four tables.
+    """
     from skerry.sources.extractors import extract_references, extract_symbols
 
     texts = decoded(scan_workspace(spark, root, rules)).where("text is not null")
-    rows = texts.select(
+    rows = cut_lineage(texts.select(
         F.xxhash64("path").alias("file_id"), "path", language_of(F.col("path"), F.col("text")).alias("lang"), "size",
         F.when(F.col("text") == "", 0).otherwise(F.size(F.split(F.regexp_replace("text", "\n\\z", ""), "\n", -1))).alias("lines"), F.sha2("text", 256).alias("checksum"), "modified", "text",
-    )
+    ))
     chunks = chunk_texts(rows).withColumn("chunk_id", F.xxhash64("file_id", "chunk_index"))
-    symbols = extract_symbols(rows)
+    symbols = cut_lineage(extract_symbols(rows))
     return {
         "files": rows.withColumn("generated", is_generated(F.col("path"), F.col("text"))).drop("text").withColumn("indexed_at", F.current_timestamp()),
         "chunks": chunks.select("chunk_id", "file_id", "chunk_index", "start_line", "end_line", "content"),

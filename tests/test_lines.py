@@ -89,6 +89,11 @@ def test_stored_index_against_the_scan(spark, tmp_path):
         rows = lambda df: sorted((r.file_id, r.line, r.text) for r in df.select("file_id", "line", "text").collect())
         assert rows(index.literal_lines(chunks, query)) == rows(lines.literal_lines(chunks, query)), query
     assert index.terms("be").count() == 3
+    files = spark.createDataFrame([(f, f"d/{f}.py") for f in texts], "file_id int, path string")
+    symbols = spark.createDataFrame([(1, "beta", 2, 2), (7, "BETA gamma", 100, 100)], "file_id int, name string, start_line int, line int")
+    for query in ("beta", "beta gamma", "alpha beta"):
+        rows = lambda df: [tuple(r) for r in df.orderBy("rank").collect()]
+        assert rows(index.ranked(query, chunks, files, symbols, 5)) == rows(search.search_ranked(chunks, files, symbols, query, 5)), query
     assert {r.content for r in texts_of(index.search("gamma"), chunks).collect()} == {texts[1]}
 
 
