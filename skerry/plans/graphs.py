@@ -191,7 +191,17 @@ def _(ix):
     return graph.impact(ix.raw_refs, ix.files, "Get", "python", 5)[0]
 
 
-@query("G15_paths")
+def _path_levels(depth: int) -> str:
+    """Paths level by level, of which the first ten to a caller go on."""
+    parts = ["q0 as (select 'get' as node, ['get'] as path)"]
+    for d in range(1, depth + 1):
+        step = f"select distinct e.caller as node, list_append(q.path, e.caller) as path from q{d - 1} q join e on e.callee = q.node join v on v.caller = e.caller and v.depth = {d} where not list_contains(q.path, e.caller)"
+        parts.append(f"q{d} as (select node, path from (select *, row_number() over (partition by node order by path) as k from ({step})) where k <= 10)")
+    return ", ".join(parts)
+
+
+@query("G15_paths", q.with_(q.FILES, q.REFS, _EDGES).replace("with ", "with recursive ", 1) + f""", e as (select callee, caller from ed where lang = 'python'), w as (select 'get' as caller, 0 as depth union select e.caller, w.depth + 1 from w join e on e.callee = w.caller where w.depth < 5),
+  v as (select caller, min(depth) as depth from w where caller <> 'get' group by caller), {_path_levels(5)} """ + " union all ".join(f"select node as caller, {d} as depth, array_to_string(path, ' <- ') as path from q{d}" for d in range(1, 6)))
 def _(ix):
     return graph.impact_paths(ix.raw_refs, ix.files, "Get", "python", 5)
 

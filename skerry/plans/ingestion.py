@@ -11,7 +11,7 @@ from skerry.operators.incremental import new_or_changed
 from skerry.plans import sqltext as q
 from skerry.plans import training_data
 from skerry.runtime import table
-from skerry.schema import Index
+from skerry.schema import IMPACT_KINDS, Index
 from skerry.sources import extractors, projects
 from skerry.streaming import watch
 
@@ -226,7 +226,10 @@ def _(ix):
     return watch.dirty_scope(ix.raw_refs, ix.symbols, ix.files.join(paths, "path", "left_semi"))
 
 
-@query("G17_budget")
+@query("G17_budget", q.with_(q.FILES, q.REFS).replace("with ", "with recursive ", 1) + f""", e as (select distinct symbol_name_folded as callee, container_name_folded as caller from r join f using (file_id) where lang = 'python' and reference_kind in {q.in_list(IMPACT_KINDS)} and symbol_name_folded is not null and container_name_folded is not null),
+  w as (select 'get' as caller, 0 as depth union select e.caller, w.depth + 1 from w join e on e.callee = w.caller where w.depth < 5), v as (select caller, min(depth) as depth from w where caller <> 'get' group by caller),
+  n as (select depth, count(*) as callers from v group by depth), a as (select *, sum(callers) over (order by depth) + 1 as total from n), x as (select *, coalesce(max(total) over (order by depth rows between unbounded preceding and 1 preceding), 0) as before from a)
+  select depth, callers, case when exists (select 1 from a where total > 10000) then 'budget' when (select count(*) from a) < 5 then 'exhausted' else 'depth' end as ended from x where before <= 10000""")
 def _(ix):
     rows, why = graph.impact(ix.raw_refs, ix.files, "Get", "python", 5, max_rows=10_000)
     return rows.groupBy("depth").agg(F.count("*").alias("callers")).withColumn("ended", F.lit(why))
