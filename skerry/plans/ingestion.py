@@ -81,7 +81,11 @@ def _(ix):
     return ix.refs.where("context is not null").select("ref_id", names.argument_count(F.col("context")).alias("arguments"))
 
 
-@query("N08_type_arity")
+_LISTED = r"regexp_extract(signature, '(?s)\b(?:class|struct|interface|record)\s+\w+\s*<(.*)', 1)"
+
+
+@query("N08_type_arity", q.with_(q.SYMBOLS) + f"""select symbol_id, cast(case when {_LISTED} = '' or regexp_matches({_LISTED}, '^\\s*>') then 0 else length(own) - length(replace(own, ',', '')) + 1 end as int) as arity
+  from (select *, split_part(regexp_replace(regexp_replace({_LISTED}, '[=-]>', '', 'g'), '<[^<>]*>|\\([^()]*\\)', '', 'g'), '>', 1) as own from s) where kind in ('class', 'struct') and signature is not null""")
 def _(ix):
     rows = ix.symbols.where("kind in ('class', 'struct') and signature is not null")
     return rows.select("symbol_id", names.type_arity(F.col("signature")).alias("arity"))
@@ -163,7 +167,14 @@ def _(ix):
     return edges.metadata_edges(ix.symbols, ix.files, ix.chunks)
 
 
-@query("A03_import_edges")
+_IMPORT = r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
+
+
+@query("A03_import_edges", q.with_(q.CHUNKS, q.LINES, q.FILES) + f""", i as (select distinct path, coalesce(nullif(regexp_extract(text, '{_IMPORT}', 1), ''), regexp_extract(text, '{_IMPORT}', 2)) as module from ln join f using (file_id) where lang = 'python' and regexp_matches(text, '{_IMPORT}')),
+  d as (select *, length(module) - length(ltrim(module, '.')) as dots, ltrim(module, '.') as rest, string_split(path, '/') as parts from i),
+  k as (select path, module, case when dots = 0 then replace(module, '.', '/') else array_to_string(list_concat(list_slice(parts, 1, len(parts) - dots), case when rest = '' then [] else string_split(rest, '.') end), '/') end as stem from d),
+  t as (select path as target, regexp_replace(path, '(/__init__)?\\.py$', '') as stem from f where lang = 'python' and path is not null)
+  select path as src_path, module, target from k left join t using (stem)""")
 def _(ix):
     return edges.import_edges(_texts(ix), ix.files)
 
