@@ -419,6 +419,26 @@ def result_kinds(hits: DataFrame, query: str, column: str = "column") -> DataFra
     return rows.withColumn("kinds", F.sort_array(F.array_compact(kinds))).drop("origin")
 
 
+def counted(hits: DataFrame, by: str) -> DataFrame:
+    """(key, hits, files) of hits (file_id, path, lang, ..) by path, directory, extension, language, repository, or the symbol around them.
+
+    By symbol, hits need symbol_kind and symbol_name; those outside of all symbols count under a null key.
+    """
+    keys = {
+        "path": F.col("path"), "directory": F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)"), "extension": F.when(F.contains(F.substring_index("path", "/", -1), F.lit(".")), F.lower(F.substring_index("path", ".", -1))),
+        "language": F.col("lang"), "repository": F.substring_index("path", "/", 1),
+    }
+    key = F.when(F.col("symbol_name").isNotNull(), F.concat_ws(" ", "symbol_kind", "symbol_name")) if by == "symbol" else keys[by]
+    return hits.groupBy(key.alias("key")).agg(F.count("*").alias("hits"), F.countDistinct("file_id").alias("files"))
+
+
+def focused(line: Column, last: Column, lines: int = 8, focus: str = "center") -> tuple[Column, Column]:
+    """First and last line of a snippet of ``lines`` lines around a match, clamped to the file; the match lies at its start, center or end."""
+    before = {"start": 0, "center": (lines - 1) // 2, "end": lines - 1}[focus]
+    start = F.greatest(F.least(line - before, last - lines + 1), F.lit(1))
+    return start, F.least(start + lines - 1, last)
+
+
 def first_per_file(hits: DataFrame, per_file: int, total: int | None = None) -> DataFrame:
     """The first hits of each file by line and column, then at most ``total`` by path order."""
     w = Window.partitionBy("path").orderBy("line", "column")

@@ -564,6 +564,34 @@ def _(ix):
     return sinks.quickfix(rows.select("path", "line", F.coalesce("start_column", F.lit(1)).alias("column"), F.col("name").alias("text")))
 
 
+def _places(ix):
+    rows = ix.symbols.where("line is not null and name is not null").join(ix.files.where("path is not null").select("file_id", "path"), "file_id")
+    return rows.select("path", "line", F.coalesce("start_column", F.lit(1)).alias("column"), F.length("name").alias("length"), F.col("name").alias("text"))
+
+
+_PLACES = q.with_(q.FILES, q.SYMBOLS) + """, p as (select path, line, coalesce(start_column, 1) as col, length(name) as len, name as text, replace(replace(name, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') as quoted from s join f on f.file_id = s.file_id where path is not null and line is not null and name is not null) """
+
+
+@query("K05_lsp", _PLACES + """select '{"uri":"file:///' || path || '","range":{"start":{"line":' || (line - 1) || ',"character":' || (col - 1) || '},"end":{"line":' || (line - 1) || ',"character":' || (col - 1 + len) || '}}}' as value from p""")
+def _(ix):
+    return sinks.lsp_locations(_places(ix))
+
+
+@query("K05_sarif", _PLACES + """select '{"ruleId":"symbol","level":"note","message":{"text":"' || quoted || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || path || '"},"region":{"startLine":' || line || ',"startColumn":' || col || '}}}]}' as value from p""")
+def _(ix):
+    return sinks.sarif_results(_places(ix), "symbol")
+
+
+@query("K05_csv", _PLACES + """select path || ',' || line || ',' || case when contains(text, ',') or contains(text, '"') or contains(text, chr(10)) then '"' || replace(text, '"', '""') || '"' else text end as value from p""")
+def _(ix):
+    return sinks.delimited(_places(ix), ["path", "line", "text"])
+
+
+@query("K05_grouped", _PLACES + ", k as (select *, row_number() over (partition by path order by line, col, text) as k from p) select path, count(*) as matches, string_agg(line || ': ' || text, chr(10) order by k) filter (where k <= 5) as value from k group by path")
+def _(ix):
+    return sinks.grouped_by_path(_places(ix), 5)
+
+
 @query("K07_projection", q.with_(q.FILES) + "select '{\"path\":\"' || path || '\",\"size\":' || size || '}' as value from f where path is not null and size is not null")
 def _(ix):
     return sinks.ndjson(ix.files.where("path is not null and size is not null"), ["path", "size"])

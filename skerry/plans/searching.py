@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -195,6 +196,36 @@ def _(ix):
     return hits.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(100)
 
 
+_FOUND = _LN + ", h as (select f.file_id, path, lang, line from ln join f using (file_id) where contains(lower(text), 'ledger'))"
+_BY = {"path": "path", "directory": "left(path, length(path) - length(split_part(path, '/', -1)) - 1)", "extension": "case when contains(split_part(path, '/', -1), '.') then lower(split_part(path, '.', -1)) end", "language": "lang", "repository": "split_part(path, '/', 1)"}
+
+
+@query("X21_counted", _FOUND + " union all ".join(f" select '{m}' as mode, {e} as key, count(*) as hits, count(distinct file_id) as files from h group by {e}" for m, e in _BY.items()))
+def _(ix):
+    hits = search.line_hits(ix.chunks, "ledger").join(ix.files.select("file_id", "path", "lang"), "file_id")
+    parts = [search.counted(hits, m).select(F.lit(m).alias("mode"), "key", "hits", "files") for m in _BY]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("X21_by_symbol", _LN + ", h as (select distinct file_id, line from ln where contains(lower(text), 'ledger'))" + _INNER + """ select case when s.name is not null then concat_ws(' ', s.kind, s.name) end as key, count(*) as hits, count(distinct h.file_id) as files
+  from h left join e using (file_id, line) left join (select distinct symbol_id, name, kind from s) s using (symbol_id) group by 1""")
+def _(ix):
+    return search.counted(search.enclosing_symbols(search.line_hits(ix.chunks, "ledger").select("file_id", "line"), ix.symbols), "symbol")
+
+
+@query("X19_focus", _LN + ", z as (select file_id, max(line) as last from ln group by file_id), h as (select file_id, line, last from ln join z using (file_id) where contains(lower(text), 'log.info'))" + " union all ".join(
+    f" select file_id, line, '{m}' as focus, greatest(least(line - {b}, last - 7), 1) as start_line, least(greatest(least(line - {b}, last - 7), 1) + 7, last) as end_line from h" for m, b in (("start", 0), ("center", 3), ("end", 7))
+))
+def _(ix):
+    last = ix.chunks.where("content is not null").groupBy("file_id").agg(F.max(F.col("start_line") + F.size(F.split("content", "\n", -1)) - 1).alias("last"))
+    hits = search.line_hits(ix.chunks, "log.info").select("file_id", "line").join(last, "file_id")
+    modes = []
+    for m in ("start", "center", "end"):
+        start, end = search.focused(F.col("line"), F.col("last"), 8, m)
+        modes.append(hits.select("file_id", "line", F.lit(m).alias("focus"), start.alias("start_line"), end.alias("end_line")))
+    return functools.reduce(lambda a, b: a.unionByName(b), modes)
+
+
 @query("X22_first_per_file", _LN + "select path, line from (select path, line, row_number() over (partition by path order by line) as k from ln join f using (file_id) where contains(lower(text), 'return')) where k <= 2")
 def _(ix):
     hits = search.line_hits(ix.chunks, "return").join(ix.files, "file_id").withColumn("column", F.lit(1))

@@ -89,6 +89,26 @@ def sarif_results(rows: DataFrame, rule: str) -> DataFrame:
     return rows.select(_json(F.struct(F.lit(rule).alias("ruleId"), F.lit("note").alias("level"), F.struct(F.col("text").alias("text")).alias("message"), F.array(where).alias("locations"))).alias("value"))
 
 
+def delimited(rows: DataFrame, fields: Sequence[str], sep: str = ",") -> DataFrame:
+    """Rows as lines of delimited text; a field with a delimiter, a quote or a line end is quoted, null is empty."""
+
+    def one(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        odd = F.contains(text, F.lit(sep)) | F.contains(text, F.lit('"')) | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r"))
+        return F.when(odd, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return rows.select(F.concat_ws(sep, *(one(c) for c in fields)).alias("value"))
+
+
+def grouped_by_path(rows: DataFrame, most: int) -> DataFrame:
+    """(path, matches, value): the lines of each path as one text, ``most`` of them at most, and how many there are in all."""
+    w = Window.partitionBy("path").orderBy("line", "column", "text")
+    counts = rows.groupBy("path").agg(F.count("*").alias("matches"))
+    first = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    texts = first.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("k", F.concat(F.col("line").cast("string"), F.lit(": "), "text").alias("t")))).alias("rows"))
+    return counts.join(texts, "path").select("path", "matches", F.array_join(F.transform("rows", lambda r: r["t"]), "\n").alias("value"))
+
+
 def ndjson(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Rows as JSON with the named fields only."""
     unknown = [f for f in fields if f not in rows.columns]
