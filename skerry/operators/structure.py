@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators.graph import call_edges, definition_names, impact, reference_sites
 from skerry.operators.predicates import ascii_lower, is_noise, logical_kind, weight
-from skerry.runtime import cut_lineage
+from skerry.runtime import cut_lineage, measured_side
 from skerry.schema import HOTSPOT_WEIGHTS
 
 #: Names that say little as hotspots.
@@ -319,6 +319,34 @@ def unused_symbols(symbols: DataFrame, refs: DataFrame, files: DataFrame) -> Dat
     return rows.withColumn("confidence", F.when(F.col("bucket") == "likely_unused_private", "medium").otherwise("low"))
 
 
+def partial_siblings(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(symbol_id, file_id) of the other files that declare a part of the C# type that a symbol is a member of."""
+    rows = symbols.join(files.where("lang = 'csharp'").select("file_id"), "file_id", "left_semi")
+    parts = rows.where(F.col("kind").isin(*_CLASS_KINDS) & F.col("signature").rlike(r"\bpartial\b")).select(F.coalesce(F.concat("container_qualified_name", F.lit("."), "name"), "name").alias("type"), F.col("file_id").alias("part")).distinct()
+    members = rows.where("container_qualified_name is not null").select("symbol_id", "file_id", F.col("container_qualified_name").alias("type"))
+    return members.join(parts, "type").where("part <> file_id").select("symbol_id", F.col("part").alias("file_id")).distinct()
+
+
+def named_in_text(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(symbol_id) of those of ``wanted`` (symbol_id, file_id, name, line) whose name stands as a word in the file, on another line.
+
+    Names are gathered by file and meet its chunks there; a null line excludes none.
+    """
+    by_file = measured_side(wanted.groupBy("file_id").agg(F.collect_set("name").alias("names")))
+    held = chunks.where("content is not null").select("file_id", "start_line", "content").join(by_file, "file_id")
+    lines = held.select("file_id", "names", "start_line", F.posexplode(F.split("content", "\n", -1)).alias("k", "text"))
+    words = lines.select("file_id", (F.col("start_line") + F.col("k")).alias("at"), F.explode(F.array_intersect("names", F.split("text", "[^A-Za-z0-9_]+"))).alias("name")).distinct()
+    return wanted.join(words, ["file_id", "name"]).where("not (line <=> at)").select("symbol_id").distinct()
+
+
+def unused_beyond_text(symbols: DataFrame, refs: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``unused_symbols`` without the private ones that the text of their own file names elsewhere, or that of another part of their type."""
+    unused = cut_lineage(unused_symbols(symbols, refs, files))
+    private = symbols.join(unused.where("bucket = 'likely_unused_private'").select("symbol_id"), "symbol_id", "left_semi").where("name is not null").select("symbol_id", "file_id", "name", "line")
+    parts = partial_siblings(symbols, files).join(private.drop("file_id", "line"), "symbol_id").select("symbol_id", "file_id", "name", F.lit(None).cast("int").alias("line"))
+    return unused.join(named_in_text(private.unionByName(parts), chunks), "symbol_id", "left_anti")
+
+
 # maps
 
 

@@ -414,6 +414,15 @@ def _(ix):
     return structure.unused_symbols(ix.symbols, ix.raw_refs, ix.files)
 
 
+@query("A21_beyond_text", _UNUSED.replace("select *, case when bucket", ", y as (select *, case when bucket").rstrip() + "), " + q.CHUNKS + ", " + q.LINES + """,
+  p as (select y.symbol_id, s.file_id, s.name, s.line, s.container_qualified_name as type from y join s using (symbol_id) where bucket = 'likely_unused_private' and s.name is not null),
+  z as (select distinct coalesce(s.container_qualified_name || '.' || s.name, s.name) as type, s.file_id from s join f on f.file_id = s.file_id where f.lang = 'csharp' and s.kind in ('class', 'struct', 'interface', 'enum', 'record') and regexp_matches(s.signature, '\\bpartial\\b')),
+  o as (select symbol_id, file_id, name, line from p union all select p.symbol_id, z.file_id, p.name, null from p join f on f.file_id = p.file_id join z on z.type = p.type and z.file_id <> p.file_id where f.lang = 'csharp')
+  select * from y where symbol_id not in (select o.symbol_id from o join ln on ln.file_id = o.file_id and ln.line is distinct from o.line and list_contains(regexp_split_to_array(ln.text, '[^A-Za-z0-9_]+'), o.name))""")
+def _(ix):
+    return structure.unused_beyond_text(ix.symbols, ix.raw_refs, ix.files, ix.chunks)
+
+
 @query("A22_unused_buckets", f"select bucket, confidence, count(*) as n from ({_UNUSED}) group by all")
 def _(ix):
     return structure.unused_symbols(ix.symbols, ix.raw_refs, ix.files).groupBy("bucket", "confidence").agg(F.count("*").alias("n"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from skerry.operators import edges, graph, search, structure
 from skerry.sources import projects, sinks
 
@@ -122,3 +124,16 @@ def test_dependencies_by_ambiguous_names(spark, monkeypatch):
     for limit in (5, 40, 10_000):
         got = [(-r.score, r.src, r.dst) for r in structure.ranked_dependencies(refs, syms, files, limit).collect()]
         assert got == ranked[:limit]
+
+
+def test_private_names_in_text_are_used(spark):
+    files = spark.createDataFrame([(1, "a.cs", "csharp"), (2, "b.cs", "csharp"), (3, "c.cs", "csharp")], "file_id int, path string, lang string")
+    part = "public partial class T {"
+    symbols = spark.createDataFrame(
+        [(1, 1, "class", "T", part, None, 1, "public"), (2, 2, "class", "T", part, None, 1, "public"), (3, 3, "class", "T", "class T {", None, 1, "public"), (4, 1, "method", "own", "", "T", 2, "private"), (5, 1, "method", "other", "", "T", 3, "private"), (6, 1, "method", "never", "", "T", 4, "private"), (7, 3, "method", "far", "", "U", 2, "private")],
+        "symbol_id int, file_id int, kind string, name string, signature string, container_qualified_name string, line int, visibility string",
+    ).withColumn("name_folded", F.lower("name"))
+    refs = spark.createDataFrame([], "ref_id int, file_id int, target_symbol_id int, symbol_name_folded string, container_name_folded string")
+    chunks = spark.createDataFrame([(1, 1, 1, part + "\n void own() {\n void other() {\n void never() {\n own();"), (2, 2, 1, part + "\n x = other;"), (3, 3, 1, "class T {\n void far() {\n never, T, farther")], "chunk_id int, file_id int, start_line int, content string")
+    got = {r.symbol_id for r in structure.unused_beyond_text(symbols, refs, files, chunks).collect()}
+    assert got == {1, 2, 3, 6, 7}
