@@ -143,9 +143,9 @@ def _(ix):
     return search.guarded_in_symbol(search.line_hits(ix.chunks, "return"), ix.chunks, "if", ix.symbols, "after", False)
 
 
-@query("X14_budget", _guard(1, 8, "").replace("'return'", "'licensed under'"))
+@query("X14_budget", _guard(1, 8, "").replace("'return'", "'ledger'"))
 def _(ix):
-    hits = search.within_budget(search.line_hits(ix.chunks, "licensed under"), 100_000)
+    hits = search.within_budget(search.line_hits(ix.chunks, "ledger"), 100_000)
     return search.guarded(hits, ix.chunks, "if", 8).select("file_id", "line")
 
 
