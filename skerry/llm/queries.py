@@ -99,9 +99,9 @@ l as (select row_number() over (order by chunk_id, first, content) as item, chun
 t as (select item, chunk_id, first, len(lines) as n, list_transform(lines, lambda x: length(x)) as size, list_prepend(0, list_transform(range(1, len(lines) + 1), lambda k: list_sum(list_transform(list_slice(lines, 1, k), lambda x: length(x) + 1)))) as offs,
   list_filter(range(0, len(lines)), lambda k: regexp_full_match(lines[k + 1], '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}\\v]*')) as blanks from l),
 w as (
-  select item, 0 as new, 0 as rep, 0 as done, -1 as piece, 0 as a, 0 as b from t
+  select item, 0 as new, 0 as rep, 0 as done, -1 as piece, 0 as a, 0 as b, -1 as part from t
   union all
-  select item, case when long then case when done + 4000 >= size then new + 1 else new end else b + 1 end, case when long then 0 else least(3, b - a + 1) end, case when long and done + 4000 < size then done + 4000 else 0 end, piece + 1, a, b from (
+  select item, case when long then case when done + 4000 >= size then new + 1 else new end else b + 1 end, case when long then 0 else least(3, b - a + 1) end, case when long and done + 4000 < size then done + 4000 else 0 end, piece + 1, a, b, case when long then done else -1 end from (
     select *, case when long then new when reach < n - 1 and next_size <= 4000 and pause is not null then pause else reach end as b from (
       select *, list_max(list_filter(blanks, lambda k: k <= reach and k >= greatest(new, reach - 19))) as pause, sizes[reach + 2] as next_size from (
         select *, case when long then new else cast(len(list_filter(offs, lambda x: x <= offs[a + 1] + 4001)) - 2 as bigint) end as reach from (
@@ -109,12 +109,13 @@ w as (
             case when t.size[w.new + 1] > 4000 then w.new else list_min(list_filter(range(w.new - w.rep, w.new + 1), lambda s: t.offs[w.new + 2] - 1 - t.offs[s + 1] <= 4000)) end as a
           from w join t using (item) where w.new < t.n))))
 )
-select chunk_id, cast(piece as int) as piece_index, cast(first + a as int) as start_line, cast(first + b as int) as end_line from w join t using (item) where piece >= 0
 """
+_PIECE = "cast(piece as int) as piece_index, cast(first + a as int) as start_line, cast(first + b as int) as end_line"
 
-#: Token ids, texts of pieces, hashes of trees, lexers and seeded draws have no workable SQL on whole tables; see tests/llm.
+#: Token ids, hashes of trees, lexers and seeded draws have no workable SQL on whole tables; see tests/llm.
 SQL: dict[str, str] = {
-    "p4_found": _P4,
+    "p4_found": _P4 + f"select chunk_id, {_PIECE} from w join t using (item) where piece >= 0",
+    "p4_texts": _P4 + f"select l.chunk_id, {_PIECE.replace('first', 'l.first')}, case when part >= 0 then substr(lines[a + 1], part + 1, 4000) else array_to_string(list_slice(lines, a + 1, b + 1), chr(10)) end as text from w join l using (item) where piece >= 0",
     "p9_found": _P9 + "select doc_id from s where words > 0 and repeated_words >= 0.35 * words",
     "p9_shares": _P9 + "select doc_id, cast(words as bigint) as words, repeated_words, case when words > 0 then repeated_words / words else 0.0 end as share from s",
 }
