@@ -179,18 +179,22 @@ class _Node:
     distance: int = 10
 
 
+#: Phrases that a raw query may have.
+MOST_PHRASES = 64
+
+
 class QuerySyntaxError(ValueError):
     """The raw query can't be read."""
 
 
 class _RawQuery:
-    """``"a phrase"``, ``word``, ``pre*``, AND, OR, NOT, brackets, ``NEAR(a b, 5)``; words side by side mean AND."""
+    """``"a phrase"``, ``word``, ``pre*``, AND, OR, NOT, brackets, ``NEAR(a b, 5)``, ``content:word``; words side by side mean AND."""
 
     def __init__(self, text: str) -> None:
         self.tokens = re.findall(r'"(?:[^"]|"")*"|[()]|,|[^\s()",]+', text)
         if text.count('"') % 2:
             raise QuerySyntaxError("unclosed quote")
-        self.i = 0
+        self.i = self.phrases = 0
 
     def peek(self) -> str | None:
         return self.tokens[self.i] if self.i < len(self.tokens) else None
@@ -244,8 +248,18 @@ class _RawQuery:
                 raise QuerySyntaxError("bad NEAR")
             self.i += 1
             return _Node("near", tuple(parts), distance=distance)
+        column = re.match(r"([A-Za-z_]\w*)\s*:(?!:)", t)
+        if column:
+            if column.group(1).lower() != "content":
+                raise QuerySyntaxError(f"no such column: {column.group(1)}")
+            t = t[column.end() :]
+            if not t:  # what is asked of the column follows
+                return self.primary()
         prefix = t.endswith("*")
         words = query_terms_in_order(t.strip('"*'))
+        self.phrases += 1
+        if self.phrases > MOST_PHRASES:
+            raise QuerySyntaxError(f"more than {MOST_PHRASES} phrases")
         if not words:
             raise QuerySyntaxError(f"no word in {t}")
         return _Node("phrase", words=tuple(words), prefix=prefix)

@@ -78,6 +78,11 @@ def _(ix):
     return search.raw_search(ix.chunks, '"return key" OR NEAR(rank log, 3)')
 
 
+@query("X03_columns", q.with_(_WORDS) + "select chunk_id, file_id from w where list_contains(words, 'return') and len(list_filter(words, lambda t: starts_with(t, 'rank'))) > 0")
+def _(ix):
+    return search.raw_search(ix.chunks, "content:return AND content: rank*")
+
+
 @query("X04_exact", q.with_(q.CHUNKS) + "select chunk_id, file_id from c where contains(content, 'return key')")
 def _(ix):
     return search.exact_substring(ix.chunks, "return key")

@@ -79,7 +79,7 @@ def test_raw_queries(spark):
     assert run("alpha") == {1, 2, 3} and run("alpha*") == {1, 2, 3, 4} and run('"alpha beta"') == {1}
     assert run("alpha NOT beta") == {3} and run("soup OR gamma") == {1, 3, 4} and run("alpha gamma") == {1, 3}
     assert run("NEAR(alpha gamma, 2)") == {1} and run("NEAR(gamma alpha, 4)") == {1, 3} and run('(beta OR soup) AND "alpha"') == {1, 2}
-    for bad in ("(alpha", "AND", '"a', "NEAR(a", "a NOT"):
+    for bad in ("path:alpha", "content:", " OR ".join(["a"] * 65), "(alpha", "AND", '"a', "NEAR(a", "a NOT"):
         try:
             run(bad)
         except search.QuerySyntaxError:
