@@ -111,10 +111,24 @@ def with_context(chunks: DataFrame, hits: DataFrame, before: int, after: int) ->
 
 
 def excerpts(chunks: DataFrame, ranges: DataFrame, before: int = 0, after: int = 0, width: int | None = None) -> DataFrame:
-    """(file_id, start_line, end_line, excerpt) for ranges of lines with context, clamped to the file."""
-    wanted = ranges.select("file_id", "start_line", "end_line", F.explode(F.sequence(F.greatest(F.col("start_line") - before, F.lit(1)), F.col("end_line") + after)).alias("line"))
-    text = F.col("text") if width is None else F.substring("text", 1, width)
-    found = wanted.join(lines_at(chunks, wanted), ["file_id", "line"]).groupBy("file_id", "start_line", "end_line").agg(F.sort_array(F.collect_list(F.struct("line", text.alias("t")))).alias("rows"))
+    """(file_id, start_line, end_line, excerpt) for ranges of lines with context, clamped to the file.
+
+    Ranges stay two numbers: what is written and broadcast has a row for each range, however many lines it
+    spans. Contents of the files that have ranges move once, by file, where a chunk owns its lines up to the
+    start of the next one and gives each range its own part of it.
+    """
+    lo, hi = F.greatest(F.col("start_line") - before, F.lit(1)), F.col("end_line") + after
+    spans = measured_side(ranges.select("file_id", "start_line", "end_line", lo.alias("lo"), hi.alias("hi")).where("lo <= hi").distinct())
+    w = Window.partitionBy("file_id").orderBy("at", "chunk_id")
+    held = chunks.where("content is not null").select("file_id", "chunk_id", F.col("start_line").alias("at"), "content").join(spans.select("file_id"), "file_id", "left_semi")
+    owned = held.select("file_id", "at", "content", F.lead("at").over(w).alias("next")).where("next is null or next > at")
+    parts = owned.select("file_id", "at", "next", F.split("content", "\n", -1).alias("parts")).select("file_id", "at", "parts", F.least(F.col("at") + F.size("parts"), "next").alias("stop"))
+    first, last = F.greatest("lo", "at"), F.least("hi", F.col("stop") - 1)
+    rows = F.slice("parts", first - F.col("at") + 1, last - first + 1)
+    if width is not None:
+        rows = F.transform(rows, lambda t: F.substring(t, 1, width))
+    met = parts.join(spans, "file_id").where("lo < stop and hi >= at").select("file_id", "start_line", "end_line", "at", F.array_join(rows, "\n").alias("t"))
+    found = met.groupBy("file_id", "start_line", "end_line").agg(F.sort_array(F.collect_list(F.struct("at", "t"))).alias("rows"))
     return found.select("file_id", "start_line", "end_line", F.array_join(F.transform("rows", lambda r: r["t"]), "\n").alias("excerpt"))
 
 

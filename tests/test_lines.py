@@ -114,3 +114,18 @@ def test_no_content_is_exchanged(spark, tmp_path, monkeypatch):
             df.explain("formatted")
         for part in _re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", out.getvalue()):
             assert "content#" not in part
+
+
+def test_excerpts_hold_ranges_and_not_their_lines(spark, monkeypatch):
+    from skerry.runtime import cut_lineage, measured_side
+
+    seen = []
+    texts = {1: "\n".join(f"l{i}" for i in range(1, 301)), 2: "a\nb"}
+    asked = {(1, 2, 2_000_000_000): (1, 300), (1, 60, 160): (59, 161), (1, 80, 80): (79, 81), (2, 1, 1): (1, 2), (1, 300, 310): (299, 300), (1, 40, 20): None, (2, 9, 12): None, (3, 1, 2): None}
+    ranges = spark.createDataFrame([k for k in asked for _ in range(2)], "file_id int, start_line int, end_line int")
+    want = {k: "\n".join(texts[k[0]].split("\n")[v[0] - 1 : v[1]]) for k, v in asked.items() if v}
+    for side in (measured_side, cut_lineage):  # few ranges, and more than are broadcast
+        monkeypatch.setattr(lines, "measured_side", lambda df, side=side: seen.append(df) or side(df))
+        got = lines.excerpts(_chunks(spark, texts), ranges, 1, 1).collect()
+        assert {(r.file_id, r.start_line, r.end_line): r.excerpt for r in got} == want and len(got) == len(want)
+    assert all(kind in ("int", "bigint") for df in seen for _, kind in df.dtypes)
