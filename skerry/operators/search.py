@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators.lines import literal_lines, matching_lines
 from skerry.operators.predicates import ascii_lower, path_bucket, visibility_rank
-from skerry.runtime import numbered, spread
+from skerry.runtime import cut_lineage, numbered, spread
 
 K1, B = 1.2, 0.75
 MAX_QUERY = 1000
@@ -370,6 +370,19 @@ def guarded(hits: DataFrame, chunks: DataFrame, guard: str, window: int, side: s
     return hits.join(reach, ["file_id", "line"], "left_semi" if require else "left_anti")
 
 
+def guarded_whole(hits: DataFrame, chunks: DataFrame, guard: str, window: int, budget: int = 200, side: str = "before", require: bool = True) -> DataFrame:
+    """(file_id, line) of all ``guarded`` hits, however many candidates there are.
+
+    The candidates are written and counted. Up to ``budget`` of them, guards are sought in their files
+    only, which are broadcast; beyond it in all chunks, with the same result. A caller that wants such a
+    guard refused asks ``within_budget``.
+    """
+    kept = cut_lineage(hits.select("file_id", "line"))
+    if kept.count() <= budget:
+        chunks = chunks.join(F.broadcast(kept.select("file_id").distinct()), "file_id", "left_semi")
+    return guarded(kept, chunks, guard, window, side, require)
+
+
 def guarded_in_symbol(hits: DataFrame, chunks: DataFrame, guard: str, symbols: DataFrame, side: str = "before", require: bool = True) -> DataFrame:
     """Hits that have, or have not, a guard before or after them in the same innermost symbol.
 

@@ -150,8 +150,7 @@ def _(ix):
 
 @query("X14_budget", _guard(1, 8, "").replace("'return'", "'ledger'"))
 def _(ix):
-    hits = search.within_budget(search.line_hits(ix.chunks, "ledger"), 100_000)
-    return search.guarded(hits, ix.chunks, "if", 8).select("file_id", "line")
+    return search.guarded_whole(search.line_hits(ix.chunks, "ledger"), ix.chunks, "if", 8, 100_000)
 
 
 _BARE = r"""regexp_replace(left(text, col - 1), '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|`[^`]*`', '', 'g')"""

@@ -129,3 +129,18 @@ def test_excerpts_hold_ranges_and_not_their_lines(spark, monkeypatch):
         got = lines.excerpts(_chunks(spark, texts), ranges, 1, 1).collect()
         assert {(r.file_id, r.start_line, r.end_line): r.excerpt for r in got} == want and len(got) == len(want)
     assert all(kind in ("int", "bigint") for df in seen for _, kind in df.dtypes)
+
+
+def test_guards_on_more_candidates_than_the_budget(spark, tmp_path):
+    from skerry.operators import search
+    from skerry.plans import registry
+
+    few = _chunks(spark, {1: "if a\nneedle\nb\nneedle", 2: "needle if\nc", 3: "needle\nif\nneedle", 4: "if"})
+    for budget in (0, 4, 5, 200):
+        for require, want in ((True, {(1, 2), (1, 4), (3, 3)}), (False, {(2, 1), (3, 1)})):
+            got = search.guarded_whole(search.line_hits(few, "needle"), few, "if", 3, budget, "before", require).collect()
+            assert {(r.file_id, r.line) for r in got} == want and len(got) == len(want), budget
+    text = "\n".join(["if"] + ["ledger"] * 100_001)
+    many = spark.createDataFrame([(1, 1, 0, 1, 100_002, text), (1, 1, 0, 1, 100_002, text), (2, 2, 0, 1, 2, "ledger\nif")], "chunk_id bigint, file_id bigint, chunk_index int, start_line int, end_line int, content string")
+    many.write.parquet(str(tmp_path / "chunks.parquet"))
+    assert sorted((r.file_id, r.line) for r in registry.QUERIES["X14_budget"](spark, str(tmp_path)).collect()) == [(1, n) for n in range(2, 10)]
