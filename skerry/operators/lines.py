@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.operators.predicates import path_bucket
-from skerry.runtime import measured_side, shuffle_partitions
+from skerry.runtime import cut_lineage, measured_side, shuffle_partitions
 
 
 def file_lines(chunks: DataFrame) -> DataFrame:
@@ -113,14 +113,15 @@ def with_context(chunks: DataFrame, hits: DataFrame, before: int, after: int) ->
 def excerpts(chunks: DataFrame, ranges: DataFrame, before: int = 0, after: int = 0, width: int | None = None) -> DataFrame:
     """(file_id, start_line, end_line, excerpt) for ranges of lines with context, clamped to the file.
 
-    Ranges stay two numbers: what is written and broadcast has a row for each range, however many lines it
-    spans. Contents of the files that have ranges move once, by file, where a chunk owns its lines up to the
-    start of the next one and gives each range its own part of it.
+    Ranges stay two numbers, however many lines they span; only the numbers of their files are broadcast, if
+    few. Contents of these files move once, by file, where a chunk owns its lines up to the start of the next
+    one and gives each range its own part of it.
     """
     lo, hi = F.greatest(F.col("start_line") - before, F.lit(1)), F.col("end_line") + after
-    spans = measured_side(ranges.select("file_id", "start_line", "end_line", lo.alias("lo"), hi.alias("hi")).where("lo <= hi").distinct())
+    spans = cut_lineage(ranges.select("file_id", "start_line", "end_line", lo.alias("lo"), hi.alias("hi")).where("lo <= hi").distinct())
+    files = measured_side(spans.select("file_id").distinct())
     w = Window.partitionBy("file_id").orderBy("at", "chunk_id")
-    held = chunks.where("content is not null").select("file_id", "chunk_id", F.col("start_line").alias("at"), "content").join(spans.select("file_id"), "file_id", "left_semi")
+    held = chunks.where("content is not null").select("file_id", "chunk_id", F.col("start_line").alias("at"), "content").join(files, "file_id", "left_semi")
     owned = held.select("file_id", "at", "content", F.lead("at").over(w).alias("next")).where("next is null or next > at")
     parts = owned.select("file_id", "at", "next", F.split("content", "\n", -1).alias("parts")).select("file_id", "at", "parts", F.least(F.col("at") + F.size("parts"), "next").alias("stop"))
     first, last = F.greatest("lo", "at"), F.least("hi", F.col("stop") - 1)
